@@ -1,6 +1,6 @@
 """All queries for the library's own operators, and their SQL."""
 
-from sparkbooks.plans import layer_queries, production_queries, stats_queries, structure_queries  # noqa: F401
+from sparkbooks.plans import layer_queries, production_queries, segment_queries, stats_queries, structure_queries  # noqa: F401
 from sparkbooks.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
