@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from sparkbooks.llm.shared import id_type
 
-#: Pre-tokens whose ids a task remembers, and the longest pre-token, in characters, that it remembers.
-REMEMBERED = 1 << 18
+#: Pre-tokens whose ids, and strings of bytes whose ranks, a task remembers, and the longest pre-token, in characters, that it remembers.
+REMEMBERED = 1 << 19
 LONGEST = 64
 #: A rank file above this is not broadcast.
 MOST_BYTES = 64 << 20
@@ -82,9 +82,12 @@ class Vocabulary:
         at = self.hash.place(token)
         return self.ids[at] if self.tokens[at] == token else None
 
-    def merged(self, piece: bytes) -> list[int]:
-        """Merges neighbours of the lowest rank first, of equal ranks the leftmost, until no pair is a token."""
-        n, rank = len(piece), self.rank
+    def merged(self, piece: bytes, rank: Callable[[bytes], int | None] | None = None) -> list[int]:
+        """Merges neighbours of the lowest rank first, of equal ranks the leftmost, until no pair is a token.
+
+        rank is self.rank, or something that remembers what it says.
+        """
+        n, rank = len(piece), rank or self.rank
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         end = list(range(1, n + 1))
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
@@ -121,17 +124,33 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line)}
 
 
+class _Ranks(dict):
+    """The ranks of byte strings met so far, None for what is no token; starts again when it is full."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, piece: bytes) -> int | None:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        rank = self.vocabulary.rank(piece)
+        if len(piece) <= LONGEST:
+            self[piece] = rank
+        return rank
+
+
 class _Memory(dict):
     """What pre-tokens come to, as little-endian 32-bit ids; starts again when it is full."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.rank = vocabulary, _Ranks(vocabulary).__getitem__
 
     def __missing__(self, piece: str) -> bytes:
         raw = piece.encode()
         rank = self.vocabulary.rank(raw)
-        ids = [rank] if rank is not None else self.vocabulary.merged(raw)
+        ids = [rank] if rank is not None else self.vocabulary.merged(raw, self.rank)
         out = b"".join(i.to_bytes(4, "little") for i in ids)
         if len(piece) <= LONGEST:
             if len(self) >= REMEMBERED:
