@@ -29,14 +29,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the rows that have no smaller id in their component. Null ids, and rows that repeat an id and a text, are one document; documents
-    without words link with nothing and stay."""
-    found = jaccard_join.jaccard_components(docs)
-    gone = written(
-        found.where("component_id IS NOT NULL AND (doc_id IS NULL OR doc_id != component_id)").select(F.col("doc_id").alias("__gone")).distinct(),
-        "near-copies",
-    )
-    return docs.join(gone, same(docs["doc_id"], gone["__gone"]), "left_anti")
+    """Of the documents of a component the one with the smallest id stays. A null id loses to any other; a component with only null ids stays
+    whole. Documents without words link with nothing and stay."""
+    found = jaccard_join.jaccard_components(docs, text_key=True)
+    loses = "n_shingles > 0 AND component_id IS NOT NULL AND (doc_id IS NULL OR doc_id != component_id)"
+    gone = found.where(loses).select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__key")).distinct()
+    gone = written(gone, "near-copies")
+    return docs.join(gone, same(docs["doc_id"], gone["__gone"]) & (F.xxhash64(docs["text"]) == gone["__key"]), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

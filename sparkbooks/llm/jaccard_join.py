@@ -328,9 +328,9 @@ def tasks_of(members: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
 
 
 def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, text_key: bool = False
 ) -> DataFrame:
-    """One row for each row of docs: id, n_shingles, component_id.
+    """One row for each row of docs: id, n_shingles, component_id, and with text_key the text's xxhash64, which tells rows of one id apart.
 
     Words are runs of anything but white space, with A-Z lower-cased; a document's set is its distinct n-word shingles, or with fewer
     words the whole sequence as one. Two documents link when 100 * intersection >= percent * union; component_id is the smallest id
@@ -357,6 +357,6 @@ def jaccard_components(
     label = first.join(linked, F.col("class") == F.col("node"), "left").withColumn("component", F.coalesce("component", "class"))
     smallest = label.groupBy("component").agg(F.min("first").alias("component_id"))
     label = label.join(smallest, "component").select("class", "component_id")
-    return sets.join(label, "class", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")
-    )
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    out = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")]
+    return sets.join(label, "class", "left").select(*out, *[F.col("key").alias("text_key")] * text_key)
