@@ -187,3 +187,20 @@ def upsert(table: DataFrame, changes: DataFrame, keys: list[str], keep_old_if_nu
         for c in value
     ]
     return joined.select(*keys, *out)
+
+
+def snapshot_history(history: DataFrame, sections: DataFrame) -> DataFrame:
+    """The history with the sections' version appended, once for each book and structure_version."""
+    known = history.select("book_id", "structure_version").distinct()
+    return history.unionByName(sections.join(known, ["book_id", "structure_version"], "left_anti"))
+
+
+def refresh_lines(lines: DataFrame, scenes: DataFrame) -> DataFrame:
+    """Lines of (book_id, chapter, scene, line_number, .., text): those that scenes have are renumbered, scenes without any are parsed anew."""
+    from sparkbooks.operators.lines import parse_lines
+
+    keys = ["book_id", "chapter", "scene"]
+    order = Window.partitionBy(*keys).orderBy("line_number")
+    kept = lines.join(scenes.select(*keys), keys, "left_semi").withColumn("line_number", F.row_number().over(order))
+    missing = scenes.join(lines.select(*keys).distinct(), keys, "left_anti").select(*keys, "text")
+    return kept.unionByName(parse_lines(missing), allowMissingColumns=True).select(*lines.columns)

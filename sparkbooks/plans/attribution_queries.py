@@ -126,3 +126,11 @@ SELECT d.book_id, scene_id, "window", string_agg(line_number || ': ' || text, ch
 def v23(lines: DataFrame) -> DataFrame:
     roster = lines.select("book_id", F.col("character").alias("name")).distinct()
     return at.prompt_requests(ln.dialogue_windows(lines, size=3), roster)
+
+
+@query("K7_description_windows", "documents")
+def k7(documents: DataFrame) -> DataFrame:
+    """Windows around words that many documents have."""
+    books = documents.select(F.col("doc_id").cast("string").alias("book_id"), "text")
+    cast = books.select("book_id", F.explode(F.array(F.lit("Old The"), F.lit("La"))).alias("name"))
+    return at.description_windows(books, cast)

@@ -131,3 +131,25 @@ def p21(documents: DataFrame) -> DataFrame:
     answer = F.when(F.col("doc_id") % 2 == 0, '{"is_clean": false, "issues": [{"issue_type": "page number"}, {"issue_type": "tag"}]}').otherwise("sorry")
     parsed = F.from_json(answer, "is_clean boolean, issues array<struct<issue_type: string>>")
     return documents.select("source", F.explode(parsed["issues"]).alias("i")).groupBy("source").agg(F.count("*").alias("issues"))
+
+
+@query("V16_generation_prompts", "lines", sql="""
+SELECT scene_id, 'strings, ' || lower(m) || ' mood, instrumental background bed for an audiobook scene, loopable, no vocals' AS music_prompt,
+  'ambient field recording, a hall' || CASE WHEN scene % 2 = 0 THEN ', dusk' ELSE '' END || ', low background level, wide acoustics, loopable' AS ambience_prompt,
+  'warm storybook watercolor illustration: a hall' || CASE WHEN scene % 2 = 0 THEN ', dusk' ELSE '' END || CASE WHEN w != '' THEN ', featuring ' || w ELSE '' END || ', ' || lower(m) || ' atmosphere' AS image_prompt, w AS characters_present
+FROM (SELECT scene_id, scene, min(emotion) AS m, coalesce(array_to_string(list_sort(list(DISTINCT character) FILTER (segment_type = 'dialogue' AND character != 'Narrator')), ', '), '') AS w FROM lines GROUP BY ALL)""")
+def v16(lines: DataFrame) -> DataFrame:
+    per = lines.groupBy("scene_id", "scene").agg(F.lower(F.min("emotion")).alias("mood"))
+    directions = per.select(
+        "scene_id", F.lit("strings").alias("music_style"), "mood", F.lit("a hall").alias("location"), F.when(F.col("scene") % 2 == 0, "dusk").otherwise("unknown").alias("time_of_day"),
+        F.lit("indoors").alias("weather"), F.lit("low").alias("noise"), F.lit("wide").alias("confines"),
+    )
+    return pp.generation_prompts(directions, lines)
+
+
+@query("V15_filter_qc_flags", "lines")
+def v15(lines: DataFrame) -> DataFrame:
+    """Flags of words of lines; those beyond the corpus, which is cut, are not found."""
+    flags = lines.select("book_id", "line_id", F.substring("text", 1, 60).alias("snippet"), F.lit("major").alias("severity"))
+    artifacts = lines.select("book_id", (F.col("scene") * 1000 + F.col("line_number")).alias("position"), "text")
+    return pp.filter_qc_flags(flags, artifacts).groupBy("book_id", "severity").agg(F.count("*").alias("n"))

@@ -135,3 +135,18 @@ def p9(pages: DataFrame) -> DataFrame:
 def p14(documents: DataFrame) -> DataFrame:
     head = F.concat(F.lit("Title: Doc "), F.col("doc_id").cast("string"), F.lit("\nAuthor:  "), "source", F.lit(" \n\n"), "text")
     return documents.select("doc_id", sg.header_metadata(head).alias("m")).select("doc_id", "m.title", "m.author", "m.release_date")
+
+
+@query("P4_density_story_start", "documents", sql="SELECT doc_id, 2::INTEGER AS line FROM documents")
+def p4(documents: DataFrame) -> DataFrame:
+    """Documents with a title page, a heading and a first sentence put before them; the heading's line is found."""
+    front = "The Book\nPublished by someone in a town with a very long name, 1900\nCHAPTER ONE\n\nOnce there was a line that is long enough to begin a story with.\n"
+    return sg.story_starts(documents.select("doc_id", F.concat(F.lit(front), F.col("text")).alias("text")), "doc_id")
+
+
+@query("G15_split_at_snippets", "lines")
+def g15(lines: DataFrame) -> DataFrame:
+    """Manuscripts cut at the first words of every third scene, and at words that are not there."""
+    first = lines.where("line_number = 1 AND scene % 3 = 0").select("book_id", F.substring("text", 1, 40).alias("snippet"))
+    wrong = lines.select("book_id", F.lit("words that are nowhere in this book").alias("snippet")).distinct()
+    return sg.split_at_snippets(manuscripts(lines), first.unionByName(wrong), "book_id")

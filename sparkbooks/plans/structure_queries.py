@@ -169,3 +169,22 @@ def p18(sections: DataFrame) -> DataFrame:
 @query("P18_structure_readiness", "sections", sql="SELECT book_id, bool_and(analysis_valid AND render_valid) AS ready, sum((NOT (analysis_valid AND render_valid))::INTEGER)::BIGINT AS invalid FROM sections WHERE status = 'active' GROUP BY book_id")
 def p18b(sections: DataFrame) -> DataFrame:
     return sx.structure_readiness(sections)
+
+
+@query("E10_snapshot_history", "sections", sql="SELECT section_id, 1 AS structure_version FROM sections UNION ALL SELECT section_id, 2 FROM sections")
+def e10(sections: DataFrame) -> DataFrame:
+    """A version that is saved twice is kept once."""
+    first = sections.withColumn("structure_version", F.lit(1))
+    second = sections.withColumn("structure_version", F.lit(2))
+    history = sx.snapshot_history(sx.snapshot_history(first, second), second)
+    return history.select("section_id", "structure_version")
+
+
+@query("E12_refresh_lines", "lines", sql="""
+SELECT scene, row_number() OVER (PARTITION BY scene ORDER BY line_number)::INTEGER AS line_number, text FROM lines WHERE scene % 2 = 0 AND line_number != 2
+UNION ALL SELECT scene, 1, 'again ' || scene FROM (SELECT DISTINCT scene FROM lines WHERE scene % 2 = 1)""")
+def e12(lines: DataFrame) -> DataFrame:
+    """Every other scene has lost its lines, and the rest a line."""
+    kept = lines.where("scene % 2 = 0 AND line_number != 2").withColumn("line_number", F.col("line_number").cast("int"))
+    scenes = lines.select("book_id", "chapter", "scene").distinct().withColumn("text", F.concat(F.lit("again "), F.col("scene").cast("string")))
+    return sx.refresh_lines(kept.select("book_id", "chapter", "scene", "line_number", "text"), scenes).select("scene", "line_number", "text")
