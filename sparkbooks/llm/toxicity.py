@@ -1,15 +1,17 @@
 """Toxicity by two class-conditional Kneser-Ney models of the characters of words.
 
 One model is counted over texts labelled toxic, one over texts labelled ordinary. A word is spelt with a start and an end mark, and each
-character is predicted from the ORDER - 1 before it. Contexts of SHARED characters and more have class counts: in how many
-different texts of the class a word with that string stands. These are discounted, by the same rate in both classes, and back off
-to shorter contexts. The shortest contexts have counts that both models share, gathered over all documents, labelled or not:
-how many different words hold the string. So a rare expression that neither class knows says the same in both, and an
-expression that is spelt like known ones is still told apart. A text's evidence is the mean over its words of the difference of the two
+character is predicted from the ORDER - 1 before it. Contexts of SHARED characters and more have class counts. For strings of ORDER
+characters and those at a word's begin these say in how many different texts of the class a word with that string stands; for
+shorter ones, how many different characters stand before the string. Each count is discounted by less than one, so every string that
+was seen stays, and backs off to shorter contexts (by a Pitman-Yor strength besides, which levels classes of different size). The shortest contexts have counts that both models share, gathered over all
+documents, labelled or not: how many different words hold the string. So a rare expression that neither class knows says the same in
+both, and an expression that is spelt like known ones is still told apart. A text's evidence is the mean over its words of the difference of the two
 log-likelihoods; a logistic curve, fitted on labelled rows that the counts left out, turns it into a score.
 
-The class counts come from a bounded sample of labelled rows (MOST_DOCS a class) and keep a bounded number of strings (MOST_STRINGS),
-so the model that is broadcast is bounded. Labels are the only thing learned from, and only outside the held-out fold.
+The class counts come from a bounded sample of labelled rows (MOST_DOCS a class) and keep all of its strings. Of the shared counts,
+those are looked up whose context ends a context of the sample; Spark picks them by a join, so the model that is broadcast grows with
+the sample and not with the documents. Labels are the only thing learned from, and only outside the held-out fold.
 """
 
 from __future__ import annotations
@@ -29,11 +31,12 @@ from sparkbooks.llm.shared import id_type, written
 
 #: Labelled rows of a class that are learned from at most: the first by the hash of their id.
 MOST_DOCS = 6000
-#: Strings kept for each class, and shared strings, at most: the most frequent ones.
-MOST_STRINGS = 200_000
 #: Of the labelled rows, one in so many fits the logistic curve and not the counts.
 CALIBRATION = 4
-ORDER, SHARED, DISCOUNT, SHARED_DISCOUNT = 6, 3, 3.0, 0.75
+ORDER, SHARED, DISCOUNT, SHARED_DISCOUNT = 6, 3, 0.75, 0.75
+#: Counts that a context gives to shorter ones besides what the discounts leave them, in the smaller class; in the larger class as many more
+#: as its sample is larger, so that what is rare in both is smoothed alike in both.
+STRENGTH = 3.0
 #: Characters of a word that are spelt; the likelihood of one that no count knows.
 SPELT, UNKNOWN = 40, 1 / 200
 #: Counted strings that a task holds before it passes them on; words and strings whose part in the evidence a task remembers.
@@ -57,11 +60,12 @@ def strings(word: str, shortest: int, longest: int) -> Iterator[str]:
 
 @dataclass
 class Model:
-    """kept: for a string the discounted share of its context in the ordinary and the toxic class. weight: for a context the weight
-    of shorter contexts there; 1 where it is absent. shared: the likelihood of the last character by the shared counts."""
+    """kept: for a string the discounted share of its context in the ordinary (real part) and the toxic class (imaginary part), which
+    takes less memory than a pair. weight: for a context the weight of shorter contexts there; 1 where it is absent.
+    shared: the likelihood of the last character by the shared counts."""
 
-    kept: dict[str, tuple[float, float]]
-    weight: dict[str, tuple[float, float]]
+    kept: dict[str, complex]
+    weight: dict[str, complex]
     shared: dict[str, float]
     slope: float = 1.0
     shift: float = 0.0
@@ -74,8 +78,8 @@ class Model:
             if w is not None:
                 if not ordinary:
                     ordinary = toxic = self.lower(string[-SHARED:])
-                k = self.kept.get(string[-n:], (0.0, 0.0))
-                ordinary, toxic = k[0] + w[0] * ordinary, k[1] + w[1] * toxic
+                k = self.kept.get(string[-n:], 0j)
+                ordinary, toxic = k.real + w.real * ordinary, k.imag + w.imag * toxic
         return math.log(toxic / ordinary) if ordinary else 0.0
 
     def lower(self, string: str) -> float:
@@ -208,6 +212,23 @@ def string_counts(words: DataFrame, shortest: int, longest: int, weighed: bool)
     return parts.groupBy("kind", "string").agg(F.sum("n").alias("n"))
 
 
+def continuations(counts: DataFrame) -> DataFrame:
+    """(kind, string, n) of raw counts: as they are for strings of ORDER characters and at a word's begin; else n is the number of
+    different characters before the string. Each of those makes a string one longer, which must be among the counts."""
+    top = (F.length("string") == ORDER) | F.col("string").startswith("^")
+    whole = F.when(top, F.struct("string", "n"))
+    ending = F.when(F.length("string") > SHARED + 1, F.struct(F.expr("substring(string, 2)").alias("string"), F.lit(1).cast("long").alias("n")))
+    both = counts.select("kind", F.explode(F.array_compact(F.array(whole, ending))).alias("part")).select("kind", "part.string", "part.n")
+    return both.groupBy("kind", "string").agg(F.sum("n").alias("n"))
+
+
+def by_class(values: DataFrame, absent: float) -> dict[str, complex]:
+    """From (kind, key, value) the values of the ordinary and the toxic class as real and imaginary part, by key."""
+    key, value = values.columns[1:]
+    parts = [F.coalesce(F.max(F.when(F.col("kind") == c, F.col(value))), F.lit(absent)).alias(f"class_{c}") for c in (0, 1)]
+    return {k: complex(a, b) for k, a, b in values.groupBy(key).agg(*parts).toLocalIterator()}
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_docs: int = MOST_DOCS
 ) -> Model:
@@ -229,26 +250,21 @@ def fit(
     words = written(word_counts(learned), "toxic-words")
     sizes = {r[0]: r[1] for r in words.groupBy("kind").agg(F.sum("n")).collect()}
     least = min([sizes.get(0, 0), sizes.get(1, 0)]) or 1
-    discount = {c: DISCOUNT * max(1.0, sizes.get(c, 0) / least) for c in (0, 1)}
-    off = F.when(F.col("kind") == 0, discount[0]).otherwise(discount[1])
-    counts = written(string_counts(words, SHARED + 1, ORDER, weighed=True), "toxic-strings")
+    strength = {c: STRENGTH * max(1.0, sizes.get(c, 0) / least) for c in (0, 1)}
+    counts = written(continuations(string_counts(words, SHARED + 1, ORDER, weighed=True)), "toxic-strings")
     context = F.expr("left(string, length(string) - 1)")
-    totals = counts.groupBy("kind", context.alias("context")).agg(
-        F.sum("n").alias("total"), F.sum(F.least(F.col("n").cast("double"), off)).alias("off"), F.max(F.col("n") > off).alias("used")
-    )
-    kept: dict[str, list[float]] = {}
-    weight: dict[str, list[float]] = {}
-    for r in totals.where("used").orderBy(F.desc("total"), "context", "kind").limit(2 * MOST_STRINGS).toLocalIterator():
-        weight.setdefault(r.context, [1.0, 1.0])[r.kind] = r.off / r.total
-    most = counts.where(F.col("n") > off).orderBy(F.desc("n"), "string", "kind").limit(2 * MOST_STRINGS)
-    strung = most.withColumn("context", context).join(totals, ["kind", "context"])
-    for r in strung.select("kind", "string", ((F.col("n") - off) / F.col("total")).alias("share")).toLocalIterator():
-        kept.setdefault(r.string, [0.0, 0.0])[r.kind] = r.share
+    totals = counts.groupBy("kind", context.alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("different"))
+    totals = totals.withColumn("strength", F.when(F.col("kind") == 0, strength[0]).otherwise(strength[1]))
+    totals = written(totals.withColumn("whole", F.col("total") + F.col("strength")), "toxic-contexts")
+    weight = by_class(totals.select("kind", "context", ((F.col("strength") + DISCOUNT * F.col("different")) / F.col("whole")).alias("weight")), absent=1.0)
+    shares = counts.withColumn("context", context).join(totals, ["kind", "context"])
+    kept = by_class(shares.select("kind", "string", ((F.col("n") - DISCOUNT) / F.col("whole")).alias("share")), absent=0.0)
 
     everywhere = word_counts(docs.select(F.lit(0).alias("kind"), F.col(text_col).cast("string").alias("text")))
-    short = string_counts(everywhere, 1, SHARED, weighed=False).orderBy(F.desc("n"), "string").limit(MOST_STRINGS)
-    shared = shared_likelihoods({r.string: r.n for r in short.toLocalIterator()})
-    model = Model({k: tuple(v) for k, v in kept.items()}, {k: tuple(v) for k, v in weight.items()}, shared)
+    short = string_counts(everywhere, 1, SHARED, weighed=False).select("string", "n", context.alias("context"))
+    ends = totals.select(F.explode(F.array(*[F.right("context", F.lit(n)) for n in range(SHARED)])).alias("context")).distinct()
+    shared = shared_likelihoods({r.string: r.n for r in short.join(ends, "context", "left_semi").select("string", "n").toLocalIterator()})
+    model = Model(kept, weight, shared)
     held = chosen.where("held").select("toxic", "text").withColumnRenamed("toxic", "id")
     evidence = apply(held, model, "id", "text", curve=False).toPandas()
     model.slope, model.shift = logistic(evidence["score"].to_numpy(), evidence["id"].to_numpy())

@@ -132,6 +132,44 @@ def test_toxicity_without_rows(spark, empty, judged):
     assert {r.predicted for r in toxicity.score_toxicity(docs, labels.limit(0)).collect()} == {0}
 
 
+def learned_ids(start, n):
+    """Ids outside the held-out fold and the rows that fit the curve."""
+    fits = (i for i in range(start, start + 1000) if zlib.crc32(str(i).encode()) % 5 and int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) % toxicity.CALIBRATION)
+    return [next(fits) for _ in range(n)]
+
+
+def test_toxicity_keeps_rare_strings(spark, judged):
+    docs, labels = judged
+    ids = learned_ids(2000, 4)
+    rare = [(i, f"w{i} {'qzyxwort' if k < 2 else 'jkvplum'} w1", "a") for k, i in enumerate(ids)]
+    marks = spark.createDataFrame([(i, 1, int(k < 2)) for k, i in enumerate(ids)], labels.schema)
+    model = toxicity.fit(docs.unionByName(documents(spark, rare)), labels.unionByName(marks))
+    ratios = toxicity.Ratios(model)
+    assert ratios["qzyxwort"] > 0.5 and ratios["jkvplum"] < -0.5
+    assert all("^qzyxwort$"[end - n : end] in model.kept for end in range(4, 11) for n in range(4, min(end, toxicity.ORDER) + 1))
+    left = {c: [w.real, w.imag] for c, w in model.weight.items()}
+    for string, share in model.kept.items():
+        left[string[:-1]][0] += share.real
+        left[string[:-1]][1] += share.imag
+    assert all(x == pytest.approx(1) for pair in left.values() for x in pair)
+
+
+def test_continuation_counts(spark):
+    words = [(1, "banana", 2), (1, "bandana", 1), (0, "anana", 4)]
+    raw = toxicity.string_counts(spark.createDataFrame(words, "kind int, word string, n long"), toxicity.SHARED + 1, toxicity.ORDER, weighed=True)
+    found = {(r.kind, r.string): r.n for r in toxicity.continuations(raw).collect()}
+    before, want = {}, {}
+    for kind, word, n in words:
+        s = f"^{word}$"
+        for begin in range(len(s)):
+            for end in range(begin + toxicity.SHARED + 1, min(len(s), begin + toxicity.ORDER) + 1):
+                if begin and end - begin < toxicity.ORDER:
+                    before.setdefault((kind, s[begin:end]), set()).add(s[begin - 1])
+                else:
+                    want[kind, s[begin:end]] = want.get((kind, s[begin:end]), 0) + n
+    assert found == want | {k: len(v) for k, v in before.items()}
+
+
 def test_secrets(spark, empty):
     import re
 
