@@ -37,10 +37,12 @@ ORDER, SHARED, DISCOUNT, SHARED_DISCOUNT = 6, 3, 0.75, 0.75
 #: Counts that a context gives to shorter ones besides what the discounts leave them, in the smaller class; in the larger class as many more
 #: as its sample is larger, so that what is rare in both is smoothed alike in both.
 STRENGTH = 3.0
-#: Characters of a word that are spelt; the likelihood of one that no count knows.
-SPELT, UNKNOWN = 40, 1 / 200
+#: Characters of the longest word that is remembered whole (longer ones are spelt anew each time); the likelihood of a character that no count knows.
+LONGEST, UNKNOWN = 40, 1 / 200
 #: Counted strings that a task holds before it passes them on; words and strings whose part in the evidence a task remembers.
 HELD, REMEMBERED = 400_000, 400_000
+#: Characters of counted words that a task holds before it passes them on: a run of word characters can be as long as a text.
+HELD_CHARACTERS = 16_000_000
 
 words_of = re.compile(r"\w+").findall
 
@@ -51,8 +53,8 @@ def in_fold(id_col: str, modulus: int = 5) -> Column:
 
 
 def strings(word: str, shortest: int, longest: int) -> Iterator[str]:
-    """The strings of `shortest` to `longest` characters in the spelt word, but for its start mark alone."""
-    s = f"^{word[:SPELT]}$"
+    """The strings of `shortest` to `longest` characters in the word between its marks, but for its start mark alone."""
+    s = f"^{word}$"
     for end in range(2, len(s) + 1):
         for n in range(shortest, min(longest, end) + 1):
             yield s[end - n : end]
@@ -108,17 +110,19 @@ class Steps(dict):
 
 
 class Ratios(dict):
-    """The difference of the log-likelihoods of words met so far; starts again when it is full."""
+    """The difference of the log-likelihoods of words met so far, but for long ones; starts again when it is full."""
 
     def __init__(self, model: Model):
         super().__init__()
         self.steps = Steps(model)
 
     def __missing__(self, word: str) -> float:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        s, steps = f"^{word[:SPELT]}$", self.steps
-        self[word] = ratio = sum([steps[s[max(0, end - ORDER) : end]] for end in range(SHARED + 1, len(s) + 1)])
+        s, steps = f"^{word}$", self.steps
+        ratio = sum(steps[s[max(0, end - ORDER) : end]] for end in range(SHARED + 1, len(s) + 1))
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = ratio
         return ratio
 
     def evidence(self, text: str) -> float:
@@ -163,6 +167,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def _per_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(class, word, n): in how many of the class's texts a word stands."""
     counts: Counter[tuple[int, str]] = Counter()
+    held = 0
 
     def out() -> pa.RecordBatch:
         kinds, words = list(zip(*counts, strict=True)) or [[], []]
@@ -171,10 +176,13 @@ def _per_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for kind, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts.update((kind, w) for w in set(words_of((text or "").lower())))
-            if len(counts) > HELD:
+            words = set(words_of((text or "").lower()))
+            counts.update((kind, w) for w in words)
+            held += sum(len(w) for w in words if len(w) > LONGEST)
+            if len(counts) > HELD or held > HELD_CHARACTERS:
                 yield out()
                 counts.clear()
+                held = 0
     yield out()
 
 
@@ -193,9 +201,9 @@ def _per_string(shortest: int, longest: int, weighed: bool):
             for kind, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for string in strings(word, shortest, longest):
                     counts[kind, string] = counts.get((kind, string), 0) + (n if weighed else 1)
-                if len(counts) > HELD:
-                    yield out()
-                    counts.clear()
+                    if len(counts) > HELD:
+                        yield out()
+                        counts.clear()
         yield out()
 
     return run

@@ -154,6 +154,21 @@ def test_toxicity_keeps_rare_strings(spark, judged):
     assert all(x == pytest.approx(1) for pair in left.values() for x in pair)
 
 
+def test_toxicity_spells_long_runs_whole(spark, judged):
+    docs, labels = judged
+    ids = learned_ids(3000, 12)
+    learnt = [(i, "w1_" * 20 + ("zuxperson" if k < 6 else "jolplum") + f"_{i}", "a") for k, i in enumerate(ids)]
+    marks = spark.createDataFrame([(i, 1, int(k < 6)) for k, i in enumerate(ids)], labels.schema)
+    model = toxicity.fit(docs.unionByName(documents(spark, learnt)), labels.unionByName(marks))
+    assert "zuxper" in model.kept
+    runs = {1: "w1_" * 30 + "jolplum", 2: "w1_" * 30 + "zuxperson", 3: "w1_" * 5000 + "zuxperson"}
+    evidence = {r.doc_id: r.score for r in toxicity.apply(documents(spark, [(i, t, "a") for i, t in runs.items()]), model, curve=False).collect()}
+    assert evidence[2] > evidence[1] + 1
+    ratios = toxicity.Ratios(model)
+    assert all(ratios[t] == evidence[i] for i, t in runs.items()) and not ratios
+    assert ratios["vilefool"] == ratios["vilefool"] and set(ratios) == {"vilefool"}
+
+
 def test_continuation_counts(spark):
     words = [(1, "banana", 2), (1, "bandana", 1), (0, "anana", 4)]
     raw = toxicity.string_counts(spark.createDataFrame(words, "kind int, word string, n long"), toxicity.SHARED + 1, toxicity.ORDER, weighed=True)
