@@ -44,23 +44,41 @@ CLASSES = (
 )
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 
-#: Strings that are not secrets, though they can look random.
+#: Strings that are not secrets, though they can look random. No pattern can match a string in two ways, so none backtracks.
 ALLOWED = tuple(
     re.compile(x)
     for x in (
         r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",  # a UUID
-        r".*(?i:example|sample|dummy|placeholder|changeme|test_?key|your_).*",
-        r"(?:/?[A-Za-z][a-z_-]*)+(?:/[A-Za-z][a-z_-]*)*/?",  # a path or words run together
-        r"[A-Za-z]+",  # letters alone
+        r"(?:/?[A-Za-z](?:[A-Za-z_-]|/(?=[A-Za-z]))*/?)",  # a path, words run together, or letters alone
         r"[0-9_-]+",  # a number or a date
     )
 )
 
 
+#: Words of strings that are shown as examples. They speak for the part between '/', '_' and '-' that they stand in, and for no other.
+SHOWN = re.compile(r"example|sample|dummy|placeholder|changeme|test_?key|your_", re.IGNORECASE)
+SEPARATOR = re.compile("[/_-]")
+
+
 def allowed(candidate: str) -> bool:
+    """Whether the whole candidate is of an allowed form."""
     return any(p.fullmatch(candidate) for p in ALLOWED)
 
 
+def judged(candidate: str) -> list[tuple[int, str]]:
+    """The pieces of a candidate, with their places, that are not allowed: what is left beside the parts with a word of SHOWN."""
+    pieces, done = [], 0
+    for m in SHOWN.finditer(candidate):
+        if m.start() < done:
+            continue
+        begin = max(candidate.rfind(c, done, m.start()) for c in "/_-") + 1 or done
+        after = SEPARATOR.search(candidate, m.end())
+        pieces.append((done, candidate[done:begin]))
+        done = m.end() if m[0].endswith("_") else after.start() if after else len(candidate)
+    pieces.append((done, candidate[done:]))
+    return [(at, piece) for at, piece in pieces if not allowed(piece.strip("/_-") if len(pieces) > 1 else piece)]
+
+
 def random_stretches(candidate: str, kind: CharacterClass) -> list[tuple[int, int]]:
     """The unions of the windows of one class whose entropy reaches its threshold, as (start, end).
 
@@ -70,7 +88,7 @@ def random_stretches(candidate: str, kind: CharacterClass) -> list[tuple[int, in
     width, members, out = kind.width, kind.members, []
     if len(candidate) < width:
         return out
-    terms = [0.0] + [c * math.log2(c) for c in range(1, width + 1)]
+    terms = [0.0] + [c * math.log2(c) for c in range(1, width + 2)]  # one comes in before one goes
     counts: dict[str, int] = {}
     inside, spread = 0, 0.0
     for i, c in enumerate(candidate):
@@ -110,9 +128,9 @@ def scan(text: str) -> list[tuple[str, int, int]]:
         spans += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
         base = list(spans)
         for m in CANDIDATE.finditer(text):
-            if allowed(m[0]):
-                continue
-            found = sorted({(s + m.start(), e + m.start()) for kind in CLASSES for s, e in random_stretches(m[0], kind)})
+            found = sorted(
+                {(s + at + m.start(), e + at + m.start()) for at, piece in judged(m[0]) for kind in CLASSES for s, e in random_stretches(piece, kind)}
+            )
             joined: list[list[int]] = []
             for s, e in found:
                 if joined and s <= joined[-1][1]:

@@ -217,6 +217,29 @@ def test_secrets(spark, empty):
     assert secret_scan.digest(secret_scan.find_secrets(empty)).count() == 0
 
 
+def test_secrets_allow_list():
+    import re
+    import time
+
+    begun = time.process_time()
+    slug = "how-to-build-a-better-mousetrap-in-2023"
+    for text in [slug, "a" * 40 + "1", "ab/" * 20_000 + "1", "-".join(["word"] * 20_000) + "-1", "example" * 20_000 + "1", "your_" * 20_000]:
+        secret_scan.scan(text)
+    assert time.process_time() - begun < 10
+    old = re.compile(r"(?:/?[A-Za-z][a-z_-]*)+(?:/[A-Za-z][a-z_-]*)*/?|[A-Za-z]+")
+    rng = random.Random(4)
+    for _ in range(3000):
+        t = "".join(rng.choice("aB/_-") for _ in range(rng.randrange(1, 9))) + rng.choice(["", "", "1"])
+        assert secret_scan.allowed(t) == bool(old.fullmatch(t) or re.fullmatch("[0-9_-]+", t)), t
+
+    key = "q7Rz2Kx9Vb4Nw8Lm3Tc6Yd1Hf5Jg0PsA"
+    for text in [f"host.com/sample/{key}", f"my_example_{key}", f"{key}/dummy/index", f"your_{key}", f"test_key_{key}", f"sample/{key}/example"]:
+        spans = [(s, e) for k, s, e in secret_scan.scan(text) if k == "entropy"]
+        assert spans and spans[0][0] <= text.index(key) and text.index(key) + len(key) <= spans[-1][1], text
+    for text in ["example" + key, f"{key}EXAMPLE", f"a/{key}sample{key}/b", "sample/123e4567-e89b-12d3-a456-426614174000"]:
+        assert secret_scan.scan(text) == [], text
+
+
 def test_window_entropy_by_counts():
     import math
     from collections import Counter
