@@ -217,3 +217,15 @@ def test_writers(spark, tmp_path):
     clips = spark.createDataFrame([("i", "hi", "Joy", 1.234, 20.55, "PASS")], "id string, transcript string, emotion string, duration_s double, snr_db double, verdict string")
     fl.write_clip_manifest(clips, str(tmp_path / "k"))
     assert spark.read.text(str(tmp_path / "k")).first().value.startswith("i|hi|Joy|1.23|20.")
+
+
+def test_foley_finds_every_action(spark):
+    from sparkbooks.operators.attribution import FOLEY, spot_foley
+
+    story = """He opened the door. The door was slammed. She tapped on the door. The bell rang. He entered. She left the room. He paced. He sat down.
+        She stood up. They climbed the stairs. He lit his pipe. She poured the tea. He unfolded the letter. The carriage drew up. The window was shut. The fire blazed."""
+    sentences = " ".join(story.split()).split(". ")
+    lines = [(i, 1, "narrative", t.strip().rstrip(".") + ".") for i, t in enumerate(sentences)] + [(99, 1, "narrative", "The door opened. He closed the door.")]
+    found = spot_foley(spark.createDataFrame(lines, "scene_id int, line_number int, segment_type string, text string")).collect()
+    assert len(FOLEY) == 16 and sorted((r.scene_id, r.suggestion) for r in found) == [(i, idea) for i, (_, idea) in enumerate(FOLEY)] + [(99, FOLEY[0][1])]
+    assert [r.sentence for r in found if r.scene_id == 99] == ["He closed the door."]
