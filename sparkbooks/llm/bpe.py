@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from sparkbooks.llm.shared import id_type
 
 #: Pre-tokens whose ids, and strings of bytes whose ranks, a task remembers, and the longest pre-token, in characters, that it remembers.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 17
 LONGEST = 64
 #: A rank file above this is not broadcast.
 MOST_BYTES = 64 << 20

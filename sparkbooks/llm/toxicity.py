@@ -24,10 +24,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkbooks.llm.shared import id_type, written
+from sparkbooks.llm.shared import written
 
 #: Labelled rows of a class that are learned from at most: the first by the hash of their id.
 MOST_DOCS = 6000
@@ -39,10 +39,13 @@ ORDER, SHARED, DISCOUNT, SHARED_DISCOUNT = 6, 3, 0.75, 0.75
 STRENGTH = 3.0
 #: Characters of the longest word that is remembered whole (longer ones are spelt anew each time); the likelihood of a character that no count knows.
 LONGEST, UNKNOWN = 40, 1 / 200
-#: Counted strings that a task holds before it passes them on; words and strings whose part in the evidence a task remembers.
-HELD, REMEMBERED = 400_000, 400_000
+#: What a task holds at most: counted strings before it passes them on, words whose ratio it remembers, characters of texts whose words
+#: are looked up together, and characters of words that are spelt at once. Together some tens of MB.
+HELD, REMEMBERED, CHUNK, BATCH = 150_000, 150_000, 1_000_000, 200_000
 #: Characters of counted words that a task holds before it passes them on: a run of word characters can be as long as a text.
-HELD_CHARACTERS = 16_000_000
+HELD_CHARACTERS = 8_000_000
+#: Texts that are turned into Python strings at once.
+ROWS = 256
 
 words_of = re.compile(r"\w+").findall
 
@@ -60,75 +63,135 @@ def strings(word: str, shortest: int, longest: int) -> Iterator[str]:
             yield s[end - n : end]
 
 
+@dataclass
+class Table:
+    """Rows of numbers by the hash of a string: keys are sorted, so that many are looked up at once."""
+
+    keys: np.ndarray
+    rows: np.ndarray
+
+    @staticmethod
+    def of(strings: list[str], rows: np.ndarray) -> Table:
+        keys = string_hashes(strings)
+        at = np.argsort(keys, kind="stable")
+        return Table(keys[at], rows[at])
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of hashes, and which of them are there."""
+        if not len(self.keys):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return at, self.keys[at] == hashes
+
+
+def extended(hashes: np.ndarray | int, codes: np.ndarray) -> np.ndarray:
+    """The hashes of strings that are longer by one character on the left."""
+    x = np.asarray(hashes, np.uint64) * np.uint64(0x9E3779B97F4A7C15) + codes.astype(np.uint64) + np.uint64(1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def codes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def string_hashes(strings: list[str]) -> np.ndarray:
+    """64-bit hashes of short strings."""
+    lengths = np.fromiter(map(len, strings), np.int64, len(strings))
+    out = np.zeros(len(strings), np.uint64)
+    for n in np.unique(lengths):
+        at = np.flatnonzero(lengths == n)
+        codes = codes_of("".join(strings[i] for i in at)).reshape(len(at), n)
+        hashes = np.zeros(len(at), np.uint64)
+        for k in range(n - 1, -1, -1):
+            hashes = extended(hashes, codes[:, k])
+        out[at] = hashes
+    return out
+
+
 @dataclass
 class Model:
-    """kept: for a string the discounted share of its context in the ordinary (real part) and the toxic class (imaginary part), which
-    takes less memory than a pair. weight: for a context the weight of shorter contexts there; 1 where it is absent.
-    shared: the likelihood of the last character by the shared counts."""
+    """kept: for a string the discounted share of its context in the ordinary and in the toxic class. weight: for a context the weight
+    of shorter contexts there; 1 where it is absent. shared: the likelihood of the last character by the shared counts. Strings are held as
+    64-bit hashes, in sorted arrays that take some 24 bytes a string."""
 
-    kept: dict[str, complex]
-    weight: dict[str, complex]
-    shared: dict[str, float]
+    kept: Table
+    weight: Table
+    shared: Table
     slope: float = 1.0
     shift: float = 0.0
 
-    def step(self, string: str) -> float:
-        """What the last character of a string of ORDER characters, or of a word's begin, adds to log P(word | toxic) - log P(word | ordinary)."""
-        ordinary = toxic = 0.0
-        for n in range(SHARED + 1, len(string) + 1):
-            w = self.weight.get(string[-n:-1])
-            if w is not None:
-                if not ordinary:
-                    ordinary = toxic = self.lower(string[-SHARED:])
-                k = self.kept.get(string[-n:], 0j)
-                ordinary, toxic = k.real + w.real * ordinary, k.imag + w.imag * toxic
-        return math.log(toxic / ordinary) if ordinary else 0.0
-
-    def lower(self, string: str) -> float:
-        while string:
-            if (p := self.shared.get(string)) is not None:
-                return p
-            string = string[1:]
-        return UNKNOWN
+    def ratios(self, words: list[str]) -> np.ndarray:
+        """log P(word | toxic) - log P(word | ordinary) of each word, in batches of about BATCH characters."""
+        out, begin = [], 0
+        while begin < len(words):
+            end, held = begin, 0
+            while end < len(words) and (end == begin or held + len(words[end]) < BATCH):
+                held += len(words[end]) + 2
+                end += 1
+            out.append(self._ratios(words[begin:end]))
+            begin = end
+        return np.concatenate(out) if out else np.zeros(0)
+
+    def _ratios(self, words: list[str]) -> np.ndarray:
+        codes = codes_of("".join(f"^{w}$" for w in words))
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        starts = np.cumsum(lengths) - lengths
+        place = np.arange(len(codes)) - np.repeat(starts, lengths)
+        hashes = [np.zeros(len(codes), np.uint64)]
+        for n in range(1, ORDER + 1):
+            longer = np.zeros(len(codes), np.uint64)
+            longer[n - 1 :] = extended(hashes[-1][n - 1 :], codes[: len(codes) - n + 1])
+            hashes.append(longer)
+        at = np.flatnonzero(place >= SHARED)
+        lower = np.full(len(at), UNKNOWN)
+        for n in range(1, SHARED + 1):
+            found, known = self.shared.find(hashes[n][at])
+            lower[known] = self.shared.rows[found[known]]
+        both = np.stack([lower, lower])
+        for n in range(SHARED + 1, ORDER + 1):
+            long = np.flatnonzero(place[at] >= n - 1)
+            context, known = self.weight.find(hashes[n - 1][at[long] - 1])
+            long, context = long[known], context[known]
+            string, known = self.kept.find(hashes[n][at[long]])
+            share = np.where(known, self.kept.rows[string].T if len(self.kept.rows) else 0.0, 0.0)
+            both[:, long] = share + self.weight.rows[context].T * both[:, long]
+        steps = np.zeros(len(codes))
+        steps[at] = np.log(both[1] / both[0])
+        return np.add.reduceat(steps, starts)
 
     def score(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.slope * evidence + self.shift))))
 
 
-class Steps(dict):
-    """The steps of strings met so far; starts again when it is full."""
+class Ratios:
+    """Evidence of texts by a model; what words came to is remembered up to REMEMBERED words, but for long ones."""
 
     def __init__(self, model: Model):
-        super().__init__()
         self.model = model
-
-    def __missing__(self, string: str) -> float:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[string] = step = self.model.step(string)
-        return step
-
-
-class Ratios(dict):
-    """The difference of the log-likelihoods of words met so far, but for long ones; starts again when it is full."""
-
-    def __init__(self, model: Model):
-        super().__init__()
-        self.steps = Steps(model)
-
-    def __missing__(self, word: str) -> float:
-        s, steps = f"^{word}$", self.steps
-        ratio = sum(steps[s[max(0, end - ORDER) : end]] for end in range(SHARED + 1, len(s) + 1))
-        if len(word) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = ratio
-        return ratio
-
-    def evidence(self, text: str) -> float:
-        """The mean ratio of the text's words; 0 without words."""
-        words = words_of(text.lower())
-        return math.fsum(map(self.__getitem__, words)) / len(words) if words else 0.0
+        self.known: dict[str, float] = {}
+
+    def evidence(self, texts: list[str | None]) -> list[float]:
+        """The mean ratio of each text's words; 0 without words."""
+        out, begin = [], 0
+        while begin < len(texts):
+            listed, held = [], 0
+            while begin + len(listed) < len(texts) and (not listed or held < CHUNK):
+                text = texts[begin + len(listed)] or ""
+                held += len(text)
+                listed.append(words_of(text.lower()))
+            begin += len(listed)
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            new = list({w for words in listed for w in words if w not in self.known})
+            fresh = dict(zip(new, self.model.ratios(new).tolist(), strict=True))
+            long = {w: fresh.pop(w) for w in new if len(w) > LONGEST}
+            self.known.update(fresh)
+            for words in listed:
+                ratios = [self.known[w] if len(w) <= LONGEST else long[w] for w in words] if long else map(self.known.__getitem__, words)
+                out.append(math.fsum(ratios) / len(words) if words else 0.0)
+        return out
 
 
 def shared_likelihoods(counts: dict[str, int]) -> dict[str, float]:
@@ -174,18 +237,38 @@ def _per_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = [pa.array(kinds, pa.int32()), pa.array(words, pa.string()), pa.array(counts.values(), pa.int64())]
         return pa.RecordBatch.from_arrays(arrays, ["kind", "word", "n"])
 
-    for batch in batches:
-        for kind, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = set(words_of((text or "").lower()))
-            counts.update((kind, w) for w in words)
-            held += sum(len(w) for w in words if len(w) > LONGEST)
-            if len(counts) > HELD or held > HELD_CHARACTERS:
-                yield out()
-                counts.clear()
-                held = 0
+    for kind, text in _rows(batches):
+        words = set(words_of((text or "").lower()))
+        counts.update((kind, w) for w in words)
+        held += sum(len(w) for w in words if len(w) > LONGEST)
+        if len(counts) > HELD or held > HELD_CHARACTERS:
+            yield out()
+            counts.clear()
+            held = 0
     yield out()
 
 
+def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words: set[str] = set()
+    held = 0
+    for (text,) in _rows(batches):
+        if text:
+            new = set(words_of(text.lower())) - words
+            words |= new
+            held += sum(len(w) for w in new if len(w) > LONGEST)
+        if len(words) > HELD or held > HELD_CHARACTERS:
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], ["word"])
+            words.clear()
+            held = 0
+    yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], ["word"])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS):
+            yield from zip(*(c.to_pylist() for c in batch.slice(k, ROWS).columns), strict=True)
+
+
 def _per_string(shortest: int, longest: int, weighed: bool):
     """(class, string, n): from words to their strings; a word counts as n or as 1."""
 
@@ -230,11 +313,41 @@ def continuations(counts: DataFrame) -> DataFrame:
     return both.groupBy("kind", "string").agg(F.sum("n").alias("n"))
 
 
-def by_class(values: DataFrame, absent: float) -> dict[str, complex]:
-    """From (kind, key, value) the values of the ordinary and the toxic class as real and imaginary part, by key."""
-    key, value = values.columns[1:]
-    parts = [F.coalesce(F.max(F.when(F.col("kind") == c, F.col(value))), F.lit(absent)).alias(f"class_{c}") for c in (0, 1)]
-    return {k: complex(a, b) for k, a, b in values.groupBy(key).agg(*parts).toLocalIterator()}
+def class_tables(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From (kind, word, n) the tables (string, ordinary, toxic) of discounted shares, and (context, ordinary, toxic) of what is left for
+    shorter contexts. For each context of a class the shares and what is left add up to 1."""
+    sizes = {r[0]: r[1] for r in words.groupBy("kind").agg(F.sum("n")).collect()}
+    least = min([sizes.get(0, 0), sizes.get(1, 0)]) or 1
+    strength = {c: STRENGTH * max(1.0, sizes.get(c, 0) / least) for c in (0, 1)}
+    counts = written(continuations(string_counts(words, SHARED + 1, ORDER, weighed=True)), "toxic-strings")
+    context = F.expr("left(string, length(string) - 1)")
+    totals = counts.groupBy("kind", context.alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("different"))
+    totals = totals.withColumn("strength", F.when(F.col("kind") == 0, strength[0]).otherwise(strength[1]))
+    totals = written(totals.withColumn("whole", F.col("total") + F.col("strength")), "toxic-contexts")
+    left = (F.col("strength") + DISCOUNT * F.col("different")) / F.col("whole")
+    shares = counts.withColumn("context", context).join(totals, ["kind", "context"])
+    share = (F.col("n") - DISCOUNT) / F.col("whole")
+    return _by_class(shares, "string", share, 0.0), _by_class(totals, "context", left, 1.0)
+
+
+def _by_class(rows: DataFrame, key: str, value: Column, absent: float) -> DataFrame:
+    one = [F.coalesce(F.max(F.when(F.col("kind") == c, value)), F.lit(absent)).alias(name) for c, name in enumerate(("ordinary", "toxic"))]
+    return rows.groupBy(key).agg(*one)
+
+
+def shared_counts(docs: DataFrame, contexts: DataFrame, text_col: str = "text") -> DataFrame:
+    """(string, n): in how many different words of all documents each string of 1 to SHARED characters stands whose context ends one of `contexts`."""
+    words = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_distinct_words, "word string").distinct()
+    kind = F.lit(0).alias("kind")
+    short = string_counts(words.select(kind, "word", F.lit(1).cast("long").alias("n")), 1, SHARED, weighed=False)
+    short = short.select("string", "n", F.expr("left(string, length(string) - 1)").alias("context"))
+    ends = contexts.select(F.explode(F.array(*[F.right("context", F.lit(n)) for n in range(SHARED)])).alias("context")).distinct()
+    return short.join(ends, "context", "left_semi").select("string", "n")
+
+
+def _table(rows: DataFrame) -> Table:
+    arrow = rows.toArrow()
+    return Table.of(arrow.column(0).to_pylist(), np.stack([c.to_numpy() for c in arrow.columns[1:]], axis=1) if arrow.num_rows else np.zeros((0, 2)))
 
 
 def fit(
@@ -255,64 +368,47 @@ def fit(
     chosen = written(texts.join(F.broadcast(sample), "id").select("toxic", "held", "text"), "toxic-sample")
 
     learned = chosen.where("NOT held").select(F.col("toxic").alias("kind"), "text").distinct()
-    words = written(word_counts(learned), "toxic-words")
-    sizes = {r[0]: r[1] for r in words.groupBy("kind").agg(F.sum("n")).collect()}
-    least = min([sizes.get(0, 0), sizes.get(1, 0)]) or 1
-    strength = {c: STRENGTH * max(1.0, sizes.get(c, 0) / least) for c in (0, 1)}
-    counts = written(continuations(string_counts(words, SHARED + 1, ORDER, weighed=True)), "toxic-strings")
-    context = F.expr("left(string, length(string) - 1)")
-    totals = counts.groupBy("kind", context.alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("different"))
-    totals = totals.withColumn("strength", F.when(F.col("kind") == 0, strength[0]).otherwise(strength[1]))
-    totals = written(totals.withColumn("whole", F.col("total") + F.col("strength")), "toxic-contexts")
-    weight = by_class(totals.select("kind", "context", ((F.col("strength") + DISCOUNT * F.col("different")) / F.col("whole")).alias("weight")), absent=1.0)
-    shares = counts.withColumn("context", context).join(totals, ["kind", "context"])
-    kept = by_class(shares.select("kind", "string", ((F.col("n") - DISCOUNT) / F.col("whole")).alias("share")), absent=0.0)
-
-    everywhere = word_counts(docs.select(F.lit(0).alias("kind"), F.col(text_col).cast("string").alias("text")))
-    short = string_counts(everywhere, 1, SHARED, weighed=False).select("string", "n", context.alias("context"))
-    ends = totals.select(F.explode(F.array(*[F.right("context", F.lit(n)) for n in range(SHARED)])).alias("context")).distinct()
-    shared = shared_likelihoods({r.string: r.n for r in short.join(ends, "context", "left_semi").select("string", "n").toLocalIterator()})
-    model = Model(kept, weight, shared)
-    held = chosen.where("held").select("toxic", "text").withColumnRenamed("toxic", "id")
-    evidence = apply(held, model, "id", "text", curve=False).toPandas()
-    model.slope, model.shift = logistic(evidence["score"].to_numpy(), evidence["id"].to_numpy())
+    shares, left = class_tables(written(word_counts(learned), "toxic-words"))
+    left = written(left, "toxic-left")
+    shared = shared_likelihoods({r.string: r.n for r in shared_counts(docs, left, text_col).toLocalIterator()})
+    model = Model(_table(shares), _table(left), Table.of(list(shared), np.fromiter(shared.values(), float, len(shared))))
+    evidence = chosen.where("held").select("toxic", evidence_of(model)("text").alias("evidence")).toPandas()
+    model.slope, model.shift = logistic(evidence["evidence"].to_numpy(), evidence["toxic"].to_numpy())
     return model
 
 
-def apply(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", curve: bool = True) -> DataFrame:
-    """(id, score): one row for each row of docs; the score is from 0 to 1, higher where toxic is likelier.
-
-    A null text is scored as an empty one, which gets the curve's value at no evidence. Texts are scored whole, whatever
-    their length. Repeated rows are scored each; no rows give no rows; no other column is looked at. Without
-    `curve` the score is the evidence itself.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def evidence_of(model: Model, curve: bool = False):
+    """A column function from texts to their evidence or, with `curve`, their scores. Only the texts go to Python, and only numbers come back."""
+    shared = SparkSession.active().sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
         ratios = Ratios(model)
-        for batch in batches:
-            out = [ratios.evidence(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(model.score, out) if curve else out, pa.float64())], ["id", "score"])
+        for column in columns:
+            out = []
+            for k in range(0, len(column), ROWS):
+                out += ratios.evidence(column.slice(k, ROWS).to_pylist())
+            yield pa.array(map(model.score, out) if curve else out, pa.float64())
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {id_type(rows, 'id')}, score double").withColumnRenamed("id", id_col)
+    return F.arrow_udf(run, "double")
 
 
-def keep_ordinary(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that the model scores below one half."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def apply(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score): one row for each row of docs; the score is from 0 to 1, higher where toxic is likelier.
+
+    A null text is scored as an empty one, which gets the curve's value at no evidence. Texts are scored whole, whatever
+    their length. Repeated rows are scored each; no rows give no rows; no other column is looked at.
+    """
+    return docs.select(id_col, evidence_of(model, curve=True)(F.col(text_col).cast("string")).alias("score"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        ratios = Ratios(model)
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("__text")).to_pylist()
-            kept = pa.array([model.score(ratios.evidence(t or "")) < 0.5 for t in texts], pa.bool_())
-            yield batch.filter(kept)
 
-    rows = docs.withColumn("__text", F.col(text_col).cast("string"))
-    return rows.mapInArrow(run, rows.schema).drop("__text")
+def keep_ordinary(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that the model scores below one half.
+
+    A null text is scored as an empty one. Repeated rows stay or go together; no rows give no rows. Other columns are not looked at,
+    whatever their names.
+    """
+    return docs.where(evidence_of(model, curve=True)(docs[text_col].cast("string")) < 0.5)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

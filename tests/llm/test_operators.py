@@ -138,20 +138,111 @@ def learned_ids(start, n):
     return [next(fits) for _ in range(n)]
 
 
+def toxicity_by_hand(docs, labels):
+    """The scores of the rows (id, text), from the two models written out with plain dictionaries."""
+    import math
+    import re
+    from collections import Counter, defaultdict
+
+    toxic = {}
+    for i, y in labels:
+        if i is not None and y in (0, 1) and zlib.crc32(str(i).encode()) % 5:
+            toxic[i] = max(y, toxic.get(i, 0))
+    held = {i for i in toxic if int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) % 4 == 0}
+    words_in = lambda t: re.findall(r"\w+", (t or "").lower())
+    learned = {(toxic[i], t) for i, t in docs if i in toxic and i not in held}
+    texts_with = Counter((y, w) for y, t in learned for w in set(words_in(t)))
+    size = {y: sum(n for (k, _), n in texts_with.items() if k == y) for y in (0, 1)}
+    least = min(size.values()) or 1
+    strength = {y: 3.0 * max(1.0, size[y] / least) for y in (0, 1)}
+
+    raw, before = Counter(), defaultdict(set)
+    for (y, w), n in texts_with.items():
+        s = f"^{w}$"
+        for begin in range(len(s)):
+            for end in range(begin + 4, min(len(s), begin + 6) + 1):
+                raw[y, s[begin:end]] += n
+    for y, s in raw:
+        if len(s) > 4:
+            before[y, s[1:]].add(s[0])
+    count = {(y, s): n if len(s) == 6 or s[0] == "^" else len(before[y, s]) for (y, s), n in raw.items()}
+    count = {k: n for k, n in count.items() if n}
+    total, kinds = Counter(), Counter()
+    for (y, s), n in count.items():
+        total[y, s[:-1]] += n
+        kinds[y, s[:-1]] += 1
+
+    seen = {w for _, t in docs for w in words_in(t)}
+    short = Counter(f"^{w}$"[e - n : e] for w in seen for e in range(2, len(w) + 3) for n in (1, 2, 3) if n <= e)
+    ends = {c[len(c) - n :] for _, c in total for n in range(3)}
+    short = {s: n for s, n in short.items() if s[:-1] in ends}
+    short_total, short_kinds = Counter(), Counter()
+    for s, n in short.items():
+        short_total[s[:-1]] += n
+        short_kinds[s[:-1]] += 1
+
+    def shared(s):
+        """The likelihood of the last character of s by the shared counts."""
+        if not s:
+            return 1 / 200
+        if s not in short:
+            return shared(s[1:])
+        lower = shared(s[1:]) if s[1:] in short or len(s) == 1 else 1 / 200
+        return (max(short[s] - 0.75, 0) + 0.75 * short_kinds[s[:-1]] * lower) / short_total[s[:-1]]
+
+    def ratio(w):
+        s, out = f"^{w}$", 0.0
+        for end in range(4, len(s) + 1):
+            p = [shared(s[end - 3 : end])] * 2
+            for n in range(4, min(6, end) + 1):
+                c, g = s[end - n : end - 1], s[end - n : end]
+                if any(total[y, c] for y in (0, 1)):
+                    for y in (0, 1):
+                        if total[y, c]:
+                            whole = total[y, c] + strength[y]
+                            p[y] = max(count.get((y, g), 0) - 0.75, 0) / whole + (strength[y] + 0.75 * kinds[y, c]) / whole * p[y]
+            out += math.log(p[1] / p[0])
+        return out
+
+    known = {w: ratio(w) for w in seen}
+    evidence = lambda t: sum(known[w] for w in words_in(t)) / max(1, len(words_in(t)))
+    fits = [(evidence(t), toxic[i]) for i, t in docs if i in held]
+    slope, shift = toxicity.logistic(np.array([x for x, _ in fits]), np.array([y for _, y in fits]))
+    return {(str(i), t): 1 / (1 + math.exp(-max(-50, min(50, slope * evidence(t) + shift)))) for i, t in docs}
+
+
+def test_toxicity_by_hand(spark, judged):
+    docs, labels = judged
+    want = toxicity_by_hand([(i, t) for i, t, _ in texts(docs)], [(r.doc_id, r.toxic) for r in labels.collect()])
+    got = docs.select("doc_id", "text", toxicity.evidence_of(toxicity.fit(docs, labels), curve=True)("text").alias("score")).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        assert r.score == pytest.approx(want[str(r.doc_id), r.text], abs=1e-6)
+
+
+def known_strings(model, strings):
+    return model.kept.find(toxicity.string_hashes(strings))[1]
+
+
 def test_toxicity_keeps_rare_strings(spark, judged):
     docs, labels = judged
     ids = learned_ids(2000, 4)
     rare = [(i, f"w{i} {'qzyxwort' if k < 2 else 'jkvplum'} w1", "a") for k, i in enumerate(ids)]
     marks = spark.createDataFrame([(i, 1, int(k < 2)) for k, i in enumerate(ids)], labels.schema)
     model = toxicity.fit(docs.unionByName(documents(spark, rare)), labels.unionByName(marks))
-    ratios = toxicity.Ratios(model)
-    assert ratios["qzyxwort"] > 0.5 and ratios["jkvplum"] < -0.5
-    assert all("^qzyxwort$"[end - n : end] in model.kept for end in range(4, 11) for n in range(4, min(end, toxicity.ORDER) + 1))
-    left = {c: [w.real, w.imag] for c, w in model.weight.items()}
-    for string, share in model.kept.items():
-        left[string[:-1]][0] += share.real
-        left[string[:-1]][1] += share.imag
-    assert all(x == pytest.approx(1) for pair in left.values() for x in pair)
+    toxic, ordinary = model.ratios(["qzyxwort", "jkvplum"])
+    assert toxic > 0.5 and ordinary < -0.5
+    assert known_strings(model, ["^qzyxwort$"[end - n : end] for end in range(4, 11) for n in range(4, min(end, toxicity.ORDER) + 1)]).all()
+
+
+def test_toxicity_shares_add_up(spark):
+    counted = [(1, "banana", 2), (1, "bandana", 1), (0, "anana", 4), (0, "ban", 1), (1, "a" * 60, 1)]
+    shares, left = toxicity.class_tables(spark.createDataFrame(counted, "kind int, word string, n long"))
+    sums = {r.context: [r.ordinary, r.toxic] for r in left.collect()}
+    for r in shares.collect():
+        sums[r.string[:-1]][0] += r.ordinary
+        sums[r.string[:-1]][1] += r.toxic
+    assert all(x == pytest.approx(1) for pair in sums.values() for x in pair)
 
 
 def test_toxicity_spells_long_runs_whole(spark, judged):
@@ -160,13 +251,15 @@ def test_toxicity_spells_long_runs_whole(spark, judged):
     learnt = [(i, "w1_" * 20 + ("zuxperson" if k < 6 else "jolplum") + f"_{i}", "a") for k, i in enumerate(ids)]
     marks = spark.createDataFrame([(i, 1, int(k < 6)) for k, i in enumerate(ids)], labels.schema)
     model = toxicity.fit(docs.unionByName(documents(spark, learnt)), labels.unionByName(marks))
-    assert "zuxper" in model.kept
+    assert known_strings(model, ["zuxper"]).all()
     runs = {1: "w1_" * 30 + "jolplum", 2: "w1_" * 30 + "zuxperson", 3: "w1_" * 5000 + "zuxperson"}
-    evidence = {r.doc_id: r.score for r in toxicity.apply(documents(spark, [(i, t, "a") for i, t in runs.items()]), model, curve=False).collect()}
+    rows = documents(spark, [(i, t, "a") for i, t in runs.items()])
+    evidence = {r.doc_id: r.e for r in rows.select("doc_id", toxicity.evidence_of(model)("text").alias("e")).collect()}
     assert evidence[2] > evidence[1] + 1
     ratios = toxicity.Ratios(model)
-    assert all(ratios[t] == evidence[i] for i, t in runs.items()) and not ratios
-    assert ratios["vilefool"] == ratios["vilefool"] and set(ratios) == {"vilefool"}
+    for i, t in runs.items():
+        assert ratios.evidence([t]) == pytest.approx([evidence[i]]) and not ratios.known
+    assert ratios.evidence(["vilefool vilefool"]) == pytest.approx(model.ratios(["vilefool"])) and set(ratios.known) == {"vilefool"}
 
 
 def test_continuation_counts(spark):
