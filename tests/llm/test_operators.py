@@ -492,11 +492,15 @@ def test_token_counts(spark, awkward, empty):
     assert token_counts.token_counts(empty, piece_file()).count() == 0
 
 
-def test_exact_dedup(spark, awkward, empty):
+@pytest.mark.parametrize("constant", [False, True])
+def test_exact_dedup(spark, awkward, empty, constant):
+    """With the same hash for all texts the groups are still right: the index compares bytes."""
     import re
 
-    out = exact_dedup.exact_dedup(awkward, capacity=2)
-    rows = out.collect()
+    from pyspark.sql import functions as F
+
+    key = (lambda text: F.lit(7).cast("long")) if constant else exact_dedup.text_key
+    rows = exact_dedup.exact_dedup(awkward, capacity=2, key=key).collect()
     groups = {}
     for i, t, _ in texts(awkward):
         groups.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), []).append(i)
@@ -505,17 +509,33 @@ def test_exact_dedup(spark, awkward, empty):
         keep = min((i for i in ids if i is not None), default=None)
         want += [(str(i), str(keep), len(ids), hashlib.sha256(t.encode()).hexdigest()) for i in ids]
         assert sum(r.kept for r in rows if r.text_sha256 == hashlib.sha256(t.encode()).hexdigest()) == 1
+    assert all(r.doc_id == r.keep_id for r in rows if r.kept)
     assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.text_sha256) for r in rows) == sorted(want)
+    assert {r.chain for r in rows} == (set(range(len(groups))) if constant else {0})
+
+
+def test_drop_copies(spark, awkward, empty):
+    import re
+
     kept = exact_dedup.drop_copies(awkward)
+    groups = {re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t, _ in texts(awkward)}
     assert kept.columns == awkward.columns and kept.count() == len(groups)
+    clashing = awkward.selectExpr("*", "1 AS sha", "2 AS `row`", "3 AS place", "4 AS gone", "5 AS ids", "6 AS part")
+    assert exact_dedup.drop_copies(clashing).columns == clashing.columns
     assert exact_dedup.exact_dedup(empty).count() == 0 and exact_dedup.drop_copies(empty).count() == 0
 
 
 def test_directory_splits_full_buckets(spark):
-    keys = spark.range(3000).selectExpr("id << 40 AS h").unionByName(spark.range(10).selectExpr("(id - 5) << 60 AS h"))
-    cells, finest = exact_dedup.directory(keys, capacity=256)
-    found = cells.groupBy("bucket", "depth").count().collect()
-    assert len({r.depth for r in found}) > 1 and max(r.depth for r in found) <= finest
+    # 3000 hashes that differ only in their last bits, and some that are spread
+    keys = spark.range(3000).selectExpr("id AS h").unionByName(spark.range(10).selectExpr("(id - 5) << 60 AS h"))
+    cells, first = exact_dedup.directory(keys, capacity=256)
+    leaves = [(x.depth, x.prefix) for r in cells.collect() for x in r.leaves]
+    held = {leaf: 0 for leaf in leaves}
+    for r in keys.distinct().collect():
+        own = [(d, p) for d, p in leaves if (r.h % (1 << 64)) >> (64 - d) == p]
+        assert len(own) == 1
+        held[own[0]] += 1
+    assert max(held.values()) <= 256 and max(d for d, _ in leaves) > 50 and min(d for d, _ in leaves) < 10
 
 
 def test_mixing(spark, awkward, empty):
