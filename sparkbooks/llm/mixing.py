@@ -1,8 +1,9 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 A source's documents, shuffled by the hash of their id, form a stream of tokens that is cut into
-blocks of equal token counts. Slot i of the mix takes the golden-ratio point frac(i * phi), looks up the
-source whose share of the cumulative targets holds it, and takes that source's next block, starting again when the
+blocks of equal token counts: BLOCK at most, and fewer in a small source, which has LEAST_BLOCKS blocks so that whole blocks come near its
+target. Slot i of the mix takes the golden-ratio point frac(i * phi), looks up the
+source whose share of the cumulative slots holds it, and takes that source's next block, starting again when the
 source is used up. Any stretch of the mix thus holds each source in nearly its share.
 
 Everything is in integer arithmetic, so reruns agree on any cluster.
@@ -20,21 +21,22 @@ from sparkbooks.llm.shared import WORD, power_of_two, same, written
 #: 2^32 / golden ratio, odd: i * GOLDEN mod 2^32 runs through all points of the unit interval in 2^32 steps.
 GOLDEN = 2654435769
 ONE = 1 << 32
-#: Tokens in a block.
-BLOCK = 256
+#: Tokens in a block at most, and blocks in a source at least, if it has as many tokens.
+BLOCK, LEAST_BLOCKS = 256, 64
 #: Equal parts of the unit interval that slots and shares meet in, and slots that one task ranks.
 CELLS = 4096
 CHUNK_SLOTS = 1 << 16
-CHUNK_ROWS = 50_000
+CHUNK_ROWS = 8192
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, source, size, place): size in words, place in the shuffled order of the source."""
+    """(id, source, size, place): size in words, place in the shuffled order of the source. Rows without an id are dealt by their text."""
+    text = F.concat(F.lit("null "), F.coalesce(F.xxhash64(text_col), F.lit(0)).cast("string"))
     return docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary")).alias("place"),
+        F.md5(F.coalesce(F.col(id_col).cast("string"), text).cast("binary")).alias("place"),
     )
 
 
@@ -69,21 +71,29 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3)
     return per.select("source", "source_size", "rank", target.alias("target"))
 
 
+def _blocks(block: int) -> str:
+    return f"greatest((source_size + {block - 1}) div {block}, least(source_size, {LEAST_BLOCKS}))"
+
+
 def schedule(target: DataFrame, block: int = BLOCK, most: int = 3) -> DataFrame:
     """(slot, source, rank, turn, block, epoch): what each slot of the mix takes.
 
-    turn counts a source's slots from 0; the source's blocks come in order, again and again, `most` times at most.
+    turn counts a source's slots from 0; the source's blocks come in order, again and again, `most` times at most. A source
+    has as many slots as blocks of its size make up its target.
     """
     spark = target.sparkSession
-    total = target.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
-    slots = max(1, int(total / block + 0.5)) if total > 0 else 0
+    target = target.withColumn("blocks", F.expr(_blocks(block)))
+    wanted = F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0)
+    target = target.withColumn("slots", wanted)
     upto = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    share = target.select("source", "source_size", "rank", F.sum("target").over(upto).alias("c"), "target")
+    share = target.select("source", "blocks", "rank", F.sum("slots").over(upto).alias("c"), "slots")
+    total = share.agg(F.coalesce(F.max("c"), F.lit(0.0))).first()[0]
+    slots = max(1, int(total + 0.5)) if total > 0 else 0
     share = share.select(
         "source",
-        "source_size",
+        "blocks",
         "rank",
-        F.floor((F.col("c") - F.col("target")) / F.lit(total or 1.0) * ONE).alias("low"),
+        F.floor((F.col("c") - F.col("slots")) / F.lit(total or 1.0) * ONE).alias("low"),
         F.floor(F.col("c") / F.lit(total or 1.0) * ONE).alias("high"),
     ).where("low < high")
     last = Window.orderBy(F.desc("rank"))
@@ -106,14 +116,13 @@ def schedule(target: DataFrame, block: int = BLOCK, most: int = 3) -> DataFrame:
     within = Window.partitionBy("rank", "chunk").orderBy("slot")
     turns = placed.withColumn("at", F.row_number().over(within)).join(starts, ["rank", "chunk"])
     turns = turns.withColumn("turn", F.col("start") + F.col("at") - 1)
-    blocks = f"(source_size + {block - 1}) div {block}"
     return turns.select(
         "slot",
         "source",
         "rank",
         "turn",
-        F.expr(f"turn % ({blocks})").alias("block"),
-        F.expr(f"turn div ({blocks})").alias("epoch"),
+        F.expr("turn % blocks").alias("block"),
+        F.expr("turn div blocks").alias("epoch"),
     ).where(f"epoch < {most}")
 
 
@@ -150,7 +159,7 @@ def mix(
     block: int = BLOCK,
     most: int = 3,
 ) -> DataFrame:
-    """One row for each row of docs: id, source, size, source_size, target, taken, copies.
+    """One row for each row of docs: id, size, source_size, target, taken, source, copies.
 
     taken is the number of the document's words in the blocks that the schedule takes, repeats counted: at
     most `most` times the size. copies is how often the schedule takes the block that holds the document's first
@@ -168,12 +177,17 @@ def mix(
     if target.count() <= 10_000:
         known = F.broadcast(known)
     placed = placed.join(known, same(F.col("source"), F.col("s"))).drop("s")
-    # each document is folded with the blocks that it lies in; place makes equal ids apart
-    ends = F.expr(f"sequence(offset div {block}, (offset + size - 1) div {block})")
-    parts = placed.where("size > 0").withColumn("block", F.explode(ends))
-    words = F.expr(f"least(offset + size, (block + 1) * {block}) - greatest(offset, block * {block})")
+    # a source's first `more` blocks have length + 1 words, the others length; each document is folded with the blocks that it lies in
+    cut = placed.where("size > 0").withColumn("blocks", F.expr(_blocks(block)))
+    cut = cut.withColumns({"length": F.expr("source_size div blocks"), "more": F.expr("source_size % blocks")})
+
+    def holder(word: str) -> str:
+        return f"if({word} < more * (length + 1), ({word}) div (length + 1), more + ({word} - more * (length + 1)) div length)"
+
+    parts = cut.withColumn("block", F.explode(F.expr(f"sequence({holder('offset')}, {holder('offset + size - 1')})")))
+    words = F.expr("least(offset + size, (block + 1) * length + least(block + 1, more)) - greatest(offset, block * length + least(block, more))")
     got = (
-        parts.select("rank", "block", "offset", words.alias("words"), F.expr(f"block = offset div {block}").alias("first"))
+        parts.select("rank", "block", "offset", words.alias("words"), F.expr(f"block = {holder('offset')}").alias("first"))
         .join(taken, ["rank", "block"])
         .groupBy("rank", "offset")
         .agg(
@@ -185,11 +199,11 @@ def mix(
     hit = (F.col("rank") == F.col("r")) & (F.col("offset") == F.col("o")) & (F.col("size") > 0)
     return placed.join(got, hit, "left").select(
         F.col("id").alias(id_col),
-        F.col("source").alias(source_col),
         "size",
         "source_size",
         "target",
         F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+        F.col("source").alias(source_col),
         F.coalesce("copies", F.lit(0)).cast("int").alias("copies"),
     )
 
@@ -218,35 +232,40 @@ WITH RECURSIVE d AS (
          CASE WHEN stops THEN (3 * source_size)::DOUBLE
               ELSE (SELECT arg_min(unit, struct_pack(a := source_size / weight, b := rank)) FROM stop WHERE NOT stops) * weight END AS target
   FROM stop
-), total AS (SELECT coalesce(sum(target), 0) AS total FROM target),
-cumulated AS (
-  SELECT *, sum(target) OVER (ORDER BY rank) AS c FROM target
-), share AS (
-  SELECT source, source_size, rank, floor((c - target) / total * {ONE})::BIGINT AS low, floor(c / total * {ONE})::BIGINT AS high
-  FROM cumulated, total WHERE floor((c - target) / total * {ONE}) < floor(c / total * {ONE})
+), slotted AS (
+  SELECT *, CASE WHEN source_size > 0 THEN target * blocks / source_size ELSE 0 END AS slots
+  FROM (SELECT *, greatest((source_size + {block - 1}) // {block}, least(source_size, {LEAST_BLOCKS})) AS blocks FROM target)
+), cumulated AS (
+  SELECT *, sum(slots) OVER (ORDER BY rank) AS c FROM slotted
+), total AS (SELECT coalesce(max(c), 0) AS total FROM cumulated),
+share AS (
+  SELECT source, blocks, rank, floor((c - slots) / total * {ONE})::BIGINT AS low, floor(c / total * {ONE})::BIGINT AS high
+  FROM cumulated, total WHERE floor((c - slots) / total * {ONE}) < floor(c / total * {ONE})
 ), fixed AS (
-  SELECT source, source_size, rank, coalesce(lag(h) OVER (ORDER BY rank), 0) AS low, h AS high
+  SELECT source, blocks, rank, coalesce(lag(h) OVER (ORDER BY rank), 0) AS low, h AS high
   FROM (SELECT *, CASE WHEN rank = (SELECT max(rank) FROM share) THEN {ONE} ELSE high END AS h FROM share)
-), slots AS (
+), numbered AS (
   SELECT slot, (slot % {ONE} + 1) * {GOLDEN} % {ONE} AS point
-  FROM (SELECT unnest(range(CASE WHEN total > 0 THEN greatest(1, floor(total / {block} + 0.5))::BIGINT ELSE 0 END)) AS slot FROM total)
+  FROM (SELECT unnest(range(CASE WHEN total > 0 THEN greatest(1, floor(total + 0.5))::BIGINT ELSE 0 END)) AS slot FROM total)
 ), turns AS (
-  SELECT rank, source_size, row_number() OVER (PARTITION BY rank ORDER BY slot) - 1 AS turn
-  FROM slots JOIN fixed ON point >= low AND point < high
+  SELECT rank, blocks, row_number() OVER (PARTITION BY rank ORDER BY slot) - 1 AS turn
+  FROM numbered JOIN fixed ON point >= low AND point < high
 ), taken AS (
-  SELECT rank, turn % ((source_size + {block - 1}) // {block}) AS block, count(*) AS times
-  FROM turns WHERE turn // ((source_size + {block - 1}) // {block}) < 3 GROUP BY ALL
+  SELECT rank, turn % blocks AS block, count(*) AS times FROM turns WHERE turn // blocks < 3 GROUP BY ALL
+), blocks AS (
+  SELECT rank, b AS block, b * (source_size // blocks) + least(b, source_size % blocks) AS start,
+         (b + 1) * (source_size // blocks) + least(b + 1, source_size % blocks) AS stop
+  FROM (SELECT *, unnest(range(blocks)) AS b FROM slotted)
 ), placed AS (
   SELECT doc_id, d.source, size, source_size, target, rank,
          sum(size) OVER (PARTITION BY rank ORDER BY place, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT - size AS off
   FROM d JOIN target ON d.source IS NOT DISTINCT FROM target.source
-), parts AS (
-  SELECT doc_id, rank, off, size, unnest(range(off // {block}, (off + size - 1) // {block} + 1)) AS block FROM placed WHERE size > 0
 ), got AS (
-  SELECT doc_id, sum((least(off + size, (block + 1) * {block}) - greatest(off, block * {block})) * times)::BIGINT AS taken,
-         sum(CASE WHEN block = off // {block} THEN times ELSE 0 END)::INTEGER AS copies
-  FROM parts JOIN taken USING (rank, block) GROUP BY doc_id
+  SELECT doc_id, sum((least(off + size, stop) - greatest(off, start)) * times)::BIGINT AS taken,
+         sum(CASE WHEN off >= start THEN times ELSE 0 END)::INTEGER AS copies
+  FROM placed JOIN blocks ON placed.rank = blocks.rank AND size > 0 AND off < stop AND off + size > start
+  JOIN taken ON taken.rank = blocks.rank AND taken.block = blocks.block GROUP BY doc_id
 )
-SELECT doc_id, source, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, coalesce(copies, 0)::INTEGER AS copies
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, source, coalesce(copies, 0)::INTEGER AS copies
 FROM placed LEFT JOIN got USING (doc_id)
 """

@@ -158,21 +158,26 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(span))], ["id", "spans"])
 
-    schema = f"id {id_type(rows, 'id')}, spans array<struct<kind string, start long, end long, match string>>"
-    return rows.mapInArrow(run, schema.replace(" string", ": string").replace("start long", "start: long").replace("end long", "end: long")).withColumnRenamed("id", id_col)
+    schema = f"id {id_type(rows, 'id')}, spans array<struct<kind: string, start: long, end: long, match: string>>"
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, n_assign, n_access, n_hex, n_entropy, base_sha256, spans) of found spans."""
+    """(id, n_assign, n_access, n_hex, base_sha256, spans, n_entropy) of found spans: their numbers by kind, the digest of the fixed patterns' spans, and all spans.
+
+    A row without spans has zeros, the digest of an empty string, and an empty string. Rows that repeat are digested each; no rows give no rows.
+    """
+    numbers = {k: F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in KINDS}
 
     def joined(keep: str) -> str:
         return f"array_join(transform(filter(spans, s -> {keep}), s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
 
     return found.select(
         id_col,
-        *[F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in KINDS],
+        *[numbers[k] for k in ("assign", "access", "hex")],
         F.sha2(F.expr(joined("s.kind != 'entropy'")), 256).alias("base_sha256"),
         F.expr(joined("true")).alias("spans"),
+        numbers["entropy"],
     )
 
 

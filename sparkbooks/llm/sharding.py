@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sparkbooks.llm.shared import power_of_two
 
 #: Rows that one task numbers, about.
-CHUNK_ROWS = 50_000
+CHUNK_ROWS = 8192
 
 
 def _digest(key: Column, salt: Column) -> Column:
@@ -54,7 +54,7 @@ def shard(
     law is 'key': the id and the weights decide. grown_shard is the shard if one more of weight `grown`
     were there. slot numbers a shard's rows from 0 without gaps, by the key's digest, then id, checksum and size;
     rows equal in all of these are interchangeable. A null text has no bytes and checksum 0. Rows with a null
-    id share a shard. No rows give no rows; other columns are not looked at.
+    id share a shard, and are numbered there by the digest of their text's checksum. No rows give no rows; other columns are not looked at.
 
     Slots are counted in chunks of each shard, so that no task sorts a whole shard: chunk totals are summed
     first, then rows are numbered within their chunk.
@@ -67,7 +67,7 @@ def shard(
         F.crc32(text.cast("binary")).alias("text_crc32"),
         rendezvous(key, weights).alias("shard"),
         rendezvous(key, [*weights, grown]).alias("grown_shard"),
-        F.md5(F.coalesce(key.cast("string"), F.lit("null")).cast("binary")).alias("place"),
+        F.md5(F.coalesce(key.cast("string"), F.concat(F.lit("null "), F.crc32(text.cast("binary")).cast("string"))).cast("binary")).alias("place"),
     )
     bits = min(40, power_of_two(docs.count() / len(weights) / CHUNK_ROWS) + 3)
     rows = rows.withColumn("chunk", F.shiftright(F.conv(F.substring("place", 1, 10), 16, 10).cast("long"), 40 - bits))

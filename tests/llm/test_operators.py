@@ -568,6 +568,19 @@ def test_mixing(spark, awkward, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_meets_targets_of_small_sources(spark):
+    """One large source, and small ones of 100 words and more, whose targets are three times their size."""
+    sizes = {"m100": 100, "m257": 257, "m300": 300, "m520": 520, "m800": 800, "m5000": 5000}
+    rows = [(k, "w " * 97, "big") for k in range(2500)]
+    for s, n in sizes.items():
+        rows += [(10_000 + len(rows) + k, "w " * min(37, n - k), s) for k in range(0, n, 37)]
+    out = mixing.mix(documents(spark, rows)).groupBy("source").agg({"taken": "sum", "target": "max", "size": "sum"}).collect()
+    assert len(out) == 7
+    for r in out:
+        assert abs(r["sum(taken)"] / r["max(target)"] - 1) < 0.05, r
+        assert r["source"] == "big" or r["max(target)"] == 3 * r["sum(size)"] == 3 * sizes[r["source"]]
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://x/{i}", f"<p>é {i}\r\n\r\nWARC/1.0</p>" * (i % 5)) for i in range(50)], "page_id long, url string, html string")
     warc_audit.write_warc(pages, str(tmp_path / "w"))
