@@ -358,22 +358,23 @@ def jaccard_by_hand(rows, n, percent):
         return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
 
     sets = [grams(t) for _, t, _ in rows]
-    label = list(range(len(rows)))
+    label, links = list(range(len(rows))), [0] * len(rows)
     for i in range(len(rows)):
         for j in range(i):
             if sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                links[i] += 1
+                links[j] += 1
                 a, b = label[i], label[j]
                 label = [b if x == a else x for x in label]
     first = {}
     for (i, _, _), x in zip(rows, label, strict=True):
         first[x] = min((y for y in (first.get(x), i) if y is not None), default=None)
-    return sorted((str(i), len(s), str(first[x])) for (i, _, _), s, x in zip(rows, sets, label, strict=True))
+    return sorted((str(i), len(s), str(first[x]), k) for (i, _, _), s, x, k in zip(rows, sets, label, links, strict=True))
 
 
-@pytest.mark.parametrize("n,percent", [(3, 90), (5, 80)])
-def test_jaccard(spark, awkward, empty, n, percent, monkeypatch):
-    rng = random.Random(n)
-    rows = texts(awkward)
+def family_rows(rng, n):
+    """Near copies of some texts, with ever more changes, and documents that end in one passage."""
+    rows = []
     for family in range(4):
         base = words(rng, 30 + 60 * family, 500).split()
         for k in range(12):
@@ -384,26 +385,53 @@ def test_jaccard(spark, awkward, empty, n, percent, monkeypatch):
                 else:
                     w[rng.randrange(len(w))] = f"w{rng.randrange(500)}"
             rows.append((1000 * (family + 1) + k, " ".join(w), "a"))
+            if k % 5 == 0:
+                rows.append((1000 * (family + 1) + 100 + k, " ".join(w).upper(), "a"))
     passage = words(rng, 40, 500)
-    rows += [(9000 + k, words(rng, 20, 500) + " " + passage, "a") for k in range(15)]
-    want = jaccard_by_hand(rows, n, percent)
-    got = jaccard_join.jaccard_components(documents(spark, rows), n=n, percent=percent)
-    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got.collect()) == want
-    assert jaccard_join.jaccard_components(empty, n=n, percent=percent).count() == 0
+    return rows + [(9000 + k, words(rng, 20, 500) + " " + passage, "a") for k in range(15)]
+
+
+@pytest.mark.parametrize("n,percent,block,hot", [(3, 90, 600, 1000), (5, 80, 600, 3), (3, 80, 4, 3)])
+def test_jaccard(spark, awkward, empty, n, percent, block, hot, monkeypatch):
+    """Also with families cut into small blocks, and with most shared shingles hot."""
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
+    rows = texts(awkward) + family_rows(random.Random(n), n)
+    got = jaccard_join.jaccard_components(documents(spark, rows), n=n, percent=percent, block=block)
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "n_links"]
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.n_links) for r in got.collect()) == jaccard_by_hand(rows, n, percent)
+    if block == 4:
+        assert jaccard_join.jaccard_components(empty, n=n, percent=percent).count() == 0
+
+
+def test_jaccard_shared_phrase(spark):
+    """A phrase in 5,000 documents that otherwise differ makes no family of them."""
+    rng = random.Random(8)
+    phrase = "a phrase of ten words that very many documents hold"
+    rows = [(k, " ".join(f"u{rng.randrange(1 << 40)}" for _ in range(30)) + " " + phrase, "a") for k in range(5000)]
+    rows += [(6000, rows[0][1] + " end", "a"), (6001, phrase, "a"), (6002, phrase + " indeed", "a")]
+    docs = documents(spark, rows)
+    sets = jaccard_join.classes(docs, "doc_id", "text", 3)
+    prefix = jaccard_join.prefixes(docs, "text", 3, 90, 100_000, jaccard_join.hot_shingles(sets, len(rows)))
+    members = jaccard_join.tasks_of(jaccard_join.grouped_families(prefix), 90)
+    assert members.select("class").distinct().count() < 10
+    got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard_join.jaccard_components(docs, n=3, percent=90).collect()}
+    assert got[0] == got[6000] == (0, 1) and got[6001] == (6001, 0) and sum(k for _, k in got.values()) == 2
 
 
 def test_jaccard_in_blocks(spark):
     rng = np.random.default_rng(0)
-    members = spark.createDataFrame([(int(c), int(n), 1) for c, n in enumerate(rng.integers(90, 110, 300))], "class long, n long, family long")
+    members = spark.createDataFrame([(int(c), int(n), 1, 0) for c, n in enumerate(rng.integers(90, 110, 300))], "class long, n long, family long, ord int")
     met = {}
     for r in jaccard_join.tasks_of(members, 90, block=40).collect():
-        met.setdefault(r.task, set()).add(r["class"])
+        met.setdefault(r.task, {})[r["class"]] = r.side
     assert max(map(len, met.values())) < 160
     sizes = {r["class"]: r.n for r in members.collect()}
     for a in range(300):
         for b in range(a):
+            times = sum(a in m and b in m and (m[a] < 0 or m[a] != m[b]) for m in met.values())
+            assert times <= 1
             if 100 * min(sizes[a], sizes[b]) >= 90 * max(sizes[a], sizes[b]):
-                assert any(a in m and b in m for m in met.values())
+                assert times == 1
 
 
 def test_sharding(spark, awkward, empty):
