@@ -1,13 +1,14 @@
 """Near-duplicate vectors by collision counting over many one-dimensional projections.
 
 Two sets of random directions make a family of projections, one for each pair of directions: the projection on their sum. Each
-projection's values are sorted, and a vector stands in the lists of the projections on which it is extreme: those whose two
-directions are among the `TOP` with the largest products. Near vectors are extreme on the same projections, while the number of projections
+projection's values are sorted, but only their upper ends are looked at: a vector stands in the lists of the projections on which it is extreme, those
+whose two directions are among the `TOP` with the largest products. (In whole sorted projections a window that holds near vectors
+would hold a fixed share of all others too.) Near vectors are extreme on the same projections, while the number of projections
 grows with the number of vectors, so lists keep their length. In a list a vector queries the window around its own value; a pair that meets in
 the windows of enough projections is verified by its cosine in double precision. Windows and the least count are calibrated on a bounded sample
 so that pairs at the threshold itself are found with the wanted recall.
 
-A pair is counted and verified in the first list that it shares, where the vectors bring all their list numbers and values along, so
+A pair is counted and verified in the first list that it shares, where the vectors bring the numbers and products of their directions along, so
 no pairs are shuffled. Lists that are long are cut into blocks and handled by pairs of blocks. Only counts and a spanning set of the links leave a task.
 """
 
@@ -27,10 +28,14 @@ from sparkbooks.llm.shared import components, written
 
 #: Vectors in a list that are aimed at, directions of each set that a vector is extreme on, and independent tables.
 LENGTH, TOP, TABLES = 32, 3, 3
+#: Tables at most: where as many find too few pairs, no result is better than a poor one.
+MOST_TABLES = 24
 #: Vectors that the calibration looks at, the recall it wants at the threshold, and the number of standard deviations in a window.
 CALIBRATED, RECALL, WINDOW = 1000, 0.99, 3.5
 #: Vectors in a block of a long list; pairs compared at once.
 BLOCK, AT_ONCE = 1024, 200_000
+#: Bytes of TABLES tables of directions, which are broadcast, at most: enough for 10^10 vectors of 64 dimensions. Beyond, lists grow longer.
+MOST_BYTES = 256 << 20
 
 
 @dataclass
@@ -42,33 +47,62 @@ class Projections:
     window: float
     least: int = 1
 
-    def lists(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The lists that each unit vector stands in, and its values there: both vectors x (tables * TOP * TOP)."""
-        numbers, values = [], []
-        m = self.first.shape[1]
-        top = min(TOP, m)
+    def ends(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The directions that each unit vector is extreme on, and its products with them: both vectors x tables x 2 x TOP."""
+        top = min(TOP, self.first.shape[1])
+        numbers = np.empty((len(x), len(self.first), 2, top), np.int32)
+        products = np.empty(numbers.shape, np.float32)
         for t in range(len(self.first)):
-            a, b = x @ self.first[t].T, x @ self.second[t].T
-            i, j = np.argsort(-a, axis=1, kind="stable")[:, :top], np.argsort(-b, axis=1, kind="stable")[:, :top]
-            pairs = (t * m + i[:, :, None]) * m + j[:, None, :]
-            sums = np.take_along_axis(a, i, 1)[:, :, None] + np.take_along_axis(b, j, 1)[:, None, :]
-            numbers.append(pairs.reshape(len(x), -1))
-            values.append(sums.reshape(len(x), -1) / math.sqrt(2))
-        return np.concatenate(numbers, 1).astype(np.int64), np.concatenate(values, 1)
+            for side, directions in enumerate((self.first[t], self.second[t])):
+                a = x @ directions.T
+                best = np.argsort(-a, axis=1, kind="stable")[:, :top] if a.shape[1] <= 4 * top else _largest(a, top)
+                numbers[:, t, side], products[:, t, side] = best, np.take_along_axis(a, best, 1)
+        return numbers, products
 
+    def counting(self) -> Counting:
+        return Counting(self.first.shape[1], self.window, self.least)
 
-def collisions(na: np.ndarray, va: np.ndarray, nb: np.ndarray, vb: np.ndarray, window: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each pair of rows the number of projections in whose windows they meet, and the first of those."""
-    met = (na[:, :, None] == nb[:, None, :]) & (np.abs(va[:, :, None] - vb[:, None, :]) <= window)
-    first = np.where(met, na[:, :, None], np.iinfo(np.int64).max).min(axis=(1, 2))
-    return met.sum(axis=(1, 2)), first
+
+def _largest(a: np.ndarray, top: int) -> np.ndarray:
+    """The columns of the `top` largest numbers of each row, the largest first."""
+    some = np.argpartition(-a, top, axis=1)[:, :top]
+    return np.take_along_axis(some, np.argsort(-np.take_along_axis(a, some, 1), axis=1, kind="stable"), 1)
+
+
+@dataclass
+class Counting:
+    """What counting needs to know of the projections: how many directions a set has, the half width of the windows, and the least count."""
+
+    directions: int
+    window: float
+    least: int
+
+    def lists(self, numbers: np.ndarray, products: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of the vectors and their values there: both vectors x (tables * TOP * TOP)."""
+        table = np.arange(numbers.shape[1], dtype=np.int64)[None, :, None, None] * self.directions
+        own = (table + numbers[:, :, 0, :, None]) * self.directions + numbers[:, :, 1, None, :]
+        sums = products[:, :, 0, :, None] + products[:, :, 1, None, :]
+        return own.reshape(len(numbers), -1), sums.reshape(len(numbers), -1) / math.sqrt(2)
+
+    def collisions(self, na: np.ndarray, pa: np.ndarray, nb: np.ndarray, pb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each pair of rows the number of projections in whose windows they meet, and the first of those."""
+        # the difference of the products on each direction of a that b has as well
+        met = na[..., :, None] == nb[..., None, :]
+        apart = np.where(met, pa[..., :, None] - pb[..., None, :], np.nan)
+        with np.errstate(all="ignore"):
+            apart = np.where(met.any(axis=-1), np.nansum(apart, axis=-1), np.nan)
+        close = np.abs(apart[:, :, 0, :, None] + apart[:, :, 1, None, :]) <= self.window * math.sqrt(2)
+        close = close.reshape(len(na), -1)
+        numbers = self.lists(na, pa)[0]
+        return close.sum(axis=1), np.where(close, numbers, np.iinfo(np.int64).max).min(axis=1)
 
 
 def calibrated(n: int, dimensions: int, cosine: float, sample: np.ndarray, seed: int = 7) -> Projections:
     """Projections for n vectors. The least count is the largest that still finds RECALL of pairs at the threshold, each made from a sampled
-    vector and a random direction; tables are added while even a count of one finds fewer."""
+    vector and a random direction; tables are added while even a count of one finds fewer, and an error is raised if they do not help."""
     rng = np.random.default_rng(seed)
-    m = max(2, math.ceil(math.sqrt(n * TOP * TOP / LENGTH)))
+    m = min(math.ceil(math.sqrt(n * TOP * TOP / LENGTH)), MOST_BYTES // (16 * dimensions * TABLES))
+    m = max(2, m)
     # the difference of near vectors has this standard deviation on a direction of standard normal numbers
     window = WINDOW * math.sqrt(2 - 2 * cosine)
     u = sample if len(sample) else rng.standard_normal((8, dimensions))
@@ -80,11 +114,13 @@ def calibrated(n: int, dimensions: int, cosine: float, sample: np.ndarray, seed:
     tables = TABLES
     while True:
         made = Projections(rng.standard_normal((tables, m, dimensions)), rng.standard_normal((tables, m, dimensions)), window)
-        counts = collisions(*made.lists(u), *made.lists(near), window)[0]
+        counts = made.counting().collisions(*made.ends(u), *made.ends(near))[0]
         found = [c for c in range(1, tables * TOP * TOP + 1) if (counts >= c).mean() >= RECALL]
-        if found or tables >= 12:
-            made.least = max(found, default=1)
+        if found:
+            made.least = max(found)
             return made
+        if tables >= MOST_TABLES:
+            raise ValueError(f"{tables} tables find {(counts >= 1).mean():.3f} of the pairs at cosine {cosine}, fewer than {RECALL}")
         tables += 1
 
 
@@ -103,22 +139,27 @@ def _unit(column: pa.Array, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
     return x, good
 
 
-def _entries(projections: Projections, dimensions: int):
+def _entries(projections, dimensions: int):
+    """projections: a broadcast of them, as they grow with the root of the number of vectors."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counting = projections.value.counting()
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
                 x, good = _unit(part.column(1), dimensions)
-                names = np.array(part.column(0).to_pylist(), np.int64)[good]
+                names, copies = (np.array(part.column(c).to_pylist(), np.int64)[good] for c in (0, 2))
                 x = x[good]
                 if not len(x):
                     continue
-                numbers, values = projections.lists(x)
-                width = numbers.shape[1]
-                packed = [n.tobytes() + v.tobytes() + y.tobytes() for n, v, y in zip(numbers, values, x, strict=True)]
+                numbers, products = projections.value.ends(x)
+                lists = counting.lists(numbers, products)[0]
+                width = lists.shape[1]
+                packed = [n.tobytes() + v.tobytes() + y.tobytes() for n, v, y in zip(numbers, products, x, strict=True)]
+                at = np.repeat(np.arange(len(x)), width)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(numbers.ravel()), pa.array(np.repeat(names, width)), pa.array(packed, pa.binary()).take(np.repeat(np.arange(len(x)), width))],
-                    ["list", "vec", "packed"],
+                    [pa.array(lists.ravel()), pa.array(names[at]), pa.array(copies[at]), pa.array(packed, pa.binary()).take(at)],
+                    ["list", "vec", "copies", "packed"],
                 )
 
     return run
@@ -138,13 +179,13 @@ def _pairs_of(values: np.ndarray, side: np.ndarray, window: float) -> tuple[np.n
     return i, j
 
 
-def _verify(projections: Projections, dimensions: int, cosine: float, times: bool = True):
+def _verify(counting: Counting, tables: int, dimensions: int, cosine: float):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        raw = np.array([np.frombuffer(p, np.uint8) for p in frame["packed"]])
-        width = (raw.shape[1] - 8 * dimensions) // 16
-        numbers = np.ascontiguousarray(raw[:, : 8 * width]).view(np.int64)
-        values = np.ascontiguousarray(raw[:, 8 * width : 16 * width]).view(np.float64)
-        x = np.ascontiguousarray(raw[:, 16 * width :]).view(np.float64)
+        raw = np.frombuffer(b"".join(frame["packed"]), np.uint8).reshape(len(frame), -1)
+        cut = (raw.shape[1] - 8 * dimensions) // 2
+        numbers, products = (np.ascontiguousarray(raw[:, i * cut : (i + 1) * cut]).view(t).reshape(len(frame), tables, 2, -1) for i, t in enumerate((np.int32, np.float32)))
+        x = np.ascontiguousarray(raw[:, 2 * cut :]).view(np.float64)
+        own_lists, values = counting.lists(numbers, products)
         names, copies = frame["vec"].to_numpy(), frame["copies"].to_numpy()
         lists, sides, tasks = frame["list"].to_numpy(), frame["side"].to_numpy(), frame["task"].to_numpy()
         links = np.zeros(len(frame), np.int64)
@@ -160,15 +201,15 @@ def _verify(projections: Projections, dimensions: int, cosine: float, times: boo
         order = np.lexsort((lists, tasks))
         for rows in np.split(order, np.flatnonzero((np.diff(tasks[order]) != 0) | (np.diff(lists[order]) != 0)) + 1):
             own = lists[rows[0]]
-            here = np.where(numbers[rows] == own, values[rows], -np.inf).max(axis=1)
-            left, right = _pairs_of(here, sides[rows] > 0, projections.window)
+            here = np.where(own_lists[rows] == own, values[rows], -np.inf).max(axis=1)
+            left, right = _pairs_of(here, sides[rows] > 0, counting.window * (1 + 1e-5) + 1e-5)
             for k in range(0, len(left), AT_ONCE):
                 i, j = rows[left[k : k + AT_ONCE]], rows[right[k : k + AT_ONCE]]
                 near = np.empty(len(i))
                 for q in range(0, len(i), 4000):
                     a, b = i[q : q + 4000], j[q : q + 4000]
-                    count, first = collisions(numbers[a], values[a], numbers[b], values[b], projections.window)
-                    passed = (count >= projections.least) & (first == own)
+                    count, first = counting.collisions(numbers[a], products[a], numbers[b], products[b])
+                    passed = (count >= counting.least) & (first == own)
                     near[q : q + 4000] = -1
                     near[q : q + 4000][passed] = np.einsum("ij,ij->i", x[a[passed]], x[b[passed]])
                 hit = near >= cosine
@@ -180,9 +221,11 @@ def _verify(projections: Projections, dimensions: int, cosine: float, times: boo
                     if p != q:
                         parent[q] = p
                         edges.append((a, b))
-        out = [(int(names[a]), int(names[b]), 0) for a, b in edges]
-        out += [(int(names[k]), None, int(links[k])) for k in np.flatnonzero(links)]
-        return pd.DataFrame(out, columns=["a", "b", "links"]).astype({"a": "int64", "b": "Int64", "links": "int64"})
+        linked = np.flatnonzero(links)
+        # numbers of 64 bits must not pass through floats, as they would in a column with nulls
+        a = [names[x] for x, _ in edges] + names[linked].tolist()
+        b = [names[x] for _, x in edges] + [None] * len(linked)
+        return pd.DataFrame({"a": pd.array(a, "Int64"), "b": pd.array(b, "Int64"), "links": pd.array([0] * len(edges) + links[linked].tolist(), "Int64")})
 
     return run
 
@@ -228,9 +271,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     sample = distinct.orderBy("vec").limit(CALIBRATED).select("v").toPandas()["v"]
     sample = np.array([np.asarray(v, float) for v in sample]) if len(sample) else np.zeros((0, dimensions))
     projections = calibrated(n, dimensions, cosine, sample / np.maximum(np.abs(sample).max(axis=1, keepdims=True, initial=0), 1e-300))
-    entries = distinct.select("vec", "v").mapInArrow(_entries(projections, dimensions), "list long, vec long, packed binary")
-    entries = written(entries.join(distinct.select("vec", "copies"), "vec"), "vector-lists")
-    found = placed(entries).groupBy("task").applyInPandas(_verify(projections, dimensions, cosine), "a long, b long, links long")
+    shared = vectors.sparkSession.sparkContext.broadcast(projections)
+    entries = distinct.select("vec", "v", "copies").mapInArrow(_entries(shared, dimensions), "list long, vec long, copies long, packed binary")
+    entries = written(entries, "vector-lists")
+    verify = _verify(projections.counting(), len(projections.first), dimensions, cosine)
+    found = placed(entries).groupBy("task").applyInPandas(verify, "a long, b long, links long")
     found = written(found, "vector-links")
     linked = components(found.where("b IS NOT NULL"))
     counts = found.where("b IS NULL").groupBy("a").agg(F.sum("links").alias("links"))

@@ -143,7 +143,7 @@ common AS (
 reach AS (
   SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a
 )
-SELECT doc_id, n AS n_shingles, component_id FROM n JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
+SELECT doc_id, n AS n_shingles, component_id, (SELECT count(*) FROM both_ways WHERE both_ways.a = doc_id) AS n_links FROM n JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
 """
 
 OP7_SQL = """

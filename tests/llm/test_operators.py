@@ -494,6 +494,36 @@ def test_near_vectors(spark):
     assert embedding_dedup.near_vectors(vectors.limit(0)).count() == 0
 
 
+def test_near_vectors_near_the_threshold(spark):
+    """Recall against brute force of pairs whose cosine is from 0.95 to 0.96, in 64 dimensions."""
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((3000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    off = rng.standard_normal((600, 64))
+    off -= (off * base[:600]).sum(1, keepdims=True) * base[:600]
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    cosine = rng.uniform(0.95, 0.96, (600, 1))
+    x = np.concatenate([base, cosine * base[:600] + np.sqrt(1 - cosine**2) * off, -base[:5]])
+    x *= rng.uniform(0.1, 10, (len(x), 1))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embedding_dedup.near_vectors(vectors).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    pairs = np.argwhere(np.triu(unit @ unit.T >= 0.95, 1)).tolist()
+    found = [(a, b) for a, b in pairs if got[a].component_id == got[b].component_id]
+    assert len(pairs) >= 590 and len(found) >= 0.97 * len(pairs)
+    assert sum(r.n_links for r in got.values()) == 2 * len(found)
+
+
+def test_near_vectors_ties(spark):
+    """Pairs exactly at the threshold, equal vectors, and a calibration that nothing helps."""
+    flat = [[1.0, 0.0, 0.0, 0.0], [0.8, 0.6, 0.0, 0.0], [0.0, 0.0, 3.0, 0.0], [0.0, 0.0, 3.0, 0.0]]
+    vectors = spark.createDataFrame(list(enumerate(flat)), "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(vectors, cosine=0.8).collect()}
+    assert got == {0: (1, 0), 1: (1, 0), 2: (1, 2), 3: (1, 2)}
+    with pytest.raises(ValueError):
+        embedding_dedup.calibrated(10**7, 64, 0.1, np.random.default_rng(0).standard_normal((50, 64)))
+
+
 def test_token_counts(spark, awkward, empty):
     import math
     import re
