@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from sparkbooks.llm import (
     toxicity,
     warc_audit,
 )
-from sparkbooks.llm.shared import table
+from sparkbooks.llm.shared import shared_folder, table
 
 
 def rank_file() -> tuple[str, str]:
@@ -47,23 +49,31 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def damaged_copy(pages: DataFrame) -> DataFrame:
-    """A replica of pages in which some records, chosen by the hash of their id, have one character changed in place."""
-    hit = F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 2) == "7f"
-    changed = F.concat(F.translate(F.substring("html", 1, 1), "<!", "#"), F.expr("substring(html, 2)"))
-    changed = F.when(F.substring("html", 1, 1) == "<", changed).otherwise(F.concat(F.lit("<"), F.expr("substring(html, 2)")))
-    return pages.withColumn("html", F.when(hit & (F.length("html") > 0), changed).otherwise(F.col("html")))
+    """A replica of pages with known damage, chosen by the hash of the id: a character changed in place, one put before the page, pages lost, and pages added."""
+    part = F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 2)
+    changed = F.concat(F.when(F.substring("html", 1, 1) == "<", "#").otherwise("<"), F.expr("substring(html, 2)"))
+    html = F.when((part == "7f") & (F.length("html") > 0), changed).when(part == "7e", F.concat(F.lit("#"), F.coalesce("html", F.lit("")))).otherwise(F.col("html"))
+    kept = pages.where(F.coalesce(part != "3c", F.lit(True))).withColumn("html", html)
+    return kept.unionByName(pages.where(part == "55").withColumn("page_id", F.col("page_id") + ADDED))
+
+
+#: What is added to the ids of pages that only the replica of op4 has.
+ADDED = 10**12
 
 
 def op4_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits a replica of all pages, as WARC records, that has known damage, and finds the damaged records."""
-    pages = table(spark, sf_dir, "pages")
-    rows = pages.count()
-    ours, theirs = (
-        warc_audit.filed(warc_audit.warc_records(side), rows) for side in (pages, damaged_copy(pages))
-    )
-    found = warc_audit.audit(warc_audit.tree_levels(ours), warc_audit.tree_levels(theirs))
-    index = ours.select("file", "number", F.col("id").alias("page_id"))
-    return found.join(index, ["file", "number"], "left").select("page_id", "file", "number", "begin", "end", "status")
+    """Writes all pages and a replica with known damage as WARC files, reads both back, and finds what is damaged, missing or added."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    rows, levels = pages.count(), []
+    for side in (pages, damaged_copy(pages)):
+        path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+        warc_audit.write_warc(side, path, rows)
+        read = warc_audit.read_warc(spark, path, bodies=False)
+        number = F.regexp_extract("file", "/file=([0-9]+)/", 1).cast("long")
+        levels.append(warc_audit.tree_levels(read.withColumn("file", number)))
+    found = warc_audit.audit(*levels)
+    page = F.regexp_extract("id", "^<urn:page:([0-9-]+)>$", 1).cast("long")
+    return found.select(page.alias("page_id"), "file", "number", "begin", "end", "status")
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,20 +118,29 @@ QUERIES = {
 
 OP4_SQL = """
 WITH p AS (
-  SELECT page_id, length(html) > 0 AND md5(page_id::VARCHAR)[1:2] = '7f' AS hit,
-         'WARC/1.0\\r\\nWARC-Type: response\\r\\nWARC-Target-URI: ' AS head, coalesce(url, '') AS url, coalesce(html, '') AS html
-  FROM pages
+  SELECT page_id, md5(page_id::VARCHAR)[1:2] AS part, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages
+), both_sides AS (
+  SELECT 'ours' AS side, page_id, url, html FROM p
+  UNION ALL SELECT 'theirs', page_id, url, CASE WHEN part = '7f' AND length(html) > 0 THEN CASE WHEN html[1] = '<' THEN '#' ELSE '<' END || html[2:]
+                                               WHEN part = '7e' THEN '#' || html ELSE html END FROM p WHERE part != '3c'
+  UNION ALL SELECT 'theirs', page_id + 1000000000000, url, html FROM p WHERE part = '55'
 ), r AS (
-  SELECT page_id, hit, ('0x' || md5(page_id::VARCHAR)[1:12])::BIGINT % (SELECT greatest(1, (count(*) + 1023) // 1024) FROM pages) AS file,
+  SELECT side, page_id, html, ('0x' || md5(page_id::VARCHAR)[1:12])::BIGINT % (SELECT greatest(1, (count(*) + 1023) // 1024) FROM pages) AS file,
          strlen('WARC/1.0') + 2 + strlen('WARC-Type: response') + 2 + strlen('WARC-Target-URI: ') + strlen(url) + 2
          + strlen('WARC-Record-ID: <urn:page:') + strlen(page_id::VARCHAR) + 1 + 2 + strlen('Content-Type: text/html; charset=utf-8') + 2
          + strlen('Content-Length: ') + strlen(strlen(html)::VARCHAR) + 4 + strlen(html) + 4 AS length
-  FROM p
+  FROM both_sides
 ), f AS (
   SELECT *, row_number() OVER w - 1 AS number, (sum(length) OVER (w ROWS UNBOUNDED PRECEDING))::BIGINT AS "end" FROM r
-  WINDOW w AS (PARTITION BY file ORDER BY page_id)
+  WINDOW w AS (PARTITION BY side, file ORDER BY page_id)
+), m AS (
+  SELECT a.page_id AS a, b.page_id AS b, coalesce(a.page_id, b.page_id) AS page_id, coalesce(a.file, b.file) AS file, coalesce(a.number, b.number) AS number,
+         coalesce(a."end", b."end") AS "end", coalesce(a.length, b.length) AS length, a.html AS ours, b.html AS theirs
+  FROM (SELECT * FROM f WHERE side = 'ours') a FULL JOIN (SELECT * FROM f WHERE side = 'theirs') b ON a.page_id = b.page_id
 )
-SELECT page_id, file::BIGINT AS file, number::BIGINT AS number, "end" - length AS begin, "end", 'damaged' AS status FROM f WHERE hit
+SELECT page_id, file::BIGINT AS file, number::BIGINT AS number, "end" - length AS begin, "end",
+       CASE WHEN b IS NULL THEN 'missing' WHEN a IS NULL THEN 'added' ELSE 'damaged' END AS status
+FROM m WHERE a IS NULL OR b IS NULL OR ours != theirs
 """
 
 OP5_SQL = """

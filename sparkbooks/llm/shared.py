@@ -3,6 +3,7 @@ tables written there, and connected components over edge tables."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Where that is unset, as in tests, one is made and set."""
+    """The folder named in spark.checkpoint.dir. Where that is unset on one machine, as in tests, a temporary one is made and set; a cluster must name one
+    that all its machines see."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-llm-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -1,8 +1,9 @@
 """Token counts under a unigram tokenizer, by dynamic programming over a trie of pre-tokens.
 
-The distinct pre-tokens of a batch of texts are walked as a trie, in sorted order: a pre-token's forward scores (the best score and
-token count of each prefix) begin at what it shares with the one before, so each shared prefix is scored once. What the
-best way to spell a whole pre-token takes is stored at its end, and a text's count is the sum over its pre-tokens.
+Distinct pre-tokens are inserted in a trie whose nodes hold the forward score (the score and token count of the best way to spell the
+prefix that leads there), so each shared prefix is scored once, by whichever pre-token comes first. What the best way to spell a whole pre-token
+takes is read off its last node, and a text's count is the sum over its pre-tokens. A task's trie grows from batch to batch and starts
+again when it has NODES nodes.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from sparkbooks.llm.shared import id_type
 BEGIN = "▁"
 #: What a byte of a character that no piece holds scores.
 BYTE_SCORE = -30.0
-#: Characters of texts whose pre-tokens share a trie, and pre-tokens whose counts a task remembers.
-CHUNK, REMEMBERED = 4_000_000, 1 << 18
+#: Nodes of a task's trie and pre-tokens that it finds at once, at most; texts that are turned into Python strings at once.
+NODES, REMEMBERED, ROWS = 400_000, 1 << 17, 256
 
 words_of = re.compile(r"[^\x20\x09-\x0D]+").findall
 
@@ -53,40 +54,55 @@ def backward(scores: Mapping[str, float]) -> dict:
     return root
 
 
-def count_tokens(pretokens: list[str], pieces: dict) -> list[tuple[int, float]]:
-    """For sorted distinct pre-tokens the number of tokens and the score of the best spelling of each.
+class Trie:
+    """A trie of pre-tokens. A node holds its children, and the score and the number of tokens of the best spelling of its prefix.
 
     Scores that are equal are decided for fewer tokens. A character that no piece ends with in reach is spelt by its bytes.
     """
-    out = []
-    before: str = ""
-    score, tokens = [0.0], [0]
-    for word in pretokens:
-        shared = 0
-        for a, b in zip(before, word, strict=False):
-            if a != b:
-                break
-            shared += 1
-        del score[shared + 1 :], tokens[shared + 1 :]
-        for end in range(shared + 1, len(word) + 1):
-            best, fewest = -math.inf, 0
-            node, i = pieces, end - 1
-            while i >= 0 and (node := node.get(word[i])) is not None:
-                s = node.get("")
-                if s is not None:
-                    s += score[i]
-                    if s > best or s == best and tokens[i] + 1 < fewest:
-                        best, fewest = s, tokens[i] + 1
-                i -= 1
-            raw = len(word[end - 1].encode())
-            s = score[end - 1] + BYTE_SCORE * raw
-            if s > best:
-                best, fewest = s, tokens[end - 1] + raw
-            score.append(best)
-            tokens.append(fewest)
-        before = word
-        out.append((tokens[-1], score[-1]))
-    return out
+
+    def __init__(self, pieces: dict):
+        self.pieces = pieces
+        self.clear()
+
+    def clear(self) -> None:
+        self.children: list[dict[str, int]] = [{}]
+        self.score, self.tokens = [0.0], [0]
+
+    def __len__(self) -> int:
+        return len(self.score)
+
+    def count(self, word: str) -> tuple[int, float]:
+        """Inserts a pre-token; its number of tokens and its score."""
+        at, path = 0, [0]
+        for end, c in enumerate(word, 1):
+            below = self.children[at].get(c)
+            if below is None:
+                below = self._extended(word, end, path)
+                self.children[at][c] = below
+            at = below
+            path.append(at)
+        return self.tokens[at], self.score[at]
+
+    def _extended(self, word: str, end: int, path: list[int]) -> int:
+        """A new node for the first `end` characters of word; path holds the nodes of its shorter prefixes."""
+        score, tokens = self.score, self.tokens
+        best, fewest = -math.inf, 0
+        node, i = self.pieces, end - 1
+        while i >= 0 and (node := node.get(word[i])) is not None:
+            s = node.get("")
+            if s is not None:
+                s += score[path[i]]
+                if s > best or s == best and tokens[path[i]] + 1 < fewest:
+                    best, fewest = s, tokens[path[i]] + 1
+            i -= 1
+        raw = len(word[end - 1].encode())
+        s = score[path[end - 1]] + BYTE_SCORE * raw
+        if s > best:
+            best, fewest = s, tokens[path[end - 1]] + raw
+        score.append(best)
+        tokens.append(fewest)
+        self.children.append({})
+        return len(score) - 1
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,31 +115,25 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     shared = docs.sparkSession.sparkContext.broadcast(piece_scores(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = backward(shared.value)
+        trie = Trie(backward(shared.value))
         known: dict[str, tuple[int, float]] = {}
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            rows, begin = [], 0
-            while begin < len(texts):
-                counts, held = [], 0
-                while begin + len(counts) < len(texts) and (not counts or held < CHUNK):
-                    text = texts[begin + len(counts)] or ""
-                    held += len(text)
-                    counts.append(Counter(words_of(text)))
-                begin += len(counts)
-                new = sorted({w for c in counts for w in c} - known.keys())
-                if len(known) + len(new) > REMEMBERED:
-                    known = {}
-                    new = sorted({w for c in counts for w in c})
-                known.update(zip(new, count_tokens([BEGIN + w for w in new], pieces), strict=True))
-                for c in counts:
-                    own = [(known[w], n) for w, n in c.items()]
-                    rows.append((sum(c.values()), sum(t * n for (t, _), n in own), math.fsum(s * n for (_, s), n in own)))
-            columns = list(zip(*rows, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())],
-                ["id", "n_pretokens", "n_tokens", "score"],
-            )
+            for k in range(0, batch.num_rows, ROWS):
+                part, rows = batch.slice(k, ROWS), []
+                for text in part.column(1).to_pylist():
+                    counts = Counter(words_of(text or ""))
+                    if len(trie) > NODES or len(known) > REMEMBERED:
+                        trie.clear()
+                        known.clear()
+                    own = []
+                    for word, n in counts.items():
+                        if (found := known.get(word)) is None:
+                            found = known[word] = trie.count(BEGIN + word)
+                        own.append((found, n))
+                    rows.append((sum(counts.values()), sum(t * n for (t, _), n in own), math.fsum(s * n for (_, s), n in own)))
+                columns = list(zip(*rows, strict=True))
+                arrays = [part.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "n_pretokens", "n_tokens", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"id {id_type(rows, 'id')}, n_pretokens long, n_tokens long, score double"

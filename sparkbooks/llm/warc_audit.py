@@ -2,12 +2,19 @@
 
 Each record is hashed; records in the order of their offsets are the leaves of a tree whose nodes each cover FANOUT children,
 that is an ordered range of offsets. The audit compares the roots of two replicas file by file and descends level by level, only
-below nodes that differ, to the records that are damaged. Trees are tables (file, level, node, from, to, hash): building one
+below nodes that differ. Leaves that differ are matched by their record ids, so that a record which only moved, because one before it was lost, added or
+became longer, is no finding. Trees are tables (file, node, begin, end, hash): building one
 is an aggregation per level, and a descent a join with the nodes that differed above, so it works on what is damaged, not on the whole.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+import zlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,66 +44,130 @@ def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
 
 def filed(records: DataFrame, rows: int, per_file: int = RECORDS) -> DataFrame:
-    """(file, number, offset, length, id, record): records dealt to files by the hash of the id, and their offsets there.
+    """(file, number, offset, length, id, leaf): records dealt to files by the hash of the id, and their offsets and hashes there.
 
-    Offsets count the four bytes that close each record. Null ids share a file.
+    Offsets count the four bytes that close each record. Records without an id are dealt by their own hash. Repeated records are records
+    of their own; no rows give none.
     """
-    files = max(1, -(-rows // per_file))
-    key = F.coalesce(F.col("id").cast("string"), F.lit("null"))
-    place = F.conv(F.substring(F.md5(key.cast("binary")), 1, 12), 16, 10).cast("long")
-    length = (F.octet_length("record") + 4).cast("long")
-    out = records.select("id", "record", (place % files).alias("file"), length.alias("length"), F.sha2("record", 256).alias("leaf"))
+    out = _dealt(records, rows, per_file).select("id", "file", (F.octet_length("record") + 4).cast("long").alias("length"), F.sha2("record", 256).alias("leaf"))
     order = Window.partitionBy("file").orderBy("id", "leaf")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     return out.select(
         "file",
-        (F.row_number().over(order) - 1).alias("number"),
+        (F.row_number().over(order) - 1).cast("long").alias("number"),
         F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"),
         "length",
-        "id",
+        F.col("id").cast("string").alias("id"),
         "leaf",
     )
 
 
-def write_warc(pages: DataFrame, path: str, **columns: str) -> None:
-    """Writes pages as WARC files: Spark's text writer with the records' closing line ends as line separator."""
-    warc_records(pages, **columns).select("record").write.option("lineSep", "\r\n\r\n").text(path)
+def _dealt(records: DataFrame, rows: int, per_file: int) -> DataFrame:
+    files = max(1, -(-rows // per_file))
+    key = F.coalesce(F.col("id").cast("string"), F.sha2("record", 256))
+    return records.withColumn("file", F.conv(F.substring(F.md5(key.cast("binary")), 1, 12), 16, 10).cast("long") % files)
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(file, number, offset, length, url, html) of the response records in the WARC files under path.
+def write_warc(pages: DataFrame, path: str, rows: int, per_file: int = RECORDS, compression: str = "gzip", **columns: str) -> None:
+    """Writes pages as WARC files path/file=N/part-*, one for each file that filed() deals, with records in the order of their ids.
 
-    A record begins at its version line and holds Content-Length bytes after its head; what follows the last whole record is left out.
+    Spark's text writer does the work, with the records' closing line ends as line separator. A task writes one file at a time.
+    """
+    dealt = _dealt(warc_records(pages, **columns), rows, per_file)
+    order = ["file", "id", F.sha2("record", 256)]
+    sorted_ = dealt.repartition(max(1, -(-rows // (8 * per_file))), "file").sortWithinPartitions(*order).select("file", "record")
+    sorted_.write.partitionBy("file").option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
+
+
+def _plain(data: bytes) -> tuple[bytes, bool]:
+    """The bytes of a file, which may be of gzip members, as far as they can be read, and whether that is all of them."""
+    if not data.startswith(b"\x1f\x8b"):
+        return data, True
+    out = []
+    while data:
+        member = zlib.decompressobj(31)
+        try:
+            # in pieces, so that what comes before an error is kept
+            for k in range(0, len(data), 1 << 16):
+                out.append(member.decompress(data[k : k + (1 << 16)]))
+                if member.eof:
+                    break
+        except zlib.error:
+            return b"".join(out), False
+        if not member.eof:
+            return b"".join(out), False
+        data = member.unused_data + data[k + (1 << 16) :]
+    return b"".join(out), True
+
+
+def parsed(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes]]:
+    """(begin, end, head, body) of the records in a file's bytes, end being after the line ends that close a record; names in the head are in lower case.
+
+    What is not a whole record, up to the next version line after a closing, comes as one range with None for its head.
+    """
+    at = 0
+    while at < len(data):
+        end = data.find(b"\r\n\r\n", at) if data[at : at + 5] == b"WARC/" else -1
+        if end >= 0:
+            lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+            head = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+            size = head.get("content-length", "")
+            if re.fullmatch("[0-9]{1,15}", size):
+                stop = end + 4 + int(size)
+                if data[stop : stop + 4] == b"\r\n\r\n":
+                    yield at, stop + 4, head, data[end + 4 : stop]
+                    at = stop + 4
+                    continue
+        after = data.find(b"\r\n\r\nWARC/", at + 1)
+        stop = after + 4 if after >= 0 else len(data)
+        yield at, stop, None, data[at:stop]
+        at = stop
+
+
+WARC_SCHEMA = "file string, number long, offset long, length long, type string, id string, url string, body string, leaf string, status string"
+
+
+def read_warc(spark: SparkSession, path: str, bodies: bool = True) -> DataFrame:
+    """(file, number, offset, length, type, id, url, body, leaf, status): the records of all types in the WARC files under path.
+
+    Files may be compressed by gzip, as a whole or by record; offsets are those of the plain bytes. id is the record's id, leaf the SHA-256 of its bytes
+    without the closing line ends, body its text (null if `bodies` is false). Records whose status is 'broken' are ranges that hold no whole record; after one,
+    reading goes on at the next version line. A file whose compression is broken gives what could be read, and a broken row without bytes at its end.
+    Rows of pages are those whose type is 'response'. An empty file gives no rows. Files over 2 GB cannot be read, as a file is one row of Spark's reader.
     """
-    import pandas as pd
 
-    def parse(frames):
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [c.split()[0] for c in WARC_SCHEMA.split(", ")]
         for frame in frames:
-            for name, data in zip(frame["path"], frame["content"], strict=True):
-                rows, at, number = [], 0, 0
-                while data[at : at + 5] == b"WARC/":
-                    end = data.find(b"\r\n\r\n", at)
-                    if end < 0:
-                        break
-                    head = dict(x.split(b": ", 1) for x in data[at:end].split(b"\r\n")[1:] if b": " in x)
-                    size = int(head.get(b"Content-Length", b"0"))
-                    body = data[end + 4 : end + 4 + size]
-                    if len(body) < size:
-                        break
-                    rows.append((name, number, at, end + 8 + size - at, head.get(b"WARC-Target-URI", b"").decode(), body.decode("utf-8", "replace")))
-                    at, number = end + 8 + size, number + 1
-                yield pd.DataFrame(rows, columns=["file", "number", "offset", "length", "url", "html"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(parse, "file string, number long, offset long, length long, url string, html string")
+            for name, content in zip(frame["path"], frame["content"], strict=True):
+                data, whole = _plain(bytes(content))
+                rows, number, end = [], 0, 0
+                for begin, end, head, body in parsed(data):
+                    leaf = hashlib.sha256(data[begin : end - 4 if head is not None else end]).hexdigest()
+                    known = head or {}
+                    text = body.decode("utf-8", "replace") if bodies and head is not None else None
+                    row = (name, number, begin, end - begin, known.get("warc-type"), known.get("warc-record-id"), known.get("warc-target-uri"), text, leaf)
+                    rows.append((*row, "broken" if head is None else "ok"))
+                    number += 1
+                    if len(rows) == 256:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
+                if not whole:
+                    rows.append((name, number, end, 0, None, None, None, None, hashlib.sha256(b"").hexdigest(), "broken"))
+                yield pd.DataFrame(rows, columns=columns)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return files.mapInPandas(parse, WARC_SCHEMA)
 
 
 def tree_levels(leaves: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
-    """The levels of the trees of all files, leaves first: (file, node, begin, end, hash). The last level has one node a file.
+    """The levels of the trees of all files, leaves first: (file, node, begin, end, hash), and the leaves' ids. The last level has one node a file.
 
-    A node's hash is that of its children's numbers, ranges and hashes in order.
+    leaves has (file, number, offset, length, id, leaf), as filed() and read_warc() give them. A node's hash is that of its children's numbers, ranges
+    and hashes in order. No leaves give one empty level.
     """
-    level = leaves.select("file", F.col("number").cast("long").alias("node"), F.col("offset").alias("begin"), (F.col("offset") + F.col("length")).alias("end"), F.col("leaf").alias("hash"))
+    end = F.col("offset") + F.col("length")
+    level = leaves.select("file", F.col("number").cast("long").alias("node"), F.col("offset").alias("begin"), end.alias("end"), F.col("leaf").alias("hash"), "id")
     level = written(level, "merkle-0")
     levels = [level]
     most = level.agg(F.max("node")).first()[0] or 0
@@ -120,10 +191,11 @@ def tree_levels(leaves: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
 
 
 def audit(ours: list[DataFrame], theirs: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
-    """(file, number, begin, end, status) of the records in which two replicas differ, by descent from their roots.
+    """(file, number, begin, end, id, status) of the records in which two replicas differ, by descent from their roots.
 
-    status is 'damaged' if both have the record, else 'missing' in theirs or 'added' there; begin and end are ours where we have the record.
-    Trees of different heights are compared from the lower root on. Equal replicas, and empty ones, give no rows.
+    status is 'damaged' if both have a record of the id in the file and their hashes differ, else 'missing' in theirs or 'added' there. number, begin and end
+    are ours where we have the record. Of records that repeat an id in a file, those that differ are matched in their order; records without an id, such as broken
+    ranges, with one another. Trees of different heights are compared from the lower root on. Equal replicas, and empty ones, give no rows.
     """
     differing = None
     for depth in reversed(range(min(len(ours), len(theirs)))):
@@ -131,10 +203,16 @@ def audit(ours: list[DataFrame], theirs: list[DataFrame], fanout: int = FANOUT)
         if differing is not None:
             above = differing.select("file", F.col("node").alias("above"))
             a, b = (x.withColumn("above", F.expr(f"node div {fanout}")).join(above, ["file", "above"], "left_semi").drop("above") for x in (a, b))
-        both = a.join(b, ["file", "node"], "full")
-        differing = both.where(~F.col("a").eqNullSafe(F.col("b")))
-        if depth:
-            differing = written(differing.select("file", "node"), "merkle-differing")
+        differing = a.join(b, ["file", "node"], "full").where(~F.col("a").eqNullSafe(F.col("b")))
+        differing = written(differing.select("file", "node"), "merkle-differing")
+
+    def leaves(level: DataFrame, name: str) -> DataFrame:
+        order = Window.partitionBy("file", "id").orderBy("node")
+        own = level.join(differing, ["file", "node"], "left_semi").withColumn("nth", F.row_number().over(order))
+        key = F.coalesce(F.concat(F.lit("id "), "id"), F.lit("none")).alias("key")
+        return own.select("file", key, "nth", F.struct("node", "begin", "end", "hash", "id").alias(name))
+
+    both = leaves(ours[0], "a").join(leaves(theirs[0], "b"), ["file", "key", "nth"], "full").where(~F.col("a.hash").eqNullSafe(F.col("b.hash")))
     status = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "added").otherwise("damaged")
     at = F.coalesce("a", "b")
-    return differing.select("file", F.col("node").alias("number"), at["begin"].alias("begin"), at["end"].alias("end"), status.alias("status"))
+    return both.select("file", at["node"].alias("number"), at["begin"].alias("begin"), at["end"].alias("end"), at["id"].alias("id"), status.alias("status"))

@@ -103,6 +103,59 @@ def test_run_is_the_stages(spark, corpus):
     assert sorted((str(r.doc_id), r.ids_sha256) for r in cp.run(spark, folder).collect()) == want
 
 
+def test_stages_with_clashing_columns(spark, corpus):
+    """Further columns whose names the operators use themselves come through, and change no decision."""
+    folder, _, _ = corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id IS NULL OR doc_id % 3 = 1 OR doc_id >= 1000")
+    names = "i s z id key size copies row sha place gone shown mixed kept score component_id text_key bucket class n".split()
+    more = docs.selectExpr("*", *[f"'x' AS `{c}`" for c in names])
+    for _, stage in cp.STAGES[:-1]:
+        docs, more = (cp.written(stage(spark, x, folder), "clash") for x in (docs, more))
+        assert more.columns == [*docs.columns, *names]
+        assert sorted(map(key, more.collect())) == sorted(map(key, docs.collect()))
+    assert cp.STAGES[-1][1](spark, more, folder).count() == docs.count()
+
+
+def test_mixing_by_hand(spark, corpus):
+    """The mixing stage takes each document as often as the schedule, worked out by hand, takes the block of its first word."""
+    import hashlib
+
+    folder, _, _ = corpus
+    docs = [r for r in spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 1000").collect()]
+    size = {r.doc_id: len(r.text.split()) for r in docs}
+    sources = sorted({r.source for r in docs})
+    total = {s: sum(size[r.doc_id] for r in docs if r.source == s) for s in sources}
+    target = {s: sum(total.values()) * w / 8 for s, w in zip(sources, (5, 2, 1), strict=True)}
+    assert all(target[s] <= 3 * total[s] for s in sources)
+    blocks = {s: max(-(-total[s] // 256), min(total[s], 64)) for s in sources}
+    slots, ends, c = {s: target[s] * blocks[s] / total[s] for s in sources}, {}, 0.0
+    whole = sum(slots.values())
+    for s in sources:
+        c += slots[s]
+        ends[s] = int(c / whole * 2**32)
+    ends[sources[-1]] = 2**32
+    taken = {s: [0] * blocks[s] for s in sources}
+    turn = dict.fromkeys(sources, 0)
+    for i in range(int(whole + 0.5)):
+        point = (i + 1) * 2654435769 % 2**32
+        s = next(s for s in sources if point < ends[s])
+        if turn[s] < 3 * blocks[s]:
+            taken[s][turn[s] % blocks[s]] += 1
+        turn[s] += 1
+    want = {}
+    for s in sources:
+        at, short, more = 0, total[s] // blocks[s], total[s] % blocks[s]
+        starts = [b * short + min(b, more) for b in range(blocks[s])]
+        for r in sorted((r for r in docs if r.source == s), key=lambda r: hashlib.md5(str(r.doc_id).encode()).hexdigest()):
+            if n := taken[s][max(b for b in range(blocks[s]) if starts[b] <= at)]:
+                want[r.doc_id] = n
+            at += size[r.doc_id]
+    got = {}
+    for r in cp.mix_sources(spark, spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 1000"), folder).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + 1
+    assert got == want
+
+
 def test_empty(spark, corpus, tmp_path):
     folder, _, _ = corpus
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
