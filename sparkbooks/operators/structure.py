@@ -1,6 +1,9 @@
 """Versioned section trees as adjacency lists of three levels, edited in bulk: sections in, sections out.
 
-A section row has section_id, parent_id, book_id, kind, position, title, status, analysis_valid and render_valid at least.
+A section row has book_id, section_id, parent_id, kind, position, title, content_type, text_hash, status, analysis_valid, audio_valid, render_valid,
+approval and structure_version at least. An edit makes a new version of the books that it changes: all their sections carry the next structure_version. Where an edit
+names a section that is not there, or breaks a rule of its own, it does nothing, and the book keeps its version. Sections that an edit touches
+need approval again, so their approval is stale.
 """
 
 from __future__ import annotations
@@ -41,50 +44,74 @@ def edited(sections: DataFrame, edits: DataFrame, **changes: Column) -> DataFram
     return joined.select(*[F.when(hit, changes[c]).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in sections.columns])
 
 
+def invalid() -> dict[str, Column]:
+    """The changes of a section that must be analysed, recorded, rendered and approved again."""
+    return {"analysis_valid": F.lit(False), "audio_valid": F.lit(False), "render_valid": F.lit(False), "approval": F.lit("stale")}
+
+
+def new_version(sections: DataFrame, books: DataFrame) -> DataFrame:
+    """sections with the next structure_version where books(book_id) names their book."""
+    changed = books.select("book_id").distinct().withColumn("e_changed", F.lit(1).cast("long"))
+    version = (F.col("structure_version") + F.coalesce("e_changed", F.lit(0))).alias("structure_version")
+    return sections.join(changed, "book_id", "left").select(*[version if c == "structure_version" else F.col(c) for c in sections.columns])
+
+
+def _known(sections: DataFrame, edits: DataFrame) -> DataFrame:
+    return edits.join(sections.select("book_id", "section_id"), ["book_id", "section_id"], "left_semi")
+
+
 def rename_sections(sections: DataFrame, edits: DataFrame) -> DataFrame:
-    """New titles; what was rendered is stale."""
-    return edited(sections, edits, title=F.col("e_title"), render_valid=F.lit(False))
+    """New titles; what was rendered is stale. The hash of the text, analysis and audio stay."""
+    known = _known(sections, edits)
+    return new_version(edited(sections, known, title=F.col("e_title"), render_valid=F.lit(False), approval=F.lit("stale")), known)
 
 
 def change_content_type(sections: DataFrame, edits: DataFrame, kinds: list[str]) -> DataFrame:
     """New content types, if they are among `kinds`; validity stays."""
-    return edited(sections, edits.where(F.col("content_type").isin(*kinds)), content_type=F.col("e_content_type"))
+    known = _known(sections, edits.where(F.col("content_type").isin(*kinds)))
+    return new_version(edited(sections, known, content_type=F.col("e_content_type"), approval=F.lit("stale")), known)
 
 
 def reorder_sections(sections: DataFrame, edits: DataFrame) -> DataFrame:
-    """Sections moved to a place, from 1, among their active siblings, which are renumbered; all of those must be rendered again."""
-    ordered = normalize_sibling_order(sections)
-    count = F.sum(active().cast("long")).over(siblings())
+    """Active sections moved to a place, from 1, among their active siblings, which are renumbered; all of those must be rendered again."""
+    order = Window.partitionBy("book_id", "parent_id", active()).orderBy("position", "section_id")
     e = edits.select("book_id", "section_id", F.col("order").alias("e_to"))
-    joined = ordered.join(e, ["book_id", "section_id"], "left").withColumn("e_n", count)
+    joined = sections.join(e, ["book_id", "section_id"], "left").withColumn("e_at", F.row_number().over(order))
     moved = F.col("e_to").isNotNull() & active()
+    joined = joined.withColumn("e_n", F.sum(active().cast("long")).over(siblings())).withColumn("e_touched", F.bool_or(moved).over(siblings()) & active())
     to = F.greatest(F.lit(1), F.least(F.col("e_to"), F.col("e_n")))
     # a moved section goes before or after the one that is there, by the direction that it comes from
-    key = F.when(moved, to + F.when(to > F.col("position"), 0.5).otherwise(-0.5)).otherwise(F.col("position").cast("double"))
-    key = F.when(moved & (to == F.col("position")), F.col("position").cast("double")).otherwise(key)
-    touched = F.bool_or(moved).over(siblings())
+    aside = F.when(to > F.col("e_at"), 0.5).when(to < F.col("e_at"), -0.5).otherwise(0.0)
+    joined = joined.withColumn("e_key", F.when(moved, to + aside).otherwise(F.col("e_at").cast("double")))
     place = F.row_number().over(Window.partitionBy("book_id", "parent_id", active()).orderBy("e_key", "section_id")).cast("long")
-    out = joined.withColumn("e_key", key).withColumn("e_touched", touched).withColumn("e_place", F.when(active(), place).otherwise(F.col("position")))
-    return out.select(
-        *[
-            F.col("e_place").alias(c)
-            if c == "position"
-            else F.when(F.col("e_touched") & active(), False).otherwise(F.col(c)).alias(c)
-            if c == "render_valid"
-            else F.col(c)
-            for c in sections.columns
-        ]
-    )
+    out = joined.withColumn("e_place", place)
+    touched = {"position": F.col("e_place"), "render_valid": F.lit(False), "approval": F.lit("stale")}
+    done = out.select(*[F.when(F.col("e_touched"), touched[c]).otherwise(F.col(c)).alias(c) if c in touched else F.col(c) for c in sections.columns])
+    return new_version(done, e.join(sections.where(active()), ["book_id", "section_id"], "left_semi"))
+
+
+def _renumbered(sections: DataFrame, parents: DataFrame) -> DataFrame:
+    """sections with the active children of parents(book_id, parent_id) numbered from 1; a null parent is one too."""
+    p = parents.select("book_id", F.col("parent_id").alias("e_parent")).distinct().withColumn("e_hit", F.lit(True)).alias("p")
+    joined = sections.alias("s").join(p, (F.col("s.book_id") == F.col("p.book_id")) & F.col("s.parent_id").eqNullSafe(F.col("e_parent")), "left").select("s.*", "e_hit")
+    order = Window.partitionBy("book_id", "parent_id", active()).orderBy("position", "section_id")
+    place = F.when(F.col("e_hit") & active(), F.row_number().over(order).cast("long")).otherwise(F.col("position"))
+    return joined.withColumn("position", place).select(*sections.columns)
+
+
+def below(sections: DataFrame, named: DataFrame) -> DataFrame:
+    """(book_id, section_id) of all sections, of any status, below named ones. The tree has three levels, so two joins reach all."""
+    one = sections.join(named.select("book_id", F.col("section_id").alias("parent_id")), ["book_id", "parent_id"], "left_semi").select("book_id", "section_id")
+    two = sections.join(one.withColumnRenamed("section_id", "parent_id"), ["book_id", "parent_id"], "left_semi").select("book_id", "section_id")
+    return one.unionByName(two).distinct()
 
 
 def remove_sections(sections: DataFrame, edits: DataFrame) -> DataFrame:
-    """The named sections and all below them deleted and invalid; their siblings renumbered. The tree has three levels, so two joins reach all."""
-    named = edits.select("book_id", "section_id").distinct()
-    below = sections.join(named.withColumnRenamed("section_id", "parent_id"), ["book_id", "parent_id"], "left_semi").select("book_id", "section_id")
-    deeper = sections.join(below.withColumnRenamed("section_id", "parent_id"), ["book_id", "parent_id"], "left_semi").select("book_id", "section_id")
-    gone = named.unionByName(below).unionByName(deeper).distinct()
-    no = F.lit(False)
-    return normalize_sibling_order(edited(sections, gone, status=F.lit("deleted"), analysis_valid=no, render_valid=no))
+    """The named sections and all below them deleted and invalid; their siblings renumbered."""
+    named = _known(sections, edits.select("book_id", "section_id").distinct())
+    gone = named.unionByName(below(sections, named)).distinct()
+    parents = sections.join(named, ["book_id", "section_id"], "left_semi").select("book_id", "parent_id")
+    return new_version(_renumbered(edited(sections, gone, status=F.lit("deleted"), **invalid()), parents), named)
 
 
 def rollup_validity(sections: DataFrame) -> DataFrame:
@@ -99,15 +126,15 @@ def rollup_validity(sections: DataFrame) -> DataFrame:
     return raised(raised(sections, "chapter", "scene"), "part", "chapter").select(*sections.columns)
 
 
-def invalid_sections(sections: DataFrame) -> DataFrame:
-    """Active sections whose analysis or rendering is not valid, with what is wrong."""
-    wrong = F.array_compact(F.array(F.when(~F.col("analysis_valid"), "analysis"), F.when(~F.col("render_valid"), "render")))
+def invalid_sections(sections: DataFrame, needs: tuple[str, ...] = ("analysis", "audio", "render")) -> DataFrame:
+    """Active sections that are not valid in one of `needs`, with what is wrong."""
+    wrong = F.array_compact(F.array(*[F.when(~F.col(f"{x}_valid"), x) for x in needs]))
     return sections.where(active()).withColumn("wrong", F.array_join(wrong, "|")).where("wrong != ''").select("book_id", "section_id", "wrong")
 
 
-def structure_readiness(sections: DataFrame) -> DataFrame:
-    """For each book whether all active sections are valid, and how many are not."""
-    bad = ~(F.col("analysis_valid") & F.col("render_valid"))
+def structure_readiness(sections: DataFrame, needs: tuple[str, ...] = ("analysis", "audio", "render")) -> DataFrame:
+    """For each book whether all active sections are valid in all of `needs`, and how many are not."""
+    bad = ~F.least(*[F.col(f"{x}_valid").cast("int") for x in needs], F.lit(1)).cast("boolean")
     return sections.where(active()).groupBy("book_id").agg((~F.bool_or(bad)).alias("ready"), F.sum(bad.cast("long")).alias("invalid"))
 
 
@@ -116,51 +143,54 @@ def merged_id(version: Column, ids: Column) -> Column:
     return F.concat(F.lit("sec_merge_v"), version.cast("string"), F.lit("_"), F.substring(F.sha1(F.array_join(ids, "|").cast("binary")), 1, 12))
 
 
-def merge_sections(sections: DataFrame, edits: DataFrame, version: int) -> DataFrame:
+def merge_sections(sections: DataFrame, edits: DataFrame) -> DataFrame:
     """Sections merged into new ones: edits(book_id, section_ids, title). The sources must be active siblings that stand together in the given order;
-    other edits do nothing. Sources become merged, their children belong to the new section, and all involved must be analysed and rendered again."""
-    ordered = normalize_sibling_order(sections)
-    asked = edits.select("book_id", "section_ids", "title", F.posexplode("section_ids").alias("at", "section_id"))
-    found = asked.join(ordered.select("book_id", "section_id", "parent_id", "position", "status", "kind"), ["book_id", "section_id"])
-    new_id = merged_id(F.lit(version), F.col("section_ids"))
-    key = found.withColumn("new_id", new_id)
-    together = key.groupBy("book_id", "new_id").agg(
-        F.first("title").alias("title"), F.first("section_ids").alias("section_ids"), F.first("kind").alias("kind"),
-        F.min("parent_id").alias("parent_id"), F.max("parent_id").alias("other"), F.min("position").alias("position"), F.count("*").alias("n"),
-        F.bool_and(active()).alias("active"), F.count_distinct(F.col("position") - F.col("at")).alias("runs"), F.max(F.size("section_ids")).alias("asked"),
+    other edits do nothing. Sources become merged, their children belong to the new section in the order of their places, and all involved, those
+    below too, are invalid. Without a title the sources' titles are joined; the hash is that of the sources' hashes."""
+    order = Window.partitionBy("book_id", "parent_id", active()).orderBy("position", "section_id")
+    placed = sections.withColumn("e_at", F.row_number().over(order))
+    numbered = edits.select("book_id", "section_ids", "title")
+    asked = numbered.select("book_id", "section_ids", F.col("title").alias("e_title"), F.posexplode("section_ids").alias("at", "section_id"))
+    found = asked.join(placed.select("book_id", "section_id", "parent_id", "position", "e_at", "status", "kind", "title", "content_type", "text_hash", "structure_version"), ["book_id", "section_id"])
+    listed = F.array_sort(F.collect_list(F.struct("at", "title", "content_type", "kind", "text_hash")))
+    together = found.groupBy("book_id", "section_ids").agg(
+        F.first("e_title").alias("e_title"), listed.alias("listed"), F.max("structure_version").alias("version"),
+        F.min("parent_id").alias("parent_id"), F.max("parent_id").alias("other"), F.min("position").alias("position"), F.count("*").alias("n"), F.count("parent_id").alias("held"),
+        F.bool_and(active()).alias("active"), F.count_distinct(F.col("e_at") - F.col("at")).alias("runs"),
     )
-    good = together.where("active AND runs = 1 AND n = asked AND n > 1 AND parent_id <=> other")
+    good = together.where("active AND runs = 1 AND n = size(section_ids) AND n > 1 AND parent_id <=> other AND held IN (0, n)")
+    good = good.withColumn("new_id", merged_id(F.col("version") + 1, F.col("section_ids")))
     sources = good.select("book_id", "new_id", F.explode("section_ids").alias("section_id"))
-    done = ordered.join(sources.withColumnRenamed("new_id", "__into"), ["book_id", "section_id"], "left")
-    done = done.withColumn("status", F.when(F.col("__into").isNotNull(), "merged").otherwise(F.col("status")))
-    moved = sources.select("book_id", F.col("section_id").alias("parent_id"), F.col("new_id").alias("__parent"))
-    done = done.join(moved, ["book_id", "parent_id"], "left")
-    hit = F.col("__into").isNotNull() | F.col("__parent").isNotNull()
-    for c in ("analysis_valid", "render_valid"):
-        done = done.withColumn(c, F.when(hit, False).otherwise(F.col(c)))
-    done = done.withColumn("parent_id", F.coalesce("__parent", "parent_id")).select(*sections.columns)
-    new = good.select("book_id", F.col("new_id").alias("section_id"), "parent_id", "kind", "position", "title", F.lit("active").alias("status"), F.lit(False).alias("analysis_valid"), F.lit(False).alias("render_valid"))
-    return normalize_sibling_order(done.unionByName(new, allowMissingColumns=True))
+    involved = sources.select("book_id", "section_id").unionByName(below(sections, sources)).distinct()
+    done = edited(edited(sections, involved, **invalid()), sources.select("book_id", "section_id"), status=F.lit("merged"))
+    moved = done.join(sources.select("book_id", F.col("section_id").alias("parent_id"), F.col("new_id").alias("e_parent")), ["book_id", "parent_id"], "left")
+    place = F.row_number().over(Window.partitionBy("book_id", "e_parent").orderBy("position", "section_id")).cast("long")
+    moved = moved.withColumn("position", F.when(F.col("e_parent").isNotNull(), place).otherwise(F.col("position")))
+    done = moved.withColumn("parent_id", F.coalesce("e_parent", "parent_id")).select(*sections.columns)
+    joined = F.sha2(F.array_join(F.transform("listed", lambda x: x.text_hash), "|"), 256)
+    new = good.select(
+        "book_id", F.col("new_id").alias("section_id"), "parent_id", F.col("listed")[0].kind.alias("kind"), "position",
+        F.coalesce("e_title", F.array_join(F.transform("listed", lambda x: x.title), " / ")).alias("title"), F.col("listed")[0].content_type.alias("content_type"),
+        F.concat(F.lit("sha256:"), joined).alias("text_hash"), F.lit("active").alias("status"), *[v.alias(c) for c, v in invalid().items()], F.col("version").alias("structure_version"),
+    )
+    return new_version(_renumbered(done.unionByName(new, allowMissingColumns=True), good), good)
 
 
 def split_sections(sections: DataFrame, edits: DataFrame) -> DataFrame:
-    """Leaves split by edits(book_id, section_id, titles): two titles at least. The source becomes split; the new sections follow in its place."""
-    parents = sections.select("book_id", F.col("parent_id").alias("section_id")).distinct()
+    """Active leaves split by edits(book_id, section_id, titles): two titles at least. The source becomes split and invalid; the new sections
+    take places from the source's on, and all siblings are numbered again by place and id."""
+    parents = sections.where(active()).select("book_id", F.col("parent_id").alias("section_id")).distinct()
     leaf = edits.where(F.size("titles") >= 2).join(parents, ["book_id", "section_id"], "left_anti")
     source = sections.where(active()).join(leaf.select("book_id", "section_id", "titles"), ["book_id", "section_id"])
-    parts = source.select("*", F.posexplode("titles").alias("at", "__title"))
-    name = F.substring(F.sha1(F.concat_ws("|", "section_id", "at", "__title").cast("binary")), 1, 12)
-    new = parts.withColumns(
-        {
-            "section_id": F.concat(F.lit("sec_split_"), name), "title": F.col("__title"), "analysis_valid": F.lit(False), "render_valid": F.lit(False),
-            # below one apart, so that the parts stand between the source's neighbours
-            "order": F.col("position") + F.col("at") / 1000.0,
-        }
-    )
-    old = edited(sections, leaf.select("book_id", "section_id"), status=F.lit("split"), analysis_valid=F.lit(False), render_valid=F.lit(False))
-    both = old.withColumn("order", F.col("position").cast("double")).unionByName(new.select(*sections.columns, "order"))
-    place = F.row_number().over(Window.partitionBy("book_id", "parent_id", active()).orderBy("order", "section_id")).cast("long")
-    return both.withColumn("position", F.when(active(), place).otherwise(F.col("position"))).select(*sections.columns)
+    parts = source.select("*", F.posexplode("titles").alias("e_n", "e_title")).withColumn("e_at", F.col("position") + F.col("e_n"))
+    name = F.substring(F.sha1(F.concat_ws("|", "section_id", "e_at", "e_title").cast("binary")), 1, 12)
+    own = {
+        "section_id": F.concat(F.lit("sec_split_v"), (F.col("structure_version") + 1).cast("string"), F.lit("_"), name), "title": F.col("e_title"), "position": F.col("e_at"),
+        "text_hash": F.concat(F.lit("sha256:"), F.sha2(F.concat_ws(":", "text_hash", "e_title", "e_at"), 256)), **invalid(),
+    }
+    new = parts.select(*[own[c].alias(c) if c in own else F.col(c) for c in sections.columns])
+    old = edited(sections, source.select("book_id", "section_id"), status=F.lit("split"), **invalid())
+    return new_version(_renumbered(old.unionByName(new), source), source)
 
 
 def outline(sections: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Tables that the queries derive from the given ones, by SQL that Spark and the oracle both run.
 
 The given tables hold no books, so conversations are read as books: 20 conversations are a book, 5 a chapter, one a scene, and a turn
-is a line whose speaker follows from its role. Customers in nations in regions are the chapters and parts of section trees.
+is a line whose speaker follows from its role. Customers in nations in regions are the scenes, chapters and parts of section trees.
 """
 
 from __future__ import annotations
@@ -49,18 +49,23 @@ SCENES = """
 SELECT DISTINCT book_id, chapter, scene_id, scene, scene % 6 = 5 AS omit FROM lines
 """
 
-#: Regions, nations and customers as sections of three levels.
-SECTIONS = """
-SELECT concat('r', CAST(r_regionkey AS STRING)) AS section_id, CAST(NULL AS STRING) AS parent_id, 'book' AS book_id, 'part' AS kind,
-       CAST(r_regionkey AS BIGINT) AS position, r_name AS title, 'active' AS status, r_regionkey % 2 = 0 AS analysis_valid, TRUE AS render_valid, 0 AS size
-FROM region
+#: Every 200 customers are a book, whose parts, chapters and scenes are their regions, nations and the customers.
+_BOOK = "CAST(CAST(floor(c_custkey / 200) AS BIGINT) AS STRING)"
+_VERSION = "CAST(floor(c_custkey / 200) AS BIGINT) % 3 + 1"
+SECTIONS = f"""
+SELECT DISTINCT concat('b', {_BOOK}, '_r', CAST(r_regionkey AS STRING)) AS section_id, CAST(NULL AS STRING) AS parent_id, concat('b', {_BOOK}) AS book_id, 'part' AS kind,
+       CAST(r_regionkey AS BIGINT) AS position, r_name AS title, 'part' AS content_type, concat('md5:', md5(r_name)) AS text_hash, 'active' AS status,
+       r_regionkey % 2 = 0 AS analysis_valid, TRUE AS audio_valid, TRUE AS render_valid, 'approved' AS approval, {_VERSION} AS structure_version, 0 AS size
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 UNION ALL
-SELECT concat('n', CAST(n_nationkey AS STRING)), concat('r', CAST(n_regionkey AS STRING)), 'book', 'chapter',
-       CAST(n_nationkey AS BIGINT), n_name, CASE WHEN n_nationkey % 9 = 8 THEN 'deleted' ELSE 'active' END, n_nationkey % 3 > 0, n_nationkey % 4 > 0, 0
-FROM nation
+SELECT DISTINCT concat('b', {_BOOK}, '_n', CAST(n_nationkey AS STRING)), concat('b', {_BOOK}, '_r', CAST(n_regionkey AS STRING)), concat('b', {_BOOK}), 'chapter',
+       CAST(n_nationkey AS BIGINT), n_name, 'chapter', concat('md5:', md5(n_name)), CASE WHEN n_nationkey % 9 = 8 THEN 'deleted' ELSE 'active' END,
+       n_nationkey % 3 > 0, n_nationkey % 5 > 0, n_nationkey % 4 > 0, CASE WHEN n_nationkey % 2 = 0 THEN 'approved' ELSE 'not_required' END, {_VERSION}, 0
+FROM customer JOIN nation ON c_nationkey = n_nationkey
 UNION ALL
-SELECT concat('c', CAST(c_custkey AS STRING)), concat('n', CAST(c_nationkey AS STRING)), 'book', 'scene',
-       CAST(c_custkey AS BIGINT), c_name, CASE WHEN c_custkey % 10 = 9 THEN 'deleted' ELSE 'active' END, c_custkey % 5 > 0, c_custkey % 6 > 0, CAST(c_custkey % 100 AS INTEGER)
+SELECT concat('c', CAST(c_custkey AS STRING)), concat('b', {_BOOK}, '_n', CAST(c_nationkey AS STRING)), concat('b', {_BOOK}), 'scene',
+       CAST(c_custkey AS BIGINT) % 200, c_name, 'scene', concat('md5:', md5(c_name)), CASE WHEN c_custkey % 10 = 9 THEN 'deleted' ELSE 'active' END,
+       c_custkey % 5 > 0, c_custkey % 7 > 0, c_custkey % 6 > 0, CASE WHEN c_custkey % 2 = 0 THEN 'approved' ELSE 'pending' END, {_VERSION}, CAST(c_custkey % 100 AS INTEGER)
 FROM customer
 """
 
@@ -89,7 +94,8 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sources = {t: derived(spark, sf_dir, t) for t in [*TABLES, *NEEDS.get(name, [])] if f" {t}" in DERIVED[name].replace("\n", " ")}
     text = DERIVED[name]
     for t in sources:
-        text = text.replace(f"FROM {t}", f"FROM {{{t}}}")
+        for before in ("FROM", "JOIN"):
+            text = text.replace(f"{before} {t}", f"{before} {{{t}}}")
     return spark.sql(text, **sources)
 
 

@@ -9,7 +9,27 @@ from sparkbooks.operators import structure as sx
 from sparkbooks.plans.registry import query
 
 _ORDERED = """o AS (SELECT * REPLACE (CASE WHEN status = 'active' THEN row_number() OVER (PARTITION BY book_id, parent_id, status = 'active' ORDER BY position, section_id) ELSE position END AS position) FROM sections)"""
-COLUMNS = "section_id, parent_id, position, title, status, analysis_valid, render_valid"
+COLUMNS = "section_id, parent_id, position, title, content_type, text_hash, status, analysis_valid, audio_valid, render_valid, approval, structure_version"
+
+
+def changed(table: str, **to: str) -> str:
+    """SQL for all columns of a table of sections, some of them by another expression."""
+    return f"SELECT {', '.join(f'{to[c]} AS {c}' if c in to else c for c in COLUMNS.split(', '))} FROM {table}"
+
+
+def invalid(hit: str) -> dict[str, str]:
+    """What becomes of a section's validity and approval where `hit` holds."""
+    return {f"{x}_valid": f"{x}_valid AND NOT ({hit})" for x in ("analysis", "audio", "render")} | {"approval": f"CASE WHEN {hit} THEN 'stale' ELSE approval END"}
+
+
+def version(hit: str) -> str:
+    """The version of a book, one more if it has a section where `hit` holds."""
+    return f"structure_version + coalesce(max(CASE WHEN {hit} THEN 1 END) OVER (PARTITION BY book_id), 0)"
+
+
+def renumbered(parents: str) -> str:
+    """The position of active children of the parents that SQL lists."""
+    return f"CASE WHEN status = 'active' AND parent_id IN ({parents}) THEN row_number() OVER (PARTITION BY book_id, parent_id, status = 'active' ORDER BY position, section_id) ELSE position END"
 
 
 def shown(sections: DataFrame) -> DataFrame:
@@ -47,77 +67,103 @@ def e1(scenes: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-@query("E2_rename_section", "sections", sql=f"SELECT {COLUMNS.replace('title,', 'CASE WHEN kind = $$chapter$$ THEN lower(title) ELSE title END AS title,').replace('render_valid', 'kind != $$chapter$$ AND render_valid AS render_valid')} FROM sections")
+_E2 = "kind = 'chapter' AND structure_version = 1"
+
+
+@query("E2_rename_section", "sections", sql=changed("sections", title=f"CASE WHEN {_E2} THEN lower(title) ELSE title END", render_valid=f"render_valid AND NOT ({_E2})", approval=f"CASE WHEN {_E2} THEN 'stale' ELSE approval END", structure_version=version(_E2)))
 def e2(sections: DataFrame) -> DataFrame:
-    edits = sections.where("kind = 'chapter'").select("book_id", "section_id", F.lower("title").alias("title"))
-    return shown(sx.rename_sections(sections, edits))
+    """The chapters of some books; an edit of a section that is not there makes no new version."""
+    edits = sections.where(_E2).select("book_id", "section_id", F.lower("title").alias("title"))
+    nowhere = sections.where("kind = 'part'").select("book_id", F.concat("section_id", F.lit("x")).alias("section_id"), "title")
+    return shown(sx.rename_sections(sections, edits.unionByName(nowhere)))
+
+
+_E3 = "kind = 'scene' AND position % 40 = 4"
 
 
-@query("E3_change_content_type", "sections", sql="SELECT section_id, CASE WHEN kind = 'scene' AND position % 4 = 0 THEN 'epilogue' ELSE 'chapter' END AS content_type FROM sections")
+@query("E3_change_content_type", "sections", sql=changed("sections", content_type=f"CASE WHEN {_E3} THEN 'epilogue' ELSE content_type END", approval=f"CASE WHEN {_E3} THEN 'stale' ELSE approval END", structure_version=version(_E3)))
 def e3(sections: DataFrame) -> DataFrame:
-    """Every fourth scene becomes an epilogue; the edits with an unknown type do nothing."""
-    typed = sections.withColumn("content_type", F.lit("chapter"))
-    edits = sections.where("kind = 'scene' AND position % 2 = 0").select("book_id", "section_id", F.when(F.col("position") % 4 == 0, "epilogue").otherwise("nonsense").alias("content_type"))
-    return sx.change_content_type(typed, edits, ["chapter", "epilogue"]).select("section_id", "content_type")
+    """Some scenes become epilogues; the edits with an unknown type do nothing."""
+    edits = sections.where("kind = 'scene' AND position % 20 = 4").select("book_id", "section_id", F.when(F.expr(_E3), "epilogue").otherwise("nonsense").alias("content_type"))
+    return shown(sx.change_content_type(sections, edits, ["chapter", "epilogue"]))
 
 
 @query("E4_reorder_section", "sections", sql=f"""
-WITH {_ORDERED}, n AS (SELECT *, count(*) FILTER (status = 'active') OVER (PARTITION BY book_id, parent_id) AS n FROM o),
-m AS (SELECT *, kind = 'scene' AND position = 1 AND status = 'active' AND n > 1 AS moved FROM n)
-SELECT section_id, parent_id, CASE WHEN moved THEN n WHEN bool_or(moved) OVER w AND status = 'active' THEN position - 1 ELSE position END AS position, title, status, analysis_valid,
-  CASE WHEN bool_or(moved) OVER w AND status = 'active' THEN FALSE ELSE render_valid END AS render_valid FROM m WINDOW w AS (PARTITION BY book_id, parent_id)""")
+WITH n AS (SELECT *, count(*) FILTER (status = 'active') OVER (PARTITION BY book_id, parent_id) AS n, row_number() OVER (PARTITION BY book_id, parent_id, status = 'active' ORDER BY position, section_id) AS rn FROM sections),
+m AS (SELECT *, kind = 'scene' AND rn = 1 AND status = 'active' AND n > 1 AND structure_version < 3 AS moved FROM n),
+g AS (SELECT *, status = 'active' AND bool_or(moved) OVER (PARTITION BY book_id, parent_id) AS touched FROM m)
+{changed("g", position="CASE WHEN touched THEN CASE WHEN moved THEN n ELSE rn - 1 END ELSE position END", render_valid="render_valid AND NOT touched", approval="CASE WHEN touched THEN 'stale' ELSE approval END", structure_version=version("moved"))}""")
 def e4(sections: DataFrame) -> DataFrame:
-    """The first scene of each chapter goes to the end."""
+    """The first scene of each chapter of some books goes to the end."""
     from pyspark.sql import Window
 
     ordered = sx.normalize_sibling_order(sections)
     n = F.sum((F.col("status") == "active").cast("long")).over(Window.partitionBy("book_id", "parent_id"))
-    first = ordered.withColumn("n", n).where("kind = 'scene' AND status = 'active' AND position = 1 AND n > 1")
+    first = ordered.withColumn("n", n).where("kind = 'scene' AND status = 'active' AND position = 1 AND n > 1 AND structure_version < 3")
     return shown(sx.reorder_sections(sections, first.select("book_id", "section_id", F.lit(1_000_000).alias("order"))))
 
 
+_E5 = "kind = 'chapter' AND section_id LIKE '%3'"
+
+
 @query("E5_remove_section", "sections", sql=f"""
-WITH d AS (SELECT s.* , coalesce(s.section_id LIKE '%3' AND s.kind = 'chapter', FALSE) OR coalesce(p.section_id LIKE '%3' AND p.kind = 'chapter', FALSE) AS gone FROM sections s LEFT JOIN sections p ON s.parent_id = p.section_id),
-g AS (SELECT * EXCLUDE (gone) REPLACE (CASE WHEN gone THEN 'deleted' ELSE status END AS status, analysis_valid AND NOT gone AS analysis_valid, render_valid AND NOT gone AS render_valid) FROM d),
-{_ORDERED.replace("FROM sections", "FROM g")} SELECT {COLUMNS} FROM o""")
+WITH named AS (SELECT section_id, parent_id FROM sections WHERE {_E5}),
+g AS (SELECT *, section_id IN (SELECT section_id FROM named) OR coalesce(parent_id IN (SELECT section_id FROM named), FALSE) AS gone FROM sections),
+d AS (SELECT * REPLACE (CASE WHEN gone THEN 'deleted' ELSE status END AS status) FROM g)
+{changed("d", position=renumbered("SELECT parent_id FROM named"), structure_version=version(_E5), **invalid("gone"))}""")
 def e5(sections: DataFrame) -> DataFrame:
-    gone = sections.where("kind = 'chapter' AND section_id LIKE '%3'").select("book_id", "section_id")
-    return shown(sx.remove_sections(sections, gone))
+    return shown(sx.remove_sections(sections, sections.where(_E5).select("book_id", "section_id")))
 
 
 @query("E6_merge_sections", "sections", sql=f"""
-WITH {_ORDERED}, e AS (SELECT book_id, parent_id, list(section_id ORDER BY position) AS ids FROM o WHERE kind = 'chapter' AND status = 'active' AND position <= 2 GROUP BY ALL HAVING count(*) = 2),
-n AS (SELECT *, 'sec_merge_v7_' || sha1(array_to_string(ids, '|'))[1:12] AS new_id FROM e), s AS (SELECT new_id, unnest(ids) AS section_id FROM n),
-d AS (SELECT o.section_id, coalesce(p.new_id, o.parent_id) AS parent_id, o.book_id, position, title, CASE WHEN s.new_id IS NULL THEN status ELSE 'merged' END AS status,
-        analysis_valid AND s.new_id IS NULL AND p.new_id IS NULL AS analysis_valid, render_valid AND s.new_id IS NULL AND p.new_id IS NULL AS render_valid
-      FROM o LEFT JOIN s USING (section_id) LEFT JOIN s p ON o.parent_id = p.section_id
-      UNION ALL SELECT new_id, parent_id, book_id, 1, 'joined', 'active', FALSE, FALSE FROM n)
-SELECT section_id, parent_id, CASE WHEN status = 'active' THEN row_number() OVER (PARTITION BY book_id, parent_id, status = 'active' ORDER BY position, section_id) ELSE position END AS position, title, status, analysis_valid, render_valid FROM d""")
+WITH o AS (SELECT *, row_number() OVER (PARTITION BY book_id, parent_id ORDER BY position, section_id) AS rn FROM sections WHERE kind = 'chapter' AND status = 'active'),
+e AS (SELECT book_id, parent_id, structure_version, list(section_id ORDER BY rn) AS ids, string_agg(title, ' / ' ORDER BY rn) AS titles, string_agg(text_hash, '|' ORDER BY rn) AS hashes, min(position) AS position
+      FROM o WHERE rn <= 2 GROUP BY ALL HAVING count(*) = 2),
+n AS (SELECT *, 'sec_merge_v' || (structure_version + 1) || '_' || sha1(array_to_string(ids, '|'))[1:12] AS new_id FROM e), s AS (SELECT new_id, unnest(ids) AS section_id FROM n),
+d AS (SELECT x.* REPLACE (coalesce(p.new_id, x.parent_id) AS parent_id, CASE WHEN s.new_id IS NULL THEN status ELSE 'merged' END AS status,
+               CASE WHEN p.new_id IS NULL THEN position ELSE row_number() OVER (PARTITION BY p.new_id ORDER BY position, x.section_id) END AS position),
+             s.new_id IS NOT NULL OR p.new_id IS NOT NULL AS hit
+      FROM sections x LEFT JOIN s ON x.section_id = s.section_id LEFT JOIN s p ON x.parent_id = p.section_id),
+u AS (SELECT * FROM d UNION ALL BY NAME
+      SELECT new_id AS section_id, parent_id, book_id, 'chapter' AS kind, position, CASE WHEN structure_version = 2 THEN titles ELSE 'joined' END AS title, 'chapter' AS content_type,
+             'sha256:' || sha256(hashes) AS text_hash, 'active' AS status, FALSE AS analysis_valid, FALSE AS audio_valid, FALSE AS render_valid, 'stale' AS approval, structure_version, TRUE AS hit FROM n)
+{changed("u", position=renumbered("SELECT parent_id FROM n"), structure_version=version("hit"), **invalid("hit"))}""")
 def e6(sections: DataFrame) -> DataFrame:
-    """The first two chapters of each part become one; a merge of chapters that do not stand together does nothing."""
+    """The first two chapters of each part become one, in some books without a title of its own; a merge of chapters that do not stand together does nothing."""
     ordered = sx.normalize_sibling_order(sections).where("kind = 'chapter' AND status = 'active'")
     ids = F.transform(F.array_sort(F.collect_list(F.struct("position", "section_id"))), lambda x: x.section_id)
-    pairs = [ordered.where(F.col("position").isin(*p)).groupBy("book_id", "parent_id").agg(ids.alias("section_ids")).where(F.size("section_ids") == 2) for p in ((1, 2), (3, 5))]
-    edits = pairs[0].unionByName(pairs[1]).select("book_id", "section_ids", F.lit("joined").alias("title"))
-    return shown(sx.merge_sections(sections, edits, version=7))
+    pairs = [ordered.where(F.col("position").isin(*p)).groupBy("book_id", "parent_id", "structure_version").agg(ids.alias("section_ids")).where(F.size("section_ids") == 2) for p in ((1, 2), (3, 5))]
+    title = F.when(F.col("structure_version") != 2, "joined")
+    return shown(sx.merge_sections(sections, pairs[0].unionByName(pairs[1]).select("book_id", "section_ids", title.alias("title"))))
+
+
+_E7 = "kind = 'scene' AND status = 'active' AND position % 32 = 1"
 
 
 @query("E7_split_section", "sections", sql=f"""
-WITH e AS (SELECT * FROM sections WHERE kind = 'scene' AND status = 'active' AND position % 8 = 1),
-d AS (SELECT section_id, parent_id, book_id, position, position::DOUBLE AS k, title, CASE WHEN section_id IN (SELECT section_id FROM e) THEN 'split' ELSE status END AS status,
-        analysis_valid AND section_id NOT IN (SELECT section_id FROM e) AS analysis_valid, render_valid AND section_id NOT IN (SELECT section_id FROM e) AS render_valid FROM sections
-      UNION ALL SELECT 'sec_split_' || sha1(section_id || '|' || i || '|' || t)[1:12], parent_id, book_id, position, position + i / 1000.0, t, 'active', FALSE, FALSE FROM e, (VALUES (0, 'first'), (1, 'second')) v(i, t))
-SELECT section_id, parent_id, CASE WHEN status = 'active' THEN row_number() OVER (PARTITION BY book_id, parent_id, status = 'active' ORDER BY k, section_id) ELSE position END AS position, title, status, analysis_valid, render_valid FROM d""")
+WITH e AS (SELECT * FROM sections WHERE {_E7}),
+d AS (SELECT *, coalesce({_E7}, FALSE) AS hit FROM sections),
+u AS (SELECT * REPLACE (CASE WHEN hit THEN 'split' ELSE status END AS status) FROM d UNION ALL BY NAME
+      SELECT e.* REPLACE ('sec_split_v' || (structure_version + 1) || '_' || sha1(section_id || '|' || (position + i) || '|' || t)[1:12] AS section_id, t AS title, position + i AS position,
+                          'sha256:' || sha256(text_hash || ':' || t || ':' || (position + i)) AS text_hash), TRUE AS hit FROM e, (VALUES (0, 'first'), (1, 'second')) v(i, t))
+{changed("u", position=renumbered("SELECT parent_id FROM e"), structure_version=version("hit"), **invalid("hit"))}""")
 def e7(sections: DataFrame) -> DataFrame:
-    """Every eighth scene becomes two; edits of sections with children do nothing."""
-    hit = "(kind = 'scene' AND status = 'active' AND position % 8 = 1) OR kind = 'part'"
-    edits = sections.where(hit).select("book_id", "section_id", F.array(F.lit("first"), F.lit("second")).alias("titles"))
+    """Some scenes become two; edits of sections with children do nothing."""
+    edits = sections.where(f"({_E7}) OR kind = 'part'").select("book_id", "section_id", F.array(F.lit("first"), F.lit("second")).alias("titles"))
     return shown(sx.split_sections(sections, edits))
 
 
-@query("E8_outline", "sections")
+@query("E8_outline", "sections", sql="""
+WITH a AS (SELECT * FROM sections WHERE status = 'active')
+SELECT p.book_id, p.section_id AS part, c.section_id AS chapter, s.section_id AS scene,
+       CASE WHEN s.section_id IS NOT NULL THEN row_number() OVER (PARTITION BY c.section_id ORDER BY s.position, s.section_id) END::INTEGER AS place
+FROM a p LEFT JOIN a c ON c.parent_id = p.section_id AND c.kind = 'chapter' LEFT JOIN a s ON s.parent_id = c.section_id WHERE p.kind = 'part'""")
 def e8(sections: DataFrame) -> DataFrame:
-    return sx.outline(sections)
+    """The nested outlines, unfolded again to rows."""
+    parts = sx.outline(sections).select("book_id", F.explode("parts").alias("p"))
+    chapters = parts.select("book_id", F.col("p.section_id").alias("part"), F.explode_outer("p.chapters").alias("c"))
+    scenes = chapters.select("book_id", "part", F.col("c.section_id").alias("chapter"), F.posexplode_outer("c.scenes").alias("at", "s"))
+    return scenes.select("book_id", "part", "chapter", F.col("s.section_id").alias("scene"), (F.col("at") + 1).alias("place"))
 
 
 @query("E9_scene_text_of", "lines", "scenes", sql="""
@@ -161,12 +207,13 @@ def a21(sections: DataFrame) -> DataFrame:
 
 
 @query("P18_invalid_sections", "sections", sql="""
-SELECT section_id, concat_ws('|', CASE WHEN NOT analysis_valid THEN 'analysis' END, CASE WHEN NOT render_valid THEN 'render' END) AS wrong FROM sections WHERE status = 'active' AND NOT (analysis_valid AND render_valid)""")
+SELECT section_id, concat_ws('|', CASE WHEN NOT analysis_valid THEN 'analysis' END, CASE WHEN NOT audio_valid THEN 'audio' END, CASE WHEN NOT render_valid THEN 'render' END) AS wrong
+FROM sections WHERE status = 'active' AND NOT (analysis_valid AND audio_valid AND render_valid)""")
 def p18(sections: DataFrame) -> DataFrame:
     return sx.invalid_sections(sections).select("section_id", "wrong")
 
 
-@query("P18_structure_readiness", "sections", sql="SELECT book_id, bool_and(analysis_valid AND render_valid) AS ready, sum((NOT (analysis_valid AND render_valid))::INTEGER)::BIGINT AS invalid FROM sections WHERE status = 'active' GROUP BY book_id")
+@query("P18_structure_readiness", "sections", sql="SELECT book_id, bool_and(analysis_valid AND audio_valid AND render_valid) AS ready, sum((NOT (analysis_valid AND audio_valid AND render_valid))::INTEGER)::BIGINT AS invalid FROM sections WHERE status = 'active' GROUP BY book_id")
 def p18b(sections: DataFrame) -> DataFrame:
     return sx.structure_readiness(sections)
 
@@ -174,8 +221,8 @@ def p18b(sections: DataFrame) -> DataFrame:
 @query("E10_snapshot_history", "sections", sql="SELECT section_id, 1 AS structure_version FROM sections UNION ALL SELECT section_id, 2 FROM sections")
 def e10(sections: DataFrame) -> DataFrame:
     """A version that is saved twice is kept once."""
-    first = sections.withColumn("structure_version", F.lit(1))
-    second = sections.withColumn("structure_version", F.lit(2))
+    first = sections.withColumn("structure_version", F.lit(1).cast("long"))
+    second = sections.withColumn("structure_version", F.lit(2).cast("long"))
     history = sx.snapshot_history(sx.snapshot_history(first, second), second)
     return history.select("section_id", "structure_version")
 

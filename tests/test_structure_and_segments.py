@@ -1,5 +1,6 @@
 """Section edits, segmentation, readers and writers, streams."""
 
+import hashlib
 import io
 import zipfile
 
@@ -12,60 +13,93 @@ from sparkbooks.operators import segments as sg
 from sparkbooks.operators import structure as sx
 from sparkbooks.sources import files as fl
 
-SECTIONS = "section_id string, parent_id string, book_id string, kind string, position long, title string, status string, analysis_valid boolean, render_valid boolean"
+SECTIONS = """section_id string, parent_id string, book_id string, kind string, position long, title string, content_type string, text_hash string, status string,
+analysis_valid boolean, audio_valid boolean, render_valid boolean, approval string, structure_version long"""
 
 
 @pytest.fixture
 def tree(spark):
     rows = [("p1", None, "part", 1), ("p1_c1", "p1", "chapter", 1), ("p1_c2", "p1", "chapter", 2), ("p1_c3", "p1", "chapter", 3)]
     rows += [(f"p1_c{c}_s{s}", f"p1_c{c}", "scene", s) for c in (1, 2, 3) for s in (1, 2)]
-    return spark.createDataFrame([(i, p, "b", k, n, i, "active", True, True) for i, p, k, n in rows], SECTIONS)
+    return spark.createDataFrame([(i, p, b, k, n, i, k, f"h{i}", "active", True, True, True, "approved", 1) for b in ("b", "other") for i, p, k, n in rows], SECTIONS)
 
 
 def active(sections):
-    return {r.section_id: r for r in sections.collect() if r.status == "active"}
+    return {r.section_id: r for r in sections.collect() if r.status == "active" and r.book_id == "b"}
+
+
+def book(sections):
+    """The sections of the edited book, which has a new version, while the other stays as it was."""
+    rows = sections.collect()
+    assert {(r.book_id, r.structure_version) for r in rows} == {("b", 2), ("other", 1)}
+    assert all(r.approval == "approved" and r.render_valid for r in rows if r.book_id == "other")
+    return {r.section_id: r for r in rows if r.book_id == "b"}
+
+
+def state(row):
+    return (row.status, row.analysis_valid, row.audio_valid, row.render_valid, row.approval)
 
 
 def orders_hold(sections):
     by = {}
     for r in sections.collect():
         if r.status == "active":
-            by.setdefault(r.parent_id, []).append(r.position)
+            by.setdefault((r.book_id, r.parent_id), []).append(r.position)
     return all(sorted(x) == list(range(1, len(x) + 1)) for x in by.values())
 
 
+def edits_of(spark, rows, rest):
+    return spark.createDataFrame(rows, f"book_id string, section_id string, {rest}")
+
+
+def test_rename(spark, tree):
+    rows = book(sx.rename_sections(tree, edits_of(spark, [("b", "p1_c1", "Letter One"), ("other", "nowhere", "x")], "title string")))
+    assert rows["p1_c1"].title == "Letter One" and rows["p1_c1"].text_hash == "hp1_c1"
+    assert state(rows["p1_c1"]) == ("active", True, True, False, "stale") and state(rows["p1_c2"]) == ("active", True, True, True, "approved")
+
+
+def test_change_content_type(spark, tree):
+    edits = edits_of(spark, [("b", "p1_c3", "prologue"), ("other", "p1_c3", "nonsense")], "content_type string")
+    rows = book(sx.change_content_type(tree, edits, ["prologue", "chapter"]))
+    assert rows["p1_c3"].content_type == "prologue" and state(rows["p1_c3"]) == ("active", True, True, True, "stale")
+
+
 def test_reorder(spark, tree):
-    out = sx.reorder_sections(tree, spark.createDataFrame([("b", "p1_c3", 1)], "book_id string, section_id string, order int"))
-    rows = active(out)
-    assert [rows[f"p1_c{i}"].position for i in (1, 2, 3)] == [2, 3, 1] and not rows["p1_c1"].render_valid and rows["p1_c1_s1"].render_valid
-    assert orders_hold(out)
+    out = sx.reorder_sections(tree, edits_of(spark, [("b", "p1_c3", 1)], "order int"))
+    rows = book(out)
+    assert [rows[f"p1_c{i}"].position for i in (1, 2, 3)] == [2, 3, 1] and orders_hold(out)
+    assert {state(rows[f"p1_c{i}"]) for i in (1, 2, 3)} == {("active", True, True, False, "stale")} and state(rows["p1_c1_s1"])[-1] == "approved"
 
 
 def test_remove(spark, tree):
     out = sx.remove_sections(tree, spark.createDataFrame([("b", "p1_c1")], "book_id string, section_id string"))
     assert set(active(out)) == {"p1", "p1_c2", "p1_c3", "p1_c2_s1", "p1_c2_s2", "p1_c3_s1", "p1_c3_s2"} and orders_hold(out)
+    assert {state(book(out)[i]) for i in ("p1_c1", "p1_c1_s1", "p1_c1_s2")} == {("deleted", False, False, False, "stale")}
 
 
 def test_merge(spark, tree):
-    edits = spark.createDataFrame([("b", ["p1_c1", "p1_c2"], "both"), ("b", ["p1_c3", "p1_c1"], "no")], "book_id string, section_ids array<string>, title string")
-    out = sx.merge_sections(tree, edits, 4)
+    edits = spark.createDataFrame([("b", ["p1_c1", "p1_c2"], None), ("other", ["p1_c3", "p1_c1"], "no")], "book_id string, section_ids array<string>, title string")
+    out = sx.merge_sections(tree, edits)
     rows = active(out)
-    new = next(r for r in rows.values() if r.title == "both")
-    assert new.section_id.startswith("sec_merge_v4_") and new.position == 1 and rows["p1_c3"].position == 2
-    assert sorted(r.section_id for r in rows.values() if r.parent_id == new.section_id) == ["p1_c1_s1", "p1_c1_s2", "p1_c2_s1", "p1_c2_s2"]
-    assert orders_hold(out) and not any(r.title == "no" for r in rows.values())
+    new = next(r for r in rows.values() if r.title == "p1_c1 / p1_c2")
+    assert new.section_id.startswith("sec_merge_v2_") and new.position == 1 and rows["p1_c3"].position == 2
+    assert new.text_hash == "sha256:" + hashlib.sha256(b"hp1_c1|hp1_c2").hexdigest() and state(new) == ("active", False, False, False, "stale")
+    assert sorted((r.position, r.section_id) for r in rows.values() if r.parent_id == new.section_id) == list(enumerate(["p1_c1_s1", "p1_c2_s1", "p1_c1_s2", "p1_c2_s2"], 1))
+    assert orders_hold(out) and state(book(out)["p1_c1"]) == ("merged", False, False, False, "stale") and state(rows["p1_c2_s2"])[1:] == (False, False, False, "stale")
 
 
 def test_split(spark, tree):
-    edits = spark.createDataFrame([("b", "p1_c1_s1", ["x", "y"]), ("b", "p1_c1", ["x", "y"])], "book_id string, section_id string, titles array<string>")
+    edits = edits_of(spark, [("b", "p1_c1_s2", ["x", "y"]), ("b", "p1_c1", ["x", "y"]), ("other", "p1_c1_s1", ["only"])], "titles array<string>")
     out = sx.split_sections(tree, edits)
     rows = sorted((r for r in active(out).values() if r.parent_id == "p1_c1"), key=lambda r: r.position)
-    assert [r.title for r in rows] == ["x", "y", "p1_c1_s2"] and orders_hold(out) and "p1_c1" in active(out)
+    assert [r.title for r in rows] == ["p1_c1_s1", "x", "y"] and orders_hold(out) and "p1_c1" in active(out)
+    assert rows[1].section_id.startswith("sec_split_v2_") and rows[2].text_hash == "sha256:" + hashlib.sha256(b"hp1_c1_s2:y:3").hexdigest()
+    assert state(book(out)["p1_c1_s2"]) == ("split", False, False, False, "stale") and state(rows[2]) == ("active", False, False, False, "stale")
 
 
 def test_rollup(spark, tree):
     bad = tree.withColumn("analysis_valid", F.col("section_id") != "p1_c2_s2")
-    rows = {r.section_id: r.analysis_valid for r in sx.rollup_validity(bad).collect()}
+    rows = {r.section_id: r.analysis_valid for r in sx.rollup_validity(bad).collect() if r.book_id == "b"}
     assert rows["p1_c1"] and not rows["p1_c2"] and not rows["p1"]
 
 
