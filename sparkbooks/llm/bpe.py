@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkbooks.llm.shared import id_type
+from sparkbooks.llm.shared import id_type, small_batches
 
 #: Pre-tokens whose ids, and strings of bytes whose ranks, a task remembers, and the longest pre-token, in characters, that it remembers.
 REMEMBERED = 1 << 17
@@ -27,7 +27,7 @@ LONGEST = 64
 #: A rank file above this is not broadcast.
 MOST_BYTES = 64 << 20
 #: Characters of text in an output batch, about.
-BATCH = 4_000_000
+BATCH = 2_000_000
 
 
 class PerfectHash:
@@ -168,6 +168,7 @@ def encode(
     an empty one has no ids. Rows that repeat are encoded each; no rows give no rows; other columns are not looked at.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(Vocabulary(read_ranks(path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

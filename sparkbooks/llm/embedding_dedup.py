@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkbooks.llm.shared import components, written
+from sparkbooks.llm.shared import components, small_batches, written
 
 #: Vectors in a list that are aimed at, directions of each set that a vector is extreme on, and independent tables.
 LENGTH, TOP, TABLES = 32, 3, 3
@@ -256,6 +256,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     unless a component has no other, and is not kept. Rows that repeat an id are vectors of their own. No rows give no rows; other
     columns are not looked at.
     """
+    small_batches(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
     finite = F.expr("v IS NOT NULL AND forall(v, c -> coalesce(abs(c) < double('infinity'), false)) AND exists(v, c -> c != 0)")
     length = rows.where(finite).groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()

@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkbooks.llm.shared import id_type, power_of_two, same, written
+from sparkbooks.llm.shared import id_type, power_of_two, same, small_batches, written
 
 #: Distinct hashes in a bucket before it is split, cells of the first directory at most (beyond them buckets grow), levels that are counted at once.
 CAPACITY, CELLS, LEVELS = 4096, 1 << 15, 6
 #: Bytes of bodies, and rows, that a map task combines at a time; bytes of text that an owner task reads, about.
-HELD_BYTES, HELD_ROWS, OWNED = 8 << 20, 20_000, 64 << 20
+HELD_BYTES, HELD_ROWS, OWNED = 4 << 20, 20_000, 32 << 20
 
 _SPACES = b" \t\n\v\f\r"
 
@@ -139,6 +139,7 @@ def build_index(docs: DataFrame, id_col: str = "id", text_col: str = "text", cap
 
     A group has one row, a part, for each time that a map task passed it on. `key` is the hash: a poor one makes chains longer and changes no group.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), key(F.col(text_col)).cast("long").alias("h"), F.col(text_col).cast("string").alias("text"))
     keys = written(source.select("h", F.octet_length("text").alias("size")), "exact-keys")
     cells, first = directory(keys, capacity)

@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkbooks.llm.shared import components, id_type, written
+from sparkbooks.llm.shared import components, id_type, small_batches, written
 
 #: Sets below SMALL are ordered by counts over the whole hash space; larger ones over a 2^SAMPLED-th of it.
 SMALL, SAMPLED = 64, 2
 #: Bytes of text that are shingled at once, and shingles whose classes are counted by one task, about.
-CHUNK, COUNTED = 2 << 20, 400_000
+CHUNK, COUNTED = 2 << 20, 250_000
 #: Classes in a block and in a bin of small families; a class of more than UNIT shingles counts as several.
 BLOCK, UNIT = 600, 512
 #: A shingle is hot if at least HOT documents and a SHARE-th of all hold it; MOST_HOT are broadcast at most, and the rest are counted like others.
@@ -457,6 +457,7 @@ def jaccard_components(
     is never the smallest unless a component has no other; such a row still links others. Rows that repeat an id are documents
     of their own, of one component if their texts link. No rows give no rows; other columns are not looked at.
     """
+    small_batches(docs.sparkSession)
     found = written(classes(docs, id_col, text_col, n), "jaccard-sets")
     sets = found.where("n >= 0")
     known = sets.where("n > 0")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: Bytes 0x20 and 0x09 to 0x0D; a word is a run of anything else.
 SPACE = r"[\x20\x09-\x0D]"
+ROWS_AT_ONCE = 1000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -31,6 +32,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of ROWS_AT_ONCE where the session leaves Spark's own, larger number: texts can be long, and a batch is held
+    several times over by the JVM and by Python."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_AT_ONCE))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, and lost executors cost nothing."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkbooks.llm.shared import id_type
+from sparkbooks.llm.shared import id_type, small_batches
 
 #: Marks a pre-token's begin, where white space stood.
 BEGIN = "▁"
@@ -112,6 +112,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     texts have none of all. Texts are counted whole. Repeated rows are counted each; no rows give no rows; other columns are
     not looked at. The pieces are broadcast: their number does not depend on the data.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(piece_scores(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

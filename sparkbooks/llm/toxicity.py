@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkbooks.llm.shared import written
+from sparkbooks.llm.shared import small_batches, written
 
 #: Labelled rows of a class that are learned from at most: the first by the hash of their id.
 MOST_DOCS = 6000
@@ -41,7 +41,7 @@ STRENGTH = 3.0
 LONGEST, UNKNOWN = 40, 1 / 200
 #: What a task holds at most: counted strings before it passes them on, words whose ratio it remembers, characters of texts whose words
 #: are looked up together, and characters of words that are spelt at once. Together some tens of MB.
-HELD, REMEMBERED, CHUNK, BATCH = 150_000, 150_000, 1_000_000, 200_000
+HELD, REMEMBERED, CHUNK, BATCH = 120_000, 200_000, 1_000_000, 300_000
 #: Characters of counted words that a task holds before it passes them on: a run of word characters can be as long as a text.
 HELD_CHARACTERS = 8_000_000
 #: Texts that are turned into Python strings at once.
@@ -144,11 +144,18 @@ class Model:
             longer = np.zeros(len(codes), np.uint64)
             longer[n - 1 :] = extended(hashes[-1][n - 1 :], codes[: len(codes) - n + 1])
             hashes.append(longer)
-        at = np.flatnonzero(place >= SHARED)
-        lower = np.full(len(at), UNKNOWN)
-        for n in range(1, SHARED + 1):
-            found, known = self.shared.find(hashes[n][at])
-            lower[known] = self.shared.rows[found[known]]
+        # a step depends on the last ORDER characters, or on those from the word's begin on: each such string is looked up once
+        own = np.flatnonzero(place >= SHARED)
+        strings = hashes[ORDER][own]
+        for n in range(SHARED + 1, ORDER):
+            strings[place[own] == n - 1] = hashes[n][own[place[own] == n - 1]]
+        _, first, number = np.unique(strings, return_index=True, return_inverse=True)
+        at = own[first]
+        lower, unknown = np.full(len(at), UNKNOWN), np.arange(len(at))
+        for n in range(SHARED, 0, -1):
+            found, known = self.shared.find(hashes[n][at[unknown]])
+            lower[unknown[known]] = self.shared.rows[found[known]]
+            unknown = unknown[~known]
         both = np.stack([lower, lower])
         for n in range(SHARED + 1, ORDER + 1):
             long = np.flatnonzero(place[at] >= n - 1)
@@ -158,7 +165,7 @@ class Model:
             share = np.where(known, self.kept.rows[string].T if len(self.kept.rows) else 0.0, 0.0)
             both[:, long] = share + self.weight.rows[context].T * both[:, long]
         steps = np.zeros(len(codes))
-        steps[at] = np.log(both[1] / both[0])
+        steps[own] = np.log(both[1] / both[0])[number]
         return np.add.reduceat(steps, starts)
 
     def score(self, evidence: float) -> float:
@@ -358,6 +365,7 @@ def fit(
     Null ids and labels are not learned from; of rows that label an id more than once the larger label holds; equal texts of
     a class count once. Without a labelled row of one class the score is below one half (no toxic rows) or above (no ordinary rows).
     """
+    small_batches(docs.sparkSession)
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"))
     marks = marks.where("id IS NOT NULL AND toxic IN (0, 1)").where(~in_fold("id"))
     marks = marks.groupBy("id").agg(F.max("toxic").alias("toxic")).withColumn("place", F.md5(F.col("id").cast("string").cast("binary")))
@@ -379,6 +387,7 @@ def fit(
 
 def evidence_of(model: Model, curve: bool = False):
     """A column function from texts to their evidence or, with `curve`, their scores. Only the texts go to Python, and only numbers come back."""
+    small_batches(SparkSession.active())
     shared = SparkSession.active().sparkContext.broadcast(model)
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
