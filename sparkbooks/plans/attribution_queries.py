@@ -69,7 +69,14 @@ def w6(lines: DataFrame) -> DataFrame:
     return at.rule_ladder(segments.drop("segs"), roster)
 
 
-@query("A22_merge_dramatizations", "lines")
+@query("A22_merge_dramatizations", "lines", sql="""
+WITH a AS (SELECT scene_id, line_number AS n, lower(character) AS who, character, line_number AS anchor, substring(text, 1, 12) AS text,
+                  regexp_replace(lower(substring(text, 1, 12)), '[^\\p{L}\\p{N}\\p{M}_]+', '', 'g') AS said FROM lines),
+k AS (SELECT *, row_number() OVER (PARTITION BY scene_id, who, said ORDER BY n) AS nth FROM a)
+SELECT scene_id, 1 AS round, n, character, anchor, 'gasp' AS kind, text FROM k WHERE nth = 1
+UNION ALL
+SELECT scene_id, 2, n, character, anchor, 'gasp', text || ' more' FROM k WHERE nth > 1 AND n % 2 = 1
+  AND n = (SELECT min(b.n) FROM k b WHERE b.scene_id = k.scene_id AND b.who = k.who AND b.said = k.said AND b.nth > 1 AND b.n % 2 = 1)""")
 def a22(lines: DataFrame) -> DataFrame:
     """Two rounds of inserts, of which the second repeats some of the first."""
     first = lines.select("scene_id", F.lit(1).alias("round"), F.col("line_number").alias("n"), "character", F.col("line_number").alias("anchor"), F.lit("gasp").alias("kind"), F.substring("text", 1, 12).alias("text"))
@@ -93,10 +100,18 @@ def v11(documents: DataFrame) -> DataFrame:
     return at.spot_foley(rows)
 
 
+# The forms of verbs of speech, written out once more for the SQL.
+VERBS = (
+    "say|said|saying|says|ask|asked|asking|asks|tell|told|telling|tells|reply|replied|replying|replies|shout|shouted|shouting|shouts|whisper|whispered|whispering|whispers|"
+    "cry|cried|crying|cries|explain|explained|explaining|explains|mutter|muttered|muttering|mutters|state|stated|stating|states|exclaim|exclaimed|exclaiming|exclaims|"
+    "respond|responded|responding|responds|remark|remarked|remarking|remarks|call|called|calling|calls|murmur|murmured|murmuring|murmurs|gasp|gasped|gasping|gasps"
+)
+
+
 @query(
     "V20_route_confidence", "lines",
-    sql="""SELECT line_id, CASE WHEN contains(lower(text), lower(character)) AND regexp_matches(text, '(?i)\\b(said|asked|replied|answered|cried|shouted|whispered|called|exclaimed|added|continued|muttered|remarked)\\b') THEN 0.95::DOUBLE
-             WHEN contains(lower(text), lower(character)) THEN 0.7 ELSE 0.5 END AS confidence, NOT (contains(lower(text), lower(character)) AND regexp_matches(text, '(?i)\\b(said|asked|replied|answered|cried|shouted|whispered|called|exclaimed|added|continued|muttered|remarked)\\b')) AS queued
+    sql=f"""SELECT line_id, CASE WHEN contains(lower(text), lower(character)) AND regexp_matches(text, '(?i)\\b({VERBS})\\b') THEN 0.95::DOUBLE
+             WHEN contains(lower(text), lower(character)) THEN 0.7 ELSE 0.5 END AS confidence, NOT (contains(lower(text), lower(character)) AND regexp_matches(text, '(?i)\\b({VERBS})\\b')) AS queued
            FROM lines WHERE segment_type = 'dialogue'""",
 )
 def v20(lines: DataFrame) -> DataFrame:

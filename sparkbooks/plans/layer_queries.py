@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkbooks.operators import catalog as ct
 from sparkbooks.operators import layers as ly
 from sparkbooks.operators import lines as ln
 from sparkbooks.plans.registry import query
@@ -79,9 +80,27 @@ def j8(lines: DataFrame) -> DataFrame:
 )
 def j9(lines: DataFrame, scenes: DataFrame, overrides: DataFrame) -> DataFrame:
     """Each scene with what belongs to it from the tables beside it."""
-    marked = lines.join(overrides.select("book_id", "line_id", F.lit(1).alias("o")), ["book_id", "line_id"], "left")
-    per = marked.groupBy("book_id", "scene_id").agg(F.count("*").alias("lines"), F.count("o").alias("overridden"))
-    return scenes.join(per, ["book_id", "scene_id"], "left").select("scene_id", "omit", F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("overridden", F.lit(0)).alias("overridden"))
+    return ct.scene_detail(scenes, lines, overrides).select("scene_id", "omit", "lines", "overridden")
+
+
+@query(
+    "J10_resolve_voice", "embeddings",
+    sql="""WITH e AS (SELECT vec_id, (vec_id // 20)::VARCHAR AS c, vec_id % 4 AS emotion, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+           q AS (SELECT * FROM e WHERE vec_id % 2 = 0), r AS (SELECT * FROM e WHERE vec_id % 3 = 0),
+           j AS (SELECT q.vec_id AS request_id, q.c AS character, q.emotion, r.vec_id AS ref, r.emotion AS r_emotion,
+                        CASE WHEN q.vec_id % 5 > 0 THEN list_inner_product(q.v, r.v) / sqrt(list_inner_product(q.v, q.v)) / sqrt(list_inner_product(r.v, r.v)) END AS s FROM q LEFT JOIN r ON q.c = r.c),
+           f AS (SELECT request_id, character, arg_min(ref, struct_pack(s := -s, p := ref)) FILTER (s > 0.65) AS nearest, min(ref) FILTER (emotion = r_emotion) AS exact FROM j GROUP BY request_id, character)
+           SELECT request_id, character, CASE WHEN character::BIGINT % 7 = 3 THEN 'narrator.wav' WHEN coalesce(nearest, exact) IS NOT NULL THEN 'ref' || coalesce(nearest, exact) ELSE 'default' || character END AS path,
+                  CASE WHEN character::BIGINT % 7 = 3 THEN 1.0::DOUBLE ELSE 0.9 END AS speed, CASE WHEN character::BIGINT % 7 = 3 THEN 0.0::DOUBLE ELSE 2.0 END AS pitch,
+                  CASE WHEN character::BIGINT % 7 = 3 THEN 'no drawer' WHEN nearest IS NOT NULL THEN 'nearest' WHEN exact IS NOT NULL THEN 'emotion' ELSE 'default' END AS rule FROM f""",
+)
+def j10(embeddings: DataFrame) -> DataFrame:
+    """Every 20 vectors belong to a character; those divisible by 3 are its references, and those by 2 its requests, some without a vector."""
+    named = embeddings.select("vec_id", F.expr("cast(vec_id div 20 as string)").alias("character"), (F.col("vec_id") % 4).alias("emotion"), F.col("embedding").alias("vector"))
+    requests = named.where("vec_id % 2 = 0").select(F.col("vec_id").alias("request_id"), "character", "emotion", F.when(F.col("vec_id") % 5 > 0, F.col("vector")).alias("vector"))
+    references = named.where("vec_id % 3 = 0").select("character", F.col("vec_id").alias("position"), "emotion", F.concat(F.lit("ref"), F.col("vec_id").cast("string")).alias("path"), "vector")
+    drawers = named.select("character").distinct().where("character % 7 != 3").select("character", F.concat(F.lit("default"), "character").alias("default_path"), F.lit(0.9).alias("speed"), F.lit(2.0).alias("pitch"))
+    return ct.resolve_voice(requests, drawers, references, "narrator.wav")
 
 
 @query(
@@ -91,9 +110,7 @@ def j9(lines: DataFrame, scenes: DataFrame, overrides: DataFrame) -> DataFrame:
 )
 def j11(lines: DataFrame) -> DataFrame:
     drawers = lines.sparkSession.createDataFrame([("Ada", 2.0, 1.1), ("Dov", -3.0, 0.9)], "character string, pitch double, speed double")
-    joined = lines.join(drawers, "character", "left")
-    pitch = F.round(F.pow(F.lit(2.0), F.coalesce("pitch", F.lit(0.0)) / 12), 9)
-    return joined.select("line_id", pitch.alias("pitch_modifier"), F.coalesce("speed", F.lit(1.0)).alias("speed_modifier"))
+    return ct.attach_performance(lines.select("line_id", "character"), drawers).select("line_id", F.round("pitch_modifier", 9).alias("pitch_modifier"), "speed_modifier")
 
 
 @query(
@@ -150,45 +167,46 @@ def j16(lines: DataFrame) -> DataFrame:
 @query("J17_new_sources", "documents", "labels", sql="SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def j17(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """What is there and not yet known: documents without a label."""
-    return documents.select("doc_id").join(labels, "doc_id", "left_anti")
+    return ct.missing_keys(documents.select("doc_id"), labels, "doc_id")
 
 
 @query("J18_missing_prompts", "part", "lineitem", sql="SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
 def j18(part: DataFrame, lineitem: DataFrame) -> DataFrame:
     """Required keys without a row that counts."""
-    return part.select("p_partkey").join(lineitem.where("l_quantity > 49"), F.col("p_partkey") == F.col("l_partkey"), "left_anti")
+    return ct.missing_keys(part.select("p_partkey"), lineitem.where("l_quantity > 49"), "p_partkey", "l_partkey")
 
 
 @query("J19_pair_common_files", "documents", "labels", sql="SELECT doc_id, n_chars, quality FROM documents JOIN labels USING (doc_id)")
 def j19(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    return documents.join(labels, "doc_id").select("doc_id", "n_chars", "quality")
+    return ct.pair_common(documents.select("doc_id", "n_chars"), labels.select("doc_id", "quality"), "doc_id")
 
 
 @query(
     "J20_account_overview", "customer", "orders",
-    sql="""SELECT owner, kind, name FROM (SELECT c_custkey AS owner, 'account' AS kind, c_name AS name FROM customer UNION ALL
-           SELECT o_custkey, 'render', o_orderkey::VARCHAR FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n <= 10)""",
+    sql="""SELECT owner, kind, name FROM (SELECT CASE WHEN c_custkey % 100 > 0 THEN c_custkey::VARCHAR ELSE 'local' END AS owner, 'account' AS kind, c_name AS name FROM customer UNION ALL
+           SELECT o_custkey::VARCHAR, 'render', o_orderkey::VARCHAR FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n <= 10)""",
 )
 def j20(customer: DataFrame, orders: DataFrame) -> DataFrame:
-    """Each owner's account and last ten orders, by kind."""
-    from sparkbooks.operators.stats import top_per_group
-
-    last = top_per_group(orders, "o_custkey", F.desc("o_orderdate"), F.desc("o_orderkey"), k=10)
-    a = customer.select(F.col("c_custkey").alias("owner"), F.lit("account").alias("kind"), F.col("c_name").alias("name"))
-    return a.unionByName(last.select(F.col("o_custkey").alias("owner"), F.lit("render").alias("kind"), F.col("o_orderkey").cast("string").alias("name")))
+    """Each owner's account and last ten orders, by kind; one account in a hundred has no owner."""
+    owner = F.when(F.col("c_custkey") % 100 > 0, F.col("c_custkey")).alias("owner")
+    renders = orders.select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("name"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("tie"))
+    return ct.account_overview({"account": customer.select(owner, F.col("c_name").alias("name"))}, renders)
 
 
 @query(
     "J21_changed_voice_lines", "lines",
-    sql="""SELECT line_id, sha1(character || '.wav|' || character || '|1.0')[1:8] AS fingerprint FROM lines WHERE character IN ('Ada', 'Dov')""",
+    sql="""SELECT line_id, sha1(character || '.wav|' || character || '|1.0|')[1:8] AS fingerprint FROM lines WHERE character IN ('Ada', 'Dov')""",
 )
 def j21(lines: DataFrame) -> DataFrame:
     """Lines whose speaker's voice fingerprint is not the cached one: the voices of two speakers have changed."""
-    speed = F.when(F.col("character").isin("Ada", "Dov"), F.lit("1.0")).otherwise(F.lit("0.9"))
-    mark = F.substring(F.sha1(F.concat_ws("|", F.concat("character", F.lit(".wav")), "character", speed).cast("binary")), 1, 8)
-    old = F.substring(F.sha1(F.concat_ws("|", F.concat("character", F.lit(".wav")), "character", F.lit("0.9")).cast("binary")), 1, 8)
-    cache = lines.select("line_id", old.alias("fingerprint"))
-    return lines.select("line_id", mark.alias("fingerprint")).join(cache, ["line_id", "fingerprint"], "left_anti")
+    speed = F.when(F.col("character").isin("Ada", "Dov"), "1.0").otherwise("0.9")
+
+    def mark(speed):
+        return ct.voice_fingerprint(F.concat("character", F.lit(".wav")), F.col("character"), speed, F.lit(None)).alias("fingerprint")
+
+    voices = lines.select("character").distinct().select("character", mark(speed))
+    cache = lines.select("line_id", mark(F.lit("0.9")))
+    return ct.changed_voice_lines(lines, voices, cache).select("line_id", "fingerprint")
 
 
 @query(
@@ -205,15 +223,21 @@ def p15(lines: DataFrame) -> DataFrame:
 
 @query("P16_omit_scenes", "lines", "scenes", sql="SELECT line_id FROM lines JOIN scenes USING (book_id, scene_id) WHERE NOT omit")
 def p16(lines: DataFrame, scenes: DataFrame) -> DataFrame:
-    return lines.join(scenes.where("omit"), ["book_id", "scene_id"], "left_anti").select("line_id")
+    return ct.omit_scenes(lines, scenes).select("line_id")
 
 
 @query(
-    "P19_valid_person_name", "lines",
-    sql="SELECT DISTINCT character AS name FROM lines WHERE length(character) > 1 AND lower(character) NOT IN ('he', 'she', 'they', 'narrator')",
+    "P19_valid_person_name", "documents",
+    sql="""WITH w AS (SELECT DISTINCT unnest(string_split(text[1:400], ' ')) AS name FROM documents UNION SELECT 'Mrs. Rabbit' UNION SELECT ' himself '), t AS (SELECT name, regexp_replace(name, '^\\s+|\\s+$', '', 'g') AS o FROM w)
+           SELECT name FROM t WHERE length(o) > 1 AND lower(o) NOT IN ('he', 'him', 'his', 'himself', 'she', 'her', 'hers', 'herself', 'it', 'its', 'itself', 'they', 'them', 'their', 'theirs', 'themselves',
+             'i', 'me', 'my', 'mine', 'myself', 'you', 'your', 'yours', 'yourself', 'we', 'us', 'our', 'ours', 'ourselves')
+             AND (regexp_matches(o, '\\s') OR (regexp_full_match(o, '[A-Za-z]+') AND lower(o) NOT IN ('down', 'up', 'left', 'right', 'chapter', 'book', 'title', 'author', 'release')))""",
 )
-def p19(lines: DataFrame) -> DataFrame:
-    return lines.select(F.col("character").alias("name")).distinct().where((F.length("name") > 1) & ~F.lower("name").isin("he", "she", "they", "narrator"))
+def p19(documents: DataFrame) -> DataFrame:
+    """The first words of documents, and two names, as found names."""
+    found = documents.select(F.explode(F.split(F.substring("text", 1, 400), " ")).alias("name"))
+    some = documents.select(F.explode(F.array(F.lit("Mrs. Rabbit"), F.lit(" himself "))).alias("name"))
+    return found.unionByName(some).distinct().where(ct.valid_person_name(F.col("name")))
 
 
 @query(
@@ -249,16 +273,15 @@ def v10(lines: DataFrame) -> DataFrame:
 
 @query("U1_union_rosters", "lines", "overrides", sql="SELECT book_id, character FROM lines UNION SELECT book_id, character FROM overrides")
 def u1(lines: DataFrame, overrides: DataFrame) -> DataFrame:
-    return lines.select("book_id", "character").unionByName(overrides.select("book_id", "character")).distinct()
+    return ct.union_rosters(lines.select("book_id", "character"), overrides.select("book_id", "character"))
 
 
 @query(
     "U2_set_scoring", "documents", "labels",
-    sql="SELECT 'both' AS part, doc_id FROM (SELECT doc_id FROM documents WHERE n_chars > 1500 INTERSECT SELECT doc_id FROM labels WHERE quality = 1) UNION ALL SELECT 'only', doc_id FROM (SELECT doc_id FROM documents WHERE n_chars > 1500 EXCEPT SELECT doc_id FROM labels WHERE quality = 1)",
+    sql="SELECT 'both' AS part, doc_id FROM (SELECT doc_id FROM documents WHERE n_chars > 1500 INTERSECT SELECT doc_id FROM labels WHERE quality = 1) UNION ALL SELECT 'only_found', doc_id FROM (SELECT doc_id FROM documents WHERE n_chars > 1500 EXCEPT SELECT doc_id FROM labels WHERE quality = 1) UNION ALL SELECT 'only_gold', doc_id FROM (SELECT doc_id FROM labels WHERE quality = 1 EXCEPT SELECT doc_id FROM documents WHERE n_chars > 1500)",
 )
 def u2(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    a, b = documents.where("n_chars > 1500").select("doc_id"), labels.where("quality = 1").select("doc_id")
-    return a.intersect(b).select(F.lit("both").alias("part"), "doc_id").unionByName(a.exceptAll(b).distinct().select(F.lit("only").alias("part"), "doc_id"))
+    return ct.set_parts(documents.where("n_chars > 1500").select("doc_id"), labels.where("quality = 1").select("doc_id"))
 
 
 @query(
@@ -267,7 +290,7 @@ def u2(documents: DataFrame, labels: DataFrame) -> DataFrame:
 )
 def u3(documents: DataFrame) -> DataFrame:
     keyed = documents.select("doc_id", F.md5(F.lower("text").cast("binary")).alias("k"))
-    return keyed.groupBy("k").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    return ct.first_seen(keyed, F.col("k"), "doc_id").select("doc_id")
 
 
 @query(
@@ -287,9 +310,7 @@ def u4(documents: DataFrame) -> DataFrame:
     sql="SELECT scene_id, line_id FROM (SELECT scene_id, line_id, row_number() OVER (PARTITION BY scene_id ORDER BY line_number) AS n FROM lines WHERE segment_type = 'dialogue') WHERE n <= 2",
 )
 def k4(lines: DataFrame) -> DataFrame:
-    from sparkbooks.operators.stats import top_per_group
-
-    return top_per_group(lines.where(SPOKEN), "scene_id", F.col("line_number"), k=2).select("scene_id", "line_id")
+    return ct.first_candidates(lines.where(SPOKEN), "scene_id", "line_number", k=2).select("scene_id", "line_id")
 
 
 @query(
@@ -305,7 +326,4 @@ def w5(lines: DataFrame) -> DataFrame:
     sql="SELECT line_id, coalesce(lag(character) OVER (PARTITION BY scene ORDER BY line_number) != character, TRUE) AS changed FROM lines",
 )
 def w10(lines: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    before = F.lag("character").over(Window.partitionBy("scene").orderBy("line_number"))
-    return lines.select("line_id", F.coalesce(before != F.col("character"), F.lit(True)).alias("changed"))
+    return ct.speaker_changes(lines, ["scene"]).select("line_id", "changed")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkbooks.operators import catalog as ct
 from sparkbooks.operators import production as pr
 from sparkbooks.plans.registry import query
 
@@ -144,8 +145,7 @@ def a23(lineitem: DataFrame) -> DataFrame:
 )
 def a24(audit: DataFrame) -> DataFrame:
     """Mean latency of each provider by task, as columns, and calls."""
-    wide = audit.groupBy("provider").pivot("task", ["click", "view"]).agg(F.round(F.avg("latency_ms"), 6))
-    return wide.join(audit.groupBy("provider").agg(F.count("*").alias("n")), "provider")
+    return ct.model_comparison(audit, "provider", "task", "latency_ms", ["click", "view"]).select("provider", F.round("click", 6).alias("click"), F.round("view", 6).alias("view"), "n")
 
 
 @query(
@@ -153,10 +153,8 @@ def a24(audit: DataFrame) -> DataFrame:
     sql="""SELECT book_id, count(DISTINCT scene_id) AS scenes, TRUE AS has_lines, book_id IN (SELECT book_id FROM overrides) AS has_overrides FROM lines GROUP BY book_id""",
 )
 def a26(lines: DataFrame, overrides: DataFrame) -> DataFrame:
-    kinds = lines.select("book_id", F.lit("lines").alias("kind")).unionByName(overrides.select("book_id", F.lit("overrides").alias("kind"))).distinct()
-    wide = kinds.groupBy("book_id").pivot("kind", ["lines", "overrides"]).agg(F.count(F.lit(1)))
     scenes = lines.groupBy("book_id").agg(F.countDistinct("scene_id").alias("scenes"))
-    return scenes.join(wide, "book_id").select("book_id", "scenes", F.col("lines").isNotNull().alias("has_lines"), F.col("overrides").isNotNull().alias("has_overrides"))
+    return ct.book_inventory(scenes, {"lines": lines, "overrides": overrides})
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkbooks.functions.text import emotion
+from sparkbooks.operators import catalog as ct
 from sparkbooks.operators import proposals as pp
 from sparkbooks.plans.registry import query
 
@@ -66,6 +67,25 @@ def v12(lines: DataFrame) -> DataFrame:
     return pp.filter_music_events(events, lines, scene_texts(lines), ["scene_id"]).select("line_id")
 
 
+def proposals_of(lines: DataFrame) -> DataFrame:
+    """Proposals at each line, of which some are beyond the scene and some have words that are not there."""
+    n = F.col("line_number") % 3
+    words = F.concat(F.substring("text", 1, 30), F.when(F.col("line_number") % 2 == 0, " qqq zzz").otherwise(""))
+    return lines.select("scene_id", "line_id", (F.col("line_number") - 1 + F.when(n == 2, 1000).otherwise(0)).alias("anchor"), words.alias("words"))
+
+
+@query("V12_filter_stingers", "lines", sql=f"SELECT line_id FROM lines WHERE line_number % 3 != 2 AND line_number % 2 = 1 AND {_NORM.format('text[1:30]')} != ''")
+def v12c(lines: DataFrame) -> DataFrame:
+    return pp.filter_stingers(proposals_of(lines), lines, scene_texts(lines), ["scene_id"], "words").select("line_id")
+
+
+@query("V12_filter_moments", "lines", sql=f"SELECT line_id FROM lines WHERE line_number % 3 != 2 AND {_NORM.format('text')} != '' AND (line_number % 2 = 1 OR length({_NORM.format('text')}) >= 30)")
+def v12d(lines: DataFrame) -> DataFrame:
+    """Moments are known by the first 20 characters of their words, so words that are added behind them do no harm."""
+    longer = proposals_of(lines).join(lines.select("line_id", "text"), "line_id")
+    return pp.filter_moments(longer, lines, scene_texts(lines), ["scene_id"], "words", first=20).select("line_id")
+
+
 @query("V12_filter_sound_events", "lines")
 def v12b(lines: DataFrame) -> DataFrame:
     events = lines.select("scene_id", "line_id", (F.col("line_number") - 1).alias("anchor"), F.substring("text", 1, 40).alias("source_text"))
@@ -95,7 +115,19 @@ def v26(customer: DataFrame) -> DataFrame:
     return customer.select("c_custkey", pp.draft_description(name, F.lit("  "), F.col("c_mktsegment")).alias("text"))
 
 
-@query("V5_clip_qc", "embeddings")
+#: A quantile of a sorted list e in SQL.
+Q = "(e[floor((len(e) - 1) * {q})::INTEGER + 1] + (e[least(floor((len(e) - 1) * {q})::INTEGER + 2, len(e))] - e[floor((len(e) - 1) * {q})::INTEGER + 1]) * ((len(e) - 1) * {q} - floor((len(e) - 1) * {q})))"
+
+
+@query("V5_clip_qc", "embeddings", sql="""
+WITH c AS (SELECT vec_id, flatten(list_transform(range(800), lambda i: embedding)) AS x FROM embeddings),
+r AS (SELECT vec_id, len(x) AS n, len(list_filter(x, lambda v: abs(v) >= 0.99))::DOUBLE / len(x) AS clipped, sqrt(list_sum(list_transform(x, lambda v: v::DOUBLE * v::DOUBLE)) / len(x)) AS loud,
+        list_sort(list_filter(list_transform(range(len(x) // 661), lambda i: sqrt(list_sum(list_transform(x[i * 661 + 1:(i + 1) * 661], lambda v: v::DOUBLE * v::DOUBLE)) / 661)), lambda v: v > 0)) AS e FROM c),
+q AS (SELECT *, n / 22050.0 AS duration, CASE WHEN loud > 0 THEN 20 * log10(loud) ELSE -120 END AS rms, CASE WHEN n // 661 > 10 AND len(e) > 10 THEN 20 * log10(quantile_cont_of(e, 0.6) / quantile_cont_of(e, 0.1)) END AS snr FROM r),
+p AS (SELECT *, list_filter([CASE WHEN duration < 2 THEN 'too short' END, CASE WHEN duration > 25 THEN 'too long' END, CASE WHEN clipped > 0.001 THEN 'clipping' END,
+                             CASE WHEN rms < -45 THEN 'too quiet' END, CASE WHEN rms > -6 THEN 'too hot' END, CASE WHEN snr < 12 THEN 'noise' END], lambda x: x IS NOT NULL) AS problems FROM q)
+SELECT vec_id, round(duration, 2)::DOUBLE AS duration_s, round(rms, 1) AS rms_dbfs, CASE WHEN len(problems) > 0 THEN 'REJECT' WHEN coalesce(snr < 20, FALSE) OR rms < -35 THEN 'FLAG' ELSE 'PASS' END AS verdict,
+       array_to_string(problems, '|') AS problems FROM p""".replace("quantile_cont_of(e, 0.6)", Q.format(q=0.6)).replace("quantile_cont_of(e, 0.1)", Q.format(q=0.1)))
 def v5(embeddings: DataFrame) -> DataFrame:
     """Vectors, many times over, as samples."""
     clips = embeddings.select("vec_id", F.lit(22_050).alias("rate"), F.flatten(F.array_repeat("embedding", 800)).alias("samples"))
@@ -108,29 +140,27 @@ def g9(paragraphs: DataFrame) -> DataFrame:
 
 
 @query("K2_top_emotional_sentences", "documents", sql="""
-WITH s AS (SELECT doc_id, unnest(range(len(p))) AS pos, unnest(p) AS s FROM (SELECT doc_id, string_split(text, '.') AS p FROM documents)), c AS (SELECT doc_id, pos, length(s) - 40 AS score FROM s WHERE length(s) > 0)
-SELECT doc_id, pos::INTEGER AS pos, score::INTEGER AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY abs(score) DESC, pos)::INTEGER AS place FROM c) WHERE place <= 5""")
+WITH s AS (SELECT doc_id, unnest(range(len(p))) AS pos, unnest(p) AS s FROM (SELECT doc_id, string_split(text, '.') AS p FROM documents)), c AS (SELECT doc_id, pos, (length(s) - 40) / 100.0::DOUBLE AS polarity, (length(s) % 10) / 10.0::DOUBLE AS subjectivity FROM s WHERE length(s) > 0)
+SELECT doc_id, pos::INTEGER AS pos, polarity, place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY abs(polarity) DESC, pos)::INTEGER AS place FROM c WHERE abs(polarity) >= 0.1 AND subjectivity >= 0.3) WHERE place <= 5""")
 def k2(documents: DataFrame) -> DataFrame:
-    """The five sentences of a document that score farthest from zero; the score here is the length against forty."""
-    from sparkbooks.operators.stats import top_per_group
-
-    s = documents.select("doc_id", F.posexplode(F.split("text", r"\.")).alias("pos", "s")).where("s != ''").select("doc_id", "pos", (F.length("s") - 40).alias("score"))
-    return top_per_group(s, "doc_id", F.desc(F.abs("score")), F.col("pos"), k=5)
+    """The five sentences of a document that score farthest from zero; polarity and subjectivity here come from the length."""
+    s = documents.select("doc_id", F.posexplode(F.split("text", r"\.")).alias("pos", "s")).where("s != ''")
+    scored = s.select("doc_id", "pos", ((F.length("s") - 40) / 100.0).alias("polarity"), ((F.length("s") % 10) / 10.0).alias("subjectivity"))
+    return ct.top_emotional_sentences(scored, "doc_id").select("doc_id", "pos", "polarity", "place")
 
 
 @query("K6_latest_renders", "orders", sql="SELECT o_custkey, o_orderkey, place FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC)::INTEGER AS place FROM orders) WHERE place <= 10")
 def k6(orders: DataFrame) -> DataFrame:
-    from sparkbooks.operators.stats import top_per_group
-
-    return top_per_group(orders, "o_custkey", F.desc("o_orderdate"), F.desc("o_orderkey"), k=10).select("o_custkey", "o_orderkey", "place")
+    return ct.latest_renders(orders, "o_custkey", "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey", "place")
 
 
-@query("P21_clean_check_issues", "documents", sql="SELECT source, count(*) AS issues FROM documents, (VALUES ('page number'), ('tag')) v(t) WHERE doc_id % 2 = 0 GROUP BY source")
+@query("P21_clean_check_issues", "documents", sql="SELECT source, t AS issue_type, count(*) AS issues FROM documents, (VALUES ('page number'), ('tag')) v(t) WHERE doc_id % 2 = 0 GROUP BY ALL")
 def p21(documents: DataFrame) -> DataFrame:
-    """Issue lists as JSON, counted by source; answers that are no JSON have none."""
-    answer = F.when(F.col("doc_id") % 2 == 0, '{"is_clean": false, "issues": [{"issue_type": "page number"}, {"issue_type": "tag"}]}').otherwise("sorry")
-    parsed = F.from_json(answer, "is_clean boolean, issues array<struct<issue_type: string>>")
-    return documents.select("source", F.explode(parsed["issues"]).alias("i")).groupBy("source").agg(F.count("*").alias("issues"))
+    """Issue lists as JSON, some in a fence, counted by source and type; answers that are no JSON have none."""
+    found = '{"is_clean": false, "issues": [{"issue_type": "page number"}, {"issue_type": "tag", "detail": "x"}]}'
+    answer = F.when(F.col("doc_id") % 4 == 0, found).when(F.col("doc_id") % 2 == 0, f"```json\n{found}\n```").otherwise("sorry")
+    issues = ct.clean_check_issues(documents.select("source", answer.alias("answer")))
+    return issues.groupBy("source", "issue_type").agg(F.count("*").alias("issues"))
 
 
 @query("V16_generation_prompts", "lines", sql="""

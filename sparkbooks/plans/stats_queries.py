@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkbooks.functions import text as t
+from sparkbooks.operators import catalog as ct
 from sparkbooks.operators import lines as ln
 from sparkbooks.operators import stats as st
 from sparkbooks.plans.registry import query
@@ -75,7 +76,7 @@ def p13(documents: DataFrame) -> DataFrame:
 )
 def p17(lines: DataFrame) -> DataFrame:
     """Dialogue with at least three letters or digits."""
-    return lines.where("segment_type = 'dialogue'").where(F.length(F.regexp_replace("text", "[^A-Za-z0-9]", "")) >= 3).select("line_id")
+    return ct.attributable_dialogue(lines).select("line_id")
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkbooks.operators import catalog as ct
 from sparkbooks.operators import structure as sx
 from sparkbooks.plans.registry import query
 
@@ -56,15 +57,7 @@ SELECT 'sec_' || scene_id AS section_id, 'sec_' || regexp_extract(scene_id, '^(.
 FROM scenes JOIN (SELECT scene_id, string_agg(text, chr(10) || chr(10) ORDER BY line_number) AS t FROM lines GROUP BY scene_id) USING (scene_id)""")
 def e1(scenes: DataFrame, lines: DataFrame) -> DataFrame:
     """Sections for scenes: ids and parents from the scene's id, order in the chapter, and the hash of the text."""
-    from pyspark.sql import Window
-
-    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_number", "text"))), lambda x: x.text), "\n\n")
-    texts = lines.groupBy("scene_id").agg(ordered.alias("t"))
-    n = F.row_number().over(Window.partitionBy("book_id", "chapter").orderBy("scene"))
-    return scenes.join(texts, "scene_id").select(
-        F.concat(F.lit("sec_"), "scene_id").alias("section_id"), F.concat(F.lit("sec_"), F.regexp_extract("scene_id", "^(.*)_s[^_]*$", 1)).alias("parent_id"),
-        n.alias("position"), F.concat(F.lit("Scene "), n.cast("string")).alias("title"), F.concat(F.lit("sha256:"), F.sha2("t", 256)).alias("text_hash"),
-    )
+    return ct.sections_from_scenes(scenes, lines).drop("book_id")
 
 
 _E2 = "kind = 'chapter' AND structure_version = 1"
@@ -169,22 +162,27 @@ def e8(sections: DataFrame) -> DataFrame:
 @query("E9_scene_text_of", "lines", "scenes", sql="""
 SELECT chapter, string_agg(t, chr(10) || chr(10) ORDER BY scene) AS text FROM (SELECT chapter, scene, string_agg(text, ' ' ORDER BY line_number) AS t FROM lines GROUP BY ALL) GROUP BY chapter""")
 def e9(lines: DataFrame, scenes: DataFrame) -> DataFrame:
-    """The text of sections made from others: their sources' texts in order, a blank line between."""
-    def joined(order: str, text: str, by: str):
-        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), by)
-
-    own = lines.groupBy("scene_id").agg(joined("line_number", "text", " ").alias("t"))
-    made = scenes.groupBy("chapter").agg(F.collect_list(F.struct("scene", "scene_id")).alias("sources")).select("chapter", F.explode("sources").alias("s"))
-    return made.select("chapter", "s.scene", "s.scene_id").join(own, "scene_id").groupBy("chapter").agg(joined("scene", "t", "\n\n").alias("text"))
+    """The text of sections made from others, every chapter from its scenes: the sources' texts in order, a blank line between."""
+    own = lines.groupBy(F.col("scene_id").alias("section_id")).agg(ct.ordered_text("line_number", "text", " ").alias("text"))
+    sources = F.transform(F.array_sort(F.collect_list(F.struct("scene", "scene_id"))), lambda x: x.scene_id)
+    made = scenes.groupBy(F.col("chapter").cast("string").alias("section_id")).agg(sources.alias("source_section_ids")).withColumn("text", F.lit(None).cast("string"))
+    return ct.scene_text_of(made, own).select(F.col("section_id").cast("long").alias("chapter"), "text")
 
 
 @query("E11_merge_scene_lines", "lines", sql="SELECT line_id, scene - scene % 2 AS scene, row_number() OVER (PARTITION BY book_id, scene - scene % 2 ORDER BY scene, line_number)::INTEGER AS line_number FROM lines")
 def e11(lines: DataFrame) -> DataFrame:
     """Each odd scene's lines move to the end of the scene before it."""
-    from pyspark.sql import Window
+    moves = lines.where("scene % 2 = 1").select("book_id", "scene", (F.col("scene") - 1).alias("into")).distinct()
+    return ct.merge_scene_lines(lines.select("book_id", "line_id", "scene", "line_number"), moves).select("line_id", "scene", "line_number")
+
 
-    to = F.col("scene") - F.col("scene") % 2
-    return lines.select("line_id", to.alias("scene"), F.row_number().over(Window.partitionBy("book_id", to).orderBy("scene", "line_number")).alias("line_number"))
+@query("E11_split_scene_lines", "lines", sql="""
+WITH s AS (SELECT *, CASE WHEN scene % 3 = 0 AND line_number >= 3 THEN scene_id || '_' || sha1(scene_id || '|' || first_value(line_id) OVER (PARTITION BY scene_id, line_number >= 3 ORDER BY line_number))[1:8] ELSE scene_id END AS new_id FROM lines)
+SELECT line_id, new_id AS scene_id, row_number() OVER (PARTITION BY book_id, new_id ORDER BY line_number)::INTEGER AS line_number FROM s""")
+def e11b(lines: DataFrame) -> DataFrame:
+    """Every third scene is cut before its third line; a cut before the first line does nothing."""
+    cuts = lines.where("(scene % 3 = 0 AND line_number = 3) OR (scene % 3 = 1 AND line_number = 1)")
+    return ct.split_scene_lines(lines, cuts).select("line_id", "scene_id", "line_number")
 
 
 @query("E13_upsert_by_key", "customer", "orders", sql="""

@@ -170,9 +170,36 @@ def test_rule_ladder(spark):
     segments = spark.createDataFrame([("b", 1, *r) for r in rows], "book_id string, scene long, par int, seg int, segment_type string, text string")
     roster = spark.createDataFrame([("b", "Ann"), ("b", "Bob")], "book_id string, name string")
     got = {(r.par, r.seg): (r.character, r.attribution_method) for r in at.rule_ladder(segments, roster).collect()}
-    assert got[0, 0] == ("Ann", "Direct Speech Verb") and got[1, 0][1] == got[2, 0][1] == "Speaker Lock Override"
+    assert got[0, 0] == ("Ann", "Direct Speech Verb (After)") and got[1, 0][1] == got[2, 0][1] == "Speaker Lock Override"
     assert got[3, 0] == ("Bob", "Context Entity Mention") and got[4, 0] == ("Bob", "Context Entity Mention")
-    assert got[0, 1][0] == "Narrator"
+    more = [(0, 0, "narrative", "Mr. Fox replied:"), (0, 1, "dialogue", "Hi"), (0, 2, "narrative", "said, and Ann ran"), (1, 0, "narrative", "Night."), (2, 0, "dialogue", "So"), (3, 0, "narrative", "Ann says"), (3, 1, "dialogue", "No"), (3, 2, "narrative", "Mr Fox told her")]
+    segments = spark.createDataFrame([("b", 1, *r) for r in more], segments.schema)
+    roster = spark.createDataFrame([("b", "Ann"), ("b", "Mr Fox")], "book_id string, name string")
+    got = {(r.par, r.seg): (r.character, r.attribution_method) for r in at.rule_ladder(segments, roster).collect()}
+    assert got[0, 1] == ("Mr Fox", "Direct Speech Verb (Before)") and got[3, 1] == ("Mr Fox", "Direct Speech Verb (After)")
+    assert got[2, 0] == ("Mr Fox", "Auto-Attributed (Single Active)")  # the paragraph of narration ended the lock
+    assert at.rule_ladder(segments.limit(0), roster).count() == 0
+
+
+def test_names(spark):
+    text = "His mother met Anna in Rome. Anna said Chapter Two. Mr. Fox and  Mr.  Fox saw King of Spain, the Mc Donald-Smith Old House. Well, Rome"
+    got = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(at.name_candidates(F.col("t")).alias("c")).collect()
+    assert got[1].c == got[2].c == []
+    found = [(c["name"], c.honorific, c.mid) for c in got[0].c]
+    assert found.count(("Mr. Fox", True, False)) == 2 and ("King of Spain", True, False) in found
+    assert ("Anna", False, True) in found and ("Anna", False, False) in found and ("Rome", False, True) in found
+    assert not any(n.split()[0] in ("His", "Chapter", "Well", "Mr") for n, h, _ in found if not h)
+
+
+def test_merges_and_names(spark):
+    names = spark.createDataFrame([("b", n) for n in ("Mr. McGregor", "Mrs. McGregor", "McGregor", "Peter Rabbit", "Peter Rabit", "Peter", "Benjamin", "Bunny")], "book_id string, name string")
+    known = spark.createDataFrame([("b", "Peter", "Peter Rabbit", False, 0.4), ("b", "Bunny", "Benjamin", True, 0.9)], "book_id string, original string, canonical string, yes boolean, confidence double")
+    got = {(r.original, r.canonical, r.status) for r in at.consolidate_characters(names, known).collect()}
+    assert got == {("Peter", "Peter Rabbit", "rejected"), ("Bunny", "Benjamin", "confirmed"), ("Peter Rabit", "Peter Rabbit", "pending")}
+    rounds = [("s", 1, 1, "Ann", 3, "gasp", "Oh!"), ("s", 1, 2, "Ann", 4, "gasp", "oh"), ("s", 2, 1, "ann", 3, "gasp", "New"), ("s", 2, 2, "Ann", 9, "sigh", "New"), ("t", 1, 1, "Ann", 3, "gasp", "Oh!")]
+    inserts = spark.createDataFrame(rounds, "scene_id string, round int, n int, character string, anchor int, kind string, text string")
+    kept = at.merge_rounds(inserts, ["scene_id"])
+    assert kept.columns == inserts.columns and sorted((r.scene_id, r.round, r.n) for r in kept.collect()) == [("s", 1, 1), ("s", 2, 2), ("t", 1, 1)]    assert got[0, 1][0] == "Narrator"
 
 
 def test_names(spark):
