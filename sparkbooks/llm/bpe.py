@@ -13,6 +13,7 @@ import base64
 import heapq
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
@@ -159,10 +160,16 @@ class _Memory(dict):
         return out
 
 
+def decoded_by(tokens: dict[int, bytes]) -> Callable[[bytes | None], bytes]:
+    """A function from ids, as encode() gives them, to the bytes that they stand for; null ids give none, unknown ids are an error."""
+    return lambda ids: b"".join(map(tokens.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
+
+
 def encode(
-    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False
 ) -> DataFrame:
-    """(id, ids): one row for each row of docs; ids are the text's token ids as little-endian 32-bit integers.
+    """(id, ids): one row for each row of docs; ids are the text's token ids as little-endian 32-bit integers. With `decoded` a column of that name
+    has the bytes that the ids are decoded to, in the same pass and by the same task, as decode() would give them.
 
     Each match of the pattern is encoded by itself; there are no special tokens. A null text counts as empty, and
     an empty one has no ids. Rows that repeat are encoded each; no rows give no rows; other columns are not looked at.
@@ -172,34 +179,39 @@ def encode(
     shared = spark.sparkContext.broadcast(Vocabulary(read_ranks(path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, pieces = _Memory(shared.value), regex.compile(pattern).findall
+        memory, pieces, back = _Memory(shared.value), regex.compile(pattern).findall, decoded_by(shared.value.by_id)
+
+        def part(ids: pa.Array, out: list[bytes]) -> pa.RecordBatch:
+            columns = {"id": ids, "ids": pa.array(out, pa.binary())}
+            if decoded:
+                columns["decoded"] = pa.array(map(back, out), pa.binary())
+            return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
         for batch in batches:
             begin, out, held = 0, [], 0
-            for at, text in enumerate(batch.column(1).to_pylist()):
-                out.append(b"".join(map(memory.__getitem__, pieces(text or ""))))
+            for at in range(batch.num_rows):
+                out.append(b"".join(map(memory.__getitem__, pieces(batch.column(1)[at].as_py() or ""))))
                 held += len(out[-1])
                 if held >= BATCH:
-                    yield pa.RecordBatch.from_arrays([batch.column(0)[begin : at + 1], pa.array(out, pa.binary())], ["id", "ids"])
+                    yield part(batch.column(0)[begin : at + 1], out)
                     begin, out, held = at + 1, [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([batch.column(0)[begin:], pa.array(out, pa.binary())], ["id", "ids"])
+                yield part(batch.column(0)[begin:], out)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    encoded = rows.mapInArrow(run, f"id {id_type(rows, 'id')}, ids binary")
+    encoded = rows.mapInArrow(run, f"id {id_type(rows, 'id')}, ids binary" + ", decoded binary" * decoded)
     return encoded.withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """encoded with the bytes that its ids stand for; null ids give no bytes. Unknown ids are an error."""
-    import numpy as np
-
     shared = encoded.sparkSession.sparkContext.broadcast(read_ranks(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = {i: t for t, i in shared.value.items()}
+        back = decoded_by({i: t for t, i in shared.value.items()})
         for batch in batches:
             at = batch.schema.get_field_index(ids_col)
-            out = [b"".join(map(tokens.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in batch.column(at).to_pylist()]
+            out = map(back, batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, out_col])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields]

@@ -37,7 +37,7 @@ def piece_file() -> str:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = rank_file()
-    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path))
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path, pattern, decoded=True))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

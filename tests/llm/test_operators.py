@@ -83,6 +83,8 @@ def test_bpe(spark, awkward, empty):
     want = sorted((str(i), known.encode_ordinary(t or ""), (t or "").encode()) for i, t, _ in texts(awkward))
     got = sorted((str(r.doc_id), np.frombuffer(r.ids, "<u4").tolist(), bytes(r.decoded)) for r in out.collect())
     assert got == want
+    both = bpe.encode(awkward, path, pattern, decoded=True)
+    assert sorted((str(r.doc_id), np.frombuffer(r.ids, "<u4").tolist(), bytes(r.decoded)) for r in both.collect()) == want
     assert bpe.digests(bpe.decode(bpe.encode(empty, path, pattern), path)).count() == 0
 
 
