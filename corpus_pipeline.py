@@ -59,7 +59,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row. A null text counts as empty, and has no tokens; repeated rows are encoded each; no
     rows give no rows; other columns are not looked at."""
     path, pattern = rank_file()
-    return bpe.digests(bpe.decode(bpe.encode(docs.select("doc_id", "text"), path, pattern), path))
+    return bpe.digests(bpe.encode(docs.select("doc_id", "text"), path, pattern, decoded=True))
 
 
 def held(docs: DataFrame, *columns: Column) -> DataFrame:
