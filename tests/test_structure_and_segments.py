@@ -172,7 +172,8 @@ def test_rule_ladder(spark):
     got = {(r.par, r.seg): (r.character, r.attribution_method) for r in at.rule_ladder(segments, roster).collect()}
     assert got[0, 0] == ("Ann", "Direct Speech Verb (After)") and got[1, 0][1] == got[2, 0][1] == "Speaker Lock Override"
     assert got[3, 0] == ("Bob", "Context Entity Mention") and got[4, 0] == ("Bob", "Context Entity Mention")
-    more = [(0, 0, "narrative", "Mr. Fox replied:"), (0, 1, "dialogue", "Hi"), (0, 2, "narrative", "said, and Ann ran"), (1, 0, "narrative", "Night."), (2, 0, "dialogue", "So"), (3, 0, "narrative", "Ann says"), (3, 1, "dialogue", "No"), (3, 2, "narrative", "Mr Fox told her")]
+    assert got[0, 1][0] == "Narrator"
+    more = [(0, 0, "narrative", "Mr. Fox replied then"), (0, 1, "dialogue", "Hi"), (0, 2, "narrative", "said, and Ann ran"), (1, 0, "narrative", "Night."), (2, 0, "dialogue", "So"), (3, 0, "narrative", "Ann says"), (3, 1, "dialogue", "No"), (3, 2, "narrative", "Mr Fox told her")]
     segments = spark.createDataFrame([("b", 1, *r) for r in more], segments.schema)
     roster = spark.createDataFrame([("b", "Ann"), ("b", "Mr Fox")], "book_id string, name string")
     got = {(r.par, r.seg): (r.character, r.attribution_method) for r in at.rule_ladder(segments, roster).collect()}
@@ -199,7 +200,7 @@ def test_merges_and_names(spark):
     rounds = [("s", 1, 1, "Ann", 3, "gasp", "Oh!"), ("s", 1, 2, "Ann", 4, "gasp", "oh"), ("s", 2, 1, "ann", 3, "gasp", "New"), ("s", 2, 2, "Ann", 9, "sigh", "New"), ("t", 1, 1, "Ann", 3, "gasp", "Oh!")]
     inserts = spark.createDataFrame(rounds, "scene_id string, round int, n int, character string, anchor int, kind string, text string")
     kept = at.merge_rounds(inserts, ["scene_id"])
-    assert kept.columns == inserts.columns and sorted((r.scene_id, r.round, r.n) for r in kept.collect()) == [("s", 1, 1), ("s", 2, 2), ("t", 1, 1)]    assert got[0, 1][0] == "Narrator"
+    assert kept.columns == inserts.columns and sorted((r.scene_id, r.round, r.n) for r in kept.collect()) == [("s", 1, 1), ("s", 2, 2), ("t", 1, 1)]
 
 
 def test_names(spark):
@@ -242,7 +243,16 @@ def test_readers(spark, tmp_path):
     body = "<p>" + "word " * 100 + "</p>"
     (tmp_path / "four.epub").write_bytes(epub([("cover.xhtml", body), ("x1.xhtml", f"<h1>First</h1>{body}"), ("x2.xhtml", f"<h1>CHAPTER 9</h1>{body}"), ("x3.xhtml", "<p>short</p>")]))
     texts = {r.book_id: r for r in fl.read_text_corpus(spark, str(tmp_path)).collect()}
-    assert texts["one"].text == "text é" and texts["two"].status == "skipped_empty"
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "one.txt").write_bytes(b"line\nother \xff")
+    (tmp_path / "bad.epub").write_bytes(b"nothing")
+    again = {r.book_id: r.text for r in fl.read_text_corpus(spark, str(tmp_path)).collect()}
+    assert again["sub/one"] == "line\nother \ufffd" and again["a/one"] == "text é"
+    books = {r.book_id: r.status for r in fl.read_epub_corpus(spark, str(tmp_path)).collect()}
+    assert books == {"four": "ok", "bad": "broken"}
+    (tmp_path / "bad.epub").unlink()
+    (tmp_path / "sub" / "one.txt").unlink()
+    assert texts["a/one"].text == "text é" and texts["a/two"].status == "skipped_empty"
     assert fl.read_docx_corpus(spark, str(tmp_path)).first().text == "p one\n\np two"
     text = fl.read_epub_corpus(spark, str(tmp_path)).first().text
     assert text.startswith("CHAPTER 1. First\n\nword") and "CHAPTER 9\n\n" in text and "short" not in text
@@ -254,6 +264,8 @@ def test_uploads(spark):
     rows = [
         ("a.txt", b"ok", None), ("b.txt", b"PK\x03\x04", "SPOOFED_EXTENSION"), ("c.txt", b"\xff\xfe\xff", "TEXT_DECODE_FAILED"), ("d.pdf", b"x", "UNSUPPORTED_FORMAT"),
         ("e.docx", docx(["x"]), None), ("f.docx", b"nope", "INVALID_DOCX"), ("g.epub", epub([("x.xhtml", body)]), None), ("h.epub", epub([]), "EMPTY_EPUB"),
+        ("l.txt", b" \n\t ", "MISSING_FILE"), ("m.txt", b"\x01\x02" * 20 + b"abc", "SPOOFED_EXTENSION"), ("n.epub", epub([("cover.xhtml", body)]), "EMPTY_EPUB"),
+        ("o.epub", epub([("x.xhtml", "<p>too short</p>")]), "EMPTY_EPUB"), ("p.TXT", b"ok", None), ("", b"x", "MISSING_FILE"), ("q.docx", epub([]), "INVALID_DOCX"),
         ("i.epub", b"nope", "INVALID_EPUB"), ("j.txt", None, "MISSING_FILE"), ("k.txt", b"x" * 200, "FILE_TOO_LARGE"),
     ]
     uploads = spark.createDataFrame([(n, c) for n, c, _ in rows], "filename string, content binary")
