@@ -18,15 +18,8 @@ def split_paragraphs(books: DataFrame, text_col: str = "text", style: str = "bla
     return books.select(*keep, F.posexplode(split).alias("par", "paragraph"))
 
 
-def _pieces(p: Column) -> Column:
-    """The paragraph cut at its quotes: pieces at odd places are dialogue. Without quotes that count it is one piece."""
-    contraction_free = r"(?<!\p{L})'|'(?!\p{L})"
-    singles = F.regexp_count(p, F.lit(contraction_free))
-    return (
-        F.when(p.contains('"'), F.split(p, '"'))
-        .when((singles > 0) & (singles % 2 == 0), F.split(p, contraction_free))
-        .otherwise(F.array(p))
-    )
+#: Single quotes that are no apostrophes within a word.
+SINGLE_QUOTE = r"(?<!\p{L})'|'(?!\p{L})"
 
 
 def quote_segments(paragraphs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -35,12 +28,17 @@ def quote_segments(paragraphs: DataFrame, text_col: str = "text") -> DataFrame:
     Double quotes delimit if there are any; else single ones, if those that are no apostrophes are even in number. An odd
     quote leaves what follows as dialogue. Segments lose white space and hyphens at their ends, but a paragraph without quotes keeps its hyphens.
     """
-    p = F.col(text_col)
-    pieces = _pieces(p)
+    p, pieces = F.col(text_col), F.col("__pieces")
+    # each step is a column of its own, so that no pattern is searched twice; single quotes are only counted where there are no double ones
+    double = F.contains(p, F.lit('"'))
+    cut = F.when(double, F.split(p, '"')).when((F.col("__singles") > 0) & (F.col("__singles") % 2 == 0), F.split(p, SINGLE_QUOTE)).otherwise(F.array(p))
+    counted = F.when(F.contains(p, F.lit("'")) & ~double, F.regexp_count(p, F.lit(SINGLE_QUOTE))).otherwise(0)
     trimmed = F.transform(pieces, lambda s, i: F.struct((i % 2 == 1).alias("d"), F.regexp_replace(s, r"(?U)^[\s-]+|[\s-]+$", "").alias("t")))
     whole = F.array(F.struct(F.lit(False).alias("d"), p.alias("t")))
     segments = F.when(F.size(pieces) > 1, F.filter(trimmed, lambda s: s.t != "")).when(strip(p) != "", whole)
-    out = paragraphs.select(*[c for c in paragraphs.columns if c != text_col], F.posexplode(segments).alias("seg", "s"), F.size(segments).alias("segs"))
+    keep = [c for c in paragraphs.columns if c != text_col]
+    out = paragraphs.withColumn("__singles", counted).withColumn("__pieces", cut).select(*keep, segments.alias("__segments"))
+    out = out.select(*keep, F.posexplode("__segments").alias("seg", "s"), F.size("__segments").alias("segs"))
     return out.select(
         *[c for c in paragraphs.columns if c != text_col],
         "seg",

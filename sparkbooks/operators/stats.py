@@ -39,10 +39,13 @@ def book_profile(books: DataFrame, id_col: str = "book_id", text_col: str = "tex
 
 def narration_pov(books: DataFrame, id_col: str = "book_id", text_col: str = "text") -> DataFrame:
     """First or third person by pronouns: first if over 15 and over a quarter of the third-person ones."""
-    tokens = books.select(id_col, F.explode(F.split(F.lower(text_col), r"\s+")).alias("w")).withColumn("w", F.regexp_replace("w", "[^a-z]", ""))
-    per = tokens.groupBy(id_col).agg(
-        F.sum(F.col("w").isin(*FIRST_PERSON).cast("long")).alias("first_person"), F.sum(F.col("w").isin(*THIRD_PERSON).cast("long")).alias("third_person")
-    )
+
+    def mentions(words: tuple[str, ...]) -> Column:
+        # a token counts as its letters alone, so anything but letters may stand around and between them
+        spelt = "|".join(r"[^a-z\s]*".join(w) for w in words)
+        return F.regexp_count(F.lower(text_col), F.lit(rf"(?<!\S)[^a-z\s]*(?:{spelt})[^a-z\s]*(?!\S)")).cast("long")
+
+    per = books.where(F.col(text_col).isNotNull()).select(id_col, mentions(FIRST_PERSON).alias("first_person"), mentions(THIRD_PERSON).alias("third_person"))
     first = (F.col("first_person") > 15) & (F.col("first_person") > F.col("third_person") * 0.25)
     return per.withColumn("pov", F.when(first, "First-Person").otherwise("Third-Person"))
 

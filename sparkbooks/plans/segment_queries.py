@@ -92,10 +92,14 @@ def g14(lines: DataFrame) -> DataFrame:
     return out.select("book_id", "n", "heading", F.length("text").cast("long").alias("chars"))
 
 
-@query("W8_min_gap_filter", "events")
+@query("W8_min_gap_filter", "events", sql="""
+WITH RECURSIVE k AS (
+  SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id
+  UNION ALL SELECT k.user_id, min(e.event_id) FROM k JOIN events e ON e.user_id = k.user_id AND e.event_id >= k.event_id + 60 GROUP BY k.user_id, k.event_id
+) SELECT user_id, event_id FROM k""")
 def w8(events: DataFrame) -> DataFrame:
-    """Each user's events that are at least 60,000 numbers apart."""
-    return events.groupBy("user_id").agg(F.collect_list("event_id").alias("e")).select("user_id", F.explode(sg.min_gap(F.col("e"), 60)).alias("event_id"))
+    """Each user's events whose numbers are at least 60 apart."""
+    return sg.min_gap_rows(events, "user_id", "event_id", 60)
 
 
 @query("P2_strip_boilerplate", "documents", sql="SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM documents")
@@ -120,12 +124,38 @@ def p5(documents: DataFrame) -> DataFrame:
     return found.select("doc_id", F.col("i.text").alias("note"), F.col("i.start").cast("long").alias("start"), sg.without_illustrations(F.col("t")).alias("text"))
 
 
-@query("P8_html_to_text", "pages")
+_SHOWN = "regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->|<[!?][^>]*>', '', 'g')"
+for _tag in ("script", "style", "title", "head"):
+    _SHOWN = f"regexp_replace({_SHOWN}, '(?is)<{_tag}\\b[^>]*>.*?</{_tag}\\s*>', '', 'g')"
+
+
+def _visible(x: str) -> str:
+    """Without tags, and with the references that the pages have."""
+    x = f"regexp_replace({x}, '(?s)</?[A-Za-z][^>]*>', '', 'g')"
+    for name, c in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        x = f"replace({x}, '&{name};', '{c}')"
+    return x
+
+
+#: Page texts, headings and whether there is a table of contents, as `t`.
+_PAGES = f"""
+WITH s AS (SELECT page_id, url, {_SHOWN} AS shown, regexp_matches(coalesce(html, ''), '(?is)<nav\\b[^>]*\\b(?:epub:type|role)\\s*=\\s*["'']?[^"''>]*toc') AS is_nav FROM pages),
+h AS (SELECT *, list_filter(regexp_extract_all(shown, '(?is)<(?:h1|h2|h3)\\b[^>]*>.*?</(?:h1|h2|h3)\\s*>'), lambda x: regexp_replace(x, '(?s)<[^>]*>|\\s|&nbsp;', '', 'g') != '')[1] AS own FROM s),
+b AS (SELECT *, CASE WHEN own IS NULL THEN shown ELSE shown[:instr(shown, own) - 1] || '<br>' || shown[instr(shown, own) + length(own):] END AS body FROM h),
+m AS (SELECT page_id, url, is_nav, trim(regexp_replace({_visible("own")}, '\\s+', ' ', 'g')) AS heading,
+             string_split({_visible("regexp_replace(body, '(?i)</?(?:p|div|h1|h2|h3|h4|h5|h6|li|blockquote|br|tr|section|article)\\b[^>]*>', chr(10) || chr(10), 'g')")}, chr(10)) AS lines FROM b),
+t AS (SELECT page_id, url, is_nav, heading, regexp_replace(regexp_replace(array_to_string(list_transform(lines, lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'))), chr(10)), '\\n\\n\\n+', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM m)
+"""
+
+
+@query("P8_html_to_text", "pages", sql=_PAGES + "SELECT page_id, text, heading, is_nav FROM t")
 def p8(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", sg.html_to_text(F.col("html")).alias("t")).select("page_id", "t.text", "t.heading", "t.is_nav")
 
 
-@query("P9_filter_spine_items", "pages")
+@query("P9_filter_spine_items", "pages", sql=_PAGES + f""", n AS (SELECT *, regexp_extract(url, '([^/]*)/?$', 1) AS name FROM t)
+SELECT page_id, name, heading, is_nav, CASE WHEN starts_with(lower(text), lower(heading)) THEN regexp_replace(text[length(heading) + 1:], '^\\s+|\\s+$', '', 'g') ELSE text END AS text FROM n
+WHERE NOT regexp_matches(name, '{sg.SKIPPED_NAMES}') AND NOT is_nav AND length(text) >= 300 AND NOT regexp_matches(lower(coalesce(heading, '') || ' ' || text[1:400]), '{sg.LICENCE}')""")
 def p9(pages: DataFrame) -> DataFrame:
     items = pages.select("page_id", F.regexp_extract("url", "([^/]*)/?$", 1).alias("name"), sg.html_to_text(F.col("html")).alias("t"))
     return sg.filter_spine_items(items.select("page_id", "name", "t.text", "t.heading", "t.is_nav"))
