@@ -84,7 +84,9 @@ def a22(lines: DataFrame) -> DataFrame:
     return at.merge_rounds(first.unionByName(second), ["scene_id"])
 
 
-@query("V22_word_error_rate", "lines")
+@query("V22_word_error_rate", "lines", sql="""
+WITH t AS (SELECT line_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x != '') AS w FROM lines)
+SELECT line_id, (len(w) // 7)::BIGINT AS errors, len(w)::BIGINT AS words, CASE WHEN len(w) > 0 THEN round((len(w) // 7)::DOUBLE / len(w), 6) ELSE 0 END AS wer FROM t""")
 def v22(lines: DataFrame) -> DataFrame:
     """Texts against themselves without each seventh word."""
     kept = F.array_join(F.filter(F.split("text", r"\s+"), lambda w, i: i % 7 != 6), " ")
@@ -118,7 +120,9 @@ def v20(lines: DataFrame) -> DataFrame:
     return at.route_confidence(lines)
 
 
-@query("V21_dialogue_sentences", "paragraphs")
+@query("V21_dialogue_sentences", "paragraphs", sql=f"""
+WITH s AS (SELECT book_id, unnest(range(len(l))) AS pos, unnest(l) AS sentence FROM (SELECT book_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS l FROM paragraphs))
+SELECT book_id, pos::INTEGER AS pos, sentence, regexp_extract(sentence, '"([^"]{{3,}})"', 1) AS quote, regexp_matches(sentence, '(?i)\\b(?:{VERBS})\\b') AS spoken FROM s WHERE regexp_matches(sentence, '"([^"]{{3,}})"')""")
 def v21(paragraphs: DataFrame) -> DataFrame:
     return at.dialogue_sentences(paragraphs, "book_id")
 

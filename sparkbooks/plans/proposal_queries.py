@@ -86,7 +86,10 @@ def v12d(lines: DataFrame) -> DataFrame:
     return pp.filter_moments(longer, lines, scene_texts(lines), ["scene_id"], "words", first=20).select("line_id")
 
 
-@query("V12_filter_sound_events", "lines")
+@query("V12_filter_sound_events", "lines", sql=f"""
+WITH e AS (SELECT scene_id, line_id, line_number, {_NORM.format('text[1:40]')} AS s FROM lines), t AS (SELECT scene_id, {_NORM.format("string_agg(text, ' ' ORDER BY line_number)")} AS scene, count(*) AS n FROM lines GROUP BY scene_id),
+d AS (SELECT scene_id, {_NORM.format('text')} AS said FROM lines WHERE segment_type = 'dialogue')
+SELECT line_id FROM e JOIN t USING (scene_id) WHERE line_number <= n AND s != '' AND contains(scene, trim(s[1:60])) AND NOT EXISTS (SELECT 1 FROM d WHERE d.scene_id = e.scene_id AND contains(said, s))""")
 def v12b(lines: DataFrame) -> DataFrame:
     events = lines.select("scene_id", "line_id", (F.col("line_number") - 1).alias("anchor"), F.substring("text", 1, 40).alias("source_text"))
     return pp.filter_sound_events(events, lines, scene_texts(lines), ["scene_id"]).select("line_id")
@@ -134,7 +137,14 @@ def v5(embeddings: DataFrame) -> DataFrame:
     return pp.clip_qc(clips).select("vec_id", F.round("duration_s", 2).alias("duration_s"), F.round("rms_dbfs", 1).alias("rms_dbfs"), "verdict", F.array_join("problems", "|").alias("problems"))
 
 
-@query("G9_quote_split_with_context", "paragraphs")
+@query("G9_quote_split_with_context", "paragraphs", sql="""
+WITH q AS (SELECT book_id, paragraph, text, regexp_extract_all(text, '["“]([^"”]+)["”]', 1) AS said, string_split(regexp_replace(text, '["“][^"”]+["”]', chr(1), 'g'), chr(1)) AS told FROM paragraphs),
+e AS (SELECT *, unnest(range(greatest(len(said), 1))) AS i FROM q),
+c AS (SELECT book_id, paragraph, i, CASE WHEN len(said) = 0 THEN '' ELSE trim(said[i + 1]) END AS dialogue,
+             CASE WHEN len(said) = 0 THEN text ELSE trim(regexp_replace(told[i + 1], '\\s+', ' ', 'g')) END AS narration_before,
+             CASE WHEN len(said) = 0 THEN '' ELSE trim(regexp_replace(told[i + 2], '\\s+', ' ', 'g')) END AS narration_after, len(said) = 0 AS none FROM e)
+SELECT book_id, paragraph, (row_number() OVER (PARTITION BY book_id, paragraph ORDER BY i) - 1)::INTEGER AS n, regexp_replace(dialogue, '^\\s+|\\s+$', '', 'g') AS dialogue, narration_before, narration_after
+FROM c WHERE none OR regexp_replace(dialogue, '\\s', '', 'g') != ''""")
 def g9(paragraphs: DataFrame) -> DataFrame:
     return pp.quotes_with_context(paragraphs)
 
@@ -177,7 +187,9 @@ def v16(lines: DataFrame) -> DataFrame:
     return pp.generation_prompts(directions, lines)
 
 
-@query("V15_filter_qc_flags", "lines")
+@query("V15_filter_qc_flags", "lines", sql=f"""
+WITH c AS (SELECT book_id, {_NORM.format("string_agg(text, chr(10) ORDER BY scene * 1000 + line_number)[1:14000]")} AS corpus FROM lines GROUP BY book_id), f AS (SELECT book_id, {_NORM.format("text[1:60]")} AS s FROM lines)
+SELECT book_id, 'major' AS severity, count(*) AS n FROM f JOIN c USING (book_id) WHERE s != '' AND contains(corpus, s[1:40]) GROUP BY book_id""")
 def v15(lines: DataFrame) -> DataFrame:
     """Flags of words of lines; those beyond the corpus, which is cut, are not found."""
     flags = lines.select("book_id", "line_id", F.substring("text", 1, 60).alias("snippet"), F.lit("major").alias("severity"))

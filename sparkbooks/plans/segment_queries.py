@@ -76,7 +76,15 @@ def g11(documents: DataFrame) -> DataFrame:
     return sg.boundary_chunks(documents.select("doc_id", "text"), size=1500, overlap=100)
 
 
-@query("G12_paragraph_windows", "documents")
+_PARAGRAPHS = """p AS (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS t FROM (
+  SELECT doc_id, list_filter(list_transform(string_split(text, {by}), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x != '') AS l FROM (SELECT doc_id, {text} AS text FROM documents)))"""
+
+
+@query("G12_paragraph_windows", "documents", sql=f"""
+WITH RECURSIVE {_PARAGRAPHS.format(by="chr(10) || chr(10)", text="regexp_replace(regexp_replace(text, '\\n', chr(10) || chr(10), 'g'), '\\r?\\n\\s*\\r?\\n', chr(10) || chr(10), 'g')")},
+r AS (SELECT doc_id, i, t, length(t) AS chars, 0 AS w FROM p WHERE i = 0
+      UNION ALL SELECT p.doc_id, p.i, p.t, CASE WHEN r.chars >= 500 THEN 0 ELSE r.chars END + length(p.t), r.w + (r.chars >= 500)::INTEGER FROM r JOIN p ON p.doc_id = r.doc_id AND p.i = r.i + 1)
+SELECT doc_id, w AS "window", string_agg(t, chr(10) || chr(10) ORDER BY i) AS text FROM r GROUP BY doc_id, w""")
 def g12(documents: DataFrame) -> DataFrame:
     text = F.regexp_replace("text", r"\n", "\n\n")
     return sg.paragraph_windows(documents.select("doc_id", text.alias("text")), most_chars=500)
@@ -102,17 +110,30 @@ def w8(events: DataFrame) -> DataFrame:
     return sg.min_gap_rows(events, "user_id", "event_id", 60)
 
 
-@query("P2_strip_boilerplate", "documents", sql="SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM documents")
+@query("P2_strip_boilerplate", "documents", sql="""
+SELECT doc_id, regexp_replace(CASE doc_id % 4 WHEN 3 THEN 'Kept header ' || doc_id || chr(10) || chr(10) ELSE '' END || regexp_replace(text, '^\\s+', ''), '^\\s+|\\s+$', '', 'g') || CASE doc_id % 4 WHEN 2 THEN chr(10) || 'Kept footer ' || doc_id ELSE '' END AS text FROM documents""")
 def p2(documents: DataFrame) -> DataFrame:
-    """Documents with a public-domain book's front and back matter put around them, which is taken off again."""
-    before = "Some header\n\n*** START OF THE PROJECT GUTENBERG EBOOK X ***\n\nProduced by a\nfew people\n\n"
-    wrapped = F.concat(F.lit(before), F.regexp_replace("text", r"^\s+", ""), F.lit("\n\n*** END OF THE PROJECT GUTENBERG EBOOK X ***\n\nlicence"))
+    """Documents with a public-domain book's front and back matter around them, or with one of the two, or with words in their place that stay."""
+    part, own = F.col("doc_id") % 4, F.col("doc_id").cast("string")
+    start = F.concat(F.lit("Header "), own, F.lit("\n\n*** START OF THE PROJECT GUTENBERG EBOOK "), own, F.lit(" ***\n\nProduced by a\nfew people\n\n"))
+    end = F.concat(F.lit("\n\n*** END OF THE PROJECT GUTENBERG EBOOK "), own, F.lit(" ***\n\nlicence"))
+    before = F.when(part == 3, F.concat(F.lit("Kept header "), own, F.lit("\n\n"))).when(part != 1, start).otherwise("")
+    after = F.when(part == 2, F.concat(F.lit("\nKept footer "), own)).otherwise(end)
+    body = F.regexp_replace("text", r"^\s+", "")
+    wrapped = F.concat(before, F.when(part == 2, F.regexp_replace(body, r"\s+$", "")).otherwise(body), after)
     return documents.select("doc_id", sg.strip_boilerplate(wrapped).alias("text"))
 
 
-@query("P3_cut_at_heading_guard", "documents", sql="SELECT doc_id, 'CHAPTER 1' || chr(10) || text AS text FROM documents")
+@query("P3_cut_at_heading_guard", "documents", sql="""
+SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'CHAPTER ' || doc_id || chr(10) || text WHEN doc_id % 5 = 1 THEN repeat('by someone' || chr(10) || chr(10), 13) || repeat('and more' || chr(10), 4) || 'CHAPTER 1' || chr(10) || 'end'
+  WHEN doc_id % 5 = 2 THEN 'BOOK II' || chr(10) || 'CHAPTER 1' || chr(10) || text ELSE 'by someone' || chr(10) || 'without a heading' END AS text FROM documents""")
 def p3(documents: DataFrame) -> DataFrame:
-    text = F.concat(F.lit("by someone\n\nwith pictures\n\nCHAPTER 1\n"), F.col("text"))
+    """Headings after three lines, after seventeen, which is too late, two of them, and none."""
+    part = F.col("doc_id") % 5
+    late = F.concat(F.repeat(F.lit("by someone\n\n"), 13), F.repeat(F.lit("and more\n"), 4), F.lit("CHAPTER 1\nend"))
+    early = F.concat(F.lit("by someone\n\nwith pictures\n\nCHAPTER "), F.col("doc_id").cast("string"), F.lit("\n"), "text")
+    two = F.concat(F.lit("by someone\n\n\nBOOK II\nCHAPTER 1\n"), "text")
+    text = F.when(part == 0, early).when(part == 1, late).when(part == 2, two).otherwise("by someone\nwithout a heading")
     return documents.select("doc_id", sg.cut_at_early_heading(text).alias("text"))
 
 
@@ -161,17 +182,29 @@ def p9(pages: DataFrame) -> DataFrame:
     return sg.filter_spine_items(items.select("page_id", "name", "t.text", "t.heading", "t.is_nav"))
 
 
-@query("P14_extract_header_metadata", "documents", sql="SELECT doc_id, 'Doc ' || doc_id AS title, source AS author, NULL::VARCHAR AS release_date FROM documents")
+@query("P14_extract_header_metadata", "documents", sql="""
+SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN 'Doc ' || doc_id END AS title, CASE WHEN doc_id % 4 > 0 THEN source END AS author, CASE WHEN doc_id % 5 = 0 THEN 'March ' || doc_id % 28 END AS release_date FROM documents""")
 def p14(documents: DataFrame) -> DataFrame:
-    head = F.concat(F.lit("Title: Doc "), F.col("doc_id").cast("string"), F.lit("\nAuthor:  "), "source", F.lit(" \n\n"), "text")
-    return documents.select("doc_id", sg.header_metadata(head).alias("m")).select("doc_id", "m.title", "m.author", "m.release_date")
+    """Headers with and without a title, an author and a date, in different orders; a name beyond the first 4,000 characters is none."""
+    own = F.col("doc_id").cast("string")
+    title = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("Title: Doc "), own, F.lit("\n"))).otherwise("")
+    author = F.when(F.col("doc_id") % 4 > 0, F.concat(F.lit("  AUTHOR:  "), "source", F.lit(" \n"))).otherwise("")
+    date = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("Release Date: March "), (F.col("doc_id") % 28).cast("string"), F.lit("\n"))).otherwise("")
+    head = F.when(F.col("doc_id") % 2 == 0, F.concat(title, author, date)).otherwise(F.concat(date, author, title))
+    text = F.concat(head, F.repeat(F.lit("x "), 2100), F.lit("\nTitle: too late\nAuthor: too late\nRelease Date: too late\n"))
+    return documents.select("doc_id", sg.header_metadata(text).alias("m")).select("doc_id", "m.title", "m.author", "m.release_date")
 
 
-@query("P4_density_story_start", "documents", sql="SELECT doc_id, 2::INTEGER AS line FROM documents")
+@query("P4_density_story_start", "documents", sql="SELECT doc_id, (2 + doc_id % 7 * 2)::INTEGER AS line FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, (4 + doc_id % 7 * 2)::INTEGER FROM documents WHERE doc_id % 3 = 1")
 def p4(documents: DataFrame) -> DataFrame:
-    """Documents with a title page, a heading and a first sentence put before them; the heading's line is found."""
-    front = "The Book\nPublished by someone in a town with a very long name, 1900\nCHAPTER ONE\n\nOnce there was a line that is long enough to begin a story with.\n"
-    return sg.story_starts(documents.select("doc_id", F.concat(F.lit(front), F.col("text")).alias("text")), "doc_id")
+    """Documents with a title page of as many credits as their id says; the story begins at its heading, or at its first sentence where there is none. Of a title page alone no
+    line is found."""
+    own = F.col("doc_id")
+    credits = F.repeat(F.lit("Printed and published by someone in a town with a very long name, 1900\nCopyright by the same people, who reserve all that there is to reserve\n"), (own % 7).cast("int"))
+    front = F.concat(F.lit("The Book\nPublished by someone in a town with a very long name, 1900\n"), credits)
+    story = F.lit("Once there was a line that is long enough to begin a story with.\n")
+    text = F.when(own % 3 == 0, F.concat(front, F.lit("CHAPTER ONE\n\n"), story)).when(own % 3 == 1, F.concat(front, F.lit("\n\n"), story)).otherwise(front)
+    return sg.story_starts(documents.select("doc_id", text.alias("text")), "doc_id")
 
 
 @query("G15_split_at_snippets", "lines")
