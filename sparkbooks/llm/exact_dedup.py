@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkbooks.llm.shared import id_type, power_of_two, same, small_batches, written
+from sparkbooks.llm.shared import id_type, power_of_two, small_batches, written
 
 #: Distinct hashes in a bucket before it is split, cells of the first directory at most (beyond them buckets grow), levels that are counted at once.
 CAPACITY, CELLS, LEVELS = 4096, 1 << 15, 6
@@ -199,10 +199,11 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null and empty texts are one group, of which one row stays. Of rows that repeat an id and a text one stays, whichever. No rows give no
     rows. Other columns are not looked at, whatever their names: docs is joined under an alias.
     """
-    dropped = exact_dedup(docs, id_col, text_col).groupBy(F.col(id_col).alias("id"), "text_sha256").agg(F.bool_or("kept").alias("kept"))
-    gone = dropped.where(~F.col("kept")).select("id", F.col("text_sha256").alias("sha")).alias("gone")
+    name = lambda i, sha: F.concat(F.coalesce(F.concat(F.lit("id "), i.cast("string")), F.lit("none")), F.lit(" "), sha).alias("name")
+    found = exact_dedup(docs, id_col, text_col).select(name(F.col(id_col), F.col("text_sha256")), "kept")
+    gone = found.groupBy("name").agg(F.bool_or("kept").alias("kept")).where(~F.col("kept")).select("name")
     body = F.regexp_replace(F.coalesce(docs[text_col], F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    shown = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), F.sha2(F.encode(body, "UTF-8"), 256).alias("sha")).alias("shown")
-    left = shown.join(gone, same(F.col("shown.id"), F.col("gone.id")) & (F.col("shown.sha") == F.col("gone.sha")), "left_anti")
-    one = Window.partitionBy("id", "sha").orderBy(F.lit(1))
-    return left.withColumn("place", F.row_number().over(one)).where("place = 1").select("row.*")
+    shown = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), name(docs[id_col], F.sha2(F.encode(body, "UTF-8"), 256)))
+    # join and window deal rows out by one and the same column, so they travel once
+    one = Window.partitionBy("name").orderBy(F.lit(1))
+    return shown.join(gone, "name", "left_anti").withColumn("place", F.row_number().over(one)).where("place = 1").select("row.*")

@@ -41,9 +41,20 @@ def small_batches(spark: SparkSession) -> None:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, and lost executors cost nothing."""
+    return written_at(df, name)[0]
+
+
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As written(), with the table's path."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table that written_at() made and that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def power_of_two(n: float) -> int:
@@ -56,13 +67,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternates large-star and small-star rounds (Kiveris et al. 2014) until the edges stay as they are,
     which takes a number of rounds near the logarithm of a component's size; each round is two
-    aggregations and two joins over the edges, written to the shared folder. Edges with a null end
+    aggregations and two joins over the edges, written to the shared folder in place of the round before. Edges with a null end
     or with equal ends are left out.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(
         F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))
     )
-    e, seen = written(e.distinct(), "edges"), None
+    (e, path), seen = written_at(e.distinct(), "edges"), None
     while True:
         # large star: neighbours above a node go to the smallest of its neighbourhood
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -81,7 +92,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .where("u != v")
             .distinct()
         )
-        e = written(e, "edges")
+        before, (e, path) = path, written_at(e, "edges")
+        removed(e.sparkSession, before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
