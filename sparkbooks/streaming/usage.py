@@ -21,22 +21,36 @@ def override_stream(lines: DataFrame, overrides: DataFrame) -> DataFrame:
     return lines.join(o, "line_id", "left").withColumn("character", F.coalesce("__by", "character")).drop("__by")
 
 
-def upsert_latest(stream: DataFrame, path: str, keys: list[str], order: str):
-    """A stream writer that keeps the latest row of each key in versioned Parquet folders under path: each batch reads the version before and writes its own,
-    so a batch that is run again gives the same version."""
+#: Batches between two that hold the whole state.
+EVERY = 16
+
+
+def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The row of each key that is last in order."""
+    value = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*value), order).alias("l")).select(*keys, "l.*").select(*rows.columns)
+
+
+def upsert_latest(stream: DataFrame, path: str, keys: list[str], order: str, every: int = EVERY):
+    """A stream writer that keeps the latest row of each key in a Parquet folder for each batch under path: a batch writes the latest rows that it has itself, and each
+    `every`-th one folds in all since the one that did so before. A batch that is run again writes the same folder again; latest_rows() reads the state."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         rows = batch
-        if number > 0:
-            rows = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/v{number - 1}"))
-        value = [c for c in batch.columns if c not in keys]
-        last = rows.groupBy(*keys).agg(F.max_by(F.struct(*value), order).alias("l"))
-        last.select(*keys, "l.*").select(*batch.columns).write.mode("overwrite").parquet(f"{path}/v{number}")
+        if number and number % every == 0:
+            before = [f"{path}/batch-{n}" for n in range(number - every, number)]
+            rows = batch.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(*before))
+        latest(rows, keys, order).write.mode("overwrite").parquet(f"{path}/batch-{number}")
 
     return stream.writeStream.foreachBatch(merge)
 
 
+def latest_rows(spark: SparkSession, path: str, schema, keys: list[str], order: str, last: int, every: int = EVERY) -> DataFrame:
+    """The state after batch `last` of upsert_latest: the batches from the last one that holds the whole state."""
+    folders = [f"{path}/batch-{n}" for n in range(last - last % every, last + 1)]
+    return latest(spark.read.schema(schema).parquet(*folders), keys, order)
+
+
 def run_to_end(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there now, writing Parquet files under the folder, and gives what it wrote."""
     path = f"{folder}/stream-{uuid.uuid4().hex}"
@@ -50,14 +64,14 @@ def replay(spark: SparkSession, folder: str, schema, **options: str) -> DataFram
     return spark.readStream.schema(schema).options(**options).parquet(folder)
 
 
-def run_upserts(stream: DataFrame, folder: str, keys: list[str], order: str) -> DataFrame:
-    """Runs upsert_latest over what is there now and gives the last version."""
+def run_upserts(stream: DataFrame, folder: str, keys: list[str], order: str, every: int = EVERY) -> DataFrame:
+    """Runs upsert_latest over what is there now and gives the state."""
     path = f"{folder}-latest-{uuid.uuid4().hex}"
-    query = upsert_latest(stream, path, keys, order).trigger(availableNow=True).option("checkpointLocation", f"{path}/state").start()
+    query = upsert_latest(stream, path, keys, order, every).trigger(availableNow=True).option("checkpointLocation", f"{path}/state").start()
     query.awaitTermination()
     last = max((p["batchId"] for p in query.recentProgress if p["numInputRows"]), default=None)
     spark = stream.sparkSession
-    return spark.createDataFrame([], stream.schema) if last is None else spark.read.schema(stream.schema).parquet(f"{path}/v{last}")
+    return spark.createDataFrame([], stream.schema) if last is None else latest_rows(spark, path, stream.schema, keys, order, last, every)
 
 
 def run_updates(stream: DataFrame, folder: str, keys: list[str], order: str) -> DataFrame:

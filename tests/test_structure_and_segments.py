@@ -302,3 +302,14 @@ def test_foley_finds_every_action(spark):
     found = spot_foley(spark.createDataFrame(lines, "scene_id int, line_number int, segment_type string, text string")).collect()
     assert len(FOLEY) == 16 and sorted((r.scene_id, r.suggestion) for r in found) == [(i, idea) for i, (_, idea) in enumerate(FOLEY)] + [(99, FOLEY[0][1])]
     assert [r.sentence for r in found if r.scene_id == 99] == ["He closed the door."]
+
+
+def test_upserts(spark, tmp_path):
+    from sparkbooks.streaming import usage as us
+
+    rows = [(k, n, f"{k}{n}") for n in range(7) for k in "abc" if (ord(k) + n) % 3]
+    for n in range(7):
+        spark.createDataFrame([r for r in rows if r[1] == n], "k string, at int, v string").coalesce(1).write.parquet(str(tmp_path / "in" / f"n{n}"))
+    stream = us.replay(spark, str(tmp_path / "in" / "*"), "k string, at int, v string", maxFilesPerTrigger="1")
+    got = us.run_upserts(stream, str(tmp_path / "out"), ["k"], "at", every=3)
+    assert sorted((r.k, r.v) for r in got.collect()) == [(k, f"{k}{max(n for c, n, _ in rows if c == k)}") for k in "abc"]
