@@ -13,6 +13,7 @@ import pandas as pd
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkbooks.plans.inputs import AUDIT, derived, oracle
 from sparkbooks.plans.registry import QUERIES, SQL, query
@@ -97,7 +98,7 @@ def v25(lines: DataFrame) -> DataFrame:
     return found.select(F.regexp_extract("path", "/book_id=([^/]*)/", 1).alias("book_id"), "bytes", "sha256")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def word_file(texts: pd.Series) -> pd.Series:
     """Word files with a paragraph for each line."""
 
@@ -111,7 +112,7 @@ def word_file(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: made(t or ""))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def epub_file(names: pd.Series, pages: pd.Series) -> pd.Series:
     """EPUBs with a cover and one page, or nothing at all where the page is null."""
 
