@@ -4,14 +4,16 @@ Two tiers resolve a pre-token. A minimal perfect hash over the vocabulary answer
 tokens themselves with one probe: a displacement table sends each key to a slot of its own, and the slot's
 key is compared. Other pre-tokens go to a linked list of bytes whose neighbouring pairs wait in a heap by rank.
 Both need only the rank file, which the driver reads once and broadcasts: its size does not depend on
-the data. Tasks keep what recent pre-tokens came to in a bounded memory.
+the data. Workers keep what recent pre-tokens came to in a bounded memory, from task to task.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import os
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +22,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkbooks.llm.shared import id_type, small_batches
+from sparkbooks.llm.shared import Remembered, id_type, small_batches
 
-#: Pre-tokens whose ids, and strings of bytes whose ranks, a task remembers, and the longest pre-token, in characters, that it remembers.
-REMEMBERED = 1 << 19
+#: Pre-tokens whose ids, and strings of bytes whose ranks, a worker remembers, and the longest pre-token, in characters, that it remembers.
+REMEMBERED, RANKS = 1 << 19, 1 << 18
 LONGEST = 64
 #: A rank file above this is not broadcast.
 MOST_BYTES = 64 << 20
@@ -78,6 +80,13 @@ class Vocabulary:
         self.ids = list(ranks.values())
         self.hash = PerfectHash(self.tokens)
         self.by_id = dict(zip(self.ids, self.tokens, strict=True))
+        self.kept: _Memory | None = None
+
+    def memory(self) -> _Memory:
+        """A worker's memory: it stays with the broadcast vocabulary while Spark uses the worker for further tasks."""
+        if self.kept is None:
+            self.kept = _Memory(self)
+        return self.kept
 
     def rank(self, token: bytes) -> int | None:
         at = self.hash.place(token)
@@ -125,40 +134,49 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line)}
 
 
-class _Ranks(dict):
-    """The ranks of byte strings met so far, None for what is no token; starts again when it is full."""
+@lru_cache(maxsize=2)
+def _vocabulary(path: str, changed: float) -> Vocabulary:
+    return Vocabulary(read_ranks(path))
+
+
+class _Ranks(Remembered):
+    """The ranks of byte strings met so far, None for what is no token."""
 
     def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
+        super().__init__(RANKS)
         self.vocabulary = vocabulary
 
     def __missing__(self, piece: bytes) -> int | None:
-        if len(self) >= REMEMBERED:
-            self.clear()
+        if piece in self.old:
+            return super().__missing__(piece)
         rank = self.vocabulary.rank(piece)
         if len(piece) <= LONGEST:
             self[piece] = rank
         return rank
 
 
-class _Memory(dict):
-    """What pre-tokens come to, as little-endian 32-bit ids; starts again when it is full."""
+class _Memory(Remembered):
+    """What pre-tokens come to, as little-endian 32-bit ids."""
 
     def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
-        self.vocabulary, self.rank = vocabulary, _Ranks(vocabulary).__getitem__
+        super().__init__(REMEMBERED)
+        self.vocabulary, self.ranks = vocabulary, _Ranks(vocabulary)
 
     def __missing__(self, piece: str) -> bytes:
+        if piece in self.old:
+            return super().__missing__(piece)
         raw = piece.encode()
         rank = self.vocabulary.rank(raw)
-        ids = [rank] if rank is not None else self.vocabulary.merged(raw, self.rank)
+        ids = [rank] if rank is not None else self.vocabulary.merged(raw, self.ranks.__getitem__)
         out = b"".join(i.to_bytes(4, "little") for i in ids)
         if len(piece) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
             self[piece] = out
         return out
 
+    def turn(self) -> None:
+        super().turn()
+        self.ranks.turn()
+
 
 def decoded_by(tokens: dict[int, bytes]) -> Callable[[bytes | None], bytes]:
     """A function from ids, as encode() gives them, to the bytes that they stand for; null ids give none, unknown ids are an error."""
@@ -176,10 +194,10 @@ def encode(
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(Vocabulary(read_ranks(path)))
+    shared = spark.sparkContext.broadcast(_vocabulary(path, os.stat(path).st_mtime))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, pieces, back = _Memory(shared.value), regex.compile(pattern).findall, decoded_by(shared.value.by_id)
+        memory, pieces, back = shared.value.memory(), regex.compile(pattern).findall, decoded_by(shared.value.by_id)
 
         def part(ids: pa.Array, out: list[bytes]) -> pa.RecordBatch:
             columns = {"id": ids, "ids": pa.array(out, pa.binary())}
@@ -192,6 +210,7 @@ def encode(
             for at in range(batch.num_rows):
                 out.append(b"".join(map(memory.__getitem__, pieces(batch.column(1)[at].as_py() or ""))))
                 held += len(out[-1])
+                memory.turn()
                 if held >= BATCH:
                     yield part(batch.column(0)[begin : at + 1], out)
                     begin, out, held = at + 1, [], 0

@@ -6,6 +6,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,3 +112,40 @@ def id_type(df: DataFrame, name: str) -> str:
 def same(a: Column, b: Column) -> Column:
     """Equal, or both null."""
     return a.eqNullSafe(b)
+
+
+def slices(text: bytes, space: re.Pattern[bytes], most: int) -> Iterator[bytes]:
+    """text in parts of about `most` bytes, each cut before a match of space, so that no word is cut."""
+    begin = 0
+    while len(text) - begin > most:
+        found = space.search(text, begin + most)
+        if not found:
+            break
+        yield text[begin : found.start()]
+        begin = found.start()
+    yield text[begin:] if begin else text
+
+
+class Remembered(dict):
+    """What a worker remembers of keys, in two generations: new keys and keys that are met again are young, and when `most` / 2 are young the others are
+    forgotten. So memory is bounded and what is met often stays."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most // 2, {}
+
+    def __missing__(self, key: Any) -> Any:
+        self[key] = value = self.old[key]
+        return value
+
+    def unknown(self, keys: Iterable) -> set:
+        return set(keys).difference(self).difference(self.old)
+
+    def add(self, key: Any, value: Any) -> None:
+        self[key] = value
+
+    def turn(self) -> None:
+        """Forgets the old generation if the young one is full."""
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
