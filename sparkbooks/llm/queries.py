@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from sparkbooks.llm import (
     bpe,
+    divergence,
     embedding_dedup,
     exact_dedup,
+    importance,
     jaccard_join,
     mixing,
+    packing,
     secret_scan,
     sharding,
     token_counts,
@@ -35,6 +38,12 @@ def piece_file() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def word_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = rank_file()
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path, pattern, decoded=True))
@@ -100,6 +109,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), word_file())
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -113,6 +134,9 @@ QUERIES = {
         op8_token_counts,
         op9_exact_dedup,
         op10_mixing,
+        op11_divergence,
+        op12_importance,
+        op13_packing,
     )
 }
 
@@ -189,4 +213,5 @@ SQL = {
     "op7_embeddings": OP7_SQL,
     "op9_exact_dedup": OP9_SQL,
     "op10_mixing": mixing.sql(),
+    "op11_divergence": divergence.sql(),
 }
