@@ -12,8 +12,10 @@ The vocabulary is broadcast: its size does not depend on the data. Nothing else
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -40,8 +42,16 @@ MARK = "\x00"
 space = re.compile(rb"[\x20\x09-\x0D]")
 
 
+#: A comma or full stop behind a letter and before white space.
+apart = re.compile(rb"[,.](?=[\x20\n])(?<=[a-z][,.])").sub
+
+
 class Words:
-    """Token ids of texts by a tokenizer that drops white space, so that each word between spaces is tokenised once and remembered."""
+    """Token ids of texts by a tokenizer that drops white space, so that each word between spaces is tokenised once and remembered.
+
+    Where the tokenizer also makes no difference of case and cuts commas and full stops off words, as is tried out first, words are looked up without
+    them. New words are tokenised in batches: words of letters alone, one for each token that ends a word, and others with marks between them.
+    """
 
     def __init__(self, description: str):
         import tokenizers
@@ -50,41 +60,104 @@ class Words:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = tokenizers.Tokenizer.from_str(description)
         self.known: Remembered = Remembered(REMEMBERED)
-        (self.mark,) = self._ids(MARK)
-        if self._ids(f" a \n{MARK}b\t") != [*self._ids("a"), *self._ids(MARK + "b")]:
+        ids = self._ids
+        (self.mark,) = ids(MARK)
+        if ids(f" a \n{MARK}b\t") != [*ids("a"), *ids(MARK + "b")]:
             raise ValueError("the tokenizer does not drop white space")
+        self.plain = ids("Qjx, eQ.") == [*ids("qjx"), *ids(","), *ids("eq"), *ids(".")]
+        parts = json.loads(description)
+        suffix = parts["model"].get("end_of_word_suffix")
+        # the same model over words of letters that are composed, lower-cased and spelt in the tokenizer's characters for bytes already
+        parts |= {"normalizer": None, "pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": " "}, "added_tokens": []}
+        self.bare = tokenizers.Tokenizer.from_str(json.dumps(parts))
+        tried = "qjx \xe9t\xe9 na\xefve \u03c9\u03c7 \u6f22\u5b57 \U00010428"
+        if suffix is None or self.bare.encode(_byte_letters(tried), add_special_tokens=False).ids != ids(tried):
+            suffix = None
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        self.plain = self.plain and suffix is not None
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _add(self, words: list[bytes], between: str) -> list[bytes]:
+        """Remembers the ids of words, which are tokenised 500 at a time with something between them; those of batches that do not come apart are given back."""
+        failed = []
+        joined = [between.join(map(bytes.decode, words[k : k + 500])) for k in range(0, len(words), 500)]
+        batch = self.bare.encode_batch_fast if between == " " else self.tokenizer.encode_batch_fast
+        if between == " ":
+            joined = list(map(_byte_letters, joined))
+        for k, found in enumerate(batch(joined, add_special_tokens=False)):
+            part, ids = words[500 * k : 500 * (k + 1)], np.array(found.ids, "<u4")
+            # where words end, and where the next begin
+            if between == " ":
+                end = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+                begin = end[:-1]
+            else:
+                end = 4 * np.append(np.flatnonzero(ids == self.mark), len(ids))
+                begin = end[:-1] + 4
+            if len(end) != len(part):
+                failed += part
+                continue
+            raw = ids.tobytes()
+            self.known.update(zip(part, map(raw.__getitem__, map(slice, [0, *begin.tolist()], end.tolist())), strict=True))
+        return failed
+
     def _learn(self, words: list[bytes]) -> None:
-        """Remembers the ids of words: those without a mark are tokenised 500 at a time with marks between them."""
-        plain = [w for w in words if b"\x00" not in w]
-        joined = [b" \x00 ".join(plain[k : k + 500]).decode() for k in range(0, len(plain), 500)]
-        for k, found in enumerate(self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
-            ids = np.array(found.ids, "<u4")
-            raw, ends = ids.tobytes(), [*(4 * np.flatnonzero(ids == self.mark)).tolist(), 4 * len(ids)]
-            begin = 0
-            for word, end in zip(plain[500 * k : 500 * (k + 1)], ends, strict=True):
-                self.known.add(word, raw[begin:end])
-                begin = end + 4
-        for word in words:
-            if b"\x00" in word:
-                self.known.add(word, np.array(self._ids(word.decode()), "<u4").tobytes())
+        letters, others = [], []
+        for w in words:
+            (letters if self.plain and (w.isalpha() and w.islower() or _letters(w)) else others).append(w)
+        others += self._add(letters, " ")
+        alone = [w for w in others if b"\x00" in w]
+        alone += self._add([w for w in others if b"\x00" not in w], f" {MARK} ")
+        for w in alone:
+            self.known[w] = self._once(w)
+
+    def _once(self, word: bytes) -> bytes:
+        return np.array(self._ids(word.decode()), "<u4").tobytes()
 
     def ids(self, text: bytes) -> np.ndarray:
+        # ASCII letters only join with marks from U+0300 to U+036F, and then not always alike in both cases
+        if self.plain and b"\xcc" not in text and b"\xcd" not in text:
+            text = apart(rb" \g<0>", text.lower())
         out = []
         for part in slices(text, space, AT_ONCE):
             words = part.split()
-            new = self.known.unknown(words)
-            once = {w: np.array(self._ids(w.decode()), "<u4").tobytes() for w in new if len(w) > LONGEST}
-            self._learn([w for w in new if len(w) <= LONGEST])
+            found = list(map(self.known.get, words))
+            new = self.known.unknown({w for w, ids in zip(words, found, strict=True) if ids is None})
+            long = [w for w in new if len(w) > LONGEST]
+            self._learn([w for w in new if len(w) <= LONGEST] if long else new)
+            for w in long:
+                self.known[w] = self._once(w)
             find = self.known.__getitem__
-            out += [once.get(w) or find(w) for w in words] if once else map(find, words)
+            out += [ids or find(w) for w, ids in zip(words, found, strict=True)]
+            for w in long:
+                del self.known[w]
             self.known.turn()
         return np.frombuffer(b"".join(out), "<u4")
 
 
+def _letters(word: bytes) -> bool:
+    """Whether a word is of letters alone, composed and in lower case."""
+    text = word.decode()
+    return text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
+
+
+def _byte_table() -> dict[int, int]:
+    """How byte-level tokenizers spell bytes: printable ones of Latin-1 as they are, others from U+0100 on. Spaces stay."""
+    shown = [b for b in range(256) if chr(b).isprintable() and b not in (32, 160)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)} | {32: 32}
+
+
+BYTES = _byte_table()
+
+
+def _byte_letters(text: str) -> str:
+    return text.encode().decode("latin-1").translate(BYTES)
+
+
 _words: dict[str, Words] = {}
 
 

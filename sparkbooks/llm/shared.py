@@ -6,7 +6,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -138,11 +138,16 @@ class Remembered(dict):
         self[key] = value = self.old[key]
         return value
 
-    def unknown(self, keys: Iterable) -> set:
-        return set(keys).difference(self).difference(self.old)
-
-    def add(self, key: Any, value: Any) -> None:
-        self[key] = value
+    def unknown(self, keys: set) -> list:
+        """Those of keys, none of which is young, that are not remembered; the others are young from now on."""
+        new = []
+        for key in keys:
+            value = self.old.get(key)
+            if value is None:
+                new.append(key)
+            else:
+                self[key] = value
+        return new
 
     def turn(self) -> None:
         """Forgets the old generation if the young one is full."""
