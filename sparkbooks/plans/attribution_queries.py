@@ -63,7 +63,7 @@ def j7(lines: DataFrame) -> DataFrame:
 
 @query("W6_alternate_speakers", "lines")
 def w6(lines: DataFrame) -> DataFrame:
-    p = lines.where("line_number % 2 = 1").withColumn("t", F.concat(F.lit('"'), F.regexp_replace("text", r'[\s"]+', " "), F.lit('" '), F.when(F.col("line_number") == 1, F.concat(F.lit("said "), "character")).otherwise("and so on")))
+    p = lines.withColumn("t", F.concat(F.lit('"'), F.regexp_replace("text", r'[\s"]+', " "), F.lit('" '), F.when(F.col("line_number") == 1, F.concat(F.lit("said "), "character")).otherwise("and so on")))
     segments = ln.quote_segments(p.select("book_id", "scene", F.col("line_number").cast("int").alias("par"), "t"), "t").withColumnRenamed("segment", "text")
     roster = lines.where("character != 'Narrator'").select("book_id", F.col("character").alias("name")).distinct()
     return at.rule_ladder(segments.drop("segs"), roster)
@@ -102,22 +102,36 @@ def v11(documents: DataFrame) -> DataFrame:
     return at.spot_foley(rows)
 
 
-# The forms of verbs of speech, written out once more for the SQL.
-VERBS = (
-    "say|said|saying|says|ask|asked|asking|asks|tell|told|telling|tells|reply|replied|replying|replies|shout|shouted|shouting|shouts|whisper|whispered|whispering|whispers|"
-    "cry|cried|crying|cries|explain|explained|explaining|explains|mutter|muttered|muttering|mutters|state|stated|stating|states|exclaim|exclaimed|exclaiming|exclaims|"
-    "respond|responded|responding|responds|remark|remarked|remarking|remarks|call|called|calling|calls|murmur|murmured|murmuring|murmurs|gasp|gasped|gasping|gasps"
-)
+VERBS = "|".join(at.SPEECH_VERBS)
+
+#: Lines that name their speaker before or after a verb, elsewhere, in capitals, or within another word.
+TOLD = """CASE line_number % 8 WHEN 2 THEN concat(text, ' said  ', character) WHEN 3 THEN concat(character, ' WHISPERED: ', text)
+          WHEN 4 THEN concat(text, ' to ', upper(character)) WHEN 6 THEN concat('aside to ', character, 's, ', text) ELSE text END"""
+_EDGE = r"[^\p{L}\p{N}_]"
 
 
 @query(
     "V20_route_confidence", "lines",
-    sql=f"""SELECT line_id, CASE WHEN contains(lower(text), lower(character)) AND regexp_matches(text, '(?i)\\b({VERBS})\\b') THEN 0.95::DOUBLE
-             WHEN contains(lower(text), lower(character)) THEN 0.7 ELSE 0.5 END AS confidence, NOT (contains(lower(text), lower(character)) AND regexp_matches(text, '(?i)\\b({VERBS})\\b')) AS queued
-           FROM lines WHERE segment_type = 'dialogue'""",
+    sql=rf"""
+WITH t AS (SELECT line_id, scene_id, segment_type, {TOLD} AS t FROM lines),
+a AS (SELECT scene_id, character AS name FROM lines WHERE character != 'Narrator' UNION SELECT scene_id, regexp_extract(text, '^[A-Za-z]+') FROM lines),
+e AS (SELECT scene_id, name, regexp_escape(name) AS p FROM a WHERE name != ''),
+h AS (SELECT line_id, name, regexp_matches(t, '(?i)(?:^|{_EDGE})(?:said|asked|replied|shouted|whispered)\s+' || p || '(?:{_EDGE}|$)')
+               OR regexp_matches(t, '(?i)' || p || '\s+(?:said|asked|replied|shouted|whispered)(?:{_EDGE}|$)') AS told,
+             regexp_matches(t, '(?i)(?:^|{_EDGE})' || p || '(?:{_EDGE}|$)') AS named
+      FROM t JOIN e USING (scene_id) WHERE segment_type = 'dialogue'),
+m AS (SELECT line_id, min(name) FILTER (told) AS told, min(name) FILTER (named) AS named, count(*) FILTER (named) AS n FROM h GROUP BY line_id)
+SELECT line_id, CASE WHEN told IS NOT NULL THEN told WHEN n = 1 THEN named ELSE 'Narrator' END AS speaker,
+       CASE WHEN segment_type != 'dialogue' THEN 1.0::DOUBLE WHEN told IS NOT NULL THEN 0.95 WHEN n = 1 THEN 0.7 ELSE 0.5 END AS confidence,
+       CASE WHEN told IS NOT NULL THEN 'Speech Verb' WHEN n = 1 THEN 'Context Mention' ELSE 'Narrator Fallback' END AS attribution_method,
+       segment_type = 'dialogue' AND told IS NULL AS queued
+FROM t LEFT JOIN m USING (line_id)""",
 )
 def v20(lines: DataFrame) -> DataFrame:
-    return at.route_confidence(lines)
+    """The characters of a scene are its speakers and the words that its lines begin with."""
+    active = lines.where("character != 'Narrator'").select("scene_id", F.col("character").alias("name"))
+    active = active.unionByName(lines.select("scene_id", F.regexp_extract("text", "^[A-Za-z]+", 0).alias("name")))
+    return at.route_confidence(lines.withColumn("text", F.expr(TOLD)), active)
 
 
 @query("V21_dialogue_sentences", "paragraphs", sql=f"""
@@ -147,7 +161,17 @@ def v23(lines: DataFrame) -> DataFrame:
     return at.prompt_requests(ln.dialogue_windows(lines, size=3), roster)
 
 
-@query("K7_description_windows", "documents")
+_STRONG = " OR ".join(f"contains(lower(w), '{x}')" for x in at.STRONG_LOOKS)
+_WEAK = " OR ".join(f"contains(lower(w), '{x}')" for x in at.WEAK_LOOKS)
+
+
+@query("K7_description_windows", "documents", sql=rf"""
+WITH p AS (SELECT doc_id::VARCHAR AS book_id, text, name, word, string_split(text, word) AS p FROM documents, (VALUES ('Old The', 'The'), ('La', 'La')) v(name, word) WHERE contains(text, word)),
+n AS (SELECT *, unnest(range(1, len(p))) AS i FROM p),
+a AS (SELECT book_id, name, text, word, list_sum(list_transform(p[1:i], lambda x: length(x)))::BIGINT + (i - 1) * length(word) AS pos FROM n),
+w AS (SELECT book_id, name, pos, trim(regexp_replace(text[greatest(0, pos - 160) + 1 : pos + length(word) + 200], '\s+', ' ', 'g')) AS w FROM a),
+k AS (SELECT *, row_number() OVER (PARTITION BY book_id, name ORDER BY CASE WHEN {_STRONG} THEN 0 WHEN {_WEAK} THEN 1 ELSE 2 END, pos) AS place FROM w)
+SELECT book_id, name, place::INTEGER AS place, w AS "window" FROM k WHERE place <= 4""")
 def k7(documents: DataFrame) -> DataFrame:
     """Windows around words that many documents have."""
     books = documents.select(F.col("doc_id").cast("string").alias("book_id"), "text")

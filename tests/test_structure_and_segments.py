@@ -2,6 +2,8 @@
 
 import hashlib
 import io
+import random
+import re
 import zipfile
 
 import pytest
@@ -171,7 +173,7 @@ def test_rule_ladder(spark):
     roster = spark.createDataFrame([("b", "Ann"), ("b", "Bob")], "book_id string, name string")
     got = {(r.par, r.seg): (r.character, r.attribution_method) for r in at.rule_ladder(segments, roster).collect()}
     assert got[0, 0] == ("Ann", "Direct Speech Verb (After)") and got[1, 0][1] == got[2, 0][1] == "Speaker Lock Override"
-    assert got[3, 0] == ("Bob", "Context Entity Mention") and got[4, 0] == ("Bob", "Context Entity Mention")
+    assert got[3, 0] == ("Bob", "Context Alias Mention") and got[4, 0] == ("Bob", "Context Alias Mention")
     assert got[0, 1][0] == "Narrator"
     more = [(0, 0, "narrative", "Mr. Fox replied then"), (0, 1, "dialogue", "Hi"), (0, 2, "narrative", "said, and Ann ran"), (1, 0, "narrative", "Night."), (2, 0, "dialogue", "So"), (3, 0, "narrative", "Ann says"), (3, 1, "dialogue", "No"), (3, 2, "narrative", "Mr Fox told her")]
     segments = spark.createDataFrame([("b", 1, *r) for r in more], segments.schema)
@@ -182,6 +184,41 @@ def test_rule_ladder(spark):
     assert at.rule_ladder(segments.limit(0), roster).count() == 0
 
 
+def test_ladder_aliases(spark):
+    """The longest name that stands anywhere comes first; a title with another dot is found as an entity."""
+    rows = [(0, 0, "dialogue", "Hi"), (0, 1, "narrative", "the Annabels and ann"), (1, 0, "dialogue", "Yes"), (1, 1, "narrative", "Mrs. Fox was there")]
+    segments = spark.createDataFrame([("b", 1, *r) for r in rows], "book_id string, scene long, par int, seg int, segment_type string, text string")
+    roster = spark.createDataFrame([("b", "Ann"), ("b", "Annabel"), ("b", "Mrs Fox")], "book_id string, name string")
+    got = {(r.par, r.seg): (r.character, r.attribution_method) for r in at.rule_ladder(segments, roster).collect()}
+    assert got[0, 0] == ("Annabel", "Context Alias Mention") and got[1, 0] == ("Mrs Fox", "Context Entity Mention")
+
+
+def test_route_confidence(spark):
+    rng, names = random.Random(8), ["Ann", "Ann Lee", "Ümit", "Bo", "İz", "x.y", ""]
+    bits = [*names, "said", "ASKED", "whispered", "saidx", " ", "  ", "\n", ",", "annex", "ümit", "he"]
+    rows = [(f"l{i}", "s", rng.choice(["dialogue", "narrative"]), rng.choice(["", " "]).join(rng.choice(bits) for _ in range(rng.randrange(9)))) for i in range(600)]
+    rows += [("null", "s", "dialogue", None), ("none", "t", "dialogue", "Ann said"), ("kind", "s", None, "Ann said")]
+    lines = spark.createDataFrame(rows, "line_id string, scene_id string, segment_type string, text string")
+    active = spark.createDataFrame([("s", n) for n in [*names, None, "Ann"]], "scene_id string, name string")
+    verbs = "(?:said|asked|replied|shouted|whispered)"
+
+    def want(scene, kind, text):
+        if kind != "dialogue":
+            return "Narrator", 1.0
+        cast = sorted(n for n in names if n) if scene == "s" and text else []
+        for n in cast:
+            if re.search(rf"\b{verbs}\s+{re.escape(n)}\b|{re.escape(n)}\s+{verbs}\b", text, re.I):
+                return n, 0.95
+        found = [n for n in cast if re.search(rf"\b{re.escape(n)}\b", text, re.I)]
+        return (found[0], 0.7) if len(found) == 1 else ("Narrator", 0.5)
+
+    got = {r.line_id: r for r in at.route_confidence(lines, active).collect()}
+    for key, scene, kind, text in rows:
+        assert (got[key].speaker, got[key].confidence) == want(scene, kind, text), text
+        assert got[key].queued == (got[key].confidence < 0.85)
+    assert at.route_confidence(lines.limit(0), active).count() == 0
+
+
 def test_names(spark):
     text = "His mother met Anna in Rome. Anna said Chapter Two. Mr. Fox and  Mr.  Fox saw King of Spain, the Mc Donald-Smith Old House. Well, Rome"
     got = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(at.name_candidates(F.col("t")).alias("c")).collect()
@@ -203,6 +240,41 @@ def test_merges_and_names(spark):
     assert kept.columns == inserts.columns and sorted((r.scene_id, r.round, r.n) for r in kept.collect()) == [("s", 1, 1), ("s", 2, 2), ("t", 1, 1)]
 
 
+def test_ladder_aliases(spark):
+    """The longest name that stands anywhere comes first; a title with another dot is found as an entity."""
+    rows = [(0, 0, "dialogue", "Hi"), (0, 1, "narrative", "the Annabels and ann"), (1, 0, "dialogue", "Yes"), (1, 1, "narrative", "Mrs. Fox was there")]
+    segments = spark.createDataFrame([("b", 1, *r) for r in rows], "book_id string, scene long, par int, seg int, segment_type string, text string")
+    roster = spark.createDataFrame([("b", "Ann"), ("b", "Annabel"), ("b", "Mrs Fox")], "book_id string, name string")
+    got = {(r.par, r.seg): (r.character, r.attribution_method) for r in at.rule_ladder(segments, roster).collect()}
+    assert got[0, 0] == ("Annabel", "Context Alias Mention") and got[1, 0] == ("Mrs Fox", "Context Entity Mention")
+
+
+def test_route_confidence(spark):
+    rng, names = random.Random(8), ["Ann", "Ann Lee", "Ümit", "Bo", "İz", "x.y", ""]
+    bits = [*names, "said", "ASKED", "whispered", "saidx", " ", "  ", "\n", ",", "annex", "ümit", "he"]
+    rows = [(f"l{i}", "s", rng.choice(["dialogue", "narrative"]), rng.choice(["", " "]).join(rng.choice(bits) for _ in range(rng.randrange(9)))) for i in range(600)]
+    rows += [("null", "s", "dialogue", None), ("none", "t", "dialogue", "Ann said"), ("kind", "s", None, "Ann said")]
+    lines = spark.createDataFrame(rows, "line_id string, scene_id string, segment_type string, text string")
+    active = spark.createDataFrame([("s", n) for n in [*names, None, "Ann"]], "scene_id string, name string")
+    verbs = "(?:said|asked|replied|shouted|whispered)"
+
+    def want(scene, kind, text):
+        if kind != "dialogue":
+            return "Narrator", 1.0
+        cast = sorted(n for n in names if n) if scene == "s" and text else []
+        for n in cast:
+            if re.search(rf"\b{verbs}\s+{re.escape(n)}\b|{re.escape(n)}\s+{verbs}\b", text, re.I):
+                return n, 0.95
+        found = [n for n in cast if re.search(rf"\b{re.escape(n)}\b", text, re.I)]
+        return (found[0], 0.7) if len(found) == 1 else ("Narrator", 0.5)
+
+    got = {r.line_id: r for r in at.route_confidence(lines, active).collect()}
+    for key, scene, kind, text in rows:
+        assert (got[key].speaker, got[key].confidence) == want(scene, kind, text), text
+        assert got[key].queued == (got[key].confidence < 0.85)
+    assert at.route_confidence(lines.limit(0), active).count() == 0
+
+
 def test_names(spark):
     text = "Mr. Fox met Ann Lee. Then Ann Lee saw Mr. Fox near Paris. However he left. However it rained in Paris."
     got = {r.name for r in at.global_roster(spark.createDataFrame([("b", text)], "book_id string, text string")).collect()}
