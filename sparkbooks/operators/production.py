@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,40 +167,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.nullif(dot(a, b), F.lit(None)) / F.sqrt(dot(a, a)) / F.sqrt(dot(b, b))
 
 
-def _blocks(vectors: DataFrame, id_col: str, vector_col: str, size: int, name: str) -> DataFrame:
-    """The vectors in blocks of about `size`, each a row with the ids and all components one after another. Vectors that are null or without length are left out."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("i"), F.transform(vector_col, lambda x: x.cast("double")).alias("v")).where("v IS NOT NULL AND exists(v, x -> x != 0)")
-    n = max(1, -(-rows.count() // size))
-    listed = rows.groupBy(F.pmod(F.xxhash64("i"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("i", "v")).alias("rows"))
-    return listed.select(F.transform("rows", lambda r: r.i).alias(f"{name}_ids"), F.flatten(F.transform("rows", lambda r: r.v)).alias(f"{name}_values"))
-
-
-def cosine_top_k(queries: DataFrame, listings: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 2048) -> DataFrame:
-    """(query, id, similarity, place): the k listings nearest to each query, exactly; of equal ones the smaller id.
-
-    Queries and listings are cut into blocks, and each pair of blocks is one product of matrices in a task, which keeps its k best of each query;
-    those meet in a last ranking. Neither side is collected or has to fit into a task, however many there are.
-    """
-    import numpy as np
-    import pandas as pd
-
-    def unit(ids: np.ndarray, values: np.ndarray) -> np.ndarray:
-        x = np.asarray(values, float).reshape(len(ids), -1)
-        return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for names, q, ids, x in zip(frame["q_ids"], frame["q_values"], frame["l_ids"], frame["l_values"], strict=True):
-                s = unit(names, q) @ unit(ids, x).T
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-                yield pd.DataFrame({"query": np.repeat(names, order.shape[1]), "id": ids[order].ravel(), "similarity": np.take_along_axis(s, order, 1).ravel()})
-
-    pairs = _blocks(listings, id_col, vector_col, block, "l").crossJoin(_blocks(queries, id_col, vector_col, block, "q"))
-    found = pairs.mapInPandas(best, "query long, id long, similarity double")
-    order = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
-    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
-
-
 def render_script(lines: DataFrame) -> DataFrame:
     """Each scene as a script: a speaker's header where the speaker changes, vocalizations marked."""
     order = Window.partitionBy("scene_id").orderBy("line_number")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkbooks.operators import catalog as ct
+from sparkbooks.operators import neighbours as nb
 from sparkbooks.operators import production as pr
 from sparkbooks.plans.registry import query
 
@@ -192,19 +193,32 @@ def w12(events: DataFrame) -> DataFrame:
 )
 def v2(embeddings: DataFrame) -> DataFrame:
     """The five nearest of all vectors to every vector whose id is divisible by 20."""
-    return pr.cosine_top_k(embeddings.where("vec_id % 20 = 0"), embeddings, 5).withColumn("similarity", F.round("similarity", 9))
+    return nb.cosine_top_k(embeddings.where("vec_id % 20 = 0"), embeddings, 5).withColumn("similarity", F.round("similarity", 9))
+
+
+@query(
+    "K3_voice_search", "embeddings",
+    sql="""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+           s AS (SELECT q.vec_id AS query, l.vec_id, l.label, list_inner_product(q.v, l.v) / sqrt(list_inner_product(q.v, q.v)) / sqrt(list_inner_product(l.v, l.v)) AS score FROM e q JOIN e l ON q.vec_id % 20 = 0),
+           t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, vec_id) AS place FROM s)
+           SELECT query, vec_id, round(score, 9) AS score, place::INTEGER AS place, label, 'voice ' || vec_id AS voice_name FROM t WHERE place <= 5""",
+)
+def k3(embeddings: DataFrame) -> DataFrame:
+    """A marketplace of all vectors, asked for five voices by every vector whose id is divisible by 20."""
+    voices = embeddings.withColumn("voice_name", F.concat(F.lit("voice "), F.col("vec_id").cast("string")))
+    return nb.voice_search(embeddings.where("vec_id % 20 = 0"), voices, 5, "vec_id").withColumn("score", F.round("score", 9))
 
 
 @query(
     "V3_cast_characters", "embeddings",
     sql="""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-           s AS (SELECT q.vec_id AS query, l.vec_id AS id, list_inner_product(q.v, l.v) / sqrt(list_inner_product(q.v, q.v)) / sqrt(list_inner_product(l.v, l.v)) AS similarity FROM e q JOIN e l ON q.vec_id % 20 = 0 AND l.vec_id % 20 != 0),
+           s AS (SELECT q.vec_id AS query, l.vec_id AS id, list_inner_product(q.v, l.v) / sqrt(list_inner_product(q.v, q.v)) / sqrt(list_inner_product(l.v, l.v)) AS similarity FROM e q JOIN e l ON q.vec_id % 20 = 0),
            t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) AS place FROM s)
            SELECT query AS character, min_by(id, place) AS voice_id, sha256(query || '|' || min_by(id, place))[1:12] AS license_id FROM t WHERE place <= 3 AND id % 3 > 0 GROUP BY query""",
 )
 def v3(embeddings: DataFrame) -> DataFrame:
     """Characters get the best of their three nearest voices whose reference exists, and a licence row."""
-    found = pr.cosine_top_k(embeddings.where("vec_id % 20 = 0"), embeddings.where("vec_id % 20 != 0"), 3).where("id % 3 > 0")
+    found = nb.cosine_top_k(embeddings.where("vec_id % 20 = 0"), embeddings, 3).where("id % 3 > 0")
     best = found.groupBy(F.col("query").alias("character")).agg(F.min_by("id", "place").alias("voice_id"))
     licence = F.substring(F.sha2(F.concat_ws("|", F.col("character").cast("string"), F.col("voice_id").cast("string")), 256), 1, 12)
     return best.withColumn("license_id", licence)
@@ -212,12 +226,12 @@ def v3(embeddings: DataFrame) -> DataFrame:
 
 @query(
     "V4_onboard_listings", "supplier", "lineitem",
-    sql="""WITH s AS (SELECT l_suppkey AS k, sum(l_quantity) AS seconds FROM lineitem WHERE l_quantity < 3 GROUP BY 1)
+    sql="""WITH s AS (SELECT l_suppkey AS k, sum(CASE WHEN l_quantity < 3 THEN l_quantity ELSE 0.25 END) AS seconds FROM lineitem GROUP BY 1)
            SELECT s_suppkey AS voice_id, seconds, CASE WHEN s_suppkey % 4 = 0 THEN 'no consent' WHEN seconds IS NULL THEN 'no samples' WHEN seconds < 6 THEN 'too short' END AS reason, sha256(s_suppkey::VARCHAR)[1:12] AS listing_id FROM supplier LEFT JOIN s ON k = s_suppkey""",
 )
 def v4(supplier: DataFrame, lineitem: DataFrame) -> DataFrame:
     listings = supplier.select(F.col("s_suppkey").alias("voice_id"), (F.col("s_suppkey") % 4 != 0).alias("consent"))
-    samples = lineitem.where("l_quantity < 3").select(F.col("l_suppkey").alias("voice_id"), F.col("l_quantity").alias("seconds"))
+    samples = lineitem.select(F.col("l_suppkey").alias("voice_id"), F.expr("CASE WHEN l_quantity < 3 THEN l_quantity ELSE 0.25 END").alias("seconds"))
     return pr.onboarded(listings, samples).select("voice_id", "seconds", "reason", "listing_id")
 
 
