@@ -36,12 +36,12 @@ def gold_of(lines: DataFrame) -> DataFrame:
 
 @query("J5_align_gold_best_match", "lines")
 def j5(lines: DataFrame) -> DataFrame:
-    return at.align_gold(gold_of(lines), lines, ["book_id", "scene"]).select("book_id", "scene", "pos", "line_id", F.round("ratio", 6).alias("ratio"))
+    return at.align_gold(gold_of(lines), lines).select("book_id", "scene", "pos", "line_id", F.round("ratio", 6).alias("ratio"), "compared")
 
 
 @query("A18_attribution_accuracy", "lines")
 def a18(lines: DataFrame) -> DataFrame:
-    return at.attribution_accuracy(at.align_gold(gold_of(lines), lines, ["book_id", "scene"]), lines, ["book_id"])
+    return at.attribution_accuracy(at.align_gold(gold_of(lines), lines), lines, ["book_id"])
 
 
 @query(
