@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkbooks.functions.text import words
+from sparkbooks.operators import fuzzy
 from sparkbooks.operators.stats import percent
 
 # Seconds a word takes when it is not rendered yet, the least line, and the pause after a chapter in ms.
@@ -41,6 +42,28 @@ def anchored(events: DataFrame, timed: DataFrame, overrides: DataFrame, scope: l
     return out.select(*scope, "key", "line_number", start.alias("start"), (F.col("gain_db") + F.coalesce("__g", F.lit(0.0))).alias("gain_db"))
 
 
+def anchored_by_text(cues: DataFrame, timed: DataFrame, scope: list[str], first: int = 30) -> DataFrame:
+    """(scope, key, line_number, start, gain_db): cues (scope, key, sound_text, gain_db) without a line number, at the end of the first line that holds the first
+    characters of their text, or at 0 where none does. Cues whose whole text a line of dialogue holds are speech, and left out.
+
+    Case and white space make no difference. Lines are looked up by the rarest pair of characters of a cue, as a line that holds the text has that pair too. A text of one
+    character or none meets all lines of its scope; null texts are as empty, which the first line holds.
+    """
+    flat = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?U)\s+", " ")
+    c = cues.select(*scope, "key", "gain_db", flat(F.col("sound_text")).alias("cue")).withColumn("head", F.substring("cue", 1, first))
+    t = timed.select(*scope, "line_number", "end", (F.col("segment_type") == "dialogue").alias("said"), flat(F.col("text")).alias("line"))
+    index = fuzzy.indexed(t, scope, "line_number", "line")
+    rare = fuzzy.rarest(c, index, scope, "key", "head").where("turn = 1").select(*scope, "key", "pair")
+    met = rare.unionByName(c.where("length(head) < 2").select(*scope, "key", F.lit(None).cast("string").alias("pair"))).alias("a")
+    on = [F.col(f"a.{k}") == F.col(f"i.{k}") for k in scope] + [F.col("a.pair").eqNullSafe(F.col("i.pair"))]
+    met = met.join(index.alias("i"), on).select(*[F.col(f"a.{k}") for k in scope], "key", "line_number")
+    seen = met.join(c, [*scope, "key"]).join(t, [*scope, "line_number"]).where(F.contains("line", "head"))
+    speech = F.bool_or(F.col("said") & F.contains("line", "cue"))
+    place = seen.groupBy(*scope, "key").agg(F.min(F.struct("line_number", "end")).alias("at"), speech.alias("speech"))
+    out = c.join(place, [*scope, "key"], "left").where(~F.coalesce("speech", F.lit(False)))
+    return out.select(*scope, "key", F.col("at.line_number").alias("line_number"), F.coalesce("at.end", F.lit(0.0)).alias("start"), "gain_db")
+
+
 def music_segments(events: DataFrame, scope: str, total: Column, collapse: float = 1.0) -> DataFrame:
     """Segments (scope, start, end, style) from events (scope, t, action, style, total): change and resume begin one, stop ends it.
 
@@ -54,7 +77,7 @@ def music_segments(events: DataFrame, scope: str, total: Column, collapse: float
         WHEN size(acc) > 0 AND x.t - element_at(acc, -1).start < {collapse}
           THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'style', if(x.action = 'stop', cast(null as string), x.style))))
         ELSE concat(acc, array(named_struct('start', cast(x.t as double), 'style', if(x.action = 'stop', cast(null as string), x.style)))) END)"""
-    bounds = per.select(scope, "total", F.posexplode(F.expr(fold)).alias("i", "b"), F.expr(fold).alias("all"))
+    bounds = per.select(scope, "total", F.expr(fold).alias("all")).select("*", F.posexplode("all").alias("i", "b"))
     end = F.coalesce(F.expr("try_element_at(all, i + 2).start"), F.col("total"))
     return bounds.select(scope, F.col("b.start").alias("start"), end.alias("end"), F.col("b.style").alias("style")).where("style IS NOT NULL AND end > start")
 

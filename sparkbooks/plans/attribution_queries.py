@@ -94,6 +94,17 @@ def v22(lines: DataFrame) -> DataFrame:
     return out.select("line_id", "errors", "words", F.round("wer", 6).alias("wer"))
 
 
+@query("V22_corpus_word_error_rate", "lines", sql="""
+WITH t AS (SELECT book_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x != '') AS w FROM lines),
+e AS (SELECT book_id, len(w) AS n, len(list_filter(range(len(w)), lambda i: i % 7 = 6 OR i % 5 = 4)) AS errors FROM t)
+SELECT book_id, count(*) AS pairs, sum(errors)::BIGINT AS errors, sum(n)::BIGINT AS words, round(sum(errors)::DOUBLE / sum(n), 6) AS wer FROM e GROUP BY book_id""")
+def v22_corpus(lines: DataFrame) -> DataFrame:
+    """Each book's texts against themselves without each seventh word, and with each fifth spoilt."""
+    heard = F.filter(F.transform(F.split("text", r"\s+"), lambda w, i: F.when(i % 7 == 6, "").when(i % 5 == 4, F.concat(F.lit("#"), w)).otherwise(w)), lambda w: w != "")
+    pairs = lines.select("book_id", F.col("text").alias("reference"), F.array_join(heard, " ").alias("hypothesis"))
+    return at.corpus_word_error_rate(pairs, "book_id").withColumn("wer", F.round("wer", 6))
+
+
 @query("V11_spot_action_foley", "documents")
 def v11(documents: DataFrame) -> DataFrame:
     """Documents with a sentence that describes a sound after each line end."""

@@ -49,6 +49,25 @@ def j13(lines: DataFrame) -> DataFrame:
     return pr.anchored(events, timed, overrides, ["scene_id"]).withColumn("start", F.round("start", 6))
 
 
+_FLAT = "regexp_replace(lower({}), '[\\s\\x1c-\\x1f\\x85\\p{{Z}}]+', ' ', 'g')"
+
+
+@query(
+    "J13_anchor_by_text", "lines",
+    sql=f"""WITH {_TIMED}, c AS (SELECT scene_id, line_id AS key, {_FLAT.format("concat(substring(text, 4, 40 - 38 * (line_number % 3 = 0)::INTEGER), CASE WHEN line_number % 4 = 2 THEN ' and a bang' ELSE '' END)")} AS cue FROM lines),
+            l AS (SELECT scene_id, line_number, start + duration AS "end", segment_type = 'dialogue' AS said, {_FLAT.format("text")} AS line FROM u),
+            m AS (SELECT scene_id, key, min(line_number) AS line_number, arg_min("end", line_number) AS "end", bool_or(said AND contains(line, cue)) AS speech
+                  FROM c JOIN l USING (scene_id) WHERE contains(line, substring(cue, 1, 30)) GROUP BY ALL)
+            SELECT key, scene_id, line_number, round(coalesce("end", 0), 6) AS start, -6.0::DOUBLE AS gain_db FROM c LEFT JOIN m USING (scene_id, key) WHERE NOT coalesce(speech, FALSE)""",
+)
+def j13_text(lines: DataFrame) -> DataFrame:
+    """Cues that quote a line from its fourth character on; some go on otherwise than the line, some are two characters long."""
+    text = F.expr("concat(substring(text, 4, 40 - 38 * int(line_number % 3 = 0)), CASE WHEN line_number % 4 = 2 THEN ' and a bang' ELSE '' END)")
+    cues = lines.select("scene_id", F.col("line_id").alias("key"), text.alias("sound_text"), F.lit(-6.0).alias("gain_db"))
+    timed = pr.timeline(with_durations(lines), ["scene_id"], ["line_number"])
+    return pr.anchored_by_text(cues, timed, ["scene_id"]).withColumn("start", F.round("start", 6))
+
+
 @query("W7_music_segments", "lines")
 def w7(lines: DataFrame) -> DataFrame:
     timed = pr.timeline(with_durations(lines), ["scene_id"], ["line_number"])
