@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import io
 import re
-import tempfile
-import uuid
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -16,29 +14,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkbooks.plans.inputs import AUDIT, derived, oracle
-from sparkbooks.plans.registry import QUERIES, SQL, query
+from sparkbooks.plans.registry import QUERIES, SQL, query, shared_path
 from sparkbooks.sources import files as fl
 from sparkbooks.streaming import usage as us
 
 
-def _folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares, or one of our own where none is set and there is one machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return folder or tempfile.mkdtemp(prefix="spark-streams-")
-
-
 def _replayed(spark: SparkSession, sf_dir: str, name: str, parts: int = 4) -> tuple[DataFrame, str]:
     """A given table as a stream: its rows in files of a folder, in the order of time if it has one."""
-    folder = f"{_folder(spark)}/replay-{uuid.uuid4().hex}"
+    folder = shared_path(spark, "replay")
     rows = derived(spark, sf_dir, name)
     (rows.repartitionByRange(parts, "ts") if "ts" in rows.columns else rows).write.parquet(folder)
     return us.replay(spark, folder, rows.schema), folder
 
 
 def r1_usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events as an audit stream, aggregated by the hour; complete mode, so that the last windows are there too."""
+    """All events as an audit stream, aggregated by the hour; update mode, so that the last windows are there too."""
     events, folder = _replayed(spark, sf_dir, "events")
     audit = spark.sql(AUDIT.replace("FROM events", "FROM {events}"), events=events)
     # append mode would hold back the windows that the watermark has not passed, so updates are kept and the last of each window counts
@@ -46,36 +36,43 @@ def r1_usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def r1_usage_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hours of the same stream that the watermark has closed when all events have come, in append mode."""
+    events, folder = _replayed(spark, sf_dir, "events")
+    audit = spark.sql(AUDIT.replace("FROM events", "FROM {events}"), events=events)
+    return us.run_closed(us.usage_stream(audit), f"{folder}-closed")[0]
+
+
 def r3_latest_progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, folder = _replayed(spark, sf_dir, "events")
-    rows = events.select(F.col("user_id").alias("book"), F.col("event_type").alias("stage"), F.struct("ts", "event_id").alias("at"), "value")
-    return us.run_upserts(rows, folder, ["book", "stage"], "at").select("book", "stage", F.col("at.event_id").alias("event_id"), "value")
+    rows = events.select(F.col("user_id").alias("book"), F.col("event_type").alias("stage"), "ts", "event_id", "value")
+    return us.run_latest(rows, f"{folder}-latest", ["book", "stage"], ["ts", "event_id"]).drop("ts")
 
 
 def r4_override_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, folder = derived(spark, sf_dir, "lines"), f"{_folder(spark)}/replay-{uuid.uuid4().hex}"
+    lines, folder = derived(spark, sf_dir, "lines"), shared_path(spark, "replay")
     lines.select("line_id", "character").write.parquet(folder)
     stream = us.replay(spark, folder, lines.select("line_id", "character").schema)
     return us.run_to_end(us.override_stream(stream, derived(spark, sf_dir, "overrides")), folder + "-out")
 
 
-QUERIES |= {"R1_usage_stream": r1_usage_stream, "R3_latest_progress_stream": r3_latest_progress_stream, "R4_override_stream": r4_override_stream}
+QUERIES |= {"R1_usage_stream": r1_usage_stream, "R1_usage_closed": r1_usage_closed, "R3_latest_progress_stream": r3_latest_progress_stream, "R4_override_stream": r4_override_stream}
 SQL |= {
     "R1_usage_stream": oracle(
         "SELECT date_trunc('hour', ts) AS start, provider, task, count(*) AS calls, sum(success::INTEGER)::BIGINT AS successes, round(sum(latency_ms), 2) AS latency_ms FROM audit GROUP BY ALL", "audit"
     ),
+    "R1_usage_closed": oracle(
+        """SELECT date_trunc('hour', ts) AS start, provider, task, count(*) AS calls, sum(success::INTEGER)::BIGINT AS successes, round(sum(latency_ms), 2) AS latency_ms FROM audit
+           WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM audit) - INTERVAL 10 MINUTE GROUP BY ALL""", "audit"
+    ),
     "R3_latest_progress_stream": "SELECT user_id AS book, event_type AS stage, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL",
     "R4_override_stream": oracle("SELECT line_id, coalesce(o.character, l.character) AS character FROM lines l LEFT JOIN overrides o USING (line_id)", "lines", "overrides"),
 }
 
 
-def _new_folder(spark: SparkSession, name: str) -> str:
-    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def _book_files(lines: DataFrame) -> str:
     """The books' lines in order as text files, one folder a book; the folder above."""
-    folder = _new_folder(lines.sparkSession, "books")
+    folder = shared_path(lines.sparkSession, "books")
     ordered = lines.select("book_id", "scene", "line_number", F.regexp_replace("text", r"[\r\n]+", " ").alias("text"))
     ordered.repartition("book_id").sortWithinPartitions("book_id", "scene", "line_number").select("book_id", "text").write.partitionBy("book_id").text(folder)
     return folder
@@ -156,7 +153,7 @@ def s3(pages: DataFrame) -> DataFrame:
 @query("S5_read_audit_log", "events", sql="SELECT floor(epoch(ts))::BIGINT AS second, event_type AS task_name, value AS latency_ms, event_id % 7 > 0 AS success, CASE WHEN event_id % 3 = 0 THEN user_id::VARCHAR END AS book FROM events")
 def s5(events: DataFrame) -> DataFrame:
     """Events written as a log of JSON lines, a broken line after each tenth, and read back."""
-    spark, folder = events.sparkSession, _new_folder(events.sparkSession, "audit")
+    spark, folder = events.sparkSession, shared_path(events.sparkSession, "audit")
     row = F.to_json(
         F.struct(
             F.unix_timestamp("ts").cast("double").alias("timestamp"), F.col("event_type").alias("task_name"), F.col("value").alias("latency_ms"), (F.col("event_id") % 7 > 0).alias("success"),
@@ -171,7 +168,7 @@ def s5(events: DataFrame) -> DataFrame:
 @query("S9_write_clip_manifest", "events", sql="SELECT event_id::VARCHAR AS id, 'said ' || event_type AS transcript, CASE WHEN event_id % 2 = 0 THEN 'Joy' END AS emotion, verdict FROM (SELECT *, CASE WHEN value < 5 THEN 'REJECT' ELSE 'PASS' END AS verdict FROM events)")
 def s9(events: DataFrame) -> DataFrame:
     """Clips written as a manifest and read back."""
-    spark, folder = events.sparkSession, _new_folder(events.sparkSession, "clips")
+    spark, folder = events.sparkSession, shared_path(events.sparkSession, "clips")
     verdict = F.when(F.col("value") < 5, "REJECT").otherwise("PASS")
     clips = events.select(
         F.col("event_id").alias("id"), F.concat(F.lit("said "), "event_type").alias("transcript"), F.when(F.col("event_id") % 2 == 0, "Joy").alias("emotion"),
@@ -186,7 +183,7 @@ SELECT book_id, chapter, scene, line_number, line_id, character, segment_type, t
        (SELECT count(DISTINCT x.scene) FROM lines x WHERE x.book_id = lines.book_id) AS scenes, (SELECT count(DISTINCT x.chapter) FROM lines x WHERE x.book_id = lines.book_id) AS chapters FROM lines""")
 def s7(lines: DataFrame) -> DataFrame:
     """The manifests written as JSON, read back and unfolded again, with their totals."""
-    spark, folder = lines.sparkSession, _new_folder(lines.sparkSession, "manifests")
+    spark, folder = lines.sparkSession, shared_path(lines.sparkSession, "manifests")
     fl.write_manifest_json(lines, folder)
     m = spark.read.schema(fl.manifests(lines).schema).json(folder).select("book_id", "totals", F.explode("chapters").alias("c"))
     m = m.select("book_id", "totals", "c.chapter", F.explode("c.scenes").alias("s")).select("book_id", "totals", "chapter", "s.scene", F.explode("s.lines").alias("l"))

@@ -106,3 +106,30 @@ def test_anchored_by_text(spark):
     got = {r.key: (r.line_number, r.start) for r in pr.anchored_by_text(frame, timed, ["scene"], first=12).collect()}
     # what a line of dialogue holds whole is speech, as is the empty text
     assert got == {"longer": (2, 2.0), "no": (None, 0.0), "one": (None, 0.0), "whole": (1, 4.0), "lost": (None, 0.0)}
+
+
+def test_with_answers(spark, tmp_path):
+    """A second run asks for what has no good answer; a request that never gets one is asked for `tries` times a run."""
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def fn(frames):
+        for f in frames:
+            for key in f["request_id"]:
+                n = len(list(asked.glob(f"{key}-*")))
+                (asked / f"{key}-{n}").touch()
+                raw = {"good": '```json\n{"speaker": "Ann"}\n```', "late": '{"speaker": "Bo"}' if n >= 2 else "{"}.get(key, "no")
+                if key != "silent":
+                    yield f[f["request_id"] == key][["request_id"]].assign(raw=raw)
+
+    rows = [("good", 1), ("good", 1), ("late", 2), ("bad", 3), ("silent", 4), (None, 5)]
+    requests = spark.createDataFrame(rows, "request_id string, raw_text int")
+    got = {r.request_id: r for r in at.with_answers(requests, fn, str(tmp_path / "store"), tries=2).collect()}
+    assert {k: (r.status, r.tries) for k, r in got.items()} == {
+        "good": ("success", 1), "late": ("failed_retry_required", 2), "bad": ("failed_retry_required", 2), "silent": ("failed_retry_required", 0), None: ("failed_retry_required", 0)
+    }
+    got = {r.request_id: r for r in at.with_answers(requests, fn, str(tmp_path / "store"), tries=2).collect()}
+    assert got["late"].answer.speaker == "Bo" and got["late"].tries == 3 and got["good"].answer.speaker == "Ann" and got["bad"].tries == 4
+    count = lambda key: len(list(asked.glob(f"{key}-*")))
+    assert (count("good"), count("late"), count("bad"), count("silent")) == (1, 3, 4, 4)
+    assert at.with_answers(requests.limit(0), fn, str(tmp_path / "none")).count() == 0

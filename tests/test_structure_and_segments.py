@@ -376,12 +376,41 @@ def test_foley_finds_every_action(spark):
     assert [r.sentence for r in found if r.scene_id == 99] == ["He closed the door."]
 
 
-def test_upserts(spark, tmp_path):
+def test_latest_stream(spark, tmp_path):
+    """A restart goes on from the checkpoint: rows that are older than what the state holds change nothing; batches of one file each."""
     from sparkbooks.streaming import usage as us
 
-    rows = [(k, n, f"{k}{n}") for n in range(7) for k in "abc" if (ord(k) + n) % 3]
-    for n in range(7):
-        spark.createDataFrame([r for r in rows if r[1] == n], "k string, at int, v string").coalesce(1).write.parquet(str(tmp_path / "in" / f"n{n}"))
-    stream = us.replay(spark, str(tmp_path / "in" / "*"), "k string, at int, v string", maxFilesPerTrigger="1")
-    got = us.run_upserts(stream, str(tmp_path / "out"), ["k"], "at", every=3)
-    assert sorted((r.k, r.v) for r in got.collect()) == [(k, f"{k}{max(n for c, n, _ in rows if c == k)}") for k in "abc"]
+    rng, seen = random.Random(2), {}
+    schema = "k string, j int, at int, v string, note string"
+    stream = us.replay(spark, str(tmp_path / "in" / "*"), schema, maxFilesPerTrigger="1")
+    for part in range(2):
+        for n in range(3):
+            rows = [(rng.choice(["a", "b", None]), rng.choice([1, 2]), rng.choice([None, *range(30)]), f"{part}{n}{i}", None) for i in range(5)]
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{part}n{n}"))
+            for k, j, at_, v, _ in rows:
+                if (k, j) not in seen or (at_ if at_ is not None else -1) > seen[k, j]:
+                    seen[k, j] = at_ if at_ is not None else -1
+        got = us.run_latest(stream, str(tmp_path / "out"), ["k", "j"], ["at"]).collect()
+        assert {(r.k, r.j): r.at if r.at is not None else -1 for r in got} == seen and len(got) == len(seen)
+    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    # nothing new: nothing is written
+    batches = len(list((tmp_path / "out" / "rows").iterdir()))
+    us.run_latest(stream, str(tmp_path / "out"), ["k", "j"], ["at"])
+    assert len(list((tmp_path / "out" / "rows").iterdir())) == batches
+
+
+def test_usage_closes_windows(spark, tmp_path):
+    """Rows behind the watermark are left out and counted; a window appears once it is closed, and only once."""
+    from sparkbooks.streaming import usage as us
+
+    schema = "ts timestamp, provider string, task string, success boolean, latency_ms double"
+    parts = [["10:05", "10:40", "11:20"], ["10:50", "11:30"], ["12:30", "13:15"]]
+    stream, rows, late = us.replay(spark, str(tmp_path / "in" / "*"), schema), [], []
+    for n, times in enumerate(parts):
+        frame = spark.createDataFrame([(f"2024-01-01 {t}:00", "local", "x", True, 1.0) for t in times], "ts string, provider string, task string, success boolean, latency_ms double")
+        frame.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "in" / f"n{n}"))
+        closed, dropped = us.run_closed(us.usage_stream(stream), str(tmp_path / "out"))
+        rows.append(sorted((r.start.hour, r.calls) for r in closed.collect()))
+        late.append(dropped)
+    # 10:50 came after 11:20 had closed the hour from 10
+    assert rows == [[(10, 2)], [(10, 2)], [(10, 2), (11, 2), (12, 1)]] and late == [0, 1, 0]
