@@ -1,4 +1,4 @@
-"""Versioned section trees as adjacency lists of three levels, edited in bulk: sections in, sections out.
+"""Versioned section trees as adjacency lists, of any depth, edited in bulk: sections in, sections out.
 
 A section row has book_id, section_id, parent_id, kind, position, title, content_type, text_hash, status, analysis_valid, audio_valid, render_valid,
 approval and structure_version at least. An edit makes a new version of the books that it changes: all their sections carry the next structure_version. Where an edit
@@ -25,15 +25,24 @@ def normalize_sibling_order(sections: DataFrame) -> DataFrame:
     return sections.withColumn("position", F.when(active(), F.row_number().over(order).cast("long")).otherwise(F.col("position")))
 
 
+def paths(sections: DataFrame) -> DataFrame:
+    """(book_id, section_id, kind, title, path): active sections whose ancestors are all active, up to one without a parent. path has the position and id of each
+    section on the way down, so paths sort in the order of reading. Recursion goes 100 levels down, as Spark lets it; circles have no start and are left out."""
+    return sections.sparkSession.sql(
+        """WITH RECURSIVE down(book_id, section_id, kind, title, path) AS (
+             SELECT book_id, section_id, kind, title, array(struct(position AS position, section_id AS id)) FROM {s} WHERE parent_id IS NULL
+             UNION ALL
+             SELECT s.book_id, s.section_id, s.kind, s.title, array_append(down.path, struct(s.position AS position, s.section_id AS id))
+             FROM down JOIN {s} s ON s.book_id = down.book_id AND s.parent_id = down.section_id)
+           SELECT * FROM down LIMIT ALL""",
+        s=sections.where(active()).select("book_id", "section_id", "parent_id", "kind", "title", "position"),
+    )
+
+
 def canonical_order(sections: DataFrame) -> DataFrame:
-    """(book_id, section_id, place) of the active leaves below active parents, by the positions and ids of their parts, chapters and scenes."""
-    s = sections.where(active()).select("book_id", "section_id", "parent_id", "position", "kind")
-    part = s.where("kind = 'part'").select("book_id", F.col("section_id").alias("p"), F.col("position").alias("pp"))
-    chapter = s.where("kind = 'chapter'").select("book_id", F.col("section_id").alias("c"), F.col("parent_id").alias("p"), F.col("position").alias("cp"))
-    scene = s.where("kind = 'scene'").select("book_id", "section_id", F.col("parent_id").alias("c"), "position")
-    joined = scene.join(chapter, ["book_id", "c"]).join(part, ["book_id", "p"])
-    order = Window.partitionBy("book_id").orderBy("pp", "p", "cp", "c", "position", "section_id")
-    return joined.select("book_id", "section_id", F.row_number().over(order).alias("place"))
+    """(book_id, section_id, place) of the active scenes below active parents, at any depth, by the positions and ids on their paths."""
+    order = Window.partitionBy("book_id").orderBy("path")
+    return paths(sections).where("kind = 'scene'").select("book_id", "section_id", F.row_number().over(order).alias("place"))
 
 
 def edited(sections: DataFrame, edits: DataFrame, **changes: Column) -> DataFrame:
@@ -100,16 +109,21 @@ def _renumbered(sections: DataFrame, parents: DataFrame) -> DataFrame:
 
 
 def below(sections: DataFrame, named: DataFrame) -> DataFrame:
-    """(book_id, section_id) of all sections, of any status, below named ones. The tree has three levels, so two joins reach all."""
-    one = sections.join(named.select("book_id", F.col("section_id").alias("parent_id")), ["book_id", "parent_id"], "left_semi").select("book_id", "section_id")
-    two = sections.join(one.withColumnRenamed("section_id", "parent_id"), ["book_id", "parent_id"], "left_semi").select("book_id", "section_id")
-    return one.unionByName(two).distinct()
+    """(book_id, section_id, top, depth) of all sections, of any status, below named(book_id, section_id): once for each named one, `depth` levels under it."""
+    return sections.sparkSession.sql(
+        """WITH RECURSIVE down(book_id, section_id, top, depth) AS (
+             SELECT s.book_id, s.section_id, n.section_id, 1 FROM {s} s JOIN {n} n ON s.book_id = n.book_id AND s.parent_id = n.section_id
+             UNION ALL
+             SELECT s.book_id, s.section_id, down.top, down.depth + 1 FROM down JOIN {s} s ON s.book_id = down.book_id AND s.parent_id = down.section_id)
+           SELECT * FROM down LIMIT ALL""",
+        s=sections.select("book_id", "section_id", "parent_id"), n=named.select("book_id", "section_id").distinct(),
+    )
 
 
 def remove_sections(sections: DataFrame, edits: DataFrame) -> DataFrame:
     """The named sections and all below them deleted and invalid; their siblings renumbered."""
     named = _known(sections, edits.select("book_id", "section_id").distinct())
-    gone = named.unionByName(below(sections, named)).distinct()
+    gone = named.unionByName(below(sections, named).select("book_id", "section_id")).distinct()
     parents = sections.join(named, ["book_id", "section_id"], "left_semi").select("book_id", "parent_id")
     return new_version(_renumbered(edited(sections, gone, status=F.lit("deleted"), **invalid()), parents), named)
 
@@ -161,19 +175,33 @@ def merge_sections(sections: DataFrame, edits: DataFrame) -> DataFrame:
     good = together.where("active AND runs = 1 AND n = size(section_ids) AND n > 1 AND parent_id <=> other AND held IN (0, n)")
     good = good.withColumn("new_id", merged_id(F.col("version") + 1, F.col("section_ids")))
     sources = good.select("book_id", "new_id", F.explode("section_ids").alias("section_id"))
-    involved = sources.select("book_id", "section_id").unionByName(below(sections, sources)).distinct()
-    done = edited(edited(sections, involved, **invalid()), sources.select("book_id", "section_id"), status=F.lit("merged"))
-    moved = done.join(sources.select("book_id", F.col("section_id").alias("parent_id"), F.col("new_id").alias("e_parent")), ["book_id", "parent_id"], "left")
+    # one map says of each section what becomes of it: sources, their children, which move, and what lies deeper
+    under = below(sections, sources).alias("u").join(sources.alias("t"), (F.col("u.book_id") == F.col("t.book_id")) & (F.col("u.top") == F.col("t.section_id")))
+    involved = sources.select("book_id", "section_id", F.lit(0).alias("depth"), "new_id").unionByName(under.select("u.book_id", "u.section_id", "u.depth", "t.new_id"))
+    involved = involved.groupBy("book_id", "section_id").agg(
+        F.bool_or(F.col("depth") == 0).alias("e_source"), F.max(F.when(F.col("depth") == 1, F.col("new_id"))).alias("e_parent"), F.lit(True).alias("e_hit")
+    )
+    hit, source = F.coalesce("e_hit", F.lit(False)), F.coalesce("e_source", F.lit(False))
     place = F.row_number().over(Window.partitionBy("book_id", "e_parent").orderBy("position", "section_id")).cast("long")
-    moved = moved.withColumn("position", F.when(F.col("e_parent").isNotNull(), place).otherwise(F.col("position")))
-    done = moved.withColumn("parent_id", F.coalesce("e_parent", "parent_id")).select(*sections.columns)
+    own = {c: F.when(hit, v).otherwise(F.col(c)) for c, v in invalid().items()} | {
+        "status": F.when(source, "merged").otherwise(F.col("status")), "parent_id": F.coalesce("e_parent", "parent_id"),
+        "position": F.when(F.col("e_parent").isNotNull(), place).otherwise(F.col("position")),
+    }
+    done = sections.join(involved, ["book_id", "section_id"], "left")
+    done = done.select(*[own[c].alias(c) if c in own else F.col(c) for c in sections.columns], F.lit(False).alias("e_new"))
     joined = F.sha2(F.array_join(F.transform("listed", lambda x: x.text_hash), "|"), 256)
     new = good.select(
         "book_id", F.col("new_id").alias("section_id"), "parent_id", F.col("listed")[0].kind.alias("kind"), "position",
         F.coalesce("e_title", F.array_join(F.transform("listed", lambda x: x.title), " / ")).alias("title"), F.col("listed")[0].content_type.alias("content_type"),
-        F.concat(F.lit("sha256:"), joined).alias("text_hash"), F.lit("active").alias("status"), *[v.alias(c) for c, v in invalid().items()], F.col("version").alias("structure_version"),
+        F.concat(F.lit("sha256:"), joined).alias("text_hash"), F.lit("active").alias("status"), *[v.alias(c) for c, v in invalid().items()], F.col("version").alias("structure_version"), F.lit(True).alias("e_new"),
     )
-    return new_version(_renumbered(done.unionByName(new, allowMissingColumns=True), good), good)
+    every = done.unionByName(new, allowMissingColumns=True)
+    # the siblings of a new section are numbered again, and its book has a new version
+    order = Window.partitionBy("book_id", "parent_id", active()).orderBy("position", "section_id")
+    among = F.bool_or("e_new").over(siblings()) & active()
+    every = every.withColumn("position", F.when(among, F.row_number().over(order).cast("long")).otherwise(F.col("position")))
+    changed = F.bool_or("e_new").over(Window.partitionBy("book_id")).cast("int")
+    return every.withColumn("structure_version", F.col("structure_version") + changed).select(*sections.columns)
 
 
 def split_sections(sections: DataFrame, edits: DataFrame) -> DataFrame:
@@ -206,6 +234,18 @@ def outline(sections: DataFrame) -> DataFrame:
     return parts.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("position", "section_id", "title", "chapters"))).alias("parts"))
 
 
+def outline_rows(sections: DataFrame) -> DataFrame:
+    """(book_id, section_id, depth, number, title): each book's active tree of any depth as a table of contents, numbered 1.2.3 by the places among active siblings."""
+    p = paths(sections)
+    siblings_of = Window.partitionBy("book_id", F.slice("path", 1, F.size("path") - 1)).orderBy("path")
+    place = p.withColumn("place", F.row_number().over(siblings_of)).select("book_id", "section_id", "place", "title", "path")
+    steps = place.select("book_id", "section_id", F.posexplode(F.transform("path", lambda x: x.id)).alias("at", "step"))
+    steps = steps.join(place.select("book_id", F.col("section_id").alias("step"), F.col("place").alias("n")), ["book_id", "step"])
+    number = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "n"))), lambda x: x.n.cast("string")), ".")
+    numbers = steps.groupBy("book_id", "section_id").agg(number.alias("number"))
+    return place.join(numbers, ["book_id", "section_id"]).select("book_id", "section_id", F.size("path").alias("depth"), "number", "title")
+
+
 def upsert(table: DataFrame, changes: DataFrame, keys: list[str], keep_old_if_null: list[str] | None = None) -> DataFrame:
     """The table with the last change of each key (by column at); a null in the listed columns keeps what was there."""
     last = changes.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("at")))).where("__n = 1").drop("__n", "at")

@@ -146,6 +146,15 @@ def e7(sections: DataFrame) -> DataFrame:
     return shown(sx.split_sections(sections, edits))
 
 
+@query("E8_outline_rows", "sections", sql="""
+WITH RECURSIVE a AS (SELECT *, row_number() OVER (PARTITION BY book_id, parent_id ORDER BY position, section_id) AS n FROM sections WHERE status = 'active'),
+t AS (SELECT book_id, section_id, 1 AS depth, n::VARCHAR AS number, title FROM a WHERE parent_id IS NULL
+      UNION ALL SELECT a.book_id, a.section_id, depth + 1, number || '.' || n, a.title FROM t JOIN a ON a.book_id = t.book_id AND a.parent_id = t.section_id)
+SELECT * FROM t""")
+def e8_rows(sections: DataFrame) -> DataFrame:
+    return sx.outline_rows(sections)
+
+
 @query("E8_outline", "sections", sql="""
 WITH a AS (SELECT * FROM sections WHERE status = 'active')
 SELECT p.book_id, p.section_id AS part, c.section_id AS chapter, s.section_id AS scene,

@@ -376,6 +376,34 @@ def test_foley_finds_every_action(spark):
     assert [r.sentence for r in found if r.scene_id == 99] == ["He closed the door."]
 
 
+def test_deep_trees(spark):
+    """Five levels, with an inactive branch, two roots and equal positions."""
+    rows = [("a", None, 2), ("b", None, 1), ("a1", "a", 1), ("a2", "a", 1), ("a1x", "a1", 5), ("a1y", "a1", 3), ("deep", "a1x", 1), ("leaf", "deep", 9), ("off", "a", 0), ("under", "off", 1), ("b1", "b", 7)]
+    kinds = {"leaf": "scene", "under": "scene", "b1": "scene"}
+    sections = spark.createDataFrame(
+        [("k", i, p, kinds.get(i, "chapter"), n, i.upper(), "chapter", "h", "deleted" if i == "off" else "active", True, True, True, "approved", 3) for i, p, n in rows],
+        "book_id string, section_id string, parent_id string, kind string, position long, title string, content_type string, text_hash string, status string, analysis_valid boolean, audio_valid boolean, render_valid boolean, approval string, structure_version int",
+    )
+    got = {r.section_id: (r.depth, r.number, r.title) for r in sx.outline_rows(sections).collect()}
+    assert got == {
+        "b": (1, "1", "B"), "b1": (2, "1.1", "B1"), "a": (1, "2", "A"), "a1": (2, "2.1", "A1"), "a2": (2, "2.2", "A2"), "a1y": (3, "2.1.1", "A1Y"),
+        "a1x": (3, "2.1.2", "A1X"), "deep": (4, "2.1.2.1", "DEEP"), "leaf": (5, "2.1.2.1.1", "LEAF"),
+    }
+    assert sorted((r.place, r.section_id) for r in sx.canonical_order(sections).collect()) == [(1, "b1"), (2, "leaf")]
+    named = spark.createDataFrame([("k", "a"), ("k", "a1"), ("k", "nothing")], "book_id string, section_id string")
+    found = {(r.top, r.section_id): r.depth for r in sx.below(sections, named).collect()}
+    assert found == {
+        ("a", "a1"): 1, ("a", "a2"): 1, ("a", "off"): 1, ("a", "a1x"): 2, ("a", "a1y"): 2, ("a", "under"): 2, ("a", "deep"): 3, ("a", "leaf"): 4,
+        ("a1", "a1x"): 1, ("a1", "a1y"): 1, ("a1", "deep"): 2, ("a1", "leaf"): 3,
+    }
+    gone = {r.section_id for r in sx.remove_sections(sections, named).collect() if r.status == "deleted"}
+    assert gone == {"a", "a1", "a2", "off", "a1x", "a1y", "under", "deep", "leaf"}
+    merged = {r.section_id: r for r in sx.merge_sections(sections, spark.createDataFrame([("k", ["a1", "a2"], None)], "book_id string, section_ids array<string>, title string")).collect()}
+    (new,) = [r for k, r in merged.items() if k.startswith("sec_merge_v4")]
+    assert new.title == "A1 / A2" and {k for k, r in merged.items() if r.parent_id == new.section_id} == {"a1x", "a1y"}
+    assert {k for k, r in merged.items() if not r.analysis_valid} == {new.section_id, "a1", "a2", "a1x", "a1y", "deep", "leaf"} and {r.structure_version for r in merged.values()} == {4}
+
+
 def test_latest_stream(spark, tmp_path):
     """A restart goes on from the checkpoint: rows that are older than what the state holds change nothing; batches of one file each."""
     from sparkbooks.streaming import usage as us
