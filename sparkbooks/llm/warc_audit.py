@@ -79,49 +79,128 @@ def write_warc(pages: DataFrame, path: str, rows: int, per_file: int = RECORDS,
     sorted_.write.partitionBy("file").option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
-def _plain(data: bytes) -> tuple[bytes, bool]:
-    """The bytes of a file, which may be of gzip members, as far as they can be read, and whether that is all of them."""
-    if not data.startswith(b"\x1f\x8b"):
-        return data, True
-    out = []
-    while data:
-        member = zlib.decompressobj(31)
-        try:
-            # in pieces, so that what comes before an error is kept
-            for k in range(0, len(data), 1 << 16):
-                out.append(member.decompress(data[k : k + (1 << 16)]))
-                if member.eof:
-                    break
-        except zlib.error:
-            return b"".join(out), False
-        if not member.eof:
-            return b"".join(out), False
-        data = member.unused_data + data[k + (1 << 16) :]
-    return b"".join(out), True
-
+MAGIC = b"\x1f\x8b\x08"
 
-def parsed(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes]]:
-    """(begin, end, head, body) of the records in a file's bytes, end being after the line ends that close a record; names in the head are in lower case.
 
-    What is not a whole record, up to the next version line after a closing, comes as one range with None for its head.
-    """
-    at = 0
+def _inflated(data: bytes, at: int) -> Iterator[tuple[bytes, int]]:
+    """(piece, end) of a gzip member at a place: its plain bytes piece by piece, with end 0 until the last piece, then the place behind the member, or -1 where it is damaged."""
+    member, size = zlib.decompressobj(31), 1 << 11
     while at < len(data):
-        end = data.find(b"\r\n\r\n", at) if data[at : at + 5] == b"WARC/" else -1
-        if end >= 0:
-            lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-            head = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-            size = head.get("content-length", "")
-            if re.fullmatch("[0-9]{1,15}", size):
-                stop = end + 4 + int(size)
-                if data[stop : stop + 4] == b"\r\n\r\n":
-                    yield at, stop + 4, head, data[end + 4 : stop]
-                    at = stop + 4
-                    continue
-        after = data.find(b"\r\n\r\nWARC/", at + 1)
-        stop = after + 4 if after >= 0 else len(data)
-        yield at, stop, None, data[at:stop]
-        at = stop
+        try:
+            # small pieces first, as most members are small; what lies behind a member is copied out of its last piece
+            piece = member.decompress(data[at : at + size])
+        except zlib.error:
+            break
+        at += size
+        if member.eof:
+            yield piece, min(at, len(data)) - len(member.unused_data)
+            return
+        yield piece, 0
+        size = min(2 * size, 1 << 16)
+    yield b"", -1
+
+
+def _pieces(data: bytes) -> Iterator[tuple[bytes, bool | None]]:
+    """(piece, state) of a file's plain bytes, in order: state is None within a member, True at the end of a good one and False where one breaks off. After damage,
+    reading goes on at the next member that begins with a version line. A file that is not compressed is one good piece."""
+    if not data.startswith(MAGIC[:2]):
+        yield data, True
+        return
+    at = 0
+    while 0 <= at < len(data):
+        begin = at
+        for piece, end in _inflated(data, at):
+            yield piece, True if end > 0 else None if not end else False
+        if end > 0:
+            at = end
+            if data[at : at + 2] == MAGIC[:2] or at == len(data):
+                continue
+            # what follows is no member: damage of its own, unless it is padding
+            if data[at:].strip(b"\0"):
+                yield b"", False
+            begin = at - 1
+        at = data.find(MAGIC, begin + 1)
+        while at >= 0 and not next(_inflated(data, at))[0].startswith(b"WARC/"):
+            at = data.find(MAGIC, at + 1)
+
+
+class _Records:
+    """Finds records in plain bytes that come piece by piece, and holds no more than the record that is not whole yet."""
+
+    def __init__(self) -> None:
+        self.held, self.at, self.begin, self.sought = bytearray(), 0, 0, 0
+
+    def add(self, piece: bytes) -> None:
+        # what is done with goes once it is most of what is held, so that bytes are moved a bounded number of times
+        if self.begin > len(self.held) // 2:
+            del self.held[: self.begin]
+            self.sought -= self.begin
+            self.begin = 0
+        self.held += piece
+
+    def whole(self, last: bool) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str]]:
+        """The records and broken ranges that are known to end; with `last` nothing more belongs to what is held."""
+        held = self.held
+        while self.begin < len(held):
+            begin, stop, head = self.begin, -1, None
+            if held[begin : begin + 5] == b"WARC/":
+                end = held.find(b"\r\n\r\n", max(begin, self.sought - 3))
+                if end < 0 and not last:
+                    self.sought = len(held)
+                    return
+                if end >= 0:
+                    lines = held[begin:end].decode("utf-8", "replace").split("\r\n")[1:]
+                    known = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+                    size = known.get("content-length", "")
+                    if re.fullmatch("[0-9]{1,15}", size):
+                        stop = end + 4 + int(size)
+                        if stop + 4 > len(held) and not last:
+                            return
+                        head = known if held[stop : stop + 4] == b"\r\n\r\n" else None
+            elif len(held) - begin < 5 and not last and b"WARC/".startswith(held[begin:]):
+                return
+            if head is not None:
+                body = bytes(held[end + 4 : stop])
+                stop += 4
+            else:
+                after = held.find(b"\r\n\r\nWARC/", max(begin + 1, self.sought - 8))
+                if after < 0 and not last:
+                    self.sought = len(held)
+                    return
+                stop = after + 4 if after >= 0 else len(held)
+                body = bytes(held[begin:stop])
+            leaf = hashlib.sha256(memoryview(held)[begin : stop - 4 if head is not None else stop]).hexdigest()
+            yield self.at, self.at + stop - begin, head, body, leaf
+            self.at += stop - begin
+            self.begin = self.sought = stop
+
+
+def parsed(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str]]:
+    """(begin, end, head, body, leaf) of the records in a file's bytes, end being after the line ends that close a record; names in the head are in lower case, leaf is
+    the SHA-256 of the record without those line ends. Places are those of the plain bytes, of which no more than a record is held.
+
+    What is not a whole record, up to the next version line after a closing, comes as one range with None for its head. So does what could be read of a damaged gzip member
+    after its last whole record, of no bytes if there is nothing; if the member held one record only, that one is broken.
+    """
+    found, count, waiting = _Records(), 0, None
+    for piece, state in _pieces(data):
+        found.add(piece)
+        for record in found.whole(state is False):
+            if waiting:
+                yield waiting
+            waiting, count = record, count + 1
+        if state is False:
+            if waiting and waiting[2] is not None and count == 1:
+                waiting = (*waiting[:2], None, *waiting[3:])
+            elif not waiting or waiting[2] is not None:
+                if waiting:
+                    yield waiting
+                waiting = (found.at, found.at, None, b"", hashlib.sha256(b"").hexdigest())
+        if state is not None:
+            if waiting:
+                yield waiting
+            waiting, count = None, 0
+    yield from found.whole(True)
 
 
 WARC_SCHEMA = "file string, number long, offset long, length long, type string, id string, url string, body string, leaf string, status string"
@@ -132,7 +211,7 @@ def read_warc(spark: SparkSession, path: str, bodies: bool = True) -> DataFrame:
 
     Files may be compressed by gzip, as a whole or by record; offsets are those of the plain bytes. id is the record's id, leaf the SHA-256 of its bytes
     without the closing line ends, body its text (null if `bodies` is false). Records whose status is 'broken' are ranges that hold no whole record; after one,
-    reading goes on at the next version line. A file whose compression is broken gives what could be read, and a broken row without bytes at its end.
+    reading goes on at the next version line. Of a damaged gzip member comes what could be read before the damage, and one broken row; the members after it are read.
     Rows of pages are those whose type is 'response'. An empty file gives no rows. Files over 2 GB cannot be read, as a file is one row of Spark's reader.
     """
 
@@ -140,20 +219,15 @@ def read_warc(spark: SparkSession, path: str, bodies: bool = True) -> DataFrame:
         columns = [c.split()[0] for c in WARC_SCHEMA.split(", ")]
         for frame in frames:
             for name, content in zip(frame["path"], frame["content"], strict=True):
-                data, whole = _plain(bytes(content))
-                rows, number, end = [], 0, 0
-                for begin, end, head, body in parsed(data):
-                    leaf = hashlib.sha256(data[begin : end - 4 if head is not None else end]).hexdigest()
+                rows = []
+                for number, (begin, end, head, body, leaf) in enumerate(parsed(bytes(content))):
                     known = head or {}
                     text = body.decode("utf-8", "replace") if bodies and head is not None else None
                     row = (name, number, begin, end - begin, known.get("warc-type"), known.get("warc-record-id"), known.get("warc-target-uri"), text, leaf)
                     rows.append((*row, "broken" if head is None else "ok"))
-                    number += 1
                     if len(rows) == 256:
                         yield pd.DataFrame(rows, columns=columns)
                         rows = []
-                if not whole:
-                    rows.append((name, number, end, 0, None, None, None, None, hashlib.sha256(b"").hexdigest(), "broken"))
                 yield pd.DataFrame(rows, columns=columns)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
