@@ -28,13 +28,13 @@ from sparkbooks.llm.shared import components, small_batches, written
 
 #: Vectors in a list that are aimed at, directions of each set that a vector is extreme on, and independent tables.
 LENGTH, TOP, TABLES = 32, 3, 3
-#: Tables at most: where as many find too few pairs, no result is better than a poor one.
+#: Tables at most: where as many find too few pairs, as at a low cosine, all pairs are compared in blocks instead.
 MOST_TABLES = 24
 #: Vectors that the calibration looks at, the recall it wants at the threshold, and the number of standard deviations in a window.
 CALIBRATED, RECALL, WINDOW = 1000, 0.99, 3.5
 #: Vectors in a block of a long list; pairs compared at once.
 BLOCK, AT_ONCE = 1024, 200_000
-#: Bytes of TABLES tables of directions, which are broadcast, at most: enough for 10^10 vectors of 64 dimensions. Beyond, lists grow longer.
+#: Bytes of all tables of directions, which are broadcast, at most: enough for 10^8 vectors of 64 dimensions in the most tables. Beyond, lists grow longer.
 MOST_BYTES = 256 << 20
 
 
@@ -97,11 +97,11 @@ class Counting:
         return close.sum(axis=1), np.where(close, numbers, np.iinfo(np.int64).max).min(axis=1)
 
 
-def calibrated(n: int, dimensions: int, cosine: float, sample: np.ndarray, seed: int = 7) -> Projections:
+def calibrated(n: int, dimensions: int, cosine: float, sample: np.ndarray, seed: int = 7) -> Projections | None:
     """Projections for n vectors. The least count is the largest that still finds RECALL of pairs at the threshold, each made from a sampled
-    vector and a random direction; tables are added while even a count of one finds fewer, and an error is raised if they do not help."""
+    vector and a random direction; tables are added while even a count of one finds fewer. None if they do not help."""
     rng = np.random.default_rng(seed)
-    m = min(math.ceil(math.sqrt(n * TOP * TOP / LENGTH)), MOST_BYTES // (16 * dimensions * TABLES))
+    m = min(math.ceil(math.sqrt(n * TOP * TOP / LENGTH)), MOST_BYTES // (16 * dimensions * MOST_TABLES))
     m = max(2, m)
     # the difference of near vectors has this standard deviation on a direction of standard normal numbers
     window = WINDOW * math.sqrt(2 - 2 * cosine)
@@ -120,7 +120,7 @@ def calibrated(n: int, dimensions: int, cosine: float, sample: np.ndarray, seed:
             made.least = max(found)
             return made
         if tables >= MOST_TABLES:
-            raise ValueError(f"{tables} tables find {(counts >= 1).mean():.3f} of the pairs at cosine {cosine}, fewer than {RECALL}")
+            return None
         tables += 1
 
 
@@ -165,6 +165,20 @@ def _entries(projections, dimensions: int):
     return run
 
 
+def _whole(dimensions: int):
+    """Entries for comparing all: one list, of which each vector is sent once for each block that its own meets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, good = _unit(batch.column(1), dimensions)
+            names, copies = (batch.column(c).filter(pa.array(good)) for c in (0, 2))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.zeros(int(good.sum()), np.int64)), names, copies, pa.array([y.tobytes() for y in x[good]], pa.binary())], ["list", "vec", "copies", "packed"]
+            )
+
+    return run
+
+
 def _pairs_of(values: np.ndarray, side: np.ndarray, window: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of places whose values differ by the window at most; between the two sides if there are two."""
     order = np.argsort(values, kind="stable")
@@ -179,13 +193,16 @@ def _pairs_of(values: np.ndarray, side: np.ndarray, window: float) -> tuple[np.n
     return i, j
 
 
-def _verify(counting: Counting, tables: int, dimensions: int, cosine: float):
+def _verify(counting: Counting | None, tables: int, dimensions: int, cosine: float):
+    """Compares the vectors that meet in a list; without counting all of them."""
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         raw = np.frombuffer(b"".join(frame["packed"]), np.uint8).reshape(len(frame), -1)
         cut = (raw.shape[1] - 8 * dimensions) // 2
-        numbers, products = (np.ascontiguousarray(raw[:, i * cut : (i + 1) * cut]).view(t).reshape(len(frame), tables, 2, -1) for i, t in enumerate((np.int32, np.float32)))
         x = np.ascontiguousarray(raw[:, 2 * cut :]).view(np.float64)
-        own_lists, values = counting.lists(numbers, products)
+        if counting:
+            numbers, products = (np.ascontiguousarray(raw[:, i * cut : (i + 1) * cut]).view(t).reshape(len(frame), tables, 2, -1) for i, t in enumerate((np.int32, np.float32)))
+            own_lists, values = counting.lists(numbers, products)
         names, copies = frame["vec"].to_numpy(), frame["copies"].to_numpy()
         lists, sides, tasks = frame["list"].to_numpy(), frame["side"].to_numpy(), frame["task"].to_numpy()
         links = np.zeros(len(frame), np.int64)
@@ -201,15 +218,17 @@ def _verify(counting: Counting, tables: int, dimensions: int, cosine: float):
         order = np.lexsort((lists, tasks))
         for rows in np.split(order, np.flatnonzero((np.diff(tasks[order]) != 0) | (np.diff(lists[order]) != 0)) + 1):
             own = lists[rows[0]]
-            here = np.where(own_lists[rows] == own, values[rows], -np.inf).max(axis=1)
-            left, right = _pairs_of(here, sides[rows] > 0, counting.window * (1 + 1e-5) + 1e-5)
+            here = np.where(own_lists[rows] == own, values[rows], -np.inf).max(axis=1) if counting else np.zeros(len(rows))
+            left, right = _pairs_of(here, sides[rows] > 0, counting.window * (1 + 1e-5) + 1e-5 if counting else 1.0)
             for k in range(0, len(left), AT_ONCE):
                 i, j = rows[left[k : k + AT_ONCE]], rows[right[k : k + AT_ONCE]]
                 near = np.empty(len(i))
                 for q in range(0, len(i), 4000):
                     a, b = i[q : q + 4000], j[q : q + 4000]
-                    count, first = counting.collisions(numbers[a], products[a], numbers[b], products[b])
-                    passed = (count >= counting.least) & (first == own)
+                    passed = np.ones(len(a), bool)
+                    if counting:
+                        count, first = counting.collisions(numbers[a], products[a], numbers[b], products[b])
+                        passed = (count >= counting.least) & (first == own)
                     near[q : q + 4000] = -1
                     near[q : q + 4000][passed] = np.einsum("ij,ij->i", x[a[passed]], x[b[passed]])
                 hit = near >= cosine
@@ -254,7 +273,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     smallest id that links reach, and a row is kept if that is its own id. Null vectors, zero ones, those with null or non-finite components
     and those of another length than most link with nothing. Equal vectors are handled as one and counted as many. A null id is never the smallest
     unless a component has no other, and is not kept. Rows that repeat an id are vectors of their own. No rows give no rows; other
-    columns are not looked at.
+    columns are not looked at. At cosines that no calibration serves, all pairs are compared, block by block, and none is missed.
     """
     small_batches(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
@@ -272,10 +291,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     sample = distinct.orderBy("vec").limit(CALIBRATED).select("v").toPandas()["v"]
     sample = np.array([np.asarray(v, float) for v in sample]) if len(sample) else np.zeros((0, dimensions))
     projections = calibrated(n, dimensions, cosine, sample / np.maximum(np.abs(sample).max(axis=1, keepdims=True, initial=0), 1e-300))
-    shared = vectors.sparkSession.sparkContext.broadcast(projections)
-    entries = distinct.select("vec", "v", "copies").mapInArrow(_entries(shared, dimensions), "list long, vec long, copies long, packed binary")
-    entries = written(entries, "vector-lists")
-    verify = _verify(projections.counting(), len(projections.first), dimensions, cosine)
+    if projections:
+        shared = vectors.sparkSession.sparkContext.broadcast(projections)
+        listed, verify = _entries(shared, dimensions), _verify(projections.counting(), len(projections.first), dimensions, cosine)
+    else:
+        listed, verify = _whole(dimensions), _verify(None, 0, dimensions, cosine)
+    entries = written(distinct.select("vec", "v", "copies").mapInArrow(listed, "list long, vec long, copies long, packed binary"), "vector-lists")
     found = placed(entries).groupBy("task").applyInPandas(verify, "a long, b long, links long")
     found = written(found, "vector-links")
     linked = components(found.where("b IS NOT NULL"))

@@ -496,21 +496,22 @@ def test_near_vectors(spark):
     assert embedding_dedup.near_vectors(vectors.limit(0)).count() == 0
 
 
-def test_near_vectors_near_the_threshold(spark):
-    """Recall against brute force of pairs whose cosine is from 0.95 to 0.96, in 64 dimensions."""
+@pytest.mark.parametrize(("dimensions", "least"), [(64, 0.95), (16, 0.98), (256, 0.95)])
+def test_near_vectors_near_the_threshold(spark, dimensions, least):
+    """Recall against brute force of pairs whose cosine is up to 0.01 above the threshold."""
     rng = np.random.default_rng(11)
-    base = rng.standard_normal((3000, 64))
+    base = rng.standard_normal((3000, dimensions))
     base /= np.linalg.norm(base, axis=1, keepdims=True)
-    off = rng.standard_normal((600, 64))
+    off = rng.standard_normal((600, dimensions))
     off -= (off * base[:600]).sum(1, keepdims=True) * base[:600]
     off /= np.linalg.norm(off, axis=1, keepdims=True)
-    cosine = rng.uniform(0.95, 0.96, (600, 1))
+    cosine = rng.uniform(least, least + 0.01, (600, 1))
     x = np.concatenate([base, cosine * base[:600] + np.sqrt(1 - cosine**2) * off, -base[:5]])
     x *= rng.uniform(0.1, 10, (len(x), 1))
     vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = {r.vec_id: r for r in embedding_dedup.near_vectors(vectors).collect()}
+    got = {r.vec_id: r for r in embedding_dedup.near_vectors(vectors, cosine=least).collect()}
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    pairs = np.argwhere(np.triu(unit @ unit.T >= 0.95, 1)).tolist()
+    pairs = np.argwhere(np.triu(unit @ unit.T >= least, 1)).tolist()
     found = [(a, b) for a, b in pairs if got[a].component_id == got[b].component_id]
     assert len(pairs) >= 590 and len(found) >= 0.97 * len(pairs)
     assert sum(r.n_links for r in got.values()) == 2 * len(found)
@@ -522,8 +523,27 @@ def test_near_vectors_ties(spark):
     vectors = spark.createDataFrame(list(enumerate(flat)), "vec_id long, embedding array<double>")
     got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(vectors, cosine=0.8).collect()}
     assert got == {0: (1, 0), 1: (1, 0), 2: (1, 2), 3: (1, 2)}
-    with pytest.raises(ValueError):
-        embedding_dedup.calibrated(10**7, 64, 0.1, np.random.default_rng(0).standard_normal((50, 64)))
+    assert embedding_dedup.calibrated(10**7, 64, 0.1, np.random.default_rng(0).standard_normal((50, 64))) is None
+
+
+def test_near_vectors_without_calibration(spark, monkeypatch):
+    """Where no calibration helps, all pairs are compared, in blocks; none is missed."""
+    monkeypatch.setattr(embedding_dedup, "calibrated", lambda *_: None)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((300, 6))
+    x[290:] = x[:10] * 2
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None)], "vec_id long, embedding array<double>")
+    real = embedding_dedup.placed
+    monkeypatch.setattr(embedding_dedup, "placed", lambda entries: real(entries, 64))
+    got = {r.vec_id: r for r in embedding_dedup.near_vectors(vectors, cosine=0.9).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert {i: r.n_links for i, r in got.items()} == {**dict(enumerate(near.sum(axis=1).tolist())), 900: 0}
+    reach = near | np.eye(len(x), dtype=bool)
+    for _ in range(9):
+        reach = reach @ reach
+    assert all(got[i].component_id == int(np.flatnonzero(reach[i])[0]) for i in range(len(x)))
 
 
 def test_token_counts(spark, awkward, empty):
