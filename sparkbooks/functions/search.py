@@ -43,16 +43,21 @@ class Uniform:
         return self.place[k] + at - self.begin[k]
 
 
-def first_places(text: str, wanted: Iterable[str]) -> dict[str, int]:
-    """The first place of each wanted string that text holds: one pass over the text, however many are sought. Empty strings are not found."""
+def every_place(text: str, wanted: Iterable[str]) -> list[tuple[int, str]]:
+    """(place, string) of all places of wanted strings, overlapping ones too, by where they end: one pass over the text, however many are sought. Empty strings are not found."""
     machine = ahocorasick.Automaton()
     for w in set(wanted):
         if w:
             machine.add_word(w, w)
+    if not len(machine) or not text:
+        return []
+    machine.make_automaton()
+    return [(end + 1 - len(w), w) for end, w in machine.iter(text)]
+
+
+def first_places(text: str, wanted: Iterable[str]) -> dict[str, int]:
+    """The first place of each wanted string that text holds."""
     found: dict[str, int] = {}
-    if len(machine) and text:
-        machine.make_automaton()
-        for end, w in machine.iter(text):
-            if w not in found:
-                found[w] = end + 1 - len(w)
+    for at, w in every_place(text, wanted):
+        found.setdefault(w, at)
     return found

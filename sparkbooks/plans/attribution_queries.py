@@ -145,9 +145,11 @@ def v20(lines: DataFrame) -> DataFrame:
     return at.route_confidence(lines.withColumn("text", F.expr(TOLD)), active)
 
 
-@query("V21_dialogue_sentences", "paragraphs", sql=f"""
-WITH s AS (SELECT book_id, unnest(range(len(l))) AS pos, unnest(l) AS sentence FROM (SELECT book_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS l FROM paragraphs))
-SELECT book_id, pos::INTEGER AS pos, sentence, regexp_extract(sentence, '"([^"]{{3,}})"', 1) AS quote, regexp_matches(sentence, '(?i)\\b(?:{VERBS})\\b') AS spoken FROM s WHERE regexp_matches(sentence, '"([^"]{{3,}})"')""")
+@query("V21_dialogue_sentences", "paragraphs", sql=rf"""
+WITH s AS (SELECT book_id, unnest(range(len(l))) AS pos, unnest(l) AS sentence FROM (SELECT book_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS l FROM paragraphs)),
+q AS (SELECT *, list_filter(list_transform(regexp_extract_all(sentence, '{at.QUOTE.replace("'", "''")}'), lambda m: regexp_replace(m[2:len(m) - 1], '^\s+|\s+$', '', 'g')),
+        lambda m: length(m) > 2 AND NOT (regexp_matches(m, '[\p{{Lu}}\p{{Ll}}\p{{Lt}}]') AND NOT regexp_matches(m, '{at.LETTER_AFTER[0]}') AND NOT regexp_matches(m, '{at.LETTER_AFTER[1]}'))) AS l FROM s)
+SELECT book_id, pos::INTEGER AS pos, sentence, unnest(range(len(l)))::INTEGER AS n, unnest(l) AS quote, regexp_matches(sentence, '(?i)\b(?:{VERBS})\b') AS spoken FROM q""")
 def v21(paragraphs: DataFrame) -> DataFrame:
     return at.dialogue_sentences(paragraphs, "book_id")
 

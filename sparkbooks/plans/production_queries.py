@@ -177,15 +177,6 @@ def a26(lines: DataFrame, overrides: DataFrame) -> DataFrame:
     return ct.book_inventory(scenes, {"lines": lines, "overrides": overrides})
 
 
-@query(
-    "A25_clip_qc_report", "events",
-    sql="""WITH v AS (SELECT user_id, CASE WHEN value < 5 THEN 'REJECT' WHEN value < 10 THEN 'FLAG' ELSE 'PASS' END AS verdict FROM events) SELECT user_id, verdict, count(*) AS n FROM v GROUP BY ALL""",
-)
-def a25(events: DataFrame) -> DataFrame:
-    verdict = F.when(F.col("value") < 5, "REJECT").when(F.col("value") < 10, "FLAG").otherwise("PASS")
-    return events.groupBy("user_id", verdict.alias("verdict")).agg(F.count("*").alias("n"))
-
-
 @query(
     "W11_pick_reference_clips", "events",
     sql="""SELECT event_id FROM (SELECT event_id, coalesce(sum(value) OVER (PARTITION BY user_id ORDER BY event_type, value DESC, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM events) WHERE b < 180""",

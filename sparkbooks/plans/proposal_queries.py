@@ -100,7 +100,10 @@ def v13(lines: DataFrame) -> DataFrame:
     kind = F.when(F.col("line_number") % 2 == 0, "performance_vocal").otherwise("line")
     text = F.when(F.col("line_number") % 3 == 0, F.col("text")).when(F.col("line_number") % 3 == 1, F.lit("Oh, my!")).otherwise(F.lit("heavy sigh"))
     inserts = lines.select("scene_id", F.col("line_number").alias("n"), (F.col("line_number") - 1).alias("anchor"), F.substring("text", 1, 50).alias("source_text"), kind.alias("kind"), "character", text.alias("text"))
-    return pp.filter_inserts(inserts, lines, scene_texts(lines), lines.select("scene_id", "character"), ["scene_id"])
+    # half of the scenes have speakers of their own as their cast, the others declare them, with a teapot
+    cast = lines.where("scene % 2 = 0").select("scene_id", "character")
+    declared = lines.where("scene % 2 = 1").select("scene_id", F.when(F.col("line_number") % 4 == 0, F.lit("Old Teapot")).otherwise(F.col("character")).alias("name"))
+    return pp.filter_inserts(inserts, lines, scene_texts(lines), cast, ["scene_id"], declared)
 
 
 @query("V14_filter_profiles", "documents", sql="""SELECT doc_id, 'X' AS name, 1::BIGINT AS n, FALSE AS inferred FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'X', 0, TRUE FROM documents WHERE doc_id % 2 = 1""")
@@ -122,7 +125,7 @@ def v26(customer: DataFrame) -> DataFrame:
 Q = "(e[floor((len(e) - 1) * {q})::INTEGER + 1] + (e[least(floor((len(e) - 1) * {q})::INTEGER + 2, len(e))] - e[floor((len(e) - 1) * {q})::INTEGER + 1]) * ((len(e) - 1) * {q} - floor((len(e) - 1) * {q})))"
 
 
-@query("V5_clip_qc", "embeddings", sql="""
+_CLIPS = """
 WITH c AS (SELECT vec_id, flatten(list_transform(range(800), lambda i: embedding)) AS x FROM embeddings),
 r AS (SELECT vec_id, len(x) AS n, len(list_filter(x, lambda v: abs(v) >= 0.99))::DOUBLE / len(x) AS clipped, sqrt(list_sum(list_transform(x, lambda v: v::DOUBLE * v::DOUBLE)) / len(x)) AS loud,
         list_sort(list_filter(list_transform(range(len(x) // 661), lambda i: sqrt(list_sum(list_transform(x[i * 661 + 1:(i + 1) * 661], lambda v: v::DOUBLE * v::DOUBLE)) / 661)), lambda v: v > 0)) AS e FROM c),
@@ -130,13 +133,29 @@ q AS (SELECT *, n / 22050.0 AS duration, CASE WHEN loud > 0 THEN 20 * log10(loud
 p AS (SELECT *, list_filter([CASE WHEN duration < 2 THEN 'too short' END, CASE WHEN duration > 25 THEN 'too long' END, CASE WHEN clipped > 0.001 THEN 'clipping' END,
                              CASE WHEN rms < -45 THEN 'too quiet' END, CASE WHEN rms > -6 THEN 'too hot' END, CASE WHEN snr < 12 THEN 'noise' END], lambda x: x IS NOT NULL) AS problems FROM q)
 SELECT vec_id, round(duration, 2)::DOUBLE AS duration_s, round(rms, 1) AS rms_dbfs, CASE WHEN len(problems) > 0 THEN 'REJECT' WHEN coalesce(snr < 20, FALSE) OR rms < -35 THEN 'FLAG' ELSE 'PASS' END AS verdict,
-       array_to_string(problems, '|') AS problems FROM p""".replace("quantile_cont_of(e, 0.6)", Q.format(q=0.6)).replace("quantile_cont_of(e, 0.1)", Q.format(q=0.1)))
+       array_to_string(problems, '|') AS problems FROM p""".replace("quantile_cont_of(e, 0.6)", Q.format(q=0.6)).replace("quantile_cont_of(e, 0.1)", Q.format(q=0.1))
+
+
+@query("V5_clip_qc", "embeddings", sql=_CLIPS)
 def v5(embeddings: DataFrame) -> DataFrame:
     """Vectors, many times over, as samples."""
     clips = embeddings.select("vec_id", F.lit(22_050).alias("rate"), F.flatten(F.array_repeat("embedding", 800)).alias("samples"))
     return pp.clip_qc(clips).select("vec_id", F.round("duration_s", 2).alias("duration_s"), F.round("rms_dbfs", 1).alias("rms_dbfs"), "verdict", F.array_join("problems", "|").alias("problems"))
 
 
+@query("A25_clip_qc_report", "embeddings", sql=f"""
+WITH v AS (SELECT label, verdict, problems FROM ({_CLIPS}) JOIN embeddings USING (vec_id)),
+n AS (SELECT label, verdict, count(*) AS n FROM v GROUP BY ALL),
+p AS (SELECT label, verdict, problem || ' ' || count(*) AS t FROM (SELECT label, verdict, unnest(string_split(problems, '|')) AS problem FROM v WHERE problems != '') GROUP BY label, verdict, problem),
+j AS (SELECT label, verdict, string_agg(t, '; ' ORDER BY t) AS problems FROM p GROUP BY ALL)
+SELECT label, verdict, n, round(n / sum(n) OVER (PARTITION BY label), 4) AS share, coalesce(problems, '') AS problems FROM n LEFT JOIN j USING (label, verdict)""")
+def a25(embeddings: DataFrame) -> DataFrame:
+    """The same clips, reported by label."""
+    clips = embeddings.select("label", F.lit(22_050).alias("rate"), F.flatten(F.array_repeat("embedding", 800)).alias("samples"))
+    shown = F.array_join(F.array_sort(F.transform(F.map_entries("problems"), lambda e: F.concat_ws(" ", e.key, e.value.cast("string")))), "; ")
+    return pp.clip_qc_report(clips, "label").withColumn("problems", shown)
+
+
 @query("G9_quote_split_with_context", "paragraphs", sql="""
 WITH q AS (SELECT book_id, paragraph, text, regexp_extract_all(text, '["“]([^"”]+)["”]', 1) AS said, string_split(regexp_replace(text, '["“][^"”]+["”]', chr(1), 'g'), chr(1)) AS told FROM paragraphs),
 e AS (SELECT *, unnest(range(greatest(len(said), 1))) AS i FROM q),

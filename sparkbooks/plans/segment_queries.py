@@ -43,15 +43,16 @@ def g2(lines: DataFrame) -> DataFrame:
 @query("G3_split_bare_roman_sections", "lines", sql="""
 WITH p AS (SELECT book_id, chapter, string_agg(regexp_replace(text, '\\s+', ' ', 'g'), ' ' ORDER BY scene, line_number) AS t FROM lines GROUP BY ALL),
 n AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY chapter) AS n, count(*) OVER (PARTITION BY book_id) AS m FROM p)
-SELECT book_id, 'part_p1' AS part_id, CASE WHEN m < 3 THEN 'part_p1_c1' ELSE 'part_p1_c' || n END AS chapter_id, CASE WHEN m < 3 THEN 'Chapter 1' ELSE 'Section ' || ['I', 'II', 'III', 'IV', 'V', 'VI'][n] END AS title, length(t) AS chars FROM n WHERE m >= 3""")
+SELECT book_id, 'part_p1' AS part_id, 'part_p1_c' || n AS chapter_id, 'Section ' || ['I', 'II', 'III', 'IV', 'V', 'VI'][n] AS title, length(t) AS chars FROM n WHERE m >= 3
+UNION ALL SELECT book_id, 'part_p1', 'part_p1_c1', 'Chapter 1', length(string_agg(['I', 'II'][n] || chr(10) || chr(10) || t, chr(10) || chr(10) ORDER BY n)) FROM n WHERE m < 3 GROUP BY book_id""")
 def g3(lines: DataFrame) -> DataFrame:
-    """Books whose chapters have bare roman numerals above them; books of one or two chapters stay whole and are left out here."""
+    """Books whose chapters have bare roman numerals above them; books of one or two chapters stay whole."""
     t = lines.withColumn("t", F.regexp_replace("text", r"\s+", " "))
     per = t.groupBy("book_id", "chapter").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("scene", "line_number", "t"))), lambda x: x.t), " ").alias("t"))
     ordered = per.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("chapter", "t"))).alias("c"))
     numerals = F.array(*[F.lit(x) for x in ("I", "II", "III", "IV", "V", "VI")])
     text = F.array_join(F.transform("c", lambda x, i: F.concat(F.get(numerals, i), F.lit("\n\n"), x.t)), "\n\n")
-    books = ordered.where(F.size("c") >= 3).select("book_id", F.lit("part_p1").alias("part_id"), text.alias("text"))
+    books = ordered.select("book_id", F.lit("part_p1").alias("part_id"), text.alias("text"))
     return sg.split_chapters(books).select("book_id", "part_id", "chapter_id", "title", F.length("text").cast("long").alias("chars"))
 
 
@@ -91,7 +92,7 @@ def g12(documents: DataFrame) -> DataFrame:
 
 
 @query("G14_resplit_at_headings", "lines", sql=_MADE + """
-SELECT book_id, (row_number() OVER (PARTITION BY book_id ORDER BY chapter) - 1)::INTEGER AS n, 'CHAPTER ' || chapter AS heading, length(text) AS chars FROM c""")
+SELECT book_id, (row_number() OVER (PARTITION BY book_id ORDER BY chapter) - 1)::INTEGER AS n, 'CHAPTER ' || chapter AS heading, length(text) AS chars FROM c WHERE book_id IN (SELECT book_id FROM c GROUP BY book_id HAVING count(*) > 1)""")
 def g14(lines: DataFrame) -> DataFrame:
     """Chapters found again from the headings that were proposed."""
     headings = lines.select("book_id", F.concat(F.lit("CHAPTER "), F.col("chapter").cast("string")).alias("heading")).distinct()

@@ -3,9 +3,13 @@
 import random
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from sparkbooks.functions.search import Uniform, first_places
 from sparkbooks.operators import attribution as at
 from sparkbooks.operators import production as pr
+from sparkbooks.operators import proposals as pp
 from sparkbooks.operators import segments as sg
 
 
@@ -133,3 +137,37 @@ def test_with_answers(spark, tmp_path):
     count = lambda key: len(list(asked.glob(f"{key}-*")))
     assert (count("good"), count("late"), count("bad"), count("silent")) == (1, 3, 4, 4)
     assert at.with_answers(requests.limit(0), fn, str(tmp_path / "none")).count() == 0
+
+
+def test_resplit_at_headings(spark):
+    body = lambda c, n=300: c * n
+    text = body("f", 250) + "\nCHAPTER I\n" + body("a") + "\n CHAPTER II the\n" + body("b") + " CHAPTER II\n" + body("c") + "\nchapter III\n" + body("d") + "\nCHAPTER IV\n" + body("e", 50) + "\nCHAPTER V\n" + body("g")
+    books = spark.createDataFrame([("x", text), ("one", "CHAPTER I\n" + body("z")), ("null", None), ("none", text)], "key string, text string")
+    heads = spark.createDataFrame([(k, h) for k in ("x", "one", "null") for h in ("CHAPTER I", "CHAPTER II", " CHAPTER V ", "IV", None, "CHAPTER IX")], "key string, heading string")
+    cut = lambda **more: [(r.key, r.n, r.heading, r.text[0], len(r.text)) for r in sg.resplit_at_headings(books, heads, "key", gap=200, **more).orderBy("key", "n").collect()]
+    # of two headings at one place the longer counts; one within a line does not; CHAPTER IV begins with CHAPTER I, and CHAPTER V follows it too closely
+    assert cut() == [("x", 0, "Prologue", "f", 250), ("x", 1, "CHAPTER I", "a", 300), ("x", 2, "CHAPTER II", "t", 929), ("x", 3, "CHAPTER I", "V", 363)]
+    found = cut(siblings=True, least=40)
+    assert [x[2] for x in found] == ["Prologue", "CHAPTER I", "CHAPTER II the", "chapter III", "CHAPTER IV"]
+    most = spark.createDataFrame([("x", 3)], "key string, most int")
+    assert cut(most=most) == [] and cut(most=most.withColumn("most", F.lit(4))) == cut()
+
+
+def test_filter_inserts_levels(spark):
+    texts = spark.createDataFrame([("s", "The rain fell upon the house and Ann ran home.")], "scene string, text string")
+    lines = spark.createDataFrame([("s", i) for i in range(4)], "scene string, line_number int")
+    rows = [(1, "Ann", "performance_vocal"), (2, "Old Teapot", "performance_vocal"), (3, "Cook", "line"), (4, "Narrator", "line"), (5, "Ghost", "line"), (6, "Bed", "line")]
+    inserts = spark.createDataFrame([("s", n, 1, "the rain fell", k, c, f"Oh dear {c}!") for n, c, k in rows], "scene string, n int, anchor int, source_text string, kind string, character string, text string")
+    cast = spark.createDataFrame([("s", "Ann")], "scene string, character string")
+    declared = spark.createDataFrame([("s", n) for n in ("Cook", "Old Teapot", "Bed", None)], "scene string, name string")
+    who = lambda **more: sorted(r.character for r in pp.filter_inserts(inserts, lines, texts, cast, ["scene"], **more).collect())
+    assert who() == ["Ann", "Narrator"] and who(declared=declared) == ["Ann", "Cook", "Narrator"] and who(declared=declared, level="enhanced") == ["Ann"]
+    with pytest.raises(ValueError):
+        who(level="none")
+
+
+def test_dialogue_sentences(spark):
+    text = """He said "Come on, all". 'Well, Then'. "The Old Man" and 'not so, no' and "it". It's Ann's day."""
+    found = [(r.pos, r.n, r.quote, r.spoken) for r in at.dialogue_sentences(spark.createDataFrame([(1, text), (2, None)], "doc_id int, text string")).collect()]
+    assert found == [(0, 0, "Come on, all", True), (2, 0, "not so, no", False), (3, 0, "s Ann", False)]
+    assert all(not r[2].istitle() for r in found)
