@@ -172,15 +172,15 @@ t AS (SELECT page_id, url, is_nav, heading, regexp_replace(regexp_replace(array_
 
 @query("P8_html_to_text", "pages", sql=_PAGES + "SELECT page_id, text, heading, is_nav FROM t")
 def p8(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", sg.html_to_text(F.col("html")).alias("t")).select("page_id", "t.text", "t.heading", "t.is_nav")
+    return sg.html_to_text(pages.select("page_id", "html")).drop("html")
 
 
 @query("P9_filter_spine_items", "pages", sql=_PAGES + f""", n AS (SELECT *, regexp_extract(url, '([^/]*)/?$', 1) AS name FROM t)
 SELECT page_id, name, heading, is_nav, CASE WHEN starts_with(lower(text), lower(heading)) THEN regexp_replace(text[length(heading) + 1:], '^\\s+|\\s+$', '', 'g') ELSE text END AS text FROM n
 WHERE NOT regexp_matches(name, '{sg.SKIPPED_NAMES}') AND NOT is_nav AND length(text) >= 300 AND NOT regexp_matches(lower(coalesce(heading, '') || ' ' || text[1:400]), '{sg.LICENCE}')""")
 def p9(pages: DataFrame) -> DataFrame:
-    items = pages.select("page_id", F.regexp_extract("url", "([^/]*)/?$", 1).alias("name"), sg.html_to_text(F.col("html")).alias("t"))
-    return sg.filter_spine_items(items.select("page_id", "name", "t.text", "t.heading", "t.is_nav"))
+    items = pages.select("page_id", F.regexp_extract("url", "([^/]*)/?$", 1).alias("name"), "html")
+    return sg.filter_spine_items(sg.html_to_text(items).drop("html"))
 
 
 @query("P14_extract_header_metadata", "documents", sql="""

@@ -114,7 +114,7 @@ def read_epub_spines(spark: SparkSession, path: str) -> DataFrame:
 
 def epub_books(spines: DataFrame, least: int = 300) -> DataFrame:
     """(book_id, text, status) of spines: the chapters in spine order, with CHAPTER headings where theirs are not; a broken file has no text."""
-    pages = spines.where("status = 'ok'").withColumn("t", html_to_text("html")).select("book_id", "spine_index", "name", "t.text", "t.heading", "t.is_nav")
+    pages = html_to_text(spines.where("status = 'ok'").select("book_id", "spine_index", "name", "html")).drop("html")
     kept = filter_spine_items(pages, least)
     ordered = kept.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("spine_index", "heading", "text"))).alias("c"))
 

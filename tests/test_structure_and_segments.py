@@ -156,7 +156,7 @@ def test_min_gap(spark):
 
 def test_html(spark):
     page = "<html><head><title>no</title></head><body><h1>Top <b>x</b></h1><p>One&amp;two<script>no</script></p><div>three</div><h2>next</h2></body></html>"
-    r = spark.createDataFrame([(page,)], "h string").select(sg.html_to_text("h").alias("t")).first().t
+    r = sg.html_to_text(spark.createDataFrame([(page,)], "h string"), "h").first()
     assert r.heading == "Top x" and r.text == "One&two\n\nthree\n\nnext" and not r.is_nav
 
 
