@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from sparkbooks.operators import attribution as at
 from sparkbooks.operators import lines as ln
-from sparkbooks.plans.registry import query, shared_path
+from sparkbooks.plans.registry import query
+from sparkbooks.sources.shared import shared_path
 
 
 @query("A1_global_roster", "documents")

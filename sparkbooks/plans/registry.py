@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,15 +23,3 @@ def query(name: str, *tables: str, sql: str | None = None) -> Callable:
         return f
 
     return add
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares, or one of our own where none is set and there is one machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return folder or tempfile.mkdtemp(prefix="spark-shared-")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkbooks.plans.inputs import AUDIT, derived, oracle
-from sparkbooks.plans.registry import QUERIES, SQL, query, shared_path
+from sparkbooks.plans.registry import QUERIES, SQL, query
 from sparkbooks.sources import files as fl
+from sparkbooks.sources.shared import shared_path
 from sparkbooks.streaming import usage as us
 
 

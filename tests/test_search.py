@@ -171,3 +171,26 @@ def test_dialogue_sentences(spark):
     found = [(r.pos, r.n, r.quote, r.spoken) for r in at.dialogue_sentences(spark.createDataFrame([(1, text), (2, None)], "doc_id int, text string")).collect()]
     assert found == [(0, 0, "Come on, all", True), (2, 0, "not so, no", False), (3, 0, "s Ann", False)]
     assert all(not r[2].istitle() for r in found)
+
+
+def test_min_gap_of_large_keys(spark):
+    rng, rows, want = random.Random(7), [(None, 1.0), ("a", None)], []
+    for key, n in (("a", 400), ("b", 30), ("c", 1), ("dense", 300)):
+        own = [float(rng.randrange(60)) if key == "dense" else rng.choice([rng.uniform(-50, 900), float(rng.randrange(900))]) for _ in range(n)]
+        rows += [(key, x) for x in own]
+        last = None
+        for x in sorted(own):
+            if last is None or x - last >= 7:
+                last = x
+                want.append((key, x))
+    frame = spark.createDataFrame(rows, "key string, at double")
+    for hot in (0, 100, 10**6):
+        assert sorted((r.key, r.at) for r in sg.min_gap_rows(frame, "key", "at", 7, hot=hot).collect()) == sorted(want)
+    assert sg.min_gap_rows(frame.limit(0), "key", "at", 7).count() == 0
+
+
+def test_min_gap_of_a_million(spark):
+    """One key has a million places; each fourth is kept."""
+    frame = spark.range(1_000_000).selectExpr("1 AS key", "id * 2 AS at")
+    got = sg.min_gap_rows(frame, "key", "at", 7, hot=1000)
+    assert got.agg(F.count("*"), F.sum("at"), F.max(F.col("at") % 8)).first() == (250_000, sum(range(0, 2_000_000, 8)), 0)

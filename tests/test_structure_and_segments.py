@@ -150,8 +150,8 @@ def test_boundary_chunks_cover(spark):
 
 
 def test_min_gap(spark):
-    df = spark.createDataFrame([([5, 1, 8, 12, 13],)], "p array<int>")
-    assert df.select(sg.min_gap(F.col("p"), 5).alias("k")).first().k == [1, 8, 13]
+    df = spark.createDataFrame([("k", p) for p in [1, 3, 8, 9, 13]], "key string, at long")
+    assert sorted(r.at for r in sg.min_gap_rows(df, "key", "at", 5).collect()) == [1, 8, 13]
 
 
 def test_html(spark):
