@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from sparkbooks.llm.shared import Remembered, id_type, small_batches
 
 #: Pre-tokens whose ids, and strings of bytes whose ranks, a worker remembers, and the longest pre-token, in characters, that it remembers.
-REMEMBERED, RANKS = 1 << 19, 1 << 18
+REMEMBERED, RANKS = 1 << 18, 1 << 17
 LONGEST = 64
 #: A rank file above this is not broadcast.
 MOST_BYTES = 64 << 20
