@@ -106,11 +106,27 @@ def v22_corpus(lines: DataFrame) -> DataFrame:
     return at.corpus_word_error_rate(pairs, "book_id").withColumn("wer", F.round("wer", 6))
 
 
-@query("V11_spot_action_foley", "documents")
+#: One sentence for each pattern of actions, in their order.
+ACTIONS = (
+    "He opened the door", "The door was shut at once", "She knocked on the door", "Somebody rang the bell", "They entered", "He left the room", "Footsteps were heard", "She sat down",
+    "He rose to his feet", "They climbed the stairs", "He struck a match", "She poured the tea", "He unfolded the letter", "A carriage drew up", "The window was raised", "The fire crackled",
+)
+_ACTED = "replace(text, chr(10), concat(' ', CASE doc_id % 16 " + " ".join(f"WHEN {i} THEN '{x}. '" for i, x in enumerate(ACTIONS)) + " END))"
+_HITS = " UNION ALL ".join(
+    f"SELECT scene_id, pos, trim(sentence) AS sentence, {i} AS i, '{idea.replace(chr(39), chr(39) * 2)}' AS suggestion FROM s WHERE regexp_matches(sentence, '(?i)(?:{p})')" for i, (p, idea) in enumerate(at.FOLEY)
+)
+
+
+@query("V11_spot_action_foley", "documents", sql=rf"""
+WITH t AS (SELECT doc_id::VARCHAR AS scene_id, regexp_extract_all({_ACTED}, '[^.]+\.?') AS l FROM documents),
+s AS (SELECT scene_id, unnest(range(len(l))) AS pos, unnest(l) AS sentence FROM t),
+h AS ({_HITS}),
+g AS (SELECT scene_id, suggestion, arg_min(sentence, (i, pos)) AS sentence, min(i) AS i FROM h GROUP BY scene_id, suggestion),
+n AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY i) AS n FROM g)
+SELECT scene_id, 1 AS line_number, sentence, suggestion FROM n WHERE n <= 8""")
 def v11(documents: DataFrame) -> DataFrame:
-    """Documents with a sentence that describes a sound after each line end."""
-    text = F.regexp_replace("text", "\n", " He knocked on the door. ")
-    rows = documents.select(F.col("doc_id").cast("string").alias("scene_id"), F.lit(1).alias("line_number"), F.lit("narrative").alias("segment_type"), text.alias("text"))
+    """Documents with a sentence that describes a sound after each line end; all sixteen patterns are met."""
+    rows = documents.select(F.col("doc_id").cast("string").alias("scene_id"), F.lit(1).alias("line_number"), F.lit("narrative").alias("segment_type"), F.expr(_ACTED).alias("text"))
     return at.spot_foley(rows)
 
 

@@ -68,13 +68,23 @@ def j13_text(lines: DataFrame) -> DataFrame:
     return pr.anchored_by_text(cues, timed, ["scene_id"]).withColumn("start", F.round("start", 6))
 
 
-@query("W7_music_segments", "lines")
+@query("W7_music_segments", "lines", sql=f"""
+WITH RECURSIVE {_TIMED},
+x AS (SELECT scene_id, start + duration AS t0, ['change', 'stop', 'resume'][length(text) % 3 + 1] AS action, emotion AS style FROM u),
+e AS (SELECT *, CASE WHEN action = 'stop' THEN NULL ELSE style END AS own, row_number() OVER (PARTITION BY scene_id ORDER BY t0, action, style) AS n FROM x),
+r AS (SELECT scene_id, n, t0 AS start, own, 1 AS b FROM e WHERE n = 1
+      UNION ALL SELECT e.scene_id, e.n, CASE WHEN e.t0 - r.start < 1 THEN r.start ELSE e.t0 END, e.own, CASE WHEN e.t0 - r.start < 1 THEN r.b ELSE r.b + 1 END
+      FROM r JOIN e ON e.scene_id = r.scene_id AND e.n = r.n + 1),
+l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY scene_id, b ORDER BY n DESC) = 1),
+s AS (SELECT scene_id, start, coalesce(lead(start) OVER (PARTITION BY scene_id ORDER BY b), (SELECT max(t0) FROM e WHERE e.scene_id = l.scene_id)) AS "end", own AS style FROM l)
+SELECT scene_id, round(start, 6) AS start, round("end", 6) AS "end", style FROM s WHERE style IS NOT NULL AND "end" > start""")
 def w7(lines: DataFrame) -> DataFrame:
     timed = pr.timeline(with_durations(lines), ["scene_id"], ["line_number"])
     total = timed.groupBy("scene_id").agg(F.max("end").alias("total"))
     action = F.element_at(F.array(F.lit("change"), F.lit("stop"), F.lit("resume")), (F.length("text") % 3 + 1).cast("int"))
     events = timed.join(total, "scene_id").select("scene_id", F.col("end").alias("t"), action.alias("action"), F.col("emotion").alias("style"), "total")
-    return pr.music_segments(events, "scene_id", F.col("total"))
+    found = pr.music_segments(events, "scene_id", F.col("total"))
+    return found.withColumns({c: F.round(c, 6) for c in ("start", "end")})
 
 
 @query(

@@ -95,7 +95,20 @@ def v12b(lines: DataFrame) -> DataFrame:
     return pp.filter_sound_events(events, lines, scene_texts(lines), ["scene_id"]).select("line_id")
 
 
-@query("V13_filter_inserts", "lines")
+_SAID, _SOURCE = _NORM.format("said"), _NORM.format("source_text") + "[1:50]"
+
+
+@query("V13_filter_inserts", "lines", sql=rf"""
+WITH b AS (SELECT scene_id, line_number AS n, line_number - 1 AS anchor, text[1:50] AS source_text, CASE WHEN line_number % 2 = 0 THEN 'performance_vocal' ELSE 'line' END AS kind, character,
+             CASE line_number % 3 WHEN 0 THEN text WHEN 1 THEN 'Oh, my!' ELSE 'heavy sigh' END AS said, row_number() OVER w AS rn, count(*) OVER (PARTITION BY scene_id) AS held
+           FROM lines WINDOW w AS (PARTITION BY scene_id ORDER BY line_number)),
+x AS (SELECT scene_id, {_NORM.format("string_agg(text, ' ' ORDER BY line_number)")} AS whole FROM lines GROUP BY scene_id),
+c AS (SELECT DISTINCT scene_id, character FROM lines WHERE scene % 2 = 0 OR line_number % 4 != 0 OR character = 'Narrator'),
+t AS (SELECT *, list_filter(list_transform(string_split_regex(lower(trim(said)), '\s+'), lambda w: regexp_replace(w, '^[.,]+|[.,]+$', '', 'g')), lambda w: length(w) > 2) AS tok FROM b),
+k AS (SELECT t.*, row_number() OVER (PARTITION BY scene_id, lower(character), {_SAID} ORDER BY n) AS nth FROM t JOIN x USING (scene_id) SEMI JOIN c USING (scene_id, character)
+      WHERE rn <= 6 AND trim(said) != '' AND (kind = 'line' OR regexp_matches(said, '[!?…]|\.\.\.|-') OR len(list_distinct(tok)) < len(tok)) AND anchor BETWEEN 0 AND held - 1
+        AND NOT (length({_SAID}) >= 15 AND contains(whole, {_SAID}[1:60])) AND {_SOURCE} != '' AND contains(whole, {_SOURCE}))
+SELECT scene_id, n, anchor, source_text, kind, character, said AS text FROM k WHERE nth = 1""")
 def v13(lines: DataFrame) -> DataFrame:
     kind = F.when(F.col("line_number") % 2 == 0, "performance_vocal").otherwise("line")
     text = F.when(F.col("line_number") % 3 == 0, F.col("text")).when(F.col("line_number") % 3 == 1, F.lit("Oh, my!")).otherwise(F.lit("heavy sigh"))

@@ -72,7 +72,23 @@ def g5(documents: DataFrame) -> DataFrame:
     return sg.split_scenes(books)
 
 
-@query("G11_boundary_aware_chunks", "documents")
+def _last(text: str, mark: str) -> str:
+    """Where mark stands last in text, from 0; -1 where it does not."""
+    return f"(CASE WHEN contains({text}, {mark}) THEN length({text}) - strpos(reverse({text}), reverse({mark})) - length({mark}) + 1 ELSE -1 END)"
+
+
+def _chunk_end(start: str) -> str:
+    whole, half = f"text[{start} + 1:{start} + 1500]", f"text[{start} + 751:{start} + 1500]"
+    ends = f"greatest({', '.join(_last(half, repr(m)) for m in ('. ', '! ', '? '))})"
+    blank = _last(whole, "chr(10) || chr(10)")
+    return f"CASE WHEN {start} + 1500 >= length(text) THEN length(text) WHEN {blank} > 0 THEN {start} + {blank} + 2 WHEN {ends} >= 0 THEN {start} + 750 + {ends} + 2 ELSE {start} + 1500 END"
+
+
+@query("G11_boundary_aware_chunks", "documents", sql=f"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, text, 0 AS chunk, 0::BIGINT AS start, {_chunk_end("0")} AS stop FROM documents WHERE length(text) > 0
+  UNION ALL SELECT doc_id, text, chunk + 1, begin, {_chunk_end("begin")} FROM (SELECT doc_id, text, chunk, greatest(start + 1, stop - 100) AS begin FROM r WHERE stop < length(text))
+) SELECT doc_id, chunk, start::INTEGER AS start, text[start + 1:stop] AS text FROM r""")
 def g11(documents: DataFrame) -> DataFrame:
     return sg.boundary_chunks(documents.select("doc_id", "text"), size=1500, overlap=100)
 

@@ -199,9 +199,17 @@ def s4(lines: DataFrame) -> DataFrame:
     return fl.read_line_artifacts(books.withColumn("lane", F.lit("raw")), done.withColumn("lane", F.lit("enriched"))).select("line_id", "lane")
 
 
-@query("S8_flat_results", "embeddings")
-def s8(embeddings: DataFrame) -> DataFrame:
-    return fl.flat_for_csv(embeddings)
+@query("S8_flat_results", "lines", sql="""
+SELECT line_id, to_json(string_split(text, ' ')[1:3])::VARCHAR AS words, '{"chapter":' || chapter || ',"scene":' || scene || '}' AS place,
+       CASE WHEN line_number % 4 > 0 THEN confidence END AS confidence, CASE WHEN line_number % 3 > 0 THEN '{"' || character || '":' || line_number || '}' END AS counts FROM lines""")
+def s8(lines: DataFrame) -> DataFrame:
+    """Results with lists, structs, maps and NaN written as CSV and read back."""
+    spark, folder = lines.sparkSession, shared_path(lines.sparkSession, "results")
+    counts = F.when(F.col("line_number") % 3 > 0, F.create_map("character", "line_number")).alias("counts")
+    confidence = F.when(F.col("line_number") % 4 > 0, F.col("confidence")).otherwise(F.lit(float("nan"))).alias("confidence")
+    results = lines.select("line_id", F.slice(F.split("text", " "), 1, 3).alias("words"), F.struct("chapter", "scene").alias("place"), confidence, counts)
+    fl.write_results_csv(results, folder)
+    return spark.read.schema("line_id string, words string, place string, confidence double, counts string").csv(folder, header=True, escape='"', multiLine=True)
 
 
 @query("P10_validate_uploads", "documents", sql="""
