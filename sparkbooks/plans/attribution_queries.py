@@ -11,7 +11,26 @@ from sparkbooks.plans.registry import query
 from sparkbooks.sources.shared import shared_path
 
 
-@query("A1_global_roster", "documents")
+def _quoted(text: str) -> str:
+    return text.replace("'", "''")
+
+
+#: DuckDB tells words apart by ASCII alone, so other letters are shown to it as underscores; names have none.
+_ASCII = r"regexp_replace(text, '[\x{00C0}-\x{1FFF}\x{2C00}-\x{D7FF}\x{F900}-\x{FFEF}]', '_', 'g')"
+
+
+@query("A1_global_roster", "documents", sql=rf"""
+WITH t AS (SELECT doc_id, {_ASCII} AS t FROM documents),
+h AS (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(t, '{_quoted(at.HONORIFIC)}')), '\s+', ' ', 'g') AS name FROM t
+      UNION ALL SELECT doc_id, regexp_replace(unnest(regexp_extract_all(t, '{_quoted(at.TITLED)}')), '\s+', ' ', 'g') FROM t),
+l AS (SELECT doc_id, string_split(regexp_replace(t, '({_quoted(at.GENERIC)})', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS l FROM t),
+p AS (SELECT doc_id, unnest(list_transform(range(2, len(l) + 1), lambda i: {{'name': split_part(l[i], chr(2), 1), 'before': regexp_replace(replace(l[i - 1], chr(2), ''), '\s+$', '')[-1]}})) AS c FROM l),
+c AS (SELECT doc_id, name, TRUE AS h, FALSE AS m FROM h
+      UNION ALL SELECT doc_id, c.name, FALSE, c.before != '' AND NOT contains('{_quoted(at.BOUNDARY)}', c.before) FROM p
+      WHERE length(c.name) >= 3 AND lower(regexp_extract(c.name, '^\S+')) NOT IN {at.STOPWORDS}),
+g AS (SELECT doc_id, name, count(*) AS n, bool_or(h) AS h, bool_or(m) AS m FROM c GROUP BY doc_id, name),
+r AS (SELECT doc_id, name, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, name)::INTEGER AS place FROM g WHERE n >= 2 AND (h OR m))
+SELECT * FROM r WHERE place <= 30""")
 def a1(documents: DataFrame) -> DataFrame:
     return at.global_roster(documents, "doc_id")
 
@@ -113,7 +132,7 @@ ACTIONS = (
 )
 _ACTED = "replace(text, chr(10), concat(' ', CASE doc_id % 16 " + " ".join(f"WHEN {i} THEN '{x}. '" for i, x in enumerate(ACTIONS)) + " END))"
 _HITS = " UNION ALL ".join(
-    f"SELECT scene_id, pos, trim(sentence) AS sentence, {i} AS i, '{idea.replace(chr(39), chr(39) * 2)}' AS suggestion FROM s WHERE regexp_matches(sentence, '(?i)(?:{p})')" for i, (p, idea) in enumerate(at.FOLEY)
+    f"SELECT scene_id, pos, regexp_replace(sentence, '^\\s+|\\s+$', '', 'g')[1:160] AS sentence, {i} AS i, '{idea.replace(chr(39), chr(39) * 2)}' AS suggestion FROM s WHERE regexp_matches(sentence, '(?i)(?:{p})')" for i, (p, idea) in enumerate(at.FOLEY)
 )
 
 
