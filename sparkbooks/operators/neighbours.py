@@ -148,11 +148,11 @@ def cosine_top_k(queries: DataFrame, listings: DataFrame, k: int, id_col: str =
     return Index(listings, id_col, vector_col).search(queries, k, id_col, vector_col)
 
 
-def voice_search(queries: DataFrame, voices: DataFrame, k: int = 5, id_col: str = "voice_id", vector_col: str = "embedding") -> DataFrame:
+def voice_search(queries: DataFrame, voices: DataFrame, k: int = 5, id_col: str = "voice_id", vector_col: str = "embedding", query_col: str | None = None) -> DataFrame:
     """(query, place, score, and the columns of voices but the vector): the k voices nearest to each query vector, with what the listing says of them.
 
-    Listings of one id all come with it. Queries without a usable vector have no rows.
+    query_col names the queries' ids, id_col if it is not given. Listings of one id all come with it. Queries without a usable vector have no rows.
     """
-    found = cosine_top_k(queries, voices, k, id_col, vector_col)
+    found = Index(voices, id_col, vector_col).search(queries, k, query_col or id_col, vector_col)
     shown = voices.drop(vector_col)
     return found.select("query", F.col("id").alias(id_col), F.col("similarity").alias("score"), "place").join(shown, id_col)

@@ -234,7 +234,19 @@ def p4(documents: DataFrame) -> DataFrame:
     return sg.story_starts(documents.select("doc_id", text.alias("text")), "doc_id")
 
 
-@query("G15_split_at_snippets", "lines")
+#: Straight quotes, one space for each run of white space or for a blank line, lower case.
+_UNIFORM = r"lower(translate(regexp_replace({}, '[\s\x01]+', ' ', 'g'), '’‘“”', chr(39) || chr(39) || chr(34) || chr(34)))"
+
+
+@query("G15_split_at_snippets", "lines", sql="WITH RECURSIVE " + _MADE.removeprefix("WITH ") + rf""",
+q AS (SELECT book_id, replace('PART ONE' || chr(10) || chr(10) || string_agg('CHAPTER ' || chapter || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY chapter), chr(10) || chr(10), chr(1)) AS q FROM c GROUP BY book_id),
+w AS (SELECT DISTINCT book_id, {_UNIFORM.format("text[1:40]")} AS w FROM lines WHERE line_number = 1 AND scene % 3 = 0),
+f AS (SELECT DISTINCT book_id, strpos({_UNIFORM.format("q")}, w) - 1 AS pos FROM w JOIN q USING (book_id) WHERE length(w) >= 15),
+g AS (SELECT book_id, min(pos) AS pos FROM f WHERE pos >= 400 GROUP BY book_id
+      UNION ALL SELECT g.book_id, min(f.pos) FROM g JOIN f ON f.book_id = g.book_id AND f.pos >= g.pos + 400 GROUP BY g.book_id, g.pos),
+z AS (SELECT book_id, 0 AS a FROM q UNION SELECT book_id, pos - strpos(reverse(q[1:pos]), chr(1)) + 1 FROM g JOIN q USING (book_id)),
+b AS (SELECT book_id, a, regexp_replace(replace(q[a + 1:coalesce(lead(a) OVER (PARTITION BY book_id ORDER BY a), length(q))], chr(1), chr(10) || chr(10)), '^\s+|\s+$', '', 'g') AS text FROM z JOIN q USING (book_id))
+SELECT book_id, (row_number() OVER (PARTITION BY book_id ORDER BY a) - 1)::INTEGER AS n, text FROM b WHERE text != ''""")
 def g15(lines: DataFrame) -> DataFrame:
     """Manuscripts cut at the first words of every third scene, and at words that are not there."""
     first = lines.where("line_number = 1 AND scene % 3 = 0").select("book_id", F.substring("text", 1, 40).alias("snippet"))

@@ -55,5 +55,5 @@ def test_few(spark, vectors):
 
 def test_voice_search(spark, vectors):
     voices = frame(spark, vectors[:40]).selectExpr("vec_id AS voice_id", "embedding", "concat('v', vec_id) AS voice_name")
-    rows = nb.voice_search(frame(spark, vectors[:2]), voices, 2).collect()
+    rows = nb.voice_search(frame(spark, vectors[:2]), voices, 2, query_col="vec_id").collect()
     assert sorted((r["query"], r.place, r.voice_name) for r in rows if r.place == 1) == [(0, 1, "v0"), (1, 1, "v1")] and len(rows) == 4
