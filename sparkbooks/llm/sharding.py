@@ -26,20 +26,25 @@ def _unit(digest: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
+def _draw(key: Column, weight: float, j: int) -> Column:
+    """What shard j draws for a key: weight / -ln(draw), and the shard so that of equal draws the first counts as larger."""
+    score = F.lit(float(weight)) / -F.log(_unit(_digest(F.coalesce(key.cast("string"), F.lit("null")), F.lit(str(j)))))
+    return F.struct(score.alias("score"), F.lit(-j).alias("shard"))
+
+
+def _best(key: Column, weights: Sequence[float]) -> Column:
+    if not weights or min(weights) <= 0:
+        raise ValueError("each shard needs a weight above 0")
+    draws = [_draw(key, w, j) for j, w in enumerate(weights)]
+    return F.greatest(*draws) if len(draws) > 1 else draws[0]
+
+
 def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     """The number of the shard with the largest weight / -ln(draw); of equal ones the first.
 
     A null key is a key of its own. Weights must be above 0.
     """
-    if not weights or min(weights) <= 0:
-        raise ValueError("each shard needs a weight above 0")
-    key = F.coalesce(key.cast("string"), F.lit("null"))
-    draws = [
-        F.struct((F.lit(float(w)) / -F.log(_unit(_digest(key, F.lit(str(j)))))).alias("score"), F.lit(-j).alias("shard"))
-        for j, w in enumerate(weights)
-    ]
-    best = F.greatest(*draws) if len(draws) > 1 else draws[0]
-    return (-best["shard"]).cast("int")
+    return (-_best(key, weights)["shard"]).cast("int")
 
 
 def shard(
@@ -60,15 +65,21 @@ def shard(
     first, then rows are numbered within their chunk.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    if grown <= 0:
+        raise ValueError("each shard needs a weight above 0")
     key = F.col(id_col)
     rows = docs.select(
         key.alias("id"),
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        rendezvous(key, weights).alias("shard"),
-        rendezvous(key, [*weights, grown]).alias("grown_shard"),
+        _best(key, weights).alias("best"),
+        # a shard more is one draw more
+        _draw(key, grown, len(weights)).alias("more"),
         F.md5(F.coalesce(key.cast("string"), F.concat(F.lit("null "), F.crc32(text.cast("binary")).cast("string"))).cast("binary")).alias("place"),
     )
+    number = lambda best: (-best["shard"]).cast("int")
+    shards = [number(F.col("best")).alias("shard"), number(F.greatest("best", "more")).alias("grown_shard")]
+    rows = rows.select("id", "size", "text_crc32", *shards, "place")
     bits = min(40, power_of_two(docs.count() / len(weights) / CHUNK_ROWS) + 3)
     rows = rows.withColumn("chunk", F.shiftright(F.conv(F.substring("place", 1, 10), 16, 10).cast("long"), 40 - bits))
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)

@@ -463,6 +463,9 @@ def test_rendezvous_follows_weights(spark):
 
     some = keys.limit(300).select("id", sharding.rendezvous(keys.id, [1.0, 2.0, 1.0]).alias("s")).collect()
     assert all(r.s == by_hand(r.id) for r in some)
+    rows = sharding.shard(keys.limit(3000).selectExpr("id AS doc_id", "'x' AS text"), [1.0, 2.0], grown=1.0).collect()
+    two = {r.id: r.s for r in keys.limit(3000).select("id", sharding.rendezvous(keys.id, [1.0, 2.0]).alias("s")).collect()}
+    assert all(r.grown_shard == by_hand(r.doc_id) and r.shard == two[r.doc_id] for r in rows)
     with pytest.raises(ValueError):
         sharding.rendezvous(keys.id, [1.0, 0.0])
 
