@@ -25,6 +25,8 @@ BEGIN = "▁"
 BYTE_SCORE = -30.0
 #: Nodes of a task's trie and pre-tokens that it finds at once, at most; texts that are turned into Python strings at once.
 NODES, REMEMBERED, ROWS = 400_000, 1 << 17, 256
+#: Pre-tokens above this many characters are scored without nodes of the trie, and are not remembered.
+LONGEST = 1 << 12
 
 words_of = re.compile(r"[^\x20\x09-\x0D]+").findall
 
@@ -71,6 +73,30 @@ class Trie:
     def __len__(self) -> int:
         return len(self.score)
 
+    def spelt(self, word: str, held: int = 1 << 16) -> tuple[int, float]:
+        """As count(), for a pre-token of any length: what its last 2 * held prefixes come to is all that is kept. No piece is longer than `held`."""
+        score, tokens, begin = [0.0], [0], 0
+        for end in range(1, len(word) + 1):
+            best, fewest = -math.inf, 0
+            node, i = self.pieces, end - 1
+            while i >= 0 and (node := node.get(word[i])) is not None:
+                s = node.get("")
+                if s is not None:
+                    s += score[i - begin]
+                    if s > best or s == best and tokens[i - begin] + 1 < fewest:
+                        best, fewest = s, tokens[i - begin] + 1
+                i -= 1
+            raw = len(word[end - 1].encode())
+            s = score[-1] + BYTE_SCORE * raw
+            if s > best:
+                best, fewest = s, tokens[-1] + raw
+            score.append(best)
+            tokens.append(fewest)
+            if len(score) > 2 * held:
+                del score[:held], tokens[:held]
+                begin += held
+        return tokens[-1], score[-1]
+
     def count(self, word: str) -> tuple[int, float]:
         """Inserts a pre-token; its number of tokens and its score."""
         at, path = 0, [0]
@@ -129,7 +155,10 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                     own = []
                     for word, n in counts.items():
                         if (found := known.get(word)) is None:
-                            found = known[word] = trie.count(BEGIN + word)
+                            if len(word) > LONGEST:
+                                found = trie.spelt(BEGIN + word)
+                            else:
+                                found = known[word] = trie.count(BEGIN + word)
                         own.append((found, n))
                     rows.append((sum(counts.values()), sum(t * n for (t, _), n in own), math.fsum(s * n for (_, s), n in own)))
                 columns = list(zip(*rows, strict=True))

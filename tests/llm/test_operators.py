@@ -549,6 +549,16 @@ def test_near_vectors_without_calibration(spark, monkeypatch):
     assert all(got[i].component_id == int(np.flatnonzero(reach[i])[0]) for i in range(len(x)))
 
 
+def test_long_runs_are_counted_without_a_trie():
+    trie = token_counts.Trie(token_counts.backward(token_counts.piece_scores(piece_file())))
+    rng = random.Random(3)
+    for n in (1, 7, 300, 3000):
+        word = token_counts.BEGIN + "".join(rng.choice("theand ingé漢\U0001f642".replace(" ", "")) for _ in range(n))
+        assert trie.spelt(word, held=64) == trie.spelt(word) == trie.count(word)
+    nodes = len(trie)
+    assert trie.spelt(token_counts.BEGIN + "ab" * 500_000)[0] > 0 and len(trie) == nodes
+
+
 def test_token_counts(spark, awkward, empty):
     import math
     import re
