@@ -238,7 +238,8 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
 
 
 def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) of encoded and decoded rows."""
+    """(id, n_tokens, ids_sha256, decoded_sha256) of encoded and decoded rows, one for each. Empty ids are hashed as no bytes; null ids or bytes give nulls;
+    no rows give no rows; other columns are not looked at."""
     return encoded.select(
         id_col,
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -46,7 +46,7 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3)
     The targets share the whole size by weight. One that is above `most` times its source's size stops there and the
     excess is shared again among the rest by weight, until none is above. If every source is at its stop, the
     rest is not handed out. Sources are ranked by size / weight: those that stop are the first ones in this order,
-    so one pass of running sums finds them.
+    so one pass of running sums finds them. A null source is one of its own; sources without words have a target of 0; no rows give no rows.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     by_name = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
@@ -79,7 +79,7 @@ def schedule(target: DataFrame, block: int = BLOCK, most: int = 3) -> DataFrame:
     """(slot, source, rank, turn, block, epoch): what each slot of the mix takes.
 
     turn counts a source's slots from 0; the source's blocks come in order, again and again, `most` times at most. A source
-    has as many slots as blocks of its size make up its target.
+    has as many slots as blocks of its size make up its target. A source without words has none, a null source is one like others; no sources give no slots.
     """
     spark = target.sparkSession
     target = target.withColumn("blocks", F.expr(_blocks(block)))

@@ -421,7 +421,10 @@ def keep_ordinary(docs: DataFrame, model: Model, text_col: str = "text") -> Data
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, score, predicted): fit() and then apply() to all rows of docs."""
+    """(id, held_out, score, predicted): fit() and then apply() to all rows of docs, a row for each.
+
+    Null and empty texts have the score of no evidence. Rows that repeat are scored each, alike; a null id is not held out. Without labels of one class
+    the score is as fit() says. No rows give no rows; other columns are not looked at."""
     scored = apply(docs, fit(docs, labels, id_col, text_col), id_col, text_col)
     return scored.select(id_col, in_fold(id_col).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -71,7 +71,9 @@ def _dealt(records: DataFrame, rows: int, per_file: int) -> DataFrame:
 def write_warc(pages: DataFrame, path: str, rows: int, per_file: int = RECORDS, compression: str = "gzip", **columns: str) -> None:
     """Writes pages as WARC files path/file=N/part-*, one for each file that filed() deals, with records in the order of their ids.
 
-    Spark's text writer does the work, with the records' closing line ends as line separator. A task writes one file at a time.
+    Spark's text writer does the work, with the records' closing line ends as line separator. A task writes one file at a time. A null url or page counts as empty, a null id
+    as 'null'; repeated rows are records each; no rows make no file; other columns are not looked at. With "gzip" a file is one member, so damage can cost all that comes after
+    it in the file; with "none" it costs a record.
     """
     dealt = _dealt(warc_records(pages, **columns), rows, per_file)
     order = ["file", "id", F.sha2("record", 256)]
