@@ -9,10 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkbooks.sources.shared import written
+
 #: Pivots at most, and components of all of them at most: they are broadcast.
 PIVOTS, PIVOT_VALUES = 1024, 1 << 22
-#: Vectors of a cell, and queries, that a task compares at once.
+#: Vectors of a cell, and queries, that a task compares at once; up to SMALL listings are one cell, as there is nothing to win by leaving some out.
 BLOCK = 2048
+SMALL = 4 * BLOCK
 #: Angles are bounded with this allowance for rounding, and similarities count as equal to this many digits.
 ALLOWANCE, DIGITS = 1e-6, 12
 
@@ -38,12 +41,13 @@ class Index:
     """Listings dealt to the nearest of some pivots. A cell knows how many it has and how far from its pivot they reach."""
 
     def __init__(self, listings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int | None = None):
-        """Reads listings twice, and again with each search. pivots: their number; else about the root of the number of listings."""
+        """Reads listings some times, and writes its blocks to the shared folder, where each search reads them. pivots: their number; else one for up to
+        SMALL listings, and about the root of their number for more."""
         rows = _usable(listings, id_col, vector_col)
         first = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
         self.n, dimensions = first.n, max(1, first.d or 1)
         most = max(1, min(PIVOTS, PIVOT_VALUES // dimensions))
-        wanted = min(most, pivots or int(self.n**0.5) + 1)
+        wanted = min(most, pivots or (1 if self.n <= SMALL else int(self.n**0.5) + 1))
         # any vectors will do as pivots; the hash of the id picks the same ones each time
         drawn = rows.orderBy(F.xxhash64("i"), "i").limit(wanted).select("v").collect()
         spark = listings.sparkSession
@@ -67,7 +71,7 @@ class Index:
         parts = F.element_at(F.array(*[F.lit(int(x)) for x in np.maximum(1, -(-self.size // BLOCK))]), F.col("cell") + 1) if drawn else F.lit(1)
         part = F.pmod(F.xxhash64("i"), parts).cast("int")
         listed = dealt.groupBy("cell", part.alias("part")).agg(F.collect_list("i").alias("l_ids"), F.flatten(F.collect_list("v")).alias("l_values"))
-        self.blocks = listed
+        self.blocks = written(listed, "cells")
 
     def _visits(self, queries: DataFrame, k: int, second: bool) -> DataFrame:
         """(q, v, cell, part): the blocks that a query looks at. First those of the cells with the least bounds that hold k vectors together; the second time
@@ -127,7 +131,10 @@ class Index:
         asked = _usable(queries, id_col, vector_col).withColumnRenamed("i", "q")
         by_near = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
         top = lambda found: found.withColumn("place", F.row_number().over(by_near)).where(F.col("place") <= k)
-        first = top(self._best(self._visits(asked, k, False), k)).drop("place")
+        first = top(self._best(self._visits(asked, k, False), k))
+        if len(self.size) < 2:
+            return first
+        first = written(first.drop("place"), "nearest")
         worst = first.groupBy("query").agg(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.min("similarity")))).alias("worst"))
         rest = self._visits(asked.join(worst, asked["q"] == worst["query"]).select("q", "v", "worst"), k, True)
         return top(first.unionByName(self._best(rest, k)))
@@ -143,16 +150,16 @@ class Index:
         return per.withColumn("listings", F.lit(self.n).cast("long"))
 
 
-def cosine_top_k(queries: DataFrame, listings: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def cosine_top_k(queries: DataFrame, listings: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int | None = None) -> DataFrame:
     """Index.search() of queries among listings."""
-    return Index(listings, id_col, vector_col).search(queries, k, id_col, vector_col)
+    return Index(listings, id_col, vector_col, pivots).search(queries, k, id_col, vector_col)
 
 
-def voice_search(queries: DataFrame, voices: DataFrame, k: int = 5, id_col: str = "voice_id", vector_col: str = "embedding", query_col: str | None = None) -> DataFrame:
+def voice_search(queries: DataFrame, voices: DataFrame, k: int = 5, id_col: str = "voice_id", vector_col: str = "embedding", query_col: str | None = None, pivots: int | None = None) -> DataFrame:
     """(query, place, score, and the columns of voices but the vector): the k voices nearest to each query vector, with what the listing says of them.
 
     query_col names the queries' ids, id_col if it is not given. Listings of one id all come with it. Queries without a usable vector have no rows.
     """
-    found = Index(voices, id_col, vector_col).search(queries, k, query_col or id_col, vector_col)
+    found = Index(voices, id_col, vector_col, pivots).search(queries, k, query_col or id_col, vector_col)
     shown = voices.drop(vector_col)
     return found.select("query", F.col("id").alias(id_col), F.col("similarity").alias("score"), "place").join(shown, id_col)

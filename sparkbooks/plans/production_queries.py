@@ -226,7 +226,7 @@ def v2(embeddings: DataFrame) -> DataFrame:
 def k3(embeddings: DataFrame) -> DataFrame:
     """A marketplace of all vectors, asked for five voices by every vector whose id is divisible by 20."""
     voices = embeddings.withColumn("voice_name", F.concat(F.lit("voice "), F.col("vec_id").cast("string")))
-    return nb.voice_search(embeddings.where("vec_id % 20 = 0"), voices, 5, "vec_id").withColumn("score", F.round("score", 9))
+    return nb.voice_search(embeddings.where("vec_id % 20 = 0"), voices, 5, "vec_id", pivots=64).withColumn("score", F.round("score", 9))
 
 
 @query(
@@ -238,7 +238,7 @@ def k3(embeddings: DataFrame) -> DataFrame:
 )
 def v3(embeddings: DataFrame) -> DataFrame:
     """Characters get the best of their three nearest voices whose reference exists, and a licence row."""
-    found = nb.cosine_top_k(embeddings.where("vec_id % 20 = 0"), embeddings, 3).where("id % 3 > 0")
+    found = nb.cosine_top_k(embeddings.where("vec_id % 20 = 0"), embeddings, 3, pivots=16).where("id % 3 > 0")
     best = found.groupBy(F.col("query").alias("character")).agg(F.min_by("id", "place").alias("voice_id"))
     licence = F.substring(F.sha2(F.concat_ws("|", F.col("character").cast("string"), F.col("voice_id").cast("string")), 256), 1, 12)
     return best.withColumn("license_id", licence)

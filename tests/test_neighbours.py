@@ -35,10 +35,12 @@ def brute(queries, listings, k):
 def test_search(spark, vectors, monkeypatch, block):
     monkeypatch.setattr(nb, "BLOCK", block)
     odd = [(3000, None), (3001, [0] * 8), (3002, [1.0, None] + [0] * 6), (3003, [float("nan")] + [1] * 7), (3004, [float("inf")] + [1] * 7)]
-    index = nb.Index(frame(spark, vectors + odd))
+    index = nb.Index(frame(spark, vectors + odd), pivots=30)
     asked = [v for v in vectors if v[0] % 50 == 0 or v[0] > 1295][:30]
     got = index.search(frame(spark, asked + odd), 7)
     assert sorted((r.query, r.id, round(r.similarity, 9), r.place) for r in got.collect()) == brute(asked, vectors, 7)
+    one = nb.cosine_top_k(frame(spark, asked + odd), frame(spark, vectors + odd), 7)
+    assert sorted((r.query, r.id, round(r.similarity, 9), r.place) for r in one.collect()) == brute(asked, vectors, 7)
     assert "CartesianProduct" not in got._jdf.queryExecution().toString() and "NestedLoop" not in got._jdf.queryExecution().toString()
     shares = [(r.compared, r.listings) for r in index.visited(frame(spark, asked), 7).collect()]
     assert len(shares) == len(asked) and all(n == len(vectors) for _, n in shares)
