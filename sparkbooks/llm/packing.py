@@ -67,6 +67,8 @@ class Words:
         self.plain = ids("Qjx, eQ.") == [*ids("qjx"), *ids(","), *ids("eq"), *ids(".")]
         parts = json.loads(description)
         suffix = parts["model"].get("end_of_word_suffix")
+        # tokens that stand for themselves, but in one case only
+        self.added = [t["content"].lower().encode() for t in parts.get("added_tokens") or []]
         # the same model over words of letters that are composed, lower-cased and spelt in the tokenizer's characters for bytes already
         parts |= {"normalizer": None, "pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": " "}, "added_tokens": []}
         self.bare = tokenizers.Tokenizer.from_str(json.dumps(parts))
@@ -120,7 +122,9 @@ class Words:
     def ids(self, text: bytes) -> np.ndarray:
         # ASCII letters only join with marks from U+0300 to U+036F, and then not always alike in both cases
         if self.plain and b"\xcc" not in text and b"\xcd" not in text:
-            text = apart(rb" \g<0>", text.lower())
+            low = text.lower()
+            if not any(t in low for t in self.added):
+                text = apart(rb" \g<0>", low)
         out = []
         for part in slices(text, space, AT_ONCE):
             words = part.split()

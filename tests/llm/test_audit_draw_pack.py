@@ -205,6 +205,17 @@ def test_packing(spark, monkeypatch, fan):
     assert sum(r.start > 0 for r in got) < len(texts)
 
 
+def test_words_are_tokenised_as_whole_texts():
+    import tokenizers
+
+    words, whole = packing.Words(open(word_file()).read()), tokenizers.Tokenizer.from_file(word_file())
+    rng = random.Random(12)
+    bits = ["The", "END", "<|ENDOFTEXT|>", "<|endoftext|>", "<|EndOfText|>.", "don't", "Éa,", "e\u0301", "H\u0331", "h\u0331,", "ΣΑΣ", "İi", "x.", "y,", ",,", ".", "\x1c", "\u00a0", "漢字.", "🙂", "\u0915\u093c", "a" * 90, "1.5,", "\x00"]
+    for _ in range(400):
+        text = "".join(rng.choice(bits) + rng.choice([" ", " ", "\n", "", "\t "]) for _ in range(rng.randrange(12)))
+        assert words.ids(text.encode()).tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
 def test_packing_of_nothing(spark):
     assert packing.pack(documents(spark, []), word_file()).collect() == []
     assert [(r.doc_id, r.length) for r in packing.pack(documents(spark, [(1, None, None, None)]), word_file()).collect()] == [(1, 1)]
