@@ -161,9 +161,11 @@ def book_speakers(lines: DataFrame) -> DataFrame:
     return spoken.unionByName(lines.select("book_id", F.lit("Narrator").alias("character"))).distinct()
 
 
-def scene_roster(lines: DataFrame, least: int = 2) -> DataFrame:
-    """Capitalised names that a scene's narration has at least twice."""
-    names = F.explode(F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2}\b"), F.lit(0)))
+def scene_roster(lines: DataFrame, least: int = 2, ascii_words: bool = False) -> DataFrame:
+    """Capitalised names that a scene's narration has at least twice. A name stands between characters that are no letters, digits or underscores, of any script; with
+    `ascii_words` other letters than A to Z end a word too. White space is ASCII's."""
+    letter = "[A-Za-z0-9_]" if ascii_words else r"[\p{L}\p{M}\p{N}_]"
+    names = F.explode(F.regexp_extract_all("text", F.lit(rf"(?<!{letter})[A-Z][a-z]+(?:[ \t\n\f\r]+[A-Z][a-z]+){{0,2}}(?!{letter})"), F.lit(0)))
     found = lines.where("segment_type = 'narrative'").select("book_id", "scene_id", names.alias("name")).where(F.length("name") >= 3)
     return found.groupBy("book_id", "scene_id", "name").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
