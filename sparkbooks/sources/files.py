@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from sparkbooks.functions.text import printable_ratio, strip
 from sparkbooks.operators.segments import SILENT_TAGS, SKIPPED_NAMES, filter_spine_items, html_to_text
+from sparkbooks.sources.shared import small_batches
 
 WORD_NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 AUDIT_SCHEMA = (
@@ -94,14 +95,23 @@ BROKEN_PACKAGE = (zipfile.BadZipFile, KeyError, StopIteration, ElementTree.Parse
 def epub_spines(files: DataFrame, path: str = "") -> DataFrame:
     """(book_id, spine_index, name, html, status) of files(path, content): one row for each content document of each EPUB; one broken row for a file that is none."""
 
+    table = lambda rows: pd.DataFrame(rows, columns=["book_id", "spine_index", "name", "html", "status"]).astype({"spine_index": "Int32"})
+    small_batches(files.sparkSession)
+
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            rows, held = [], 0
             for book, data in zip(frame["book_id"], frame["content"], strict=True):
                 try:
-                    rows = [(book, i, f"{ref} {href.rpartition('/')[2]}", page, "ok") for i, (ref, href, page) in enumerate(_spine(data))]
+                    rows += [(book, i, f"{ref} {href.rpartition('/')[2]}", page, "ok") for i, (ref, href, page) in enumerate(_spine(data))]
                 except BROKEN_PACKAGE:
-                    rows = [(book, None, None, None, "broken")]
-                yield pd.DataFrame(rows, columns=["book_id", "spine_index", "name", "html", "status"]).astype({"spine_index": "Int32"})
+                    rows.append((book, None, None, None, "broken"))
+                held += len(data)
+                # many small packages make one table, a large one makes its own
+                if held > 4 << 20:
+                    yield table(rows)
+                    rows, held = [], 0
+            yield table(rows)
 
     named = files.select(relative_id(F.col("path"), path, ".epub").alias("book_id"), "content")
     return named.mapInPandas(parse, "book_id string, spine_index int, name string, html string, status string")
